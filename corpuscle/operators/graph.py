@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..scratch import materialize
+from ..scratch import materialize, materialize_with
 
 
 def edges_to_bonds(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -185,9 +185,8 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ("frame",), nod
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         linked = large.join(least, [*keys, "u"])
         small = linked.where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        arcs = materialize(small.union(least.select(*keys, "u", F.col("m").alias("v"))).distinct(), "arcs")
-        now = arcs.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")),
-                       F.bit_xor(F.xxhash64(*keys, "u", "v"))).first()
+        arcs, now = materialize_with(small.union(least.select(*keys, "u", F.col("m").alias("v"))).distinct(), "arcs",
+                                     mark=F.bit_xor(F.xxhash64(*keys, "u", "v")))
         if now == before:
             break
         before = now
@@ -445,3 +444,15 @@ def struct_components(arcs: DataFrame, nodes: DataFrame, keys: Sequence[str] = (
     root = ids.select(*keys, F.col("_id").alias("cluster"), F.col("p").alias("root"))
     return (labels.join(member, [*keys, "p"]).join(root, [*keys, "cluster"])
             .select(*keys, F.col("_node").alias("p"), "root"))
+
+
+def bond_angles(edges: DataFrame, keys: Sequence[str] = ("frame",), nbins: int = 180) -> DataFrame:
+    """Angles between the bonds of each particle, in equal bins of [0, 180] degrees: keys, bin, n."""
+    keys = list(keys)
+    a = edges.select(*keys, "p", F.col("q").alias("q1"), *[F.col(c).alias(f"a{c}") for c in ("dx", "dy", "dz", "d2")])
+    b = edges.select(*keys, "p", F.col("q").alias("q2"), *[F.col(c).alias(f"b{c}") for c in ("dx", "dy", "dz", "d2")])
+    dot = F.col("adx") * F.col("bdx") + F.col("ady") * F.col("bdy") + F.col("adz") * F.col("bdz")
+    cosine = dot / F.sqrt(F.col("ad2") * F.col("bd2"))
+    degrees = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    bin = F.least(F.floor(degrees * (nbins / 180)).cast("int"), F.lit(nbins - 1)).alias("bin")
+    return a.join(b, [*keys, "p"]).where("q1 < q2").groupBy(*keys, bin).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geometry import AXES
-from ..scratch import materialize
+from ..scratch import materialize, materialize_with
 from .matching import greedy_match
 from .spatial import frame_links
 
@@ -50,12 +50,11 @@ def chains(positions: DataFrame, links: DataFrame, group: Sequence[str] = ()) ->
     while True:
         up = heads.select(*group, F.col("frame").alias("_hf"), F.col("pid").alias("_hp"),
                           F.col("_hf").alias("_uf"), F.col("_hp").alias("_up"))
-        heads = materialize(heads.join(up, [*group, "_hf", "_hp"]).select(
-            *group, "frame", "pid", F.col("_uf").alias("_hf"), F.col("_up").alias("_hp")), "heads")
-        now = heads.agg(F.sum("_hf")).first()[0]
-        if now == total:
+        heads, seen = materialize_with(heads.join(up, [*group, "_hf", "_hp"]).select(
+            *group, "frame", "pid", F.col("_uf").alias("_hf"), F.col("_up").alias("_hp")), "heads", total=F.sum("_hf"))
+        if seen["total"] == total:
             break
-        total = now
+        total = seen["total"]
     starts = heads.where("frame = _hf and pid = _hp").select(*group, "_hf", "_hp")
     numbered = dense_index(starts, [*group, "_hf", "_hp"], "tr", per=group)
     return heads.join(numbered, [*group, "_hf", "_hp"]).select(*group, "tr", "frame", "pid")

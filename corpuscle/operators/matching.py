@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import AXES
-from ..scratch import materialize
+from ..scratch import materialize, materialize_with
 from .spatial import range_pairs
 
 
@@ -29,8 +29,8 @@ def greedy_match(links: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFram
         accepted = taken if accepted is None else accepted.unionByName(taken)
         left = (rest.join(taken.select(*keys, "from"), [*keys, "from"], "left_anti")
                 .join(taken.select(*keys, "to"), [*keys, "to"], "left_anti"))
-        rest = materialize(left.select(*keys, "from", "to", "cost"), "links")
-        if rest.isEmpty():
+        rest, seen = materialize_with(left.select(*keys, "from", "to", "cost"), "links")
+        if not seen["rows"]:
             return accepted
 
 
@@ -58,8 +58,9 @@ def thin(points: DataFrame, separation: float, priority: Sequence[Column | str],
                               "kept")
         kept = winners if kept is None else kept.unionByName(winners)
         close = range_pairs(winners, separation, todo, keys=keys, id_col=id_col, coords=coords)
-        todo = materialize(todo.join(close.select(*keys, F.col("q").alias(id_col)), [*keys, id_col], "left_anti"), "thin")
-        if todo.isEmpty():
+        rest = todo.join(close.select(*keys, F.col("q").alias(id_col)), [*keys, id_col], "left_anti")
+        todo, seen = materialize_with(rest, "thin")
+        if not seen["rows"]:
             return kept.select(*points.columns)
 
 
@@ -73,16 +74,16 @@ def thin_by_conflicts(points: DataFrame, conflicts: DataFrame, priority: Sequenc
     worse = (conflicts.join(ranked, [*keys, "p"])
              .join(ranked.select(*keys, F.col("p").alias("q"), F.col("_rp").alias("_rq")), [*keys, "q"])
              .where("_rp < _rq").select(*keys, F.col("p").alias("better"), F.col("q").alias("worse")).distinct())
-    worse = materialize(worse, "conflicts")
+    worse, seen = materialize_with(worse, "conflicts")
     removed = None
-    while not worse.isEmpty():
+    while seen["rows"]:
         beaten = worse.select(*keys, F.col("worse").alias("better"))
         firm = worse.join(beaten, [*keys, "better"], "left_anti")
         out = materialize(firm.select(*keys, F.col("worse").alias(id_col)).distinct(), "removed")
         removed = out if removed is None else removed.union(out)
         for end in ("better", "worse"):
             worse = worse.join(out.withColumnRenamed(id_col, end), [*keys, end], "left_anti")
-        worse = materialize(worse, "conflicts")
+        worse, seen = materialize_with(worse, "conflicts")
     return points if removed is None else points.join(removed, [*keys, id_col], "left_anti")
 
 

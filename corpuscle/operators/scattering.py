@@ -13,32 +13,24 @@ from ..functions.geometry import AXES
 
 
 def kvector_shells(nbins: int, ndim: int = 3, per_shell: int = 30) -> list[tuple[int, tuple[int, ...]]]:
-    """Integer wave vectors with n <= |k| < n + 1, at most ``per_shell`` of each shell n = 1..nbins-1.
+    """Integer wave vectors of length about n for every shell n = 1..nbins-1, at most ``per_shell`` each.
 
-    Vectors come in lexicographic order of non-negative components.
+    3D: the last component completes i^2 + j^2 to the largest square not above n^2, and the cyclic
+    permutations follow.  2D: directions evenly spaced in the first quadrant, each with its mirror image.
     """
     shells = []
     for n in range(1, nbins):
-        found = 0
-        ranges = [range(n + 1)] * ndim
-        for k in _lattice(ranges):
-            if n * n <= sum(v * v for v in k) < (n + 1) * (n + 1):
-                shells.append((n, k))
-                found += 1
-                if found == per_shell:
-                    break
+        if ndim == 3:
+            seeds = ((i, j, math.isqrt(n * n - i * i - j * j))
+                     for i in range(n) for j in range(n) if i * i + j * j < n * n)
+            vectors = [k[turn:] + k[:turn] for k in seeds for turn in range(3)]
+        else:
+            firsts = dict.fromkeys(int(n * math.sin(math.pi / 2 * u / per_shell)) for u in range(per_shell // 2))
+            vectors = [k for i in firsts for k in ((i, math.isqrt(n * n - i * i)), (math.isqrt(n * n - i * i), i))]
+        shells += [(n, k) for k in vectors[:per_shell]]
     return shells
 
 
-def _lattice(ranges):
-    if not ranges:
-        yield ()
-        return
-    for first in ranges[0]:
-        for rest in _lattice(ranges[1:]):
-            yield (first, *rest)
-
-
 def structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], *, keys: Sequence[str] = ("frame",),
                      coords: Sequence[str] = AXES, per_shell: int = 30, field: Column | None = None) -> DataFrame:
     """S(q) of every frame: keys, q_bin, n_k, s.
@@ -61,25 +53,41 @@ def structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], *,
     return sums.groupBy(*keys, "q_bin").agg(F.count("*").alias("n_k"), F.avg(power / F.col("_n")).alias("s"))
 
 
+def windowed_structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], **options) -> DataFrame:
+    """The same for a finite sample: Hann window on the particles, divided by its mean square."""
+    from .pairs import hann_weight
+    keys, coords = options.get("keys", ("frame",)), options.get("coords", AXES)
+    w = hann_weight(periods, coords)
+    s = structure_factor(points, nbins, periods, field=w, **options)
+    norm = points.groupBy(*keys).agg(F.avg(w * w).alias("_w2"))
+    return s.join(norm, list(keys)).select(*keys, "q_bin", "n_k", (F.col("s") / F.col("_w2")).alias("s"))
+
+
 def radial_transform(rdf: DataFrame, qs: Sequence[float], density: float, width: float, *, by: Sequence[str] = ()) -> DataFrame:
-    """S(q) = 1 + 4 pi rho * sum over r of (g - 1) r^2 sin(qr)/(qr) dr, from columns r (lower edge) and g."""
+    """S(q) = 1 + 4 pi rho / q * sum over r of r sin(q r) (g - 1) dr, from columns r and g."""
     rows = rdf.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    r = F.col("r") + width / 2
-    term = (F.col("g") - 1) * r * F.sin(F.col("q") * r) / F.col("q") * width
+    term = (F.col("g") - 1) * F.col("r") * F.sin(F.col("q") * F.col("r")) * width / F.col("q")
     return rows.groupBy(*by, "q").agg((1 + 4 * math.pi * density * F.sum(term)).alias("s"))
 
 
-def slice_to_bulk(s2d: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Three-dimensional S(q) from that of a thin slice: q, s -> q, s3 = s - 1/q * d(q (s - 1))... per neighbour bin.
+def slice_to_bulk(s2d: DataFrame, width: float, dq: float, by: Sequence[str] = ()) -> DataFrame:
+    """Three-dimensional S(q) from that of a slice of finite ``width`` (Totsuji & Totsuji 2012): q, s3.
 
-    Central difference of q * (s - 1) over neighbouring q values.
+    The curve has one row per q bin; it is handled as one sorted array.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(*by).orderBy("q")
-    h = F.col("q") * (F.col("s") - 1)
-    before, after = F.lag(h).over(w), F.lead(h).over(w)
-    q0, q1 = F.lag("q").over(w), F.lead("q").over(w)
-    return s2d.withColumn("s3", 1 + (after - before) / (q1 - q0)).where("s3 is not null")
+    curve = s2d.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("q", "s"))).alias("c"))
+    curve = curve.withColumn("c", F.expr("""
+        transform(c, (e, i) -> named_struct('q', e.q, 's', e.s, 'g',
+            CASE WHEN size(c) < 2 THEN 0D
+                 WHEN i = 0 THEN c[1].s - c[0].s
+                 WHEN i = size(c) - 1 THEN c[i].s - c[i - 1].s
+                 ELSE (c[i + 1].s - c[i - 1].s) / 2 END))"""))
+    w, step = float(width), float(dq)
+    bulk = curve.withColumn("o", F.expr(f"""
+        transform(c, (k, i) -> named_struct('q', k.q, 's3', 1D + aggregate(slice(c, i + 2, size(c)), 0D, (t, e) -> t +
+            (-2D * e.g / {w}D + {step}D * e.q / 6D * ({w}D - {w ** 3}D * (e.q * e.q - k.q * k.q) / 60D) * (e.s - 1D))
+            / sqrt(e.q * e.q - k.q * k.q))))"""))
+    return bulk.select(*by, F.explode("o").alias("o")).select(*by, "o.*")
 
 
 # --- pixel grids -------------------------------------------------------------------------------------

@@ -20,7 +20,10 @@ from ..functions.geometry import AXES, minimg, wrap
 CROWD_LIMIT = 20_000        # rows of one block that one task may join
 BROADCAST_ROWS = 50_000     # crowded blocks listed in a broadcast; a plain join beyond
 
-_BLOCK = [f"_b{a}" for a in AXES]
+
+
+def _blocks(coords) -> list[str]:
+    return [f"_b{i}" for i in range(len(coords))]
 
 
 def _block_index(coord: str, side: float) -> Column:
@@ -28,18 +31,19 @@ def _block_index(coord: str, side: float) -> Column:
 
 
 def _own_block(df: DataFrame, side: float, coords) -> DataFrame:
-    return df.withColumns({b: _block_index(c, side) for b, c in zip(_BLOCK, coords)})
+    return df.withColumns({b: _block_index(c, side) for b, c in zip(_blocks(coords), coords)})
 
 
 def _touched_blocks(df: DataFrame, radius: float, side: float, coords, lower_half: bool) -> DataFrame:
     """One row per block within ``radius``; ``lower_half`` keeps the own block and those before it."""
-    own = [f"_o{a}" for a in AXES]
+    blocks = _blocks(coords)
+    own = [f"_o{i}" for i in range(len(coords))]
     df = df.withColumns({o: _block_index(c, side) for o, c in zip(own, coords)})
-    for b, c in zip(_BLOCK, coords):
+    for b, c in zip(blocks, coords):
         df = df.withColumn(b, F.explode(F.sequence(F.floor((F.col(c) - radius) / side),
                                                    F.floor((F.col(c) + radius) / side))))
     if lower_half:
-        df = df.where(F.struct(*_BLOCK) <= F.struct(*[F.col(o).alias(b) for o, b in zip(own, _BLOCK)]))
+        df = df.where(F.struct(*blocks) <= F.struct(*[F.col(o).alias(b) for o, b in zip(own, blocks)]))
     return df.drop(*own)
 
 
@@ -47,7 +51,7 @@ def crowded_blocks(points: DataFrame, side: float, keys: Sequence[str], coords:
                    limit: int = CROWD_LIMIT) -> tuple[DataFrame, int, int]:
     """Blocks with more than ``limit`` points: (table, how many, the largest count)."""
     counts = (_own_block(points.select(*keys, *coords), side, coords)
-              .groupBy(*keys, *_BLOCK).agg(F.count("*").alias("_n"))
+              .groupBy(*keys, *_blocks(coords)).agg(F.count("*").alias("_n"))
               .where(F.col("_n") > limit)
               .withColumn("_fan", F.ceil(F.col("_n") / limit).cast("int")))
     n_hot, largest = counts.agg(F.count("*"), F.max("_n")).first()
@@ -81,7 +85,7 @@ def _ghosts(points: DataFrame, radius: float, periods: Sequence[float | None], c
 def _sided(df: DataFrame, prefix: str, keys, id_col, coords, carry) -> DataFrame:
     cols = [F.col(id_col).alias(prefix)] + [F.col(c).alias(f"_{prefix}{i}") for i, c in enumerate(coords)]
     cols += [F.col(c).alias(f"{prefix}_{c}") for c in carry]
-    extra = [c for c in (*_BLOCK, "_salt", "_salt2", "_home") if c in df.columns]
+    extra = [c for c in (*_blocks(coords), "_salt", "_salt2", "_home") if c in df.columns]
     return df.select(*keys, *extra, *cols)
 
 
@@ -104,38 +108,33 @@ def range_pairs(left: DataFrame, radius: float, right: DataFrame | None = None,
     side = radius * block_factor
     left = left.select(*dict.fromkeys([*keys, id_col, *coords, *carry]))
     right = left if self_join else right.select(*dict.fromkeys([*keys, id_col, *coords, *carry_right]))
-    padded = coords
-    if len(coords) == 2:                      # a flat third axis keeps one code path
-        left, right = left.withColumn("_flat", F.lit(0.0)), right.withColumn("_flat", F.lit(0.0))
-        padded = [*coords, "_flat"]
     if periods is not None:
-        periods = list(periods) + [None] * (3 - len(periods))
-        fold = {c: wrap(c, L) for c, L in zip(padded, periods) if L}
+        fold = {c: wrap(c, L) for c, L in zip(coords, periods) if L}
         left, right = left.withColumns(fold), right.withColumns(fold)
-        right = _ghosts(right, radius, periods, padded)
+        right = _ghosts(right, radius, periods, coords)
 
     halved = self_join and periods is None
-    a = _own_block(left, side, padded)
-    b = _touched_blocks(right, radius, side, padded, lower_half=halved)
-    on = [*keys, *_BLOCK]
+    a = _own_block(left, side, coords)
+    b = _touched_blocks(right, radius, side, coords, lower_half=halved)
+    on = [*keys, *_blocks(coords)]
     if crowd_limit is not None:
-        blocks = [*keys, *_BLOCK]
-        hot, n_hot, _ = crowded_blocks(left, side, keys, padded, crowd_limit)
+        blocks = [*keys, *_blocks(coords)]
+        hot, n_hot, _ = crowded_blocks(left, side, keys, coords, crowd_limit)
         if n_hot:
             a, b = _spread(a, b, hot, n_hot, blocks, id_col, "_salt")
             on.append("_salt")
         if not self_join:
-            hot, n_hot, _ = crowded_blocks(right, side, keys, padded, crowd_limit)
+            hot, n_hot, _ = crowded_blocks(right, side, keys, coords, crowd_limit)
             if n_hot:
                 b, a = _spread(b, a, hot, n_hot, blocks, id_col, "_salt2")
                 on.append("_salt2")
     if halved:                                # pairs inside one block must still come once
         at_home = F.lit(True)
-        for block, c in zip(_BLOCK, padded):
+        for block, c in zip(_blocks(coords), coords):
             at_home = at_home & (F.col(block) == _block_index(c, side))
         b = b.withColumn("_home", at_home)
-    a = _sided(a, "p", keys, id_col, padded, carry)
-    b = _sided(b, "q", keys, id_col, padded, carry_right)
+    a = _sided(a, "p", keys, id_col, coords, carry)
+    b = _sided(b, "q", keys, id_col, coords, carry_right)
     diffs = [F.col(f"_q{i}") - F.col(f"_p{i}") for i in range(len(coords))]
     d2 = diffs[0] * diffs[0]
     for d in diffs[1:]:

@@ -1,0 +1,4 @@
+"""Registered queries over the driver tables."""
+
+from . import graphs, order, spatial  # noqa: F401
+from .catalog import ORACLES, QUERIES  # noqa: F401

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -33,6 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads it back, with no lineage behind it."""
+    return materialize_with(df, name)[0]
+
+
+def materialize_with(df: DataFrame, name: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates gathered while writing (``rows`` always among them)."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
