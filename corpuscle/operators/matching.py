@@ -22,16 +22,18 @@ def greedy_match(links: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFram
     order = F.struct("cost", "from", "to")
     rest, accepted = materialize(links.select(*keys, "from", "to", "cost"), "links"), None
     while True:
-        best_from = rest.groupBy(*keys, "from").agg(F.min(order).alias("_b")).select(*keys, "_b")
-        best_to = rest.groupBy(*keys, "to").agg(F.min(order).alias("_b")).select(*keys, "_b")
-        taken = materialize(best_from.join(best_to, [*keys, "_b"]).select(*keys, "_b.from", "_b.to", "_b.cost"),
-                            "taken")
+        best_from = rest.groupBy(*keys, "from").agg(F.min(order).alias("_bf"))
+        best_to = rest.groupBy(*keys, "to").agg(F.min(order).alias("_bt"))
+        judged = (rest.join(best_from, [*keys, "from"]).join(best_to, [*keys, "to"])
+                  .select(*keys, "from", "to", "cost", ((F.col("_bf") == order) & (F.col("_bt") == order)).alias("taken")))
+        judged, seen = materialize_with(judged, "judged", taken=F.count_if("taken"))
+        taken = judged.where("taken").drop("taken")
         accepted = taken if accepted is None else accepted.unionByName(taken)
-        left = (rest.join(taken.select(*keys, "from"), [*keys, "from"], "left_anti")
-                .join(taken.select(*keys, "to"), [*keys, "to"], "left_anti"))
-        rest, seen = materialize_with(left.select(*keys, "from", "to", "cost"), "links")
-        if not seen["rows"]:
+        if seen["rows"] == seen["taken"]:
             return accepted
+        rest = (judged.where("not taken").drop("taken")
+                .join(taken.select(*keys, "from"), [*keys, "from"], "left_anti")
+                .join(taken.select(*keys, "to"), [*keys, "to"], "left_anti"))
 
 
 def thin(points: DataFrame, separation: float, priority: Sequence[Column | str], *,
