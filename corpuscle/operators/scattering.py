@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.geometry import AXES
 
@@ -40,9 +40,10 @@ def structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], *,
     partition is shuffled.  ``field`` weights the particles.
     """
     shells = kvector_shells(nbins, len(coords), per_shell)
-    vectors = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("id"),
-                                 *[F.lit(2 * math.pi / L * k).alias(f"k{c}") for c, k, L in zip(coords, kv, periods)])
-                        for i, (n, kv) in enumerate(shells)])
+    rows = ", ".join(
+        f"named_struct('n', {n}, 'id', {i}, " + ", ".join(f"'k{c}', {2 * math.pi / L * k!r}D" for c, k, L in zip(coords, kv, periods)) + ")"
+        for i, (n, kv) in enumerate(shells))
+    vectors = F.expr(f"array({rows})")
     weight = F.lit(1.0) if field is None else field
     rows = points.select(*keys, *coords, weight.alias("_w")).select(*keys, *coords, "_w", F.explode(vectors).alias("k"))
     phase = sum((F.col(c) * F.col(f"k.k{c}") for c in coords[1:]), F.col(coords[0]) * F.col(f"k.k{coords[0]}"))
@@ -115,7 +116,7 @@ def grid_spectrum(pixels: DataFrame, shape: Sequence[int], lengths: Sequence[flo
     """
     shape, keys = tuple(shape), list(keys)
     width = 2 * math.pi / max(lengths)
-    schema = pixels.select(*keys).schema.add("q_bin", "int").add("n_k", "long").add("power", "double")
+    schema = pixels.select(*keys).schema.add("q_bin", T.IntegerType()).add("n_k", T.LongType()).add("power", T.DoubleType())
 
     def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros(shape)

@@ -146,10 +146,23 @@ def structure_class(q6: Column, w4: Column) -> Column:
             .when(w4 < 0, "fcc").otherwise("hcp"))
 
 
-def frame_range(spark, first: int, last: int, step: int, average: int = 1) -> DataFrame:
-    """Intervals of ``average`` frames, one every ``step``, that fit in [first, last]."""
-    return (spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).alias("t0"))
-            .withColumn("t1", F.col("t0") + average - 1).where(F.col("t1") <= last))
+def intervals(tracks: DataFrame, step: int, average: int = 1) -> DataFrame:
+    """Intervals of ``average`` frames, one every ``step``, within the frames of the tracks: t0, t1."""
+    reach = tracks.agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"))
+    return (reach.select(F.explode(F.sequence("_a", "_b", F.lit(step))).alias("t0"), "_b")
+            .withColumn("t1", F.col("t0") + (average - 1)).where("t1 <= _b").select("t0", "t1"))
+
+
+def spanning_per_interval(tracks: DataFrame, step: int, average: int, keys: Sequence[str] = ("tr",)) -> DataFrame:
+    """Trajectories that span each interval: every trajectory lists its own, nothing is compared pairwise."""
+    grid = intervals(tracks, step, average)
+    first = grid.agg(F.min("t0").alias("_a"))
+    inner = (spans(tracks, keys).crossJoin(F.broadcast(first))      # one row
+             .withColumn("_s", F.col("_a") + F.ceil((F.col("t_start") - F.col("_a")) / step) * step)
+             .where(F.col("_s") + (average - 1) <= F.col("t_last"))
+             .withColumn("t0", F.explode(F.sequence("_s", F.col("t_last").cast("bigint") - (average - 1), F.lit(step).cast("bigint")))))
+    counts = inner.groupBy(F.col("t0").cast("int").alias("t0")).agg(F.count("*").alias("n"))
+    return grid.join(counts, "t0", "left").na.fill(0, ["n"])
 
 
 def to_tracks(positions: DataFrame, traj: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

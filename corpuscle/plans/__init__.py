@@ -1,4 +1,4 @@
 """Registered queries over the driver tables."""
 
-from . import dynamics, graphs, order, spatial  # noqa: F401
+from . import dynamics, graphs, order, spatial, statistics  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401

@@ -56,11 +56,11 @@ def trajectories_without_null_field(spark, d):
     return select.exclude_zero(t, "v").select("tr", "frame")
 
 
-@query("SELECT i AS t0, i+4 AS t1 FROM range(0, 30, 3) r(i), (SELECT max(label) AS m FROM embeddings) WHERE i+4 <= 29 AND m >= 0")
-def averaging_intervals(spark, d):
-    has_rows = table(spark, d, "embeddings").agg((F.max("label") >= 0).alias("_ok"))
-    grid = select.frame_range(spark, 0, 29, 3, 5)
-    return grid.join(F.broadcast(has_rows), F.col("_ok")).select(F.col("t0").cast("bigint").alias("t0"), F.col("t1").cast("bigint").alias("t1"))
+@query(f"""WITH {T}, iv AS (SELECT CAST(i AS INTEGER) AS t0, CAST(i+4 AS INTEGER) AS t1 FROM range(0, 30, 3) r(i), (SELECT max(frame) AS last FROM t) WHERE i+4 <= last),
+ s AS (SELECT tr, min(frame) AS a, max(frame) AS b FROM t GROUP BY 1)
+ SELECT t0, t1, count(tr) AS n FROM iv LEFT JOIN s ON a <= t0 AND b >= t1 GROUP BY 1, 2""")
+def spanning_per_interval(spark, d):
+    return select.spanning_per_interval(tracks(spark, d), 3, 5)
 
 
 @query(f"WITH {T}, o AS (SELECT uid, frame, z FROM d) SELECT t.tr, t.frame, o.uid AS pid, {s6('o.z')} AS z FROM t JOIN o ON o.uid = t.tr // 1000 AND o.frame = t.frame")
@@ -236,10 +236,10 @@ def four_point_overlap_slice(spark, d):
  ax AS (SELECT *, dx/r AS nx, dy/r AS ny, dz/r AS nz, nullif(sqrt(dx*dx+dy*dy), 0) AS rho FROM pr),
  cc AS (SELECT lag, CAST(floor((ln(r)-ln(2.0::DOUBLE))/({math.log(10.0)!r}/8)) AS INTEGER) AS bin, (ux*nx+uy*ny+uz*nz)*(wx*nx+wy*ny+wz*nz) AS n1,
   (ux*dy/rho-uy*dx/rho)*(wx*dy/rho-wy*dx/rho) AS p1 FROM ax)
- SELECT lag, bin, count(*) AS n, {s6('sum(n1)')} AS sum_n, {s6('sum(p1)')} AS sum_p, {s6('sum(n1*n1)')} AS sq_n FROM cc GROUP BY 1, 2""")
+ SELECT lag, bin, count(*) AS n, {s6('sum(n1)')} AS sum_n, {s6('sum(p1)')} AS sum_p, {s6('sum(n1*n1)/1e6')} AS sq_n FROM cc GROUP BY 1, 2""")
 def two_point_displacements(spark, d):
     table = D.two_point_displacements(tracks(spark, d), 3, [1, 3], 2.0, 20.0, 8)
-    return rounded(table.select("lag", "bin", "n", "sum_n", "sum_p", "sq_n"), "sum_n", "sum_p", "sq_n")
+    return rounded(table.select("lag", "bin", "n", "sum_n", "sum_p", (F.col("sq_n") / 1e6).alias("sq_n")), "sum_n", "sum_p", "sq_n")
 
 
 @query(f"""WITH {T}, {T_PAIRS}, e AS (SELECT tp.frame, low AS p, high AS q, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz FROM tp
