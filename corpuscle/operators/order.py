@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import harmonics as H
+from ..scratch import materialize
 from .pairs import distance_bin
 from .spatial import both_ways, range_pairs
 
@@ -75,8 +76,11 @@ def invariants(q: DataFrame, l: int, *, keys: Sequence[str] = ("frame",), with_w
 
 
 def cloud(edges: DataFrame, degrees: Sequence[int] = (4, 6, 8, 10), *, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """q_l and w_l for several degrees side by side: keys, p, q4, q6, .., w4, w6, ..."""
-    table = None
+    """q_l and w_l for several degrees side by side: keys, p, q4, q6, .., w4, w6, ...
+
+    The edges are written once, as every degree reads them again.
+    """
+    edges, table = materialize(edges, "edges"), None
     for l in degrees:
         part = invariants(qlm(edges, l, keys=keys), l, keys=keys).drop("n")
         table = part if table is None else table.join(part, [*keys, "p"])

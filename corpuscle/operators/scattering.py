@@ -31,27 +31,32 @@ def kvector_shells(nbins: int, ndim: int = 3, per_shell: int = 30) -> list[tuple
     return shells
 
 
-def structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], *, keys: Sequence[str] = ("frame",),
-                     coords: Sequence[str] = AXES, per_shell: int = 30, field: Column | None = None) -> DataFrame:
-    """S(q) of every frame: keys, q_bin, n_k, s.
+def amplitude_sums(points: DataFrame, nbins: int, periods: Sequence[float], *, keys: Sequence[str] = ("frame",),
+                   coords: Sequence[str] = AXES, per_shell: int = 30, field: Column | None = None) -> DataFrame:
+    """Density amplitudes: keys, q_bin, k_id, c, s, n (sums of cosines and sines over the particles).
 
-    ``periods`` gives the box side of each axis.  Wave vectors are a literal of the plan: each row is
-    multiplied by it and summed at once in the map-side aggregate, nothing but one row per wave vector and
-    partition is shuffled.  ``field`` weights the particles.
+    Wave vectors are a literal of the plan: each row is multiplied by it and summed at once in the
+    map-side aggregate, nothing but one row per wave vector and partition is shuffled.
     """
     shells = kvector_shells(nbins, len(coords), per_shell)
     rows = ", ".join(
         f"named_struct('n', {n}, 'id', {i}, " + ", ".join(f"'k{c}', {2 * math.pi / L * k!r}D" for c, k, L in zip(coords, kv, periods)) + ")"
         for i, (n, kv) in enumerate(shells))
-    vectors = F.expr(f"array({rows})")
     weight = F.lit(1.0) if field is None else field
-    rows = points.select(*keys, *coords, weight.alias("_w")).select(*keys, *coords, "_w", F.explode(vectors).alias("k"))
+    rows = (points.select(*keys, *coords, weight.alias("_w"))
+            .select(*keys, *coords, "_w", F.explode(F.expr(f"array({rows})")).alias("k")))
     phase = sum((F.col(c) * F.col(f"k.k{c}") for c in coords[1:]), F.col(coords[0]) * F.col(f"k.k{coords[0]}"))
-    sums = (rows.select(*keys, "_w", F.col("k.n").alias("q_bin"), F.col("k.id").alias("_id"), phase.alias("_a"))
-            .groupBy(*keys, "q_bin", "_id").agg(F.sum(F.col("_w") * F.cos("_a")).alias("_c"),
-                                                F.sum(F.col("_w") * F.sin("_a")).alias("_s"), F.count("*").alias("_n")))
-    power = F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")
-    return sums.groupBy(*keys, "q_bin").agg(F.count("*").alias("n_k"), F.avg(power / F.col("_n")).alias("s"))
+    return (rows.select(*keys, "_w", F.col("k.n").alias("q_bin"), F.col("k.id").alias("k_id"), phase.alias("_a"))
+            .groupBy(*keys, "q_bin", "k_id").agg(F.sum(F.col("_w") * F.cos("_a")).alias("c"),
+                                                 F.sum(F.col("_w") * F.sin("_a")).alias("s"), F.count("*").alias("n")))
+
+
+def structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], *, keys: Sequence[str] = ("frame",),
+                     **options) -> DataFrame:
+    """S(q) of every frame: keys, q_bin, n_k, s.  ``periods`` is the box side per axis, ``field`` a weight."""
+    sums = amplitude_sums(points, nbins, periods, keys=keys, **options)
+    power = F.col("c") * F.col("c") + F.col("s") * F.col("s")
+    return sums.groupBy(*keys, "q_bin").agg(F.count("*").alias("n_k"), F.avg(power / F.col("n")).alias("s"))
 
 
 def windowed_structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], **options) -> DataFrame:

@@ -13,7 +13,7 @@ PRICE = (0.0, 105000.0)
 
 
 def hist_bin(v, lo, hi, n):
-    return f"CASE WHEN {v} = {hi} THEN {n - 1} ELSE CAST(floor(({v} - {lo}::DOUBLE)*({n}/({hi}::DOUBLE-{lo}::DOUBLE))) AS INTEGER) END"
+    return f"CASE WHEN {v} = {hi} THEN {n - 1} ELSE CAST(floor(({v} - ({lo})::DOUBLE)*({n}/(({hi})::DOUBLE - ({lo})::DOUBLE))) AS INTEGER) END"
 
 
 @query(f"""WITH h AS (SELECT l_returnflag, {hist_bin('l_extendedprice', *PRICE, 50)} AS bin FROM lineitem)
