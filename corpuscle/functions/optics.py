@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..operators.graph import bonds_to_edges
 from ..scratch import materialize, materialize_with
@@ -37,7 +38,7 @@ def radius_to_sigma(r, n: float = 3.0, ndim: int = 3) -> Column:
     return _c(r) / math.sqrt(2 * ndim * math.log(2) / n / (1 - 2 ** (-2 / n)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((math.erf(v) for v in x), float, len(x)))
 

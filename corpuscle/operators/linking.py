@@ -21,15 +21,15 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str, per: Sequence[st
     spark = df.sparkSession
     width = 1 << 33          # layout of monotonically_increasing_id: partition number, then position
     ranged = (df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-              .withColumn("_i", F.monotonically_increasing_id()))
-    placed = materialize(ranged.withColumn("_part", F.floor(F.col("_i") / width))
-                         .withColumn("_i", F.col("_i") % width), "ranged")
+              .withColumn("_place", F.monotonically_increasing_id()))
+    placed = materialize(ranged.withColumn("_piece_no", F.floor(F.col("_place") / width))
+                         .withColumn("_place", F.col("_place") % width), "ranged")
     by = list(per)
-    first = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = first.withColumn("_shift", F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first"))
-    return (placed.join(offsets.select(*by, "_part", "_shift"), [*by, "_part"])
-            .withColumn(name, F.col("_i") + F.col("_shift")).drop("_i", "_part", "_shift"))
+    first = placed.groupBy(*by, "_piece_no").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    w = Window.partitionBy(*by).orderBy("_piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = first.withColumn("_shift", F.coalesce(F.sum("_rows").over(w), F.lit(0)) - F.col("_first"))
+    return (placed.join(offsets.select(*by, "_piece_no", "_shift"), [*by, "_piece_no"])
+            .withColumn(name, F.col("_place") + F.col("_shift")).drop("_place", "_piece_no", "_shift"))
 
 
 def chains(positions: DataFrame, links: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.geometry import AXES
 from ..scratch import materialize, materialize_with
 from .select import extent
-from .spatial import both_ways, range_pairs
+from .spatial import range_pairs
 
 # faces of a box as corner numbers (bit 0: x, bit 1: y, bit 2: z), outward order
 BOX_FACES = ((0, 4, 6, 2), (1, 3, 7, 5), (0, 1, 5, 4), (2, 6, 7, 3), (0, 2, 3, 1), (4, 5, 7, 6))
@@ -91,8 +91,10 @@ def voronoi(points: DataFrame, radius: float, *, keys: Sequence[str] = ("frame",
     keys = list(keys)
     points = materialize(points.select(*keys, id_col, *AXES), "points")
     box = extent(points, keys).drop("n")
-    schema = T.StructType([points.schema[k] for k in keys]).add("p", points.schema[id_col].dataType).add("volume", T.DoubleType()).add(
-        "reach", T.DoubleType()).add("faces", "array<struct<q:bigint,area:double>>")
+    face = T.StructType([T.StructField("q", T.LongType()), T.StructField("area", T.DoubleType())])
+    schema = T.StructType([points.schema[k] for k in keys] + [
+        T.StructField("p", points.schema[id_col].dataType), T.StructField("volume", T.DoubleType()),
+        T.StructField("reach", T.DoubleType()), T.StructField("faces", T.ArrayType(face))])
 
     def cut(batches):
         for pdf in batches:

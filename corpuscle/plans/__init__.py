@@ -1,4 +1,4 @@
 """Registered queries over the driver tables."""
 
-from . import dynamics, formats, graphs, imaging, order, spatial, statistics  # noqa: F401
+from . import analyses, dynamics, formats, graphs, imaging, order, physics, spatial, statistics  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401
