@@ -184,9 +184,9 @@ def rotate_by_pi(q: np.ndarray, axis: np.ndarray, l: int) -> np.ndarray:
     theta, phi = np.arccos(np.clip(unit[:, 2], -1, 1)), np.arctan2(unit[:, 1], unit[:, 0])
     m = np.arange(-l, l + 1)
     d = small_d(l, theta)
-    turned = _full(q, l) * np.exp(1j * m * phi[:, None])
+    turned = _full(q, l) * np.exp(-1j * m * phi[:, None])
     turned = np.einsum("nba,nb->na", d, turned) * (-1.0) ** m
-    turned = np.einsum("nab,nb->na", d, turned) * np.exp(-1j * m * phi[:, None])
+    turned = np.einsum("nab,nb->na", d, turned) * np.exp(1j * m * phi[:, None])
     return turned[:, l:]
 
 

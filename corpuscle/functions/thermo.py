@@ -248,7 +248,12 @@ def coexistence(fluid: EquationOfState, solid: EquationOfState, piv: float, q: f
         p = solid.pv(f, piv, q)
         other = stable_fluid(p)
         return -1.0 if other is None or p <= 0 else fluid.mu(other, piv, q) - solid.mu(f, piv, q) + shift
-    u = bisect(excess, math.log(1 / start - 1 / F_CP), math.log(1e-6))
+    # the first crossing from the dilute side: a fluid without close packing wins again at absurd pressure
+    scan = np.linspace(math.log(1 / start - 1 / F_CP), math.log(1e-4), 120)
+    crossed = next((i for i, v in enumerate(scan) if excess(v) > 0), 0)
+    if not crossed:
+        return math.nan, math.nan
+    u = bisect(excess, scan[crossed - 1], scan[crossed], 60)
     f = 1 / (math.exp(u) + 1 / F_CP)
     return stable_fluid(solid.pv(f, piv, q)), f
 

@@ -2,7 +2,7 @@
 
 Neighbours come from a distance join; a cell is cut out of the box of its frame by the planes half way to
 them.  A cell whose farthest corner is at rho is complete once all particles within 2 rho are known, so
-unfinished ones go on with a range twice as wide.
+unfinished ones go on with a wider range.
 """
 
 from __future__ import annotations
@@ -68,8 +68,10 @@ def cell(low, high, neighbours: np.ndarray, labels: Sequence[int]):
     reach2 = max(float((loop ** 2).sum(axis=1).max()) for _, loop in faces)
     for vector, label in zip(neighbours, labels):
         d2 = float(vector @ vector)
-        if d2 == 0 or d2 > 4 * reach2:
+        if d2 == 0:
             continue
+        if d2 > 4 * reach2:         # nearest first: nothing further can cut
+            break
         faces = _clip(faces, vector, d2 / 2, label)
         reach2 = max(float((loop ** 2).sum(axis=1).max()) for _, loop in faces)
     volume, areas = 0.0, []
@@ -114,15 +116,16 @@ def voronoi(points: DataFrame, radius: float, *, keys: Sequence[str] = ("frame",
         listed = near.groupBy(*keys, "p").agg(F.sort_array(F.collect_list(F.struct("d2", "q", "dx", "dy", "dz"))).alias("ngbs"))
         rows = (todo.withColumnRenamed(id_col, "p").join(listed, [*keys, "p"], "left").join(box, keys)
                 .select(*keys, "p", *AXES, *[f"{c}{i}" for c in AXES for i in (0, 1)], "ngbs"))
-        cells = rows.mapInPandas(cut, schema)
+        # small rows, long computation: one partition per core at least, which coalescing would undo
+        cells = rows.repartition(points.sparkSession.sparkContext.defaultParallelism, *keys, "p").mapInPandas(cut, schema)
         finished = F.col("reach") * 2 <= radius
-        cells, seen = materialize_with(cells, "cells", open=F.count_if(~finished))
+        cells, seen = materialize_with(cells, "cells", open=F.count_if(~finished), reach=F.max("reach"))
         if not seen["open"]:
             done.append(cells)
             break
         done.append(cells.where(finished))
         todo = materialize(points.join(cells.where(~finished).select(*keys, F.col("p").alias(id_col)), [*keys, id_col], "left_semi"), "open")
-        radius *= 2
+        radius = min(4 * radius, 2 * seen["reach"])
     else:
         raise RuntimeError("cells are still open after the last round; start with a larger radius")
     result = done[0]
