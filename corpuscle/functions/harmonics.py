@@ -54,32 +54,30 @@ def _polynomial(coefs, c):
     return value
 
 
-def ylm_columns(l: int, x: str = "dx", y: str = "dy", z: str = "dz", r2: str = "d2"):
-    """(stages, re, im): three layers of named columns that lead to Re and Im of Y_lm, m = 0..l.
+def _polynomial_sql(coefs, c: str) -> str:
+    text = None
+    for coef in reversed(coefs):
+        text = f"{float(coef)!r}D" if text is None else f"({text} * {c} + {float(coef)!r}D)" if coef else f"({text} * {c})"
+    return text
+
 
-    The layers are meant for successive selects, so that powers are computed once.
+def ylm_sql(l: int, x: str = "dx", y: str = "dy", z: str = "dz", r2: str = "d2"):
+    """(layers, re, im): SQL text of Re and Im of Y_lm, m = 0..l, over layers of helper columns.
+
+    The layers are for successive selects, so that powers are computed once.
     """
-    r = F.sqrt(F.col(r2))
-    unit = {"_u": F.col(x) / r, "_v": F.col(y) / r, "_c": F.col(z) / r}
-    powers: dict[str, Column] = {}
-    re, im = F.col("_u"), F.col("_v")
-    layers = [unit]
+    layers = [[f"{x} / sqrt({r2}) AS _u", f"{y} / sqrt({r2}) AS _v", f"{z} / sqrt({r2}) AS _c"]]
+    power = {1: ("_u", "_v")}
     for m in range(2, l + 1):
-        prev_re, prev_im = (F.col("_u"), F.col("_v")) if m == 2 else (F.col(f"_pr{m-1}"), F.col(f"_pi{m-1}"))
-        powers = {f"_pr{m}": prev_re * F.col("_u") - prev_im * F.col("_v"),
-                  f"_pi{m}": prev_re * F.col("_v") + prev_im * F.col("_u")}
-        layers.append(powers)
-    res, ims = [], []
+        re, im = power[m - 1]
+        layers.append([f"{re} * _u - {im} * _v AS _pr{m}", f"{re} * _v + {im} * _u AS _pi{m}"])
+        power[m] = (f"_pr{m}", f"_pi{m}")
+    re, im = [], []
     for m in range(l + 1):
-        factor = F.lit(ylm_norm(l, m)) * _polynomial(legendre_derivative(l, m), F.col("_c"))
-        if m == 0:
-            res.append(factor)
-            ims.append(F.lit(0.0))
-        else:
-            re, im = ("_u", "_v") if m == 1 else (f"_pr{m}", f"_pi{m}")
-            res.append(factor * F.col(re))
-            ims.append(factor * F.col(im))
-    return layers, res, ims
+        factor = f"{ylm_norm(l, m)!r}D * {_polynomial_sql(legendre_derivative(l, m), '_c')}"
+        re.append(factor if m == 0 else f"{factor} * {power[m][0]}")
+        im.append("0D" if m == 0 else f"{factor} * {power[m][1]}")
+    return layers, re, im
 
 
 def names(l: int, prefix: str = "") -> tuple[list[str], list[str]]:
@@ -92,57 +90,55 @@ def coefficient_columns(l: int, prefix: str = "") -> list[str]:
     return re + im[1:]
 
 
+# Long sums are built as SQL text: one expression instead of hundreds of Column calls.
+
+def _product_sql(l: int, a: str, b: str) -> str:
+    pairs = [f"{a}re_{m} * {b}re_{m} + {a}im_{m} * {b}im_{m}" for m in range(1, l + 1)]
+    return f"{4 * math.pi / (2 * l + 1)!r}D * ({a}re_0 * {b}re_0 + 2D * ({' + '.join(pairs)}))"
+
+
 def product(l: int, a: str = "p_", b: str = "q_") -> Column:
     """4 pi/(2l+1) * sum over all m of Re(a_m conj(b_m))."""
-    total = F.col(f"{a}re_0") * F.col(f"{b}re_0")
-    for m in range(1, l + 1):
-        total = total + 2 * (F.col(f"{a}re_{m}") * F.col(f"{b}re_{m}") + F.col(f"{a}im_{m}") * F.col(f"{b}im_{m}"))
-    return total * (4 * math.pi / (2 * l + 1))
+    return F.expr(_product_sql(l, a, b))
 
 
 def ql(l: int, prefix: str = "") -> Column:
-    return F.sqrt(product(l, prefix, prefix))
+    return F.expr(f"sqrt({_product_sql(l, prefix, prefix)})")
 
 
 def normed_product(l: int, a: str = "p_", b: str = "q_") -> Column:
     """Cosine-like similarity of two coefficient sets, NULL if one is null."""
-    norm = F.sqrt(product(l, a, a) * product(l, b, b))
-    return product(l, a, b) / F.when(norm > 0, norm)
-
-
-def _cmul(a, b):
-    return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
+    norm = f"sqrt(({_product_sql(l, a, a)}) * ({_product_sql(l, b, b)}))"
+    return F.expr(f"({_product_sql(l, a, b)}) / nullif({norm}, 0D)")
 
 
-def wl_sum(l: int, prefix: str = "") -> Column:
+def _wl_sql(l: int, prefix: str) -> str:
     """Sum over m1 + m2 + m3 = 0 of 3j * q_m1 q_m2 q_m3, grouped by unordered triples."""
     def q(m):
-        re, im = F.col(f"{prefix}re_{abs(m)}"), (F.col(f"{prefix}im_{m}") if m > 0 else F.lit(0.0))
-        if m >= 0:
-            return re, im
-        im = F.col(f"{prefix}im_{-m}")
-        return ((re, -im) if m % 2 == 0 else (-re, im))
-    total = None
+        sign = "-" if m < 0 and m % 2 else ""
+        re = f"({sign}{prefix}re_{abs(m)})"
+        im = "0D" if m == 0 else f"({'' if m > 0 or m % 2 else '-'}{prefix}im_{abs(m)})"
+        return re, im
+    terms = []
     for m1 in range(-l, l + 1):
         for m2 in range(m1, l + 1):
             m3 = -m1 - m2
-            if m3 < m2 or m3 > l:
+            triple, opposite = (m1, m2, m3), tuple(sorted((-m1, -m2, m1 + m2)))
+            if m3 < m2 or m3 > l or triple > opposite:      # the opposite triple gives the conjugate
                 continue
-            ways = {1: 1, 2: 3, 3: 6}[len({m1, m2, m3})]
-            if (m1, m2, m3) > tuple(sorted((-m1, -m2, -m3))):
-                continue            # the opposite triple gives the complex conjugate
-            mirror = 1 if (m1, m2, m3) == tuple(sorted((-m1, -m2, -m3))) else 2
-            term = _cmul(_cmul(q(m1), q(m2)), q(m3))[0] * (ways * mirror * wigner_3j(l, m1, m2, m3))
-            total = term if total is None else total + term
-    return total
+            ways = {1: 1, 2: 3, 3: 6}[len(set(triple))] * (1 if triple == opposite else 2)
+            (ar, ai), (br, bi), (cr, ci) = q(m1), q(m2), q(m3)
+            real = f"({ar} * {br} - {ai} * {bi}) * {cr} - ({ar} * {bi} + {ai} * {br}) * {ci}"
+            terms.append(f"{ways * wigner_3j(l, m1, m2, m3)!r}D * ({real})")
+    return " + ".join(terms)
 
 
 def wl(l: int, prefix: str = "", normalised: bool = True) -> Column:
     """Third-order invariant; NULL for a null vector."""
     if not normalised:
-        return wl_sum(l, prefix)
-    norm2 = product(l, prefix, prefix) * ((2 * l + 1) / (4 * math.pi))
-    return wl_sum(l, prefix) / F.when(norm2 > 1e-18, norm2 * F.sqrt(norm2))
+        return F.expr(_wl_sql(l, prefix))
+    norm2 = f"({(2 * l + 1) / (4 * math.pi)!r}D * {_product_sql(l, prefix, prefix)})"
+    return F.expr(f"IF({norm2} > 1e-18D, ({_wl_sql(l, prefix)}) / ({norm2} * sqrt({norm2})), NULL)")
 
 
 # --- numpy versions, used inside Arrow UDFs ----------------------------------------------------------

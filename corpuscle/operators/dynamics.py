@@ -11,8 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import AXES, minimg
+from ..scratch import materialize
 from .pairs import distance_bin
-from .spatial import both_ways, range_pairs
+from .spatial import range_pairs
 
 DENSE_LAGS = 8     # more lags than this, without large gaps, go through blocks of frames
 
@@ -150,7 +151,8 @@ def running_total(table: DataFrame, order: str, columns: Sequence[str], group: S
 def cumulative_drift(tracks: DataFrame, *, coords: Sequence[str] = AXES, keys=("tr",), group=()) -> DataFrame:
     """Drift since the first frame, shifted so that its smallest value on every axis is 0."""
     names = [f"d{c}" for c in coords]
-    path = running_total(drift(tracks, coords=coords, keys=keys, group=group), "frame", names, group)
+    steps = materialize(drift(tracks, coords=coords, keys=keys, group=group), "drift")      # one row per frame, used again and again
+    path = running_total(steps, "frame", names, group)
     lows = path.groupBy(*group).agg(*[F.min(n).alias(f"_m_{n}") for n in names])
     joined = path.join(lows, list(group)) if group else path.crossJoin(F.broadcast(lows))    # one row
     return joined.select(*group, "frame", *[(F.col(n) - F.col(f"_m_{n}")).alias(n) for n in names])

@@ -19,12 +19,12 @@ from .spatial import both_ways, range_pairs
 
 def bond_harmonics(edges: DataFrame, l: int, keep: Sequence[str]) -> DataFrame:
     """Y_lm of the vector of every edge, as re_m and im_m columns."""
-    layers, re, im = H.ylm_columns(l)
+    layers, re, im = H.ylm_sql(l)
     for layer in layers:
-        edges = edges.withColumns(layer)
+        edges = edges.selectExpr("*", *layer)
     re_names, im_names = H.names(l)
-    return edges.select(*keep, *[c.alias(n) for c, n in zip(re, re_names)],
-                        *[c.alias(n) for c, n in zip(im[1:], im_names[1:])])
+    return edges.selectExpr(*[f"`{k}`" for k in keep], *[f"{e} AS {n}" for e, n in zip(re, re_names)],
+                            *[f"{e} AS {n}" for e, n in zip(im[1:], im_names[1:])])
 
 
 def qlm(edges: DataFrame, l: int, *, keys: Sequence[str] = ("frame",), weight: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import AXES
+from ..scratch import materialize
 from .select import extent, mark_inside
 from .spatial import CROWD_LIMIT, both_ways, crowded_blocks, range_pairs
 
@@ -78,13 +79,15 @@ def rdf(points: DataFrame, cutoff: float, nbins: int, *, keys: Sequence[str] = (
     Centres are the particles further than ``margin`` (the cutoff unless given) from the faces; the density
     is that of the extent of the data, or of the periodic box.  g of bin 0 is 0.
     """
-    marked = mark_inside(points, cutoff if margin is None else margin, keys=keys, coords=coords)
+    box = materialize(extent(points, keys, coords), "extent")        # one row per frame, used three times
     if periods is not None:
         marked = points.withColumn("inside", F.lit(True))
+    else:
+        marked = mark_inside(points, cutoff if margin is None else margin, keys=keys, coords=coords, box=box)
     marked = marked.withColumn("inside", F.col("inside").cast("int"))
     hist = pair_aggregate(marked, cutoff, [F.sum(F.col("p_inside") + F.col("q_inside")).alias("n")], nbins=nbins,
                           keys=keys, coords=coords, carry=["inside"], periods=periods, **options)
-    stats = extent(marked, keys, coords).join(marked.groupBy(*keys).agg(F.sum("inside").alias("n_sel")), list(keys))
+    stats = box.join(marked.groupBy(*keys).agg(F.sum("inside").alias("n_sel")), list(keys))
     if periods is None:
         volume = F.lit(1.0)
         for c in coords:
@@ -93,7 +96,7 @@ def rdf(points: DataFrame, cutoff: float, nbins: int, *, keys: Sequence[str] = (
         volume = F.lit(float(math.prod(periods)))
     stats = stats.select(*keys, (F.col("n") / volume).alias("density"), "n_sel")
     width = cutoff / nbins
-    full = complete_bins(hist, points, nbins, keys, ["n"]).join(stats, list(keys))
+    full = complete_bins(hist, box, nbins, keys, ["n"]).join(stats, list(keys))
     shell = 4 * math.pi * F.col("density") * F.col("n_sel") * width ** 3 * F.col("bin") * F.col("bin")
     return full.select(*keys, "bin", (F.col("bin") * width).alias("r"), "n",
                        F.when(F.col("bin") > 0, F.col("n") / shell).otherwise(0.0).alias("g"))

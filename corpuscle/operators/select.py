@@ -42,13 +42,14 @@ def min_dim(points: DataFrame, keys: Sequence[str] = ("frame",), coords: Sequenc
 
 def mark_inside(points: DataFrame, margin: float, *, keys: Sequence[str] = ("frame",),
                 coords: Sequence[str] = AXES, no_z: bool = False, always_shrink: bool = False,
-                name: str = "inside") -> DataFrame:
+                name: str = "inside", box: DataFrame | None = None) -> DataFrame:
     """Flag of points at least ``margin`` away from the faces of their group's box (inclusive).
 
     An axis whose extent is not larger than twice the margin is not shrunk, unless ``always_shrink``.
+    ``box`` is the result of ``extent`` if it is at hand.
     """
-    box = extent(points, keys, coords).drop("n")
-    joined = points.join(box, list(keys))
+    box = extent(points, keys, coords) if box is None else box
+    joined = points.join(box.drop("n"), list(keys))
     cond = F.lit(True)
     for i, c in enumerate(coords):
         lo, hi = F.col(f"{c}0"), F.col(f"{c}1")

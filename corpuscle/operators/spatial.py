@@ -11,51 +11,55 @@ task holds a whole one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.geometry import AXES, minimg, wrap
+from ..functions.geometry import AXES, wrap
 
 CROWD_LIMIT = 20_000        # rows of one block that one task may join
 BROADCAST_ROWS = 50_000     # crowded blocks listed in a broadcast; a plain join beyond
 
 
 
+def _number(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
 def _blocks(coords) -> list[str]:
     return [f"_b{i}" for i in range(len(coords))]
 
 
-def _block_index(coord: str, side: float) -> Column:
-    return F.floor(F.col(coord) / side)
+def _block_of(coord: str, side: float) -> str:
+    return f"floor(`{coord}` / {_number(side)})"
 
 
-def _own_block(df: DataFrame, side: float, coords) -> DataFrame:
-    return df.withColumns({b: _block_index(c, side) for b, c in zip(_blocks(coords), coords)})
+def _own_block(coords, side: float) -> list[str]:
+    """Expressions of the block of a point.  Plans are built from SQL text here: one call per step."""
+    return [f"{_block_of(c, side)} AS {b}" for b, c in zip(_blocks(coords), coords)]
 
 
 def _touched_blocks(df: DataFrame, radius: float, side: float, coords, lower_half: bool) -> DataFrame:
     """One row per block within ``radius``; ``lower_half`` keeps the own block and those before it."""
-    blocks = _blocks(coords)
-    own = [f"_o{i}" for i in range(len(coords))]
-    df = df.withColumns({o: _block_index(c, side) for o, c in zip(own, coords)})
-    for b, c in zip(blocks, coords):
-        df = df.withColumn(b, F.explode(F.sequence(F.floor((F.col(c) - radius) / side),
-                                                   F.floor((F.col(c) + radius) / side))))
+    r, s = _number(radius), _number(side)
+    for b, c in zip(_blocks(coords), coords):
+        df = df.selectExpr("*", f"explode(sequence(floor((`{c}` - {r}) / {s}), floor((`{c}` + {r}) / {s}))) AS {b}")
     if lower_half:
-        df = df.where(F.struct(*blocks) <= F.struct(*[F.col(o).alias(b) for o, b in zip(own, blocks)]))
-    return df.drop(*own)
+        there = ", ".join(f"'{b}', {b}" for b in _blocks(coords))
+        own = ", ".join(f"'{b}', {_block_of(c, side)}" for b, c in zip(_blocks(coords), coords))
+        df = df.where(f"named_struct({there}) <= named_struct({own})")
+    return df
 
 
 def crowded_blocks(points: DataFrame, side: float, keys: Sequence[str], coords: Sequence[str] = AXES,
                    limit: int = CROWD_LIMIT) -> tuple[DataFrame, int, int]:
     """Blocks with more than ``limit`` points: (table, how many, the largest count)."""
-    counts = (_own_block(points.select(*keys, *coords), side, coords)
+    counts = (points.selectExpr(*[f"`{k}`" for k in keys], *_own_block(coords, side))
               .groupBy(*keys, *_blocks(coords)).agg(F.count("*").alias("_n"))
-              .where(F.col("_n") > limit)
-              .withColumn("_fan", F.ceil(F.col("_n") / limit).cast("int")))
+              .where(f"_n > {int(limit)}"))
     n_hot, largest = counts.agg(F.count("*"), F.max("_n")).first()
-    return counts.drop("_n"), n_hot, largest or 0
+    hot = counts.selectExpr(*[f"`{k}`" for k in keys], *_blocks(coords), f"CAST(ceil(_n / {int(limit)}) AS INT) AS _fan")
+    return hot, n_hot, largest or 0
 
 
 def _spread(split: DataFrame, copied: DataFrame, hot: DataFrame, n_hot: int, on, id_col: str, salt: str):
@@ -82,30 +86,29 @@ def _ghosts(points: DataFrame, radius: float, periods: Sequence[float | None], c
     return points.drop("_shift")
 
 
-def _sided(df: DataFrame, prefix: str, keys, id_col, coords, carry) -> DataFrame:
-    cols = [F.col(id_col).alias(prefix)] + [F.col(c).alias(f"_{prefix}{i}") for i, c in enumerate(coords)]
-    cols += [F.col(c).alias(f"{prefix}_{c}") for c in carry]
-    extra = [c for c in (*_blocks(coords), "_salt", "_salt2", "_home") if c in df.columns]
-    return df.select(*keys, *extra, *cols)
+def _sided(prefix: str, id_col, coords, carry) -> list[str]:
+    return [f"`{id_col}` AS {prefix}", *[f"`{c}` AS _{prefix}{i}" for i, c in enumerate(coords)],
+            *[f"`{c}` AS `{prefix}_{c}`" for c in carry]]
 
 
 def range_pairs(left: DataFrame, radius: float, right: DataFrame | None = None, *,
                 keys: Sequence[str] = ("frame",), id_col: str = "pid", coords: Sequence[str] = AXES,
                 carry: Sequence[str] = (), carry_right: Sequence[str] | None = None,
                 periods: Sequence[float | None] | None = None, block_factor: float = 2.0,
-                crowd_limit: int | None = CROWD_LIMIT,
-                within: Callable[[Column], Column] | None = None) -> DataFrame:
+                crowd_limit: int | None = CROWD_LIMIT) -> DataFrame:
     """Pairs strictly closer than ``radius``: keys, p, q, dx, dy, dz, d2 and p_/q_ copies of ``carry``.
 
     Without ``right`` each unordered pair of ``left`` comes once with p < q; with ``right`` every
     (left, right) pair comes, coincident ids included.  ``coords`` may name two or three columns; ``dx..``
-    follow them.  ``within`` adds a residual condition on the squared distance column.
+    follow them.
     """
     carry_right = carry if carry_right is None else carry_right
     keys, coords = list(keys), list(coords)
     self_join = right is None
-    names = [f"d{a}" for a in AXES[:len(coords)]]
+    halved = self_join and periods is None
+    names, blocks = [f"d{a}" for a in AXES[:len(coords)]], _blocks(coords)
     side = radius * block_factor
+    quoted = [f"`{k}`" for k in keys]
     left = left.select(*dict.fromkeys([*keys, id_col, *coords, *carry]))
     right = left if self_join else right.select(*dict.fromkeys([*keys, id_col, *coords, *carry_right]))
     if periods is not None:
@@ -113,67 +116,54 @@ def range_pairs(left: DataFrame, radius: float, right: DataFrame | None = None,
         left, right = left.withColumns(fold), right.withColumns(fold)
         right = _ghosts(right, radius, periods, coords)
 
-    halved = self_join and periods is None
-    a = _own_block(left, side, coords)
+    a = left.selectExpr(*quoted, *_own_block(coords, side), *_sided("p", id_col, coords, carry))
     b = _touched_blocks(right, radius, side, coords, lower_half=halved)
-    on = [*keys, *_blocks(coords)]
+    home = " AND ".join(f"{block} = {_block_of(c, side)}" for block, c in zip(blocks, coords))
+    b = b.selectExpr(*quoted, *blocks, *_sided("q", id_col, coords, carry_right), *([f"{home} AS _home"] if halved else []))
+    on = [*keys, *blocks]
     if crowd_limit is not None:
-        blocks = [*keys, *_blocks(coords)]
         hot, n_hot, _ = crowded_blocks(left, side, keys, coords, crowd_limit)
         if n_hot:
-            a, b = _spread(a, b, hot, n_hot, blocks, id_col, "_salt")
+            a, b = _spread(a, b, hot, n_hot, [*keys, *blocks], "p", "_salt")
             on.append("_salt")
         if not self_join:
             hot, n_hot, _ = crowded_blocks(right, side, keys, coords, crowd_limit)
             if n_hot:
-                b, a = _spread(b, a, hot, n_hot, blocks, id_col, "_salt2")
+                b, a = _spread(b, a, hot, n_hot, [*keys, *blocks], "q", "_salt2")
                 on.append("_salt2")
+
+    diffs = [f"(_q{i} - _p{i})" for i in range(len(coords))]
+    d2 = "(" + " + ".join(f"{d} * {d}" for d in diffs) + ")"
+    tests = [f"{d2} < {_number(radius * radius)}"]
     if halved:                                # pairs inside one block must still come once
-        at_home = F.lit(True)
-        for block, c in zip(_blocks(coords), coords):
-            at_home = at_home & (F.col(block) == _block_index(c, side))
-        b = b.withColumn("_home", at_home)
-    a = _sided(a, "p", keys, id_col, coords, carry)
-    b = _sided(b, "q", keys, id_col, coords, carry_right)
-    diffs = [F.col(f"_q{i}") - F.col(f"_p{i}") for i in range(len(coords))]
-    d2 = diffs[0] * diffs[0]
-    for d in diffs[1:]:
-        d2 = d2 + d * d
-    joined = a.join(b, on).withColumn("d2", d2)
-    cond = F.col("d2") < radius * radius
-    if halved:
-        cond = cond & (~F.col("_home") | (F.col("p") < F.col("q")))
+        tests.append("(NOT _home OR p < q)")
     elif self_join:
-        cond = cond & (F.col("p") < F.col("q"))
-    if periods is not None:
-        for d, L in zip(diffs, periods):
-            if L:
-                cond = cond & (d >= -L / 2) & (d < L / 2)
-    if within is not None:
-        cond = cond & within(F.col("d2"))
-    joined = joined.where(cond).withColumns(dict(zip(names, diffs)))
-    out = ["p", "q", *names, "d2", *[f"p_{c}" for c in carry], *[f"q_{c}" for c in carry_right]]
+        tests.append("p < q")
+    for d, L in zip(diffs, periods or ()):
+        if L:
+            tests.append(f"{d} >= {_number(-L / 2)} AND {d} < {_number(L / 2)}")
+    joined = a.join(b, on).where(" AND ".join(tests))
+    both = [(f"p_{c}", f"q_{c}") for c in carry]
     if not halved:
-        return joined.select(*keys, *out)
-    flip = F.col("p") > F.col("q")
-    return joined.select(
-        *keys, F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"),
-        *[F.when(flip, -F.col(n)).otherwise(F.col(n)).alias(n) for n in names], "d2",
-        *[F.when(flip, F.col(f"q_{c}")).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in carry],
-        *[F.when(flip, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}")).alias(f"q_{c}") for c in carry])
+        return joined.selectExpr(*quoted, "p", "q", *[f"{d} AS {n}" for d, n in zip(diffs, names)], f"{d2} AS d2",
+                                 *[f"`p_{c}`" for c in carry], *[f"`q_{c}`" for c in carry_right])
+    return joined.selectExpr(
+        *quoted, "least(p, q) AS p", "greatest(p, q) AS q",
+        *[f"IF(p > q, -{d}, {d}) AS {n}" for d, n in zip(diffs, names)], f"{d2} AS d2",
+        *[f"IF(p > q, `{v}`, `{u}`) AS `{u}`" for u, v in both], *[f"IF(p > q, `{u}`, `{v}`) AS `{v}`" for u, v in both])
 
 
 def both_ways(pairs: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """Directed version of undirected pairs: every (p, q) also as (q, p), with opposite difference."""
-    diffs = [c for c in ("dx", "dy", "dz") if c in pairs.columns]
-    swapped = {c: c for c in pairs.columns}
+    swapped = {c: f"`{c}`" for c in pairs.columns}
+    swapped.update({c: f"-`{c}`" for c in ("dx", "dy", "dz") if c in pairs.columns})
     swapped["p"], swapped["q"] = "q", "p"
     for c in pairs.columns:
         if c.startswith("p_"):
-            swapped[c], swapped["q_" + c[2:]] = "q_" + c[2:], c
-    forward = F.struct(*[F.col(c) for c in pairs.columns])
-    backward = F.struct(*[(-F.col(c) if c in diffs else F.col(swapped[c])).alias(c) for c in pairs.columns])
-    return pairs.select(F.explode(F.array(forward, backward)).alias("e")).select("e.*")
+            swapped[c], swapped["q_" + c[2:]] = f"`q_{c[2:]}`", f"`{c}`"
+    forward = ", ".join(f"`{c}`" for c in pairs.columns)
+    backward = ", ".join(f"{e} AS `{c}`" for c, e in swapped.items())
+    return pairs.selectExpr(f"explode(array(struct({forward}), struct({backward}))) AS e").select("e.*")
 
 
 def neighbour_edges(points: DataFrame, radius: float, **options) -> DataFrame:

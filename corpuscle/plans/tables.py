@@ -51,10 +51,14 @@ DAYS = """d AS (SELECT user_id AS uid, CAST(date_diff('day', DATE '2024-01-01',
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
-    """Unbroken runs of days: tr = uid * 1000 + first day."""
+    """Unbroken runs of days: tr = uid * 1000 + first day.
+
+    Written once: the queries join the table with itself, and it is far smaller than the events.
+    """
     from ..operators.select import contiguous
-    return (contiguous(days(spark, d), ["uid"])
-            .select((F.col("uid") * 1000 + F.col("t_start")).alias("tr"), "frame", "x", "y", "z"))
+    from ..scratch import materialize
+    runs = contiguous(materialize(days(spark, d), "days"), ["uid"])
+    return materialize(runs.select((F.col("uid") * 1000 + F.col("t_start")).alias("tr"), "frame", "x", "y", "z"), "tracks")
 
 
 T = DAYS + """, di AS (SELECT *, frame - row_number() OVER (PARTITION BY uid ORDER BY frame) AS isl FROM d),
@@ -67,4 +71,5 @@ T_PAIRS = f"""tp AS (SELECT a.frame, a.tr AS low, b.tr AS high FROM t a JOIN t b
 def track_bonds(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of tracks closer than T_BOND in the same frame: frame, low, high."""
     from ..operators.spatial import bonds
-    return bonds(tracks(spark, d), T_BOND, id_col="tr").select("frame", "low", "high")
+    from ..scratch import materialize
+    return materialize(bonds(tracks(spark, d), T_BOND, id_col="tr").select("frame", "low", "high"), "bonds")
