@@ -181,8 +181,19 @@ def excess_entropy(points: DataFrame, cutoff: float, nbins: int, density: float,
 
 
 def spatial_correlation(points: DataFrame, fields: Sequence[str], cutoff: float, nbins: int, *,
-                        keys: Sequence[str] = ("frame",), **options) -> DataFrame:
-    """Sum of f_p * f_q, pair count and their ratio, per bin and field."""
+                        keys: Sequence[str] = ("frame",), centres: str | None = None, **options) -> DataFrame:
+    """Sum of f_p * f_q, pair count and their ratio, per bin and field.
+
+    ``centres`` names a flag: then ordered pairs (centre, any other particle) are counted.
+    """
+    if centres is not None:
+        flagged = points.withColumn("_centre", F.col(centres).cast("int"))
+        both = F.col("p__centre") + F.col("q__centre")
+        hist = pair_aggregate(flagged, cutoff, [F.sum(both).alias("n")] + [
+            F.sum(both * F.col(f"p_{f}") * F.col(f"q_{f}")).alias(f"sum_{f}") for f in fields],
+            nbins=nbins, keys=keys, carry=["_centre", *fields], **options).where("n > 0")
+        return hist.select(*keys, "bin", "n", *[F.col(f"sum_{f}") for f in fields],
+                           *[(F.col(f"sum_{f}") / F.col("n")).alias(f"corr_{f}") for f in fields])
     hist = pair_histogram(points, cutoff, nbins, fields=fields, keys=keys, **options)
     return hist.select(*keys, "bin", "n", *[F.col(f"sum_{f}") for f in fields],
                        *[(F.col(f"sum_{f}") / F.col("n")).alias(f"corr_{f}") for f in fields])

@@ -137,7 +137,7 @@ def grid_spectrum(pixels: DataFrame, shape: Sequence[int], lengths: Sequence[flo
                         for a, (n, L) in enumerate(zip(shape, lengths))))
         if flat_last:
             power, q = power[..., 0], q[..., 0]
-        which = np.floor(q / width).astype(int).ravel()
+        which = np.floor(q / width + 1e-9).astype(int).ravel()
         ok = which < nbins
         n_k = np.bincount(which[ok], minlength=nbins)
         total_power = np.bincount(which[ok], power.ravel()[ok], minlength=nbins)

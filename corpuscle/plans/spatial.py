@@ -292,6 +292,13 @@ def spatial_correlation(spark, d):
     return rounded(pairs.spatial_correlation(positions(spark, d), ["f", "g"], CUT, BINS), "sum_f", "sum_g", "corr_f", "corr_g")
 
 
+@query(f"""WITH {P}, {CUTPAIRS}, o AS (SELECT frame, d2, p_f*q_f AS v, p_g > 0 AS c FROM c UNION ALL SELECT frame, d2, p_f*q_f, q_g > 0 FROM c)
+ SELECT frame, {BIN} AS bin, count(*)::BIGINT AS n, {s6('sum(v)')} AS sum_f, {s6('avg(v)')} AS corr_f FROM o WHERE c GROUP BY 1, 2""")
+def spatial_correlation_of_centres(spark, d):
+    pos = positions(spark, d).withColumn("centre", F.col("g") > 0)
+    return rounded(pairs.spatial_correlation(pos, ["f"], CUT, BINS, centres="centre"), "sum_f", "corr_f")
+
+
 @query(f"""WITH {P}, {CUTPAIRS}, e AS (SELECT frame, p_s, q_s, p_f*q_f AS v, d2 FROM c UNION ALL SELECT frame, q_s, p_s, p_f*q_f, d2 FROM c)
  SELECT frame, p_s AS species_p, q_s AS species_q, {BIN} AS bin, count(*) AS n, {s6('sum(v)')} AS s FROM e GROUP BY 1, 2, 3, 4""")
 def species_correlation(spark, d):

@@ -140,3 +140,18 @@ def series_table(spark, path: str):
     rows = [(p, i, s.name, "".join(a for a, *_ in s.dims), [n for _, n, _, _ in s.dims], s.channels)
             for p in sorted(glob.glob(path)) for i, s in enumerate(read_series(p))]
     return spark.createDataFrame(rows, "file string, serie int, name string, axes string, sizes array<int>, channels int")
+
+
+def xml_headers(spark, path: str):
+    """The XML header of each file: file, xml.  Only the header bytes are read, one file per task."""
+    files = sorted(glob.glob(path))
+    names = spark.createDataFrame([(p,) for p in files], "file string").repartition(max(len(files), 1), "file")
+
+    def extract(batches):
+        for pdf in batches:
+            texts = []
+            for name in pdf["file"]:
+                with open(name, "rb") as f:
+                    texts.append(read_xml(f))
+            yield pdf.assign(xml=texts)
+    return names.mapInPandas(extract, "file string, xml string")

@@ -115,3 +115,16 @@ def test_tiff_series(spark, tmp_path):
             (tmp_path / f"s_t{t:02d}_z{z:02d}.tif").write_bytes(images.encode_tiff(np.full((4, 5), 10 * t + z, np.uint8)))
     stack = images.stack_planes(images.read_tiffs(spark, str(tmp_path / "*.tif"))).collect()
     assert {r["frame"]: (list(r["shape"]), list(r["data"][::20])) for r in stack} == {0: ([3, 4, 5], [0, 1, 2]), 1: ([3, 4, 5], [10, 11, 12])}
+
+
+def test_structured_points(spark, tmp_path):
+    a = np.arange(24, dtype=np.uint8).reshape(2, 3, 4)
+    df = spark.createDataFrame([(5, [2, 3, 4], a.tobytes())], "frame int, shape array<int>, data binary")
+    assert sinks.write_structured_points(df, str(tmp_path / "g_t%02d.vtk"), (1, 1, 2.5)) == 1
+    content = (tmp_path / "g_t05.vtk").read_bytes()
+    assert b"DIMENSIONS 4 3 2\n" in content and b"SPACING 1 1 2.5\n" in content and content.endswith(a.tobytes())
+
+
+def test_lif_xml(spark, tmp_path):
+    (tmp_path / "a.lif").write_bytes(lif_bytes({"one": np.zeros((1, 2, 3, 4), np.uint8)}))
+    assert 'Name="one"' in lif.xml_headers(spark, str(tmp_path / "*.lif")).first()["xml"]
