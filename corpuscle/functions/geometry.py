@@ -36,8 +36,8 @@ def difference(a: Sequence, b: Sequence) -> list[Column]:
 
 
 def angle(a: Sequence, b: Sequence) -> Column:
-    """Angle between two vectors in [0, pi]; rounding noise outside [-1, 1] is clipped."""
-    cosine = dot(a, b) / F.sqrt(norm2(a) * norm2(b))
+    """Angle between two vectors in [0, pi], NULL with a null vector; rounding noise outside [-1, 1] is clipped."""
+    cosine = dot(a, b) / F.nullif(F.sqrt(norm2(a) * norm2(b)), F.lit(0.0))
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
 

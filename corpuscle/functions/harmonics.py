@@ -64,9 +64,10 @@ def _polynomial_sql(coefs, c: str) -> str:
 def ylm_sql(l: int, x: str = "dx", y: str = "dy", z: str = "dz", r2: str = "d2"):
     """(layers, re, im): SQL text of Re and Im of Y_lm, m = 0..l, over layers of helper columns.
 
-    The layers are for successive selects, so that powers are computed once.
+    The layers are for successive selects, so that powers are computed once.  The null vector counts as +z.
     """
-    layers = [[f"{x} / sqrt({r2}) AS _u", f"{y} / sqrt({r2}) AS _v", f"{z} / sqrt({r2}) AS _c"]]
+    layers = [[f"IF({r2} > 0, {x} / sqrt({r2}), 0D) AS _u", f"IF({r2} > 0, {y} / sqrt({r2}), 0D) AS _v",
+               f"IF({r2} > 0, {z} / sqrt({r2}), 1D) AS _c"]]
     power = {1: ("_u", "_v")}
     for m in range(2, l + 1):
         re, im = power[m - 1]

@@ -193,7 +193,7 @@ def time_correlation(tracks: DataFrame, field: str, lags: Sequence[int], *, keys
     pairs = lag_pairs(centred, [v for v in lags if v > 0], [field], keys=keys)
     cross = pairs.groupBy("lag").agg(F.count("*").alias("n"), F.avg(F.col(f"{field}0") * F.col(f"{field}1")).alias("c"))
     zero = centred.agg(F.lit(0).alias("lag"), F.count("*").alias("n"), F.avg(F.col(field) * F.col(field)).alias("c"))
-    norm = zero.select(F.col("c").alias("_c0"))
+    norm = zero.select(F.nullif(F.col("c"), F.lit(0.0)).alias("_c0"))
     return cross.unionByName(zero).crossJoin(F.broadcast(norm)).select("lag", "n", (F.col("c") / F.col("_c0")).alias("c"))
 
 

@@ -452,7 +452,7 @@ def bond_angles(edges: DataFrame, keys: Sequence[str] = ("frame",), nbins: int =
     a = edges.select(*keys, "p", F.col("q").alias("q1"), *[F.col(c).alias(f"a{c}") for c in ("dx", "dy", "dz", "d2")])
     b = edges.select(*keys, "p", F.col("q").alias("q2"), *[F.col(c).alias(f"b{c}") for c in ("dx", "dy", "dz", "d2")])
     dot = F.col("adx") * F.col("bdx") + F.col("ady") * F.col("bdy") + F.col("adz") * F.col("bdz")
-    cosine = dot / F.sqrt(F.col("ad2") * F.col("bd2"))
+    cosine = dot / F.nullif(F.sqrt(F.col("ad2") * F.col("bd2")), F.lit(0.0))
     degrees = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
     bin = F.least(F.floor(degrees * (nbins / 180)).cast("int"), F.lit(nbins - 1)).alias("bin")
-    return a.join(b, [*keys, "p"]).where("q1 < q2").groupBy(*keys, bin).agg(F.count("*").alias("n"))
+    return a.join(b, [*keys, "p"]).where("q1 < q2 AND ad2 > 0 AND bd2 > 0").groupBy(*keys, bin).agg(F.count("*").alias("n"))

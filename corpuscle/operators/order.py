@@ -35,7 +35,7 @@ def qlm(edges: DataFrame, l: int, *, keys: Sequence[str] = ("frame",), weight: s
     if weight is None:
         return ylm.groupBy(*keys, "p").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols])
     return ylm.groupBy(*keys, "p").agg(
-        F.count("*").alias("n"), *[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in cols])
+        F.count("*").alias("n"), *[(F.sum(F.col(c) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias(c) for c in cols])
 
 
 def surface_edges(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:

@@ -26,39 +26,42 @@ def complete_bins(hist: DataFrame, groups: DataFrame, nbins: int, keys: Sequence
 
 
 def pair_histogram(points: DataFrame, cutoff: float, nbins: int, *, keys: Sequence[str] = ("frame",),
-                   id_col: str = "pid", coords: Sequence[str] = AXES, fields: Sequence[str] = (),
+                   id_col: str = "pid", coords: Sequence[str] = AXES, fields: Sequence[str] = (), added: Sequence[str] = (),
                    where: Column | None = None, periods=None, block_factor: float = 1.0,
                    crowd_limit: int = CROWD_LIMIT) -> DataFrame:
-    """Unordered pairs per distance bin: keys, bin, n, and sum of f_p * f_q as ``sum_<f>`` for each field.
+    """Unordered pairs per distance bin: keys, bin, n, ``sum_<f>`` of f_p * f_q for ``fields`` and of f_p + f_q for ``added``.
 
     ``where`` may use dx, dy, dz, d2.  Where points crowd, coincident ones are merged first and pairs of
     places count with the product of their multiplicities; the result is the same.
     """
-    keys, coords = list(keys), list(coords)
+    keys, coords, carried = list(keys), list(coords), [*fields, *added]
     _, n_hot, _ = crowded_blocks(points, cutoff * block_factor, keys, coords, crowd_limit)
     options = dict(keys=keys, coords=coords, periods=periods, block_factor=block_factor,
                    crowd_limit=crowd_limit if n_hot else None)
     bin_col = distance_bin(F.col("d2"), cutoff, nbins).alias("bin")
     if not n_hot:
-        pairs = range_pairs(points, cutoff, id_col=id_col, carry=list(fields), **options)
+        pairs = range_pairs(points, cutoff, id_col=id_col, carry=carried, **options)
         if where is not None:
             pairs = pairs.where(where)
         return pairs.groupBy(*keys, bin_col).agg(
-            F.count("*").alias("n"), *[F.sum(F.col(f"p_{f}") * F.col(f"q_{f}")).alias(f"sum_{f}") for f in fields])
+            F.count("*").alias("n"), *[F.sum(F.col(f"p_{f}") * F.col(f"q_{f}")).alias(f"sum_{f}") for f in fields],
+            *[F.sum(F.col(f"p_{f}") + F.col(f"q_{f}")).alias(f"sum_{f}") for f in added])
 
     sites = points.groupBy(*keys, *coords).agg(
-        F.min(id_col).alias("site"), F.count("*").alias("_w"),
-        *[F.sum(f).alias(f) for f in fields], *[F.sum(F.col(f) * F.col(f)).alias(f"_sq_{f}") for f in fields])
-    pairs = range_pairs(sites, cutoff, id_col="site", carry=["_w", *fields], **options)
+        F.min(id_col).alias("site"), F.count("*").alias("_w"), *[F.sum(f).alias(f) for f in carried],
+        *[F.sum(F.col(f) * F.col(f)).alias(f"_sq_{f}") for f in fields])
+    pairs = range_pairs(sites, cutoff, id_col="site", carry=["_w", *carried], **options)
     here = sites.where("_w > 1").withColumns({d: F.lit(0.0) for d in ("dx", "dy", "dz", "d2")})
     if where is not None:
         pairs, here = pairs.where(where), here.where(where)
     parts = pairs.select(*keys, bin_col, (F.col("p__w") * F.col("q__w")).alias("n"),
-                         *[(F.col(f"p_{f}") * F.col(f"q_{f}")).alias(f"sum_{f}") for f in fields])
+                         *[(F.col(f"p_{f}") * F.col(f"q_{f}")).alias(f"sum_{f}") for f in fields],
+                         *[(F.col(f"p_{f}") * F.col("q__w") + F.col(f"q_{f}") * F.col("p__w")).alias(f"sum_{f}") for f in added])
     same = here.select(*keys, F.lit(0).alias("bin"), F.expr("_w * (_w - 1) div 2").alias("n"),
-                       *[((F.col(f) * F.col(f) - F.col(f"_sq_{f}")) / 2).alias(f"sum_{f}") for f in fields])
+                       *[((F.col(f) * F.col(f) - F.col(f"_sq_{f}")) / 2).alias(f"sum_{f}") for f in fields],
+                       *[(F.col(f) * (F.col("_w") - 1)).alias(f"sum_{f}") for f in added])
     return (parts.unionByName(same).groupBy(*keys, "bin")
-            .agg(F.sum("n").alias("n"), *[F.sum(f"sum_{f}").alias(f"sum_{f}") for f in fields]))
+            .agg(F.sum("n").alias("n"), *[F.sum(f"sum_{f}").alias(f"sum_{f}") for f in carried]))
 
 
 def pair_aggregate(points: DataFrame, cutoff: float, aggregates: Sequence[Column], *, bin: Column | None = None,
@@ -85,8 +88,8 @@ def rdf(points: DataFrame, cutoff: float, nbins: int, *, keys: Sequence[str] = (
     else:
         marked = mark_inside(points, cutoff if margin is None else margin, keys=keys, coords=coords, box=box)
     marked = marked.withColumn("inside", F.col("inside").cast("int"))
-    hist = pair_aggregate(marked, cutoff, [F.sum(F.col("p_inside") + F.col("q_inside")).alias("n")], nbins=nbins,
-                          keys=keys, coords=coords, carry=["inside"], periods=periods, **options)
+    hist = pair_histogram(marked, cutoff, nbins, keys=keys, coords=coords, added=["inside"], periods=periods, **options)
+    hist = hist.select(*keys, "bin", F.col("sum_inside").alias("n"))
     stats = box.join(marked.groupBy(*keys).agg(F.sum("inside").alias("n_sel")), list(keys))
     if periods is None:
         volume = F.lit(1.0)
@@ -94,12 +97,12 @@ def rdf(points: DataFrame, cutoff: float, nbins: int, *, keys: Sequence[str] = (
             volume = volume * (F.col(f"{c}1") - F.col(f"{c}0"))
     else:
         volume = F.lit(float(math.prod(periods)))
-    stats = stats.select(*keys, (F.col("n") / volume).alias("density"), "n_sel")
+    stats = stats.select(*keys, (F.col("n") / F.nullif(volume, F.lit(0.0))).alias("density"), "n_sel")
     width = cutoff / nbins
     full = complete_bins(hist, box, nbins, keys, ["n"]).join(stats, list(keys))
     shell = 4 * math.pi * F.col("density") * F.col("n_sel") * width ** 3 * F.col("bin") * F.col("bin")
     return full.select(*keys, "bin", (F.col("bin") * width).alias("r"), "n",
-                       F.when(F.col("bin") > 0, F.col("n") / shell).otherwise(0.0).alias("g"))
+                       F.coalesce(F.col("n") / F.nullif(shell, F.lit(0.0)), F.lit(0.0)).alias("g"))
 
 
 def mean_rdf(frame_rdf: DataFrame) -> DataFrame:
@@ -155,13 +158,31 @@ def windowed_histogram(points: DataFrame, cutoff: float, nbins: int, periods: Se
 
 
 def particle_histogram(points: DataFrame, cutoff: float, nbins: int, *, species: str | None = None,
-                       keys: Sequence[str] = ("frame",), block_factor: float = 1.0, **options) -> DataFrame:
-    """Neighbours of each particle per bin (and per species of the neighbour): keys, p, [species,] bin, n."""
-    pairs = both_ways(range_pairs(points, cutoff, keys=keys, carry=[species] if species else (),
-                                  block_factor=block_factor, **options), keys)
+                       keys: Sequence[str] = ("frame",), id_col: str = "pid", coords: Sequence[str] = AXES, periods=None,
+                       block_factor: float = 1.0, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
+    """Neighbours of each particle per bin (and per species of the neighbour): keys, p, [species,] bin, n.
+
+    Where points crowd, places are counted instead of particles and the counts handed to all that share one.
+    """
+    keys, coords = list(keys), list(coords)
+    kind = [species] if species else []
     by = [F.col(f"q_{species}").alias("species")] if species else []
-    return pairs.groupBy(*keys, "p", *by, distance_bin(F.col("d2"), cutoff, nbins).alias("bin")).agg(
-        F.count("*").alias("n"))
+    bin_col = distance_bin(F.col("d2"), cutoff, nbins).alias("bin")
+    options = dict(keys=keys, coords=coords, periods=periods, block_factor=block_factor)
+    _, n_hot, _ = crowded_blocks(points, cutoff * block_factor, keys, coords, crowd_limit)
+    if not n_hot:
+        pairs = both_ways(range_pairs(points, cutoff, id_col=id_col, carry=kind, crowd_limit=None, **options), keys)
+        return pairs.groupBy(*keys, "p", *by, bin_col).agg(F.count("*").alias("n"))
+    sites = points.groupBy(*keys, *coords, *kind).agg(F.min(id_col).alias("site"), F.count("*").alias("_w"))
+    pairs = both_ways(range_pairs(sites, cutoff, id_col="site", carry=["_w", *kind], crowd_limit=crowd_limit, **options), keys)
+    apart = pairs.select(*keys, F.col("p").alias("site"), *by, bin_col, F.col("q__w").alias("n"))
+    same = sites.where("_w > 1").select(*keys, "site", *[F.col(species).alias("species") for _ in kind], F.lit(0).alias("bin"),
+                                        (F.col("_w") - 1).alias("n"))
+    counts = apart.unionByName(same).groupBy(*keys, "site", *["species" for _ in kind], "bin").agg(F.sum("n").alias("n"))
+    members = points.select(*keys, *coords, *kind, F.col(id_col).alias("p")).join(
+        sites.select(*keys, *coords, *kind, "site"), [*keys, *coords, *kind])
+    return (members.select(*keys, "p", "site").join(counts, [*keys, "site"])
+            .select(*keys, "p", *["species" for _ in kind], "bin", "n"))
 
 
 def excess_entropy(points: DataFrame, cutoff: float, nbins: int, density: float, *, averages: int = 1,

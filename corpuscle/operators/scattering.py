@@ -66,7 +66,7 @@ def windowed_structure_factor(points: DataFrame, nbins: int, periods: Sequence[f
     w = hann_weight(periods, coords)
     s = structure_factor(points, nbins, periods, field=w, **options)
     norm = points.groupBy(*keys).agg(F.avg(w * w).alias("_w2"))
-    return s.join(norm, list(keys)).select(*keys, "q_bin", "n_k", (F.col("s") / F.col("_w2")).alias("s"))
+    return s.join(norm, list(keys)).select(*keys, "q_bin", "n_k", (F.col("s") / F.nullif(F.col("_w2"), F.lit(0.0))).alias("s"))
 
 
 def radial_transform(rdf: DataFrame, qs: Sequence[float], density: float, width: float, *, by: Sequence[str] = ()) -> DataFrame:
@@ -156,4 +156,4 @@ def binary_weight(points: DataFrame, field: str, ratio: float, *, keys: Sequence
 def average_spectra(spectra: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean over frames, weighted by the number of wave vectors; also the streaming aggregate."""
     return spectra.groupBy(*by, "q_bin").agg(F.sum("n_k").alias("n_k"),
-                                             (F.sum(F.col("power") * F.col("n_k")) / F.sum("n_k")).alias("power"))
+                                             (F.sum(F.col("power") * F.col("n_k")) / F.nullif(F.sum("n_k"), F.lit(0))).alias("power"))

@@ -72,7 +72,7 @@ def binned_moments(df: DataFrame, x: str, value: str, low: float, high: float, n
             .groupBy(*keys, "bin").agg(F.count("_v").alias("n"), F.sum("_v").alias("_s"), F.avg("_v").alias("_m"),
                                        F.stddev_pop("_v").alias("_d")))
     w = Window.partitionBy(*keys)
-    overall = F.sum("_s").over(w) / F.sum("n").over(w)
+    overall = F.nullif(F.sum("_s").over(w) / F.nullif(F.sum("n").over(w), F.lit(0)), F.lit(0.0))
     return (bins.withColumn("_all", overall).where("bin is not null")
             .select(*keys, "bin", "n", (F.col("_m") / F.col("_all")).alias("mean"), (F.col("_d") / F.col("_all")).alias("dev")))
 

@@ -94,3 +94,29 @@ def test_plan_has_no_cartesian_product_and_prunes_columns(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+
+
+def third_in_one_place(df):
+    return df.withColumns({c: F.when(F.col("pid") < 40, F.lit(0.5)).otherwise(F.col(c)) for c in "xyz"})
+
+
+def test_particle_histogram_merges_copies_without_changing_the_counts(spark):
+    df = third_in_one_place(random_points(spark, 90, 1, seed=14)[0]).withColumn("kind", F.col("pid") % 2)
+    for species in (None, "kind"):
+        plain = {tuple(r) for r in pairs.particle_histogram(df, 0.3, 6, species=species).collect()}
+        merged = {tuple(r) for r in pairs.particle_histogram(df, 0.3, 6, species=species, crowd_limit=8).collect()}
+        assert plain == merged
+
+
+def test_rdf_of_crowded_points(spark):
+    df = third_in_one_place(random_points(spark, 90, 1, seed=15)[0])
+    plain = {(r.bin, r.n, round(r.g, 9)) for r in pairs.rdf(df, 0.3, 6, margin=0.1).collect()}
+    merged = {(r.bin, r.n, round(r.g, 9)) for r in pairs.rdf(df, 0.3, 6, margin=0.1, crowd_limit=8).collect()}
+    assert plain == merged
+
+
+def test_coincident_neighbours_do_not_break_bond_order(spark):
+    from corpuscle.operators import order
+    df = third_in_one_place(random_points(spark, 60, 1, seed=16)[0])
+    q = order.invariants(order.qlm(spatial.neighbour_edges(df, 0.2), 6), 6)
+    assert q.where("isnan(q6) or q6 is null").count() == 0
