@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import AXES, minimg
+from ..functions.scalars import attach, attach_by
 from ..scratch import materialize
 from .pairs import distance_bin
 from .spatial import range_pairs
@@ -154,7 +155,7 @@ def cumulative_drift(tracks: DataFrame, *, coords: Sequence[str] = AXES, keys=("
     steps = materialize(drift(tracks, coords=coords, keys=keys, group=group), "drift")      # one row per frame, used again and again
     path = running_total(steps, "frame", names, group)
     lows = path.groupBy(*group).agg(*[F.min(n).alias(f"_m_{n}") for n in names])
-    joined = path.join(lows, list(group)) if group else path.crossJoin(F.broadcast(lows))    # one row
+    joined = attach_by(path, lows, group)
     return joined.select(*group, "frame", *[(F.col(n) - F.col(f"_m_{n}")).alias(n) for n in names])
 
 
@@ -189,12 +190,12 @@ def collective_isf(points: DataFrame, lags: Sequence[int], q: Sequence[float], *
 def time_correlation(tracks: DataFrame, field: str, lags: Sequence[int], *, keys=("tr",)) -> DataFrame:
     """Autocorrelation of a scalar minus its overall mean, divided by its value at lag 0."""
     mean = tracks.agg(F.avg(field).alias("_m"))
-    centred = tracks.crossJoin(F.broadcast(mean)).withColumn(field, F.col(field) - F.col("_m"))   # one row
+    centred = attach(tracks, mean).withColumn(field, F.col(field) - F.col("_m"))
     pairs = lag_pairs(centred, [v for v in lags if v > 0], [field], keys=keys)
     cross = pairs.groupBy("lag").agg(F.count("*").alias("n"), F.avg(F.col(f"{field}0") * F.col(f"{field}1")).alias("c"))
     zero = centred.agg(F.lit(0).alias("lag"), F.count("*").alias("n"), F.avg(F.col(field) * F.col(field)).alias("c"))
     norm = zero.select(F.nullif(F.col("c"), F.lit(0.0)).alias("_c0"))
-    return cross.unionByName(zero).crossJoin(F.broadcast(norm)).select("lag", "n", (F.col("c") / F.col("_c0")).alias("c"))
+    return attach(cross.unionByName(zero), norm).select("lag", "n", (F.col("c") / F.col("_c0")).alias("c"))
 
 
 def vector_time_correlation(tracks: DataFrame, columns: Sequence[str], lags: Sequence[int], product: Callable | None = None,

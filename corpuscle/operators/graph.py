@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import attach_by
 from ..scratch import materialize, materialize_with
 
 
@@ -343,11 +344,9 @@ def never_closer(tbonds: DataFrame, alive: DataFrame, length: int = 3, keys: Seq
     """Like ``never_reform``, and the ends never come within ``length`` particles of each other again."""
     keys = list(keys)
     candidates = materialize(never_reform(tbonds, alive, length, keys), "never")
-    frames = tbonds.select(*keys, F.col("frame").alias("_t")).distinct()
-    on = [candidates[k].eqNullSafe(frames[k]) for k in keys]
-    later = candidates.join(F.broadcast(frames) if not keys else frames,
-                            (on[0] if on else F.lit(True)) & (F.col("_t") >= F.col("frame")))
-    watch = later.select(*[candidates[k] for k in keys], F.col("_t").alias("frame"), "low", "high")
+    last = tbonds.groupBy(*keys).agg(F.max("frame").alias("_last"))
+    watch = (attach_by(candidates, last, keys)
+             .select(*keys, "low", "high", F.explode(F.sequence("frame", "_last")).alias("frame")))
     edges = bonds_to_edges(tbonds, [*keys, "frame"])
     met = pair_path_length(watch, edges, length - 1, [*keys, "frame"]).where("length is not null")
     return candidates.join(met.select(*keys, "low", "high"), [*keys, "low", "high"], "left_anti")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import AXES
+from ..functions.scalars import attach
 from ..scratch import materialize
 from .select import extent, mark_inside
 from .spatial import CROWD_LIMIT, both_ways, crowded_blocks, range_pairs
@@ -114,7 +115,7 @@ def bond_length(total: DataFrame) -> DataFrame:
     """One row: radius of the highest peak of g(r) and of the lowest bin beyond it."""
     peak = total.agg(F.max_by("bin", F.struct("g", -F.col("bin"))).alias("peak_bin"),
                      F.max_by("r", F.struct("g", -F.col("bin"))).alias("peak"))
-    beyond = total.join(F.broadcast(peak), F.col("bin") > F.col("peak_bin"))   # one row
+    beyond = attach(total, peak).where("bin > peak_bin")
     return beyond.agg(F.first("peak").alias("peak"), F.min_by("r", F.struct("g", "bin")).alias("bond_length"))
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.geometry import AXES
+from ..functions.scalars import attach
 
 
 def kvector_shells(nbins: int, ndim: int = 3, per_shell: int = 30) -> list[tuple[int, tuple[int, ...]]]:
@@ -150,7 +151,7 @@ def grid_spectrum(pixels: DataFrame, shape: Sequence[int], lengths: Sequence[flo
 def binary_weight(points: DataFrame, field: str, ratio: float, *, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """Adds ``w`` = 1 for the particles in the upper ``ratio`` quantile of the field, else 0 (over all frames)."""
     cut = points.agg(F.percentile_approx(field, 1 - ratio, 10000).alias("_cut"))
-    return points.crossJoin(F.broadcast(cut)).withColumn("w", (F.col(field) > F.col("_cut")).cast("double")).drop("_cut")
+    return attach(points, cut).withColumn("w", (F.col(field) > F.col("_cut")).cast("double")).drop("_cut")
 
 
 def average_spectra(spectra: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import AXES, box_encloses, minimg
+from ..functions.scalars import attach
 
 
 def scale(points: DataFrame, factor, coords: Sequence[str] = AXES, r: str | None = None) -> DataFrame:
@@ -158,7 +159,7 @@ def spanning_per_interval(tracks: DataFrame, step: int, average: int, keys: Sequ
     """Trajectories that span each interval: every trajectory lists its own, nothing is compared pairwise."""
     grid = intervals(tracks, step, average)
     first = grid.agg(F.min("t0").alias("_a"))
-    inner = (spans(tracks, keys).crossJoin(F.broadcast(first))      # one row
+    inner = (attach(spans(tracks, keys), first)
              .withColumn("_s", F.col("_a") + F.ceil((F.col("t_start") - F.col("_a")) / step) * step)
              .where(F.col("_s") + (average - 1) <= F.col("t_last"))
              .withColumn("t0", F.explode(F.sequence("_s", F.col("t_last").cast("bigint") - (average - 1), F.lit(step).cast("bigint")))))
