@@ -85,9 +85,10 @@ def ring_pairs(common: DataFrame, edges: DataFrame, size: int, *, ring: bool = T
     chosen = common.join(n.drop("_n"), [*keys, "low", "high"], "left_semi")
     if not ring:
         return chosen.select(*keys, "low", "high").distinct()
+    # the members of one pair meet each other (``size`` is small), then their bonds are looked up
     links = edges.select(*keys, F.col("p").alias("c"), F.col("q").alias("c2"))
-    inner = (chosen.join(links, [*keys, "c"])
-             .join(chosen.select(*keys, "low", "high", F.col("c").alias("c2")), [*keys, "low", "high", "c2"], "left_semi")
+    others = chosen.select(*keys, "low", "high", F.col("c").alias("c2"))
+    inner = (chosen.join(others, [*keys, "low", "high"]).where("c <> c2").join(links, [*keys, "c", "c2"], "left_semi")
              .groupBy(*keys, "low", "high", "c").agg(F.count("*").alias("_deg")))
     return (inner.groupBy(*keys, "low", "high")
             .agg(F.count("*").alias("_members"), F.bool_and(F.col("_deg") == 2).alias("_ring"))

@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import harmonics as H
+from ..functions.geometry import AXES
 from ..scratch import materialize
+from .graph import common_of_bonds
 from .pairs import distance_bin
-from .spatial import both_ways, range_pairs
+from .spatial import CROWD_LIMIT, both_ways, crowded_blocks, range_pairs
 
 
 def bond_harmonics(edges: DataFrame, l: int, keep: Sequence[str]) -> DataFrame:
@@ -38,19 +40,36 @@ def qlm(edges: DataFrame, l: int, *, keys: Sequence[str] = ("frame",), weight: s
         F.count("*").alias("n"), *[(F.sum(F.col(c) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias(c) for c in cols])
 
 
-def surface_edges(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """Edges plus, for every bond, a copy at each common neighbour of its ends.
+def qlm_of_points(points: DataFrame, radius: float, l: int, *, keys: Sequence[str] = ("frame",), id_col: str = "pid",
+                  periods=None, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
+    """q_lm of every particle from its neighbours within ``radius``.
 
-    Common neighbours come from one join of bonds with the edges of their lower end, checked against the
-    edges of the upper end.
+    Where points crowd, bonds are counted between places, weighted by how many particles share them.
     """
+    keys, cols = list(keys), H.coefficient_columns(l)
+    _, n_hot, _ = crowded_blocks(points, 2 * radius, keys, AXES, crowd_limit)
+    options = dict(keys=keys, periods=periods, crowd_limit=crowd_limit if n_hot else None)
+    if not n_hot:
+        return qlm(both_ways(range_pairs(points, radius, id_col=id_col, **options), keys), l, keys=keys)
+    sites = points.groupBy(*keys, *AXES).agg(F.min(id_col).alias("site"), F.count("*").alias("w"))
+    apart = both_ways(range_pairs(sites, radius, id_col="site", carry=["w"], **options), keys)
+    vector = ["dx", "dy", "dz", "d2"]
+    here = sites.where("w > 1").select(*keys, F.col("site").alias("p"), *[F.lit(0.0).alias(v) for v in vector], (F.col("w") - 1).alias("w"))
+    edges = apart.select(*keys, "p", *vector, F.col("q_w").alias("w")).unionByName(here)
+    ylm = bond_harmonics(edges, l, [*keys, "p", "w"])
+    by_site = ylm.groupBy(*keys, F.col("p").alias("site")).agg(
+        F.sum("w").alias("n"), *[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in cols])
+    members = points.select(*keys, *AXES, F.col(id_col).alias("p")).join(sites.select(*keys, *AXES, "site"), [*keys, *AXES])
+    return members.join(by_site, [*keys, "site"]).select(*keys, "p", "n", *cols)
+
+
+def surface_edges(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Edges plus, for every bond, a copy at each common neighbour of its ends."""
     keys = list(keys)
     geometry = ["dx", "dy", "dz", "d2"]
     bonds = edges.where("p < q").select(*keys, F.col("p").alias("low"), F.col("q").alias("high"), *geometry)
-    at_low = edges.select(*keys, F.col("p").alias("low"), F.col("q").alias("c"))
-    at_high = edges.select(*keys, F.col("p").alias("high"), F.col("q").alias("c"))
-    common = (bonds.join(at_low, [*keys, "low"]).join(at_high, [*keys, "high", "c"], "left_semi")
-              .select(*keys, F.col("c").alias("p"), *geometry))
+    corners = common_of_bonds(edges.select(*keys, "p", "q"), keys)
+    common = corners.join(bonds, [*keys, "low", "high"]).select(*keys, F.col("c").alias("p"), *geometry)
     return edges.select(*keys, "p", *geometry).unionByName(common)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.geometry import AXES
 from ..scratch import materialize, materialize_with
 from .select import extent
-from .spatial import range_pairs
+from .spatial import knn
 
 # faces of a box as corner numbers (bit 0: x, bit 1: y, bit 2: z), outward order
 BOX_FACES = ((0, 4, 6, 2), (1, 3, 7, 5), (0, 1, 5, 4), (2, 6, 7, 3), (0, 2, 3, 1), (4, 5, 7, 6))
@@ -65,15 +65,19 @@ def cell(low, high, neighbours: np.ndarray, labels: Sequence[int]):
     ``neighbours``: relative positions, nearest first; walls have negative labels -1 .. -6.
     """
     faces = _box(np.asarray(low, float), np.asarray(high, float))
-    reach2 = max(float((loop ** 2).sum(axis=1).max()) for _, loop in faces)
+    corners = np.concatenate([loop for _, loop in faces])
+    reach2 = float((corners ** 2).sum(axis=1).max())
     for vector, label in zip(neighbours, labels):
         d2 = float(vector @ vector)
         if d2 == 0:
             continue
         if d2 > 4 * reach2:         # nearest first: nothing further can cut
             break
+        if (corners @ vector).max() <= d2 / 2:
+            continue
         faces = _clip(faces, vector, d2 / 2, label)
-        reach2 = max(float((loop ** 2).sum(axis=1).max()) for _, loop in faces)
+        corners = np.concatenate([loop for _, loop in faces])
+        reach2 = float((corners ** 2).sum(axis=1).max())
     volume, areas = 0.0, []
     for label, loop in faces:
         cross = np.cross(loop[1:-1] - loop[0], loop[2:] - loop[0])
@@ -85,20 +89,22 @@ def cell(low, high, neighbours: np.ndarray, labels: Sequence[int]):
 
 
 def voronoi(points: DataFrame, radius: float, *, keys: Sequence[str] = ("frame",), id_col: str = "pid", margin: float = 0.0,
-            rounds: int = 12) -> DataFrame:
+            nearest: int = 40, rounds: int = 16) -> DataFrame:
     """keys, p, volume, faces ARRAY<STRUCT<q, area>>; negative q are walls of the frame's box plus ``margin``.
 
-    ``radius`` is the range of the first round, about twice the size of a cell.
+    ``radius`` is the range of the first round, about twice the size of a cell; a round looks at the
+    ``nearest`` particles within it, so no cell gathers a crowd.  Coincident particles share a cell: its
+    volume is divided among them, and the face neighbours name the one of lowest id.
     """
     keys = list(keys)
-    points = materialize(points.select(*keys, id_col, *AXES), "points")
+    sites = materialize(points.groupBy(*keys, *AXES).agg(F.min(id_col).alias("p"), F.count("*").alias("_w")), "sites")
     box = extent(points, keys).drop("n")
     face = T.StructType([T.StructField("q", T.LongType()), T.StructField("area", T.DoubleType())])
     schema = T.StructType([points.schema[k] for k in keys] + [
         T.StructField("p", points.schema[id_col].dataType), T.StructField("volume", T.DoubleType()),
-        T.StructField("reach", T.DoubleType()), T.StructField("faces", T.ArrayType(face))])
+        T.StructField("reach", T.DoubleType()), T.StructField("known", T.DoubleType()), T.StructField("faces", T.ArrayType(face))])
 
-    def cut(batches):
+    def cut(batches, k, radius):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
@@ -107,31 +113,34 @@ def voronoi(points: DataFrame, radius: float, *, keys: Sequence[str] = ("frame",
                 vectors = np.array([[n["dx"], n["dy"], n["dz"]] for n in near]).reshape(-1, 3)
                 volume, reach, areas = cell(np.array([r.x0, r.y0, r.z0]) - at - margin, np.array([r.x1, r.y1, r.z1]) - at + margin,
                                             vectors, [n["q"] for n in near])
-                rows.append((*[getattr(r, k) for k in keys], r.p, volume, reach, [{"q": q, "area": a} for q, a in areas]))
+                known = near[-1]["d2"] ** 0.5 if len(near) >= k else radius      # everything closer has been seen
+                rows.append((*[getattr(r, key) for key in keys], r.p, volume, reach, known, [{"q": q, "area": a} for q, a in areas]))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    done, todo = [], points
+    done, todo = [], sites
     for _ in range(rounds):
-        near = range_pairs(todo, radius, points, keys=keys, id_col=id_col).where("p <> q")
-        listed = near.groupBy(*keys, "p").agg(F.sort_array(F.collect_list(F.struct("d2", "q", "dx", "dy", "dz"))).alias("ngbs"))
-        rows = (todo.withColumnRenamed(id_col, "p").join(listed, [*keys, "p"], "left").join(box, keys)
+        found = knn(todo, nearest + 1, radius, right=sites, keys=keys, id_col="p").where("p <> q")
+        listed = found.groupBy(*keys, "p").agg(F.sort_array(F.collect_list(F.struct("d2", "q", "dx", "dy", "dz"))).alias("ngbs"))
+        rows = (todo.join(listed, [*keys, "p"], "left").join(box, keys)
                 .select(*keys, "p", *AXES, *[f"{c}{i}" for c in AXES for i in (0, 1)], "ngbs"))
         # small rows, long computation: one partition per core at least, which coalescing would undo
-        cells = rows.repartition(points.sparkSession.sparkContext.defaultParallelism, *keys, "p").mapInPandas(cut, schema)
-        finished = F.col("reach") * 2 <= radius
+        spread = rows.repartition(points.sparkSession.sparkContext.defaultParallelism, *keys, "p")
+        cells = spread.mapInPandas(lambda batches, k=nearest, r=radius: cut(batches, k, r), schema)
+        finished = F.col("reach") * 2 <= F.col("known")
         cells, seen = materialize_with(cells, "cells", open=F.count_if(~finished), reach=F.max("reach"))
+        done.append(cells if not seen["open"] else cells.where(finished))
         if not seen["open"]:
-            done.append(cells)
             break
-        done.append(cells.where(finished))
-        todo = materialize(points.join(cells.where(~finished).select(*keys, F.col("p").alias(id_col)), [*keys, id_col], "left_semi"), "open")
-        radius = min(4 * radius, 2 * seen["reach"])
+        todo = materialize(sites.join(cells.where(~finished).select(*keys, "p"), [*keys, "p"], "left_semi"), "open")
+        radius, nearest = min(4 * radius, 2 * seen["reach"]), 4 * nearest
     else:
         raise RuntimeError("cells are still open after the last round; start with a larger radius")
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    return result.drop("reach")
+    members = points.select(*keys, *AXES, F.col(id_col).alias("_id")).join(sites.withColumnRenamed("p", "_site"), [*keys, *AXES])
+    return (members.join(result.withColumnRenamed("p", "_site"), [*keys, "_site"])
+            .select(*keys, F.col("_id").alias("p"), (F.col("volume") / F.col("_w")).alias("volume"), "faces"))
 
 
 def voronoi_edges(cells: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:

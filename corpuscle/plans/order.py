@@ -35,7 +35,7 @@ def edges(spark, d):
 
 @query(f"{WITH_EDGES}, {q_sql(6)}, n AS (SELECT p, count(*) AS n FROM e GROUP BY 1) SELECT frame, p, n, {s6('q6')} AS q6 FROM q6 JOIN n USING (p)")
 def bond_order_q6(spark, d):
-    return rounded(order.invariants(order.qlm(edges(spark, d), 6), 6, with_w=False), "q6")
+    return rounded(order.invariants(order.qlm_of_points(positions(spark, d), BOND, 6), 6, with_w=False), "q6")
 
 
 @query(f"""{WITH_EDGES}, {q_sql(4)}, {q_sql(6)}, {q_sql(8)} SELECT frame, p, {s6('q4')} AS q4, {s6('q6')} AS q6, {s6('q8')} AS q8

@@ -146,3 +146,13 @@ def test_grid_spectrum_is_parseval(spark):
 def test_minimum_image(spark):
     row = spark.range(1).select(geometry.minimg(F.lit(101.5), 203.0).alias("a"), geometry.minimg(F.lit(-3.0), 4.0).alias("b")).first()
     assert (row["a"], row["b"]) == (-101.5, 1.0)
+
+
+def test_voronoi_cells_with_copies_and_few_neighbours(spark):
+    df, pdf = random_points(spark, 60, 1, seed=18)
+    pdf.loc[pdf.pid < 20, ["x", "y", "z"]] = 0.5
+    box = np.prod(pdf[["x", "y", "z"]].max() - pdf[["x", "y", "z"]].min() + 0.1)
+    many = voronoi.voronoi(spark.createDataFrame(pdf), 0.3, margin=0.05).toPandas().sort_values("p")
+    few = voronoi.voronoi(spark.createDataFrame(pdf), 0.2, margin=0.05, nearest=4).toPandas().sort_values("p")
+    assert many["volume"].sum() == pytest.approx(box) and np.allclose(many["volume"], few["volume"])
+    assert many["volume"][:20].nunique() == 1

@@ -120,3 +120,11 @@ def test_coincident_neighbours_do_not_break_bond_order(spark):
     df = third_in_one_place(random_points(spark, 60, 1, seed=16)[0])
     q = order.invariants(order.qlm(spatial.neighbour_edges(df, 0.2), 6), 6)
     assert q.where("isnan(q6) or q6 is null").count() == 0
+
+
+def test_bond_order_of_crowded_points(spark):
+    from corpuscle.operators import order
+    df = third_in_one_place(random_points(spark, 90, 1, seed=17)[0])
+    def rows(limit):
+        return {(r.p, r.n, round(r.q6, 8)) for r in order.invariants(order.qlm_of_points(df, 0.2, 6, crowd_limit=limit), 6).collect()}
+    assert rows(20_000) == rows(8)
