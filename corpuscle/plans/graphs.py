@@ -37,9 +37,13 @@ def pairs_sp5c(spark, d):
     return graph.sp5c(edges(spark, d, WIDE))
 
 
-@query(WIDE_EDGES + COMMON + " SELECT frame, low, high FROM k JOIN rg USING (frame, low, high) WHERE bonded AND n = 5 AND ring")
+RING = 0.22       # full five-rings are rare among random points
+
+
+@query(WITH_EDGES.replace(f"{BOND}*{BOND}", f"{RING}*{RING}") + COMMON
+       + " SELECT frame, low, high FROM k JOIN rg USING (frame, low, high) WHERE bonded AND n = 5 AND ring")
 def pairs_1551(spark, d):
-    return graph.pairs_1551(edges(spark, d, WIDE))
+    return graph.pairs_1551(edges(spark, d, RING))
 
 
 @query(WIDE_EDGES + COMMON + " SELECT frame, low, high FROM k JOIN rg USING (frame, low, high) WHERE NOT bonded AND n = 3 AND ring")
