@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.geometry import AXES, minimg
 from ..functions.scalars import attach, attach_by
 from ..scratch import materialize
-from .pairs import distance_bin
 from .spatial import range_pairs
 
 DENSE_LAGS = 8     # more lags than this, without large gaps, go through blocks of frames

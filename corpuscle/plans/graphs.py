@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph, linking, matching, select, spatial
-from .catalog import query, r6, rounded, s6
-from .tables import BOND, D2, EDGES, P, PAIRS, T, T_BOND, T_PAIRS, WITH_EDGES, positions, table, track_bonds, tracks
+from .catalog import query, rounded, s6
+from .tables import BOND, D2, EDGES, P, PAIRS, T, T_PAIRS, WITH_EDGES, positions, table, track_bonds, tracks
 
 WIDE = 0.16       # denser graph, so that rings occur
 WIDE_EDGES = WITH_EDGES.replace(f"{BOND}*{BOND}", f"{WIDE}*{WIDE}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..imaging import spectra, tracking
 from ..operators import linking
 from ..sources import images as img
-from .catalog import query, rounded, s6
+from .catalog import query, rounded
 from .tables import P, positions
 
 SIDE = 96

@@ -6,10 +6,9 @@ sums of the Legendre polynomial P_l over bonds.  Only w_l needs the coefficients
 
 from pyspark.sql import functions as F
 
-from ..functions import harmonics as H
 from ..operators import order, spatial, stats
-from .catalog import query, r6, rounded, s6
-from .tables import BOND, D2, P, WITH_EDGES, positions
+from .catalog import query, rounded, s6
+from .tables import BOND, D2, WITH_EDGES, positions
 
 COS = "((u.dx*v.dx+u.dy*v.dy+u.dz*v.dz)/sqrt(u.d2*v.d2))"
 

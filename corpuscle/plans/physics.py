@@ -10,7 +10,7 @@ from . import pipelines
 from .catalog import query, r6, rounded, s6
 from .dynamics import LAGGED, LAGS, Q
 from .spatial import BINS, CUT, RDF
-from .tables import BOND, P, T, positions, table, tracks
+from .tables import P, T, positions, table, tracks
 
 MIX = "m AS (SELECT p_partkey, p_size/60.0::DOUBLE AS f, p_retailprice/4000.0::DOUBLE AS q, 1 + p_size/10.0::DOUBLE AS piv FROM part)"
 
