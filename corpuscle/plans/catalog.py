@@ -24,10 +24,15 @@ def r6(column) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def s6(expression: str) -> str:
     """Rounded SQL value without a negative zero."""
     return f"(round({expression}, 6) + 0.0)"
+
+
+def s3(expression: str) -> str:
+    """The same with three digits, for sums of large values, whose last digits depend on the order of addition."""
+    return f"(round({expression}, 3) + 0.0)"

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import dynamics as D, fields, select, spatial, order
-from .catalog import query, rounded, s6
+from .catalog import query, rounded, s3, s6
 from .tables import D2, DAYS, T, T_BOND, T_PAIRS, days, table, tracks
 
 LAGS = list(range(1, 30))
@@ -89,7 +89,7 @@ def time_lag_pairs(spark, d):
     return D.lag_pairs(tracks(spark, d), LAGS, ["x"]).groupBy("lag").agg(F.count("*").alias("n"))
 
 
-DYN = f"""SELECT lag, count(*) AS n, {s6('avg(d2)')} AS msd, {s6('3*avg(d2*d2)/(5*avg(d2)*avg(d2)) - 1')} AS ngp,
+DYN = f"""SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd, {s6('3*avg(d2*d2)/(5*avg(d2)*avg(d2)) - 1')} AS ngp,
  {', '.join(f"{s6(f'avg(cos(d{c}*{Q!r}))')} AS isf_{c}" for c in 'xyz')},
  {s6('(' + '+'.join(f'avg(cos(d{c}*{Q!r}))' for c in 'xyz') + ')/3')} AS isf"""
 
@@ -97,14 +97,14 @@ DYN = f"""SELECT lag, count(*) AS n, {s6('avg(d2)')} AS msd, {s6('3*avg(d2*d2)/(
 @query(f"WITH {T}, {LAGGED} {DYN}, {s6('avg(CASE WHEN d2 < 400 THEN 1.0 ELSE 0.0 END)')} AS overlap FROM lg GROUP BY 1")
 def dynamics_all_lags(spark, d):
     table = D.time_functions(tracks(spark, d), LAGS, q=Q, overlap=20.0)
-    return rounded(table, "msd", "ngp", "isf_x", "isf_y", "isf_z", "isf", "overlap")
+    return rounded(rounded(table, "ngp", "isf_x", "isf_y", "isf_z", "isf", "overlap"), "msd", digits=3)
 
 
 @query(f"""WITH {T}, {LAGGED}, sp AS (SELECT tr FROM t GROUP BY 1 HAVING min(frame) <= 5 AND max(frame) >= 20)
  {DYN} FROM lg WHERE frame >= 5 AND frame + lag <= 20 AND tr IN (SELECT tr FROM sp) GROUP BY 1""")
 def dynamics_spanning(spark, d):
     t = select.spanning_tracks(tracks(spark, d), 5, 20)
-    return rounded(D.time_functions(t, list(range(1, 16)), q=Q), "msd", "ngp", "isf_x", "isf_y", "isf_z", "isf")
+    return rounded(rounded(D.time_functions(t, list(range(1, 16)), q=Q), "ngp", "isf_x", "isf_y", "isf_z", "isf"), "msd", digits=3)
 
 
 @query(f"""WITH {T}, s AS (SELECT *, CASE WHEN frame < 15 THEN 0 ELSE 1 END AS set_id FROM t), lg AS (SELECT a.tr, a.set_id, {SHIFT}, {D2} AS d2
@@ -113,13 +113,13 @@ def dynamics_spanning(spark, d):
 def dynamics_by_age(spark, d):
     t = tracks(spark, d).withColumn("set_id", F.when(F.col("frame") < 15, 0).otherwise(1))
     aged = D.time_functions(t, list(range(1, 11)), q=Q, keys=("set_id", "tr"), by=("set_id",))
-    return rounded(aged, "msd", "ngp", "isf_x", "isf_y", "isf_z", "isf")
+    return rounded(rounded(aged, "ngp", "isf_x", "isf_y", "isf_z", "isf"), "msd", digits=3)
 
 
 @query(f"""WITH {T}, {LAGGED}, sp AS (SELECT tr, max(frame) AS last FROM t GROUP BY 1)
- SELECT lag, count(*) AS n, {s6('avg(d2)')} AS msd FROM lg JOIN sp USING (tr) WHERE frame BETWEEN 2 AND 6 AND last >= frame+14 AND lag <= 14 GROUP BY 1""")
+ SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd FROM lg JOIN sp USING (tr) WHERE frame BETWEEN 2 AND 6 AND last >= frame+14 AND lag <= 14 GROUP BY 1""")
 def msd_from_starts(spark, d):
-    return rounded(D.msd_from_starts(tracks(spark, d), 2, 20, 5), "msd")
+    return rounded(D.msd_from_starts(tracks(spark, d), 2, 20, 5), "msd", digits=3)
 
 
 @query(f"""WITH {T}, {LAGGED}, i AS (SELECT lag, avg(cos(dx*{Q!r})) AS isf FROM lg GROUP BY 1)
@@ -129,10 +129,10 @@ def relaxation_time(spark, d):
     return D.relaxation_time(isf, 0.3, "isf_x")
 
 
-@query(f"WITH {T}, {LAGGED} SELECT lag, count(*) AS n, {s6('avg(d2)')} AS msd FROM lg WHERE lag IN ({','.join(map(str, D.log_spaced(29, 10)))}) GROUP BY 1")
+@query(f"WITH {T}, {LAGGED} SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd FROM lg WHERE lag IN ({','.join(map(str, D.log_spaced(29, 10)))}) GROUP BY 1")
 def msd_log_spaced(spark, d):
     table = D.time_functions(tracks(spark, d), D.log_spaced(29, 10), q=Q)
-    return rounded(table.select("lag", "n", "msd"), "msd")
+    return rounded(table.select("lag", "n", "msd"), "msd", digits=3)
 
 
 # --- drift -------------------------------------------------------------------------------------------
@@ -236,10 +236,10 @@ def four_point_overlap_slice(spark, d):
  ax AS (SELECT *, dx/r AS nx, dy/r AS ny, dz/r AS nz, nullif(sqrt(dx*dx+dy*dy), 0) AS rho FROM pr),
  cc AS (SELECT lag, CAST(floor((ln(r)-ln(2.0::DOUBLE))/({math.log(10.0)!r}/8)) AS INTEGER) AS bin, (ux*nx+uy*ny+uz*nz)*(wx*nx+wy*ny+wz*nz) AS n1,
   (ux*dy/rho-uy*dx/rho)*(wx*dy/rho-wy*dx/rho) AS p1 FROM ax)
- SELECT lag, bin, count(*) AS n, {s6('sum(n1)')} AS sum_n, {s6('sum(p1)')} AS sum_p, {s6('sum(n1*n1)/1e6')} AS sq_n FROM cc GROUP BY 1, 2""")
+ SELECT lag, bin, count(*) AS n, {s3('sum(n1)')} AS sum_n, {s3('sum(p1)')} AS sum_p, {s3('sum(n1*n1)/1e6')} AS sq_n FROM cc GROUP BY 1, 2""")
 def two_point_displacements(spark, d):
     table = D.two_point_displacements(tracks(spark, d), 3, [1, 3], 2.0, 20.0, 8)
-    return rounded(table.select("lag", "bin", "n", "sum_n", "sum_p", (F.col("sq_n") / 1e6).alias("sq_n")), "sum_n", "sum_p", "sq_n")
+    return rounded(table.select("lag", "bin", "n", "sum_n", "sum_p", (F.col("sq_n") / 1e6).alias("sq_n")), "sum_n", "sum_p", "sq_n", digits=3)
 
 
 @query(f"""WITH {T}, {T_PAIRS}, e AS (SELECT tp.frame, low AS p, high AS q, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz FROM tp

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import pairs, scattering, stats
-from .catalog import query, rounded, s6
+from .catalog import query, rounded, s3, s6
 from .spatial import CUT, BINS, RDF
 from .tables import P, positions, table
 
@@ -39,17 +39,17 @@ def decimated_histogram(spark, d):
 
 
 @query(f"""WITH h AS (SELECT {hist_bin('l_quantity', 1.0, 51.0, 25)} AS bin, l_extendedprice AS v FROM lineitem)
- SELECT bin, count(v) AS n, {s6('avg(v)')} AS mean FROM h WHERE bin BETWEEN 0 AND 24 GROUP BY 1""")
+ SELECT bin, count(v) AS n, {s3('avg(v)')} AS mean FROM h WHERE bin BETWEEN 0 AND 24 GROUP BY 1""")
 def mean_price_by_quantity(spark, d):
-    return rounded(stats.mean_map(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 1.0, 51.0, 25), "mean")
+    return rounded(stats.mean_map(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 1.0, 51.0, 25), "mean", digits=3)
 
 
 @query(f"""WITH h AS (SELECT {hist_bin('l_quantity', 1.0, 61.0, 12)} AS bin_x, {hist_bin('l_discount', 0.0, 0.2, 4)} AS bin_y, l_extendedprice AS v FROM lineitem),
  m AS (SELECT bin_x, bin_y, avg(v) AS mean FROM h GROUP BY 1, 2)
- SELECT CAST(a.i AS INTEGER) AS bin_x, CAST(b.i AS INTEGER) AS bin_y, {s6('coalesce(mean, -1)')} AS mean FROM range(12) a(i), range(4) b(i)
+ SELECT CAST(a.i AS INTEGER) AS bin_x, CAST(b.i AS INTEGER) AS bin_y, {s3('coalesce(mean, -1)')} AS mean FROM range(12) a(i), range(4) b(i)
  LEFT JOIN m ON m.bin_x = a.i AND m.bin_y = b.i""")
 def mean_price_map(spark, d):
-    return rounded(stats.mean_map2d(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", (1.0, 61.0), (0.0, 0.2), (12, 4)), "mean")
+    return rounded(stats.mean_map2d(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", (1.0, 61.0), (0.0, 0.2), (12, 4)), "mean", digits=3)
 
 
 @query(f"""WITH h AS (SELECT l_returnflag, {hist_bin('l_quantity', 1.0, 51.0, 10)} AS bin, l_extendedprice AS v FROM lineitem),
