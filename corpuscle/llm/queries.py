@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, quality_rules
+from . import decontamination, mixing, quality_rules, substring
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     rows = mixing.per_row(mixing.copies(table(spark, sf_dir, "documents")))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+win AS (SELECT r, o, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM (SELECT r, o, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+dup AS (SELECT r, i FROM (SELECT *, min(o) OVER (PARTITION BY g) AS least FROM win) WHERE o > least),
+gone AS (SELECT DISTINCT r, i + k AS i FROM dup, range(50) x(k)),
+word AS (SELECT r, i, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+k AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What relative Lempel-Ziv parsing leaves of every document."""
+    return substring.parse(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
