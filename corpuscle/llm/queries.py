@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, quality_rules, substring
+from . import decontamination, mixing, ngram_join, quality_rules, substring
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,20 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What relative Lempel-Ziv parsing leaves of every document."""
     return substring.parse(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, o, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM (SELECT r, o, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, any_value(o) AS o, count(*) AS n FROM sh GROUP BY r),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT x, y FROM pair JOIN n a ON x = a.r JOIN n b ON y = b.r WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach(r, s) AS (SELECT r, r FROM n UNION SELECT reach.r, e.y FROM reach JOIN e ON reach.s = e.x),
+least AS (SELECT reach.r, min(n.o) AS o FROM reach JOIN n ON reach.s = n.r GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, nullif(coalesce(least.o, d.o), 9223372036854775807) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)""")
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and near-duplicate component of every document."""
+    return (ngram_join.components(table(spark, sf_dir, "documents"), ["doc_id"])
+            .select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id"))
