@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, ngram_join, quality_rules, substring
+from . import decontamination, mixing, ngram_join, pii, quality_rules, substring
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,17 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and near-duplicate component of every document."""
     return (ngram_join.components(table(spark, sf_dir, "documents"), ["doc_id"])
             .select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id"))
+
+
+def _spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of the base kinds, a digest of their spans, and all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda *kinds: F.size(F.filter("spans", lambda s: s.kind.isin(*kinds))).cast("long")
+    base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in pii.BASE], F.sha2(_spans_text(base), 256).alias("base_sha256"),
+                        _spans_text(F.col("spans")).alias("spans"), count(*pii.ADDED).alias("n_added"))
