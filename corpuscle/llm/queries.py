@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, ngram_join, pii, quality_rules, substring
+from . import chat, decontamination, mixing, ngram_join, pii, quality_rules, sharding, substring
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,55 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
     return found.select(F.col("row.doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in pii.BASE], F.sha2(_spans_text(base), 256).alias("base_sha256"),
                         _spans_text(F.col("spans")).alias("spans"), count(*pii.ADDED).alias("n_added"))
+
+
+@query(f"""
+WITH RECURSIVE shard AS (SELECT i AS k, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range({len(sharding.SHARDS)}) r(i)),
+par AS (SELECT list(('0x' || substr(md5(name), 1, 15))::BIGINT % {sharding.SLOTS} ORDER BY k) AS offs,
+  list(('0x' || substr(md5(name), 16, 15))::BIGINT % {sharding.SLOTS - 1} + 1 ORDER BY k) AS skip FROM shard),
+fill(claim, slot, taken, nxt) AS (
+  SELECT -1, -1::BIGINT, repeat('0', {sharding.SLOTS})::BIT, list_transform(range({len(sharding.SHARDS)}), lambda x: 0::BIGINT) UNION ALL
+  SELECT claim, (offs[s + 1] + j * skip[s + 1]) % {sharding.SLOTS}, set_bit(taken, ((offs[s + 1] + j * skip[s + 1]) % {sharding.SLOTS})::INTEGER, 1),
+    list_transform(nxt, lambda v, i: CASE WHEN i = s + 1 THEN j + 1 ELSE v END)
+  FROM (SELECT claim + 1 AS claim, (claim + 1) % {len(sharding.SHARDS)} AS s, taken, nxt, offs, skip,
+    list_filter(range(nxt[(claim + 1) % {len(sharding.SHARDS)} + 1], {sharding.SLOTS}), lambda j: get_bit(taken, ((offs[(claim + 1) % {len(sharding.SHARDS)} + 1]
+      + j * skip[(claim + 1) % {len(sharding.SHARDS)} + 1]) % {sharding.SLOTS})::INTEGER) = 0)[1] AS j FROM fill, par WHERE claim < {sharding.SLOTS - 1})),
+lookup AS (SELECT slot, name FROM fill JOIN shard ON claim % {len(sharding.SHARDS)} = k WHERE claim >= 0)
+SELECT doc_id, slot, name AS shard FROM (SELECT doc_id,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents) JOIN lookup USING (slot)""")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "slot", "shard")
+
+
+_CHAT_RAW = r"regexp_matches({0}, '<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\\\\|\\:|\\n')"
+
+
+def _chat_escaped(text: str) -> str:
+    text = f"replace({text}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        text = f"replace({text}, '{c}', '{c[0]}\\:{c[1:]}')"
+    return text
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+t AS (SELECT *, CASE WHEN {_CHAT_RAW.format('text')} THEN {_chat_escaped('text')} ELSE text END AS body,
+  CASE WHEN {_CHAT_RAW.format('role')} OR contains(role, chr(10)) THEN replace({_chat_escaped('role')}, chr(10), '\\n') ELSE role END AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + {len(chat.BEGIN) + len(chat.END) + 2})::BIGINT AS formatted_chars, count(*) FILTER (body <> text OR head <> role) AS escaped_turns,
+  true AS identical FROM t GROUP BY conv_id""")
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, all read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    done = chat.format_chats(rows.unionByName(probe))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    loss = F.array_join(chat.masked(F.col("formatted"), F.col("loss_spans")), "")
+    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                       F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+                       F.col("escaped_turns").cast("long").alias("escaped_turns"), "identical")
