@@ -9,7 +9,8 @@ The reference index is distributed by window hash and built in steps, each of wh
   2. Every window is represented by its anchor, the least hash of the shorter runs of ``GRAM`` words in it.  Equal windows have equal anchors, and
      neighbouring windows mostly share one, so the corpus is indexed with about one anchor per 15 words.  Anchors of a single document are dropped.
   3. Windows with a remaining anchor (a bit filter of fixed size tells; letting through too many costs time only) are aggregated to the smallest
-     document per window, combined before the shuffle, and joined back: AQE splits the few windows that a large part of the documents has.
+     document per window, combined before the shuffle.  That index is written and joined with the windows that may be in it; both sides of the join
+     are plain shuffles, so AQE splits the few windows that a large part of the documents has.
   4. The positions found go to their documents, where the factors are formed and the words removed.
 Windows are compared by 64-bit hashes.
 
@@ -95,12 +96,12 @@ def _survey(source: DataFrame, kept: str, size: int, gram: int) -> DataFrame:
     return source.mapInArrow(run, f"row {kept}, o long, th long, n_words long, s1 long, s2 long, digest string, anchors array<long>")
 
 
-def _windows(source: DataFrame, size: int, gram: int, firsts: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """Window hashes of the documents that may be first of their copies, where the anchor may be shared."""
-    filters = source.sparkSession.sparkContext.broadcast((firsts, shared))
+def _windows(source: DataFrame, size: int, gram: int, firsts: np.ndarray, shared: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
+    """Window hashes of the documents that may be first of their copies, where the anchor may be shared and the window may be repeated."""
+    filters = source.sparkSession.sparkContext.broadcast((firsts, shared, repeated))
 
     def run(batches):
-        firsts, shared = filters.value
+        firsts, shared, repeated = filters.value
         for batch in batches:
             o, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             may_be_first = maybe(firsts, batch.column(2).to_numpy().view(np.uint64))
@@ -109,6 +110,8 @@ def _windows(source: DataFrame, size: int, gram: int, firsts: np.ndarray, shared
                 at, value = windows(w, size, 2)
                 owner = w.document[at]
                 use = may_be_first[piece.first + owner] & maybe(shared, anchors(w, size, gram, at))
+                if repeated is not None:
+                    use &= maybe(repeated, value)
                 at, value, owner = at[use], value[use], owner[use]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value.view(np.int64)), pa.array(o[piece.first + owner]), pa.array(th[piece.first + owner]), pa.array((at - w.first[owner]).astype(np.int32))],
@@ -175,11 +178,12 @@ def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str =
     known = materialize(survey.drop("anchors").join(copies, ["s1", "s2", "n_words"], "left"), "copies")
     copied = F.coalesce(F.col("o") > F.col("first"), F.lit(False))
     firsts = bit_filter(known.filter(F.col("o") == F.col("first")), F.expr(ROW_HASH))
-    indexed = survey.join(copies, ["s1", "s2", "n_words"]).filter(F.col("o") == F.col("first")).select("o", F.explode("anchors").alias("anchor"))
+    indexed = _only(survey.filter(F.col("n_words") >= size).select("o", "th", "anchors"), firsts).select("o", F.explode("anchors").alias("anchor"))
     shared = bit_filter(indexed.groupBy("anchor").agg(F.min("o").alias("a"), F.max("o").alias("b")).filter("a < b"), F.col("anchor"))
 
     found = _windows(slim, size, gram, firsts, shared)
-    index = found.groupBy("window").agg(F.min("o").alias("ref"), F.max("o").alias("last")).filter("ref < last").drop("last")
+    index = materialize(found.groupBy("window").agg(F.min("o").alias("ref"), F.max("o").alias("last")).filter("ref < last").drop("last"), "index")
+    found = _windows(slim, size, gram, firsts, shared, bit_filter(index, F.col("window")))
     hits = materialize(found.join(index, "window").filter("o > ref").groupBy("o", "th").agg(F.collect_list(F.struct("word", "ref")).alias("hits"))
                        .join(known.filter(~copied).select("o", "th").distinct(), ["o", "th"], "left_semi"), "hits")
 
