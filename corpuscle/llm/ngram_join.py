@@ -242,8 +242,6 @@ def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text:
     shared = materialize(meeting.select("token"), "shared")
     may_meet = bit_filter(shared, F.shiftleft("token", 64 - _TOKEN_BITS))
     members = materialize(_prefixes(source, firsts, orders, size, percent, may_meet).distinct().join(shared, "token", "left_semi"), "members")
-    in_reach = bit_filter(representative.join(members.select("sid").distinct(), "sid", "left_semi"), F.col("rh"))
-    sets = materialize(_sets(source, in_reach, orders, size, percent), "sets")
 
     label = None            # sid -> component, for sets that have a link
     edges = tested = None
@@ -260,16 +258,23 @@ def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text:
                     .select(F.col("head.sid").alias("hub"), "sid", F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("head.n").alias("b_n"), F.col("head.pos").alias("b_pos"))
                     .filter(_room(percent)).groupBy("sid", "hub").count()
                     .groupBy("sid").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub")))
-            pairs = star.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+            # each set is "a" of one pair, so its tokens are sent to the hub once
+            pairs = star.select(F.col("sid").alias("a"), F.col("hub").alias("b"))
         else:
             x = own.select("token", *[F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "c")])
             y = own.select("token", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "c")])
             pairs = (x.join(y, "token").filter("a_sid < b_sid AND a_c <> b_c").filter(_room(percent))
                      .select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct())
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), F.expr("least(a, b) = ta AND greatest(a, b) = tb"), "left_anti")
+        pairs, seen = materialize_with(pairs, "pairs")
+        if not seen["rows"]:
+            continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        sets = _sets(source, bit_filter(representative.join(wanted, "sid", "left_semi"), F.col("rh")), orders, size, percent)
         found, seen = materialize_with(_verified(pairs, sets, percent), "verified", links=F.sum(F.col("similar").cast("long")))
-        tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
+        done = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tested = done if tested is None else tested.unionAll(done)
         links = found.filter("similar").select(F.col("a").alias("p"), F.col("b").alias("q"))
         if seen["links"]:
             edges = links if edges is None else edges.unionAll(links)
