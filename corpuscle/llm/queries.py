@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, mixing, ngram_join, pii, quality_model, quality_rules, sharding, substring
+from . import chat, decontamination, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, sharding, substring
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and which of them repeat an earlier line, exactly or within the edits allowed."""
+    found = line_dedup.decide(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_exact", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
