@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import quality_rules
+from corpuscle.llm import decontamination, mixing, ngram_join, quality_rules, sharding
 from corpuscle.llm.frames import table
 from corpuscle.scratch import materialize
 
@@ -18,7 +18,27 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality rules", rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of every group of near duplicates."""
+    return ngram_join.deduplicate(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources at their target weights; a document occurs as often as it is taken."""
+    return mixing.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix with the slot and shard of every row."""
+    return sharding.shard(docs)
+
+
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("decontamination", benchmark), ("mixing", mixture), ("sharding", shards)]
 
 # mixing draws at random, which SQL cannot repeat; tests/llm checks the rows against plain Python
 ORACLE_SQL = None
