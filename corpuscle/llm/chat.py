@@ -18,6 +18,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .frames import col
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 # fixed values: strings that some chat template gives a meaning
 CONTROL = (BEGIN, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -57,8 +59,8 @@ def parse(formatted: Column) -> Column:
 
 def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
     """Per conversation: formatted, loss_spans (code points of formatted, ends exclusive), turns as read back, escaped_turns, identical."""
-    flat = rows.select(F.col(f"`{conversation}`").alias("id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"),
-                       F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    flat = rows.select(col(conversation).alias("id"), col(turn).alias("turn"), F.coalesce(col(role).cast("string"), F.lit("")).alias("role"),
+                       F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     shown = (flat.withColumn("head", F.concat(F.lit(BEGIN), _first_identical(F.col("role"), escape(F.col("role"), True), f"{_ANY}|\n"), F.lit("\n")))
              .withColumn("body", _first_identical(F.col("text"), escape(F.col("text")), _ANY))
              .withColumn("size", F.length("head") + F.length("body") + len(END) + 1))

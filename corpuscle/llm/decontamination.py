@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import materialize
-from .frames import free_name, named, unpack
+from .frames import col, free_name, named, row_schema, unpack
 from .words import LETTERS_AND_DIGITS, LOWER, Piece, Words, covered, per_document, pieces, windows, words
 
 SIZE = 10
@@ -39,7 +39,7 @@ def _phrase(piece: Piece, w: Words, at: int, size: int) -> bytes:
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per distinct window: its number of words, hash, words, and the items that contain it."""
-    source = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("t"))
+    source = benchmark.select(col(item).cast("string").alias("item"), col(text).alias("t"))
 
     def run(batches):
         for batch in batches:
@@ -120,7 +120,7 @@ def _report(row: pa.Array, piece: Piece, w: Words, hits) -> pa.RecordBatch:
         ["row", "n_words", "n_hit", "items", "spans"])
 
 
-def _scan_broadcast(source: DataFrame, rows: list, kept: str) -> DataFrame:
+def _scan_broadcast(source: DataFrame, rows: list) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast([(r["length"], r["hash"], bytes(r["phrase"]), list(r["items"])) for r in rows])
 
     def run(batches):
@@ -129,10 +129,10 @@ def _scan_broadcast(source: DataFrame, rows: list, kept: str) -> DataFrame:
             for piece in map(_lowered, pieces(batch.column(1))):
                 yield _report(batch.column(0), piece, *known.scan(piece))
 
-    return source.mapInArrow(run, f"row {kept}, {_FOUND}")
+    return source.mapInArrow(run, row_schema(source, _FOUND))
 
 
-def _scan_join(source: DataFrame, known: DataFrame, kept: str) -> DataFrame:
+def _scan_join(source: DataFrame, known: DataFrame) -> DataFrame:
     """For benchmarks beyond the broadcast bound: windows that pass a bit filter of fixed size are joined with the benchmark's."""
     place = F.shiftrightunsigned("hash", 64 - _WIDE_BITS) + 1      # bitmap buckets count from 1
     filter_rows = (known.select("length", place.alias("p")).groupBy("length", F.bitmap_bucket_number("p").alias("bucket"))
@@ -171,7 +171,7 @@ def _scan_join(source: DataFrame, known: DataFrame, kept: str) -> DataFrame:
                 yield _report(batch.column(0), piece, w, [(d, w.first[d] + h["word"], h["length"], h["items"])
                                                           for d in range(piece.n) for h in hits[piece.first + d] or []])
 
-    return named_texts.join(hits, "text_id", "left").select("row", "t", "hits").mapInArrow(run, f"row {kept}, {_FOUND}")
+    return named_texts.join(hits, "text_id", "left").select("row", "t", "hits").mapInArrow(run, row_schema(source, _FOUND))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", size: int = SIZE, set_bytes: int = SET_BYTES) -> DataFrame:
@@ -181,9 +181,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str
     """
     known = materialize(benchmark_windows(benchmark, size), "benchmark-windows")
     total = known.agg(F.sum(F.length("phrase") + 64 + 16 * F.size("items"))).first()[0] or 0
-    source = documents.select(named(keep).alias("row"), F.col(f"`{text}`").alias("t"))
-    kept = source.schema["row"].dataType.simpleString()
-    return _scan_broadcast(source, known.collect(), kept) if total <= set_bytes else _scan_join(source, known, kept)
+    source = documents.select(named(keep).alias("row"), col(text).alias("t"))
+    return _scan_broadcast(source, known.collect()) if total <= set_bytes else _scan_join(source, known)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", size: int = SIZE,
@@ -197,9 +196,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     edges = F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("spans", lambda s: F.array(s.byte, s.byte_end))), F.array(F.length(raw).cast("long")))
     pairs = F.sequence(F.lit(0), F.size("spans"))
     rest = F.transform(pairs, lambda i: F.substring(raw, (F.get(edges, 2 * i) + 1).cast("int"), (F.get(edges, 2 * i + 1) - F.get(edges, 2 * i)).cast("int")).cast("string"))
-    out = found.select(*unpack("row", names), F.when(F.size("spans") > 0, F.array_join(rest, "")).alias(free_name(names, "cut")))
-    cut = out.columns[-1]
-    fresh = {text: F.coalesce(cut, F.col(f"`{text}`"))}
+    cut = free_name(names, "cut")
+    out = found.select("row", F.when(F.size("spans") > 0, F.array_join(rest, "")).alias(cut)).select(*unpack("row", names), cut)
+    fresh = {text: F.coalesce(cut, col(text))}
     if "n_chars" in names:
         fresh["n_chars"] = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(cut).cast(documents.schema["n_chars"].dataType))
-    return out.withColumns(fresh).select(*[f"`{c}`" for c in names])
+    return out.withColumns(fresh).select(*map(col, names))

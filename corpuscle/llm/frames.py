@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def named(columns: list[str]) -> Column:
-    """The columns as one struct, whatever characters their names have."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+    """The columns as one struct."""
+    return F.struct(*map(col, columns))
 
 
 def unpack(column: str, fields: list[str]) -> list[Column]:
@@ -26,6 +31,6 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def share_ranges(rows: int, bytes_each: int, most: int) -> bool:
-    """Whether ``rows`` of ``bytes_each`` stay within ``most`` bytes."""
-    return rows * bytes_each <= most
+def row_schema(source: DataFrame, rest: str) -> T.StructType:
+    """Schema of column ``row`` of the source, followed by the columns in ``rest`` (DDL)."""
+    return T.StructType([T.StructField("row", source.schema["row"].dataType), *T.StructType.fromDDL(rest).fields])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import materialize, materialize_with
-from .frames import named, unpack
+from .frames import col, named, unpack
 
 EDITS = 2
 LEAST = 30
@@ -75,8 +75,8 @@ def banded_distance(pattern: Column, text: Column, edits: int = EDITS) -> Column
 
 def lines(documents: DataFrame, id: str, text: str) -> DataFrame:
     """o, th, no, line, h of all lines with a word."""
-    flat = documents.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("th"),
-                            F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("no", "line"))
+    flat = documents.select(F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"),
+                            F.posexplode(F.split(col(text), "\n")).alias("no", "line"))
     return flat.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
@@ -159,8 +159,8 @@ def decide(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str
     exact = F.coalesce(here > F.col("first"), F.lit(False))
     gone = (places.join(marks, "h").withColumn("exact", exact).filter(F.col("exact") | F.coalesce(here > F.col("near"), F.lit(False)))
             .groupBy("o", "th").agg(F.array_sort(F.collect_set(F.struct("no", "exact"))).alias("gone")))
-    source = documents.select(named(keep).alias("row"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("th"),
-                              F.size(F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
+    source = documents.select(named(keep).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"),
+                              F.size(F.filter(F.split(F.coalesce(col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
     count = lambda flag: F.coalesce(F.size(F.filter("gone", lambda g: g.exact == flag)), F.lit(0)).cast("long")
     return source.join(gone, ["o", "th"], "left").select(
         "row", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(count(True)).cast("long").alias("n_exact"),
@@ -174,7 +174,7 @@ def deduplicate(documents: DataFrame, id: str = "doc_id", text: str = "text", **
     body = F.col("row").getField(text)
     rest = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains("removed", i))
     out = decided.select(*unpack("row", names), F.when(F.size("removed") > 0, F.array_join(rest, "\n")).alias("__rest"))
-    fresh = {text: F.coalesce("__rest", F.col(f"`{text}`"))}
+    fresh = {text: F.coalesce("__rest", col(text))}
     if "n_chars" in names:
         fresh["n_chars"] = F.when(F.col("__rest").isNull(), F.col("n_chars")).otherwise(F.length("__rest").cast(documents.schema["n_chars"].dataType))
-    return out.withColumns(fresh).select(*[f"`{c}`" for c in names])
+    return out.withColumns(fresh).select(*map(col, names))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..scratch import materialize
-from .frames import free_name, named
+from .frames import col, free_name, named
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5             # words of the mix per word of the input
@@ -114,8 +114,8 @@ def copies(documents: DataFrame, id: str = "doc_id", source: str = "source", tex
            most: float = MOST, seed: int = 11, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """One row per distinct row of ``documents``: k1, k2, id, source, size, m (how often it occurs), source_size, target, taken_copies (of all m)."""
     keyed, k1, k2 = with_keys(documents)
-    units = materialize(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"),
-                                     word_count(F.col(f"`{text}`")).alias("size"))
+    units = materialize(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), col(id).alias("id"), col(source).cast("string").alias("source"),
+                                     word_count(col(text)).alias("size"))
                         .groupBy("k1", "k2", "id", "source", "size").agg(F.count("*").alias("m")), "mix-units")
     goal = materialize(targets(units, weights, share, most), "mix-targets")
     blocks = F.ceil(F.col("units") / block)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.graph import connected_components
 from ..scratch import materialize, materialize_with
 from .filters import bit_filter, maybe
-from .frames import named
+from .frames import col, named, row_schema
 from .words import LOWER, Piece, before, mix, pieces, windows, words
 
 SIZE = 5
@@ -80,7 +80,7 @@ def _sums(tokens: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def _survey(source: DataFrame, kept: str, size: int) -> DataFrame:
+def _survey(source: DataFrame, size: int) -> DataFrame:
     def run(batches):
         sets, seen, held = [], set(), 0
 
@@ -108,7 +108,7 @@ def _survey(source: DataFrame, kept: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                                               pa.nulls(1, pa.int64()), pa.array([[{"token": t, "count": c} for t, c in repeated()]], _COUNTS)], _SURVEY)
 
-    return source.select("row", "o", "th", "t").mapInArrow(run, f"row {kept}, o long, th long, n long, s1 long, s2 long, frequent array<struct<token: bigint, count: bigint>>")
+    return source.select("row", "o", "th", "t").mapInArrow(run, row_schema(source, "o long, th long, n long, s1 long, s2 long, frequent array<struct<token: bigint, count: bigint>>"))
 
 
 _COUNTS = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))
@@ -222,10 +222,9 @@ def _room(percent: int, n_a: str = "a_n", n_b: str = "b_n", at_a: str = "a_pos",
 def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT,
                broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """Columns ``keep`` as struct ``row``, o and th (id, null last, and hash of the text), n_shingles, component_id, first_th (hash of the text that stands for the component)."""
-    source = documents.select(named(keep).alias("row"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("o"),
-                              F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))
-    kept = source.schema["row"].dataType.simpleString()
-    survey = materialize(_survey(source, kept, size), "survey")
+    source = documents.select(named(keep).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"),
+                              F.xxhash64(col(text)).alias("th"), col(text).alias("t"))
+    survey = materialize(_survey(source, size), "survey")
     known = survey.filter("n IS NOT NULL").drop("frequent")
     classes = materialize(known.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("o", "th")).alias("first")), "classes")
     representative = classes.select(F.col("s1").alias("sid"), F.expr("xxhash64(first.o, first.th)").alias("rh"))
@@ -294,7 +293,7 @@ def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text:
 def deduplicate(documents: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """One document of every group of near duplicates, that with the smallest id, with all its columns; wordless documents all stay."""
     names = documents.columns
-    source = documents.select(named(names).alias("row"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
+    source = documents.select(named(names).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"))
     wordless = ~F.coalesce(F.col("row").getField(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     heads = (components(documents, [id], id, text, **settings).filter("o = first_o AND th = first_th").select("o", "th").distinct())
     one = source.filter(~wordless).join(heads, ["o", "th"]).groupBy("o", "th").agg(F.first("row").alias("row"))

@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import free_name, named
+from .frames import col, free_name, named, row_schema
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account", "ssn", "secret", "street")
@@ -221,7 +221,7 @@ _SPAN_TYPE = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 def detect(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` as struct ``row``, and all spans of each document."""
-    source = documents.select(named(keep).alias("row"), F.col(f"`{text}`").alias("t"))
+    source = documents.select(named(keep).alias("row"), col(text).alias("t"))
 
     def run(batches):
         anchors = automaton()
@@ -231,7 +231,7 @@ def detect(documents: DataFrame, keep: list[str], text: str = "text") -> DataFra
                 found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, anchors)] if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _SPANS)], ["row", "spans"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, spans {_SPAN_TYPE}")
+    return source.mapInArrow(run, row_schema(source, f"spans {_SPAN_TYPE}"))
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -245,10 +245,10 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     apart = F.aggregate(ordered, F.array().cast(_SPAN_TYPE), lambda done, s: F.when(F.size(done) == 0, F.array(s)).otherwise(step(done, s)))
     mark = free_name(names, "apart")
     out = found.select(*[F.col("row").getField(c).alias(c) for c in names], apart.alias(mark))
-    body = F.col(f"`{text}`")
+    body = col(text)
     pieces = F.transform(F.sequence(F.lit(0), F.size(mark) - 1), lambda i: F.concat(
         F.substring(body, (F.when(i == 0, 0).otherwise(F.get(mark, i - 1)["end"]) + 1).cast("int"),
                     (F.get(mark, i)["start"] - F.when(i == 0, 0).otherwise(F.get(mark, i - 1)["end"])).cast("int")),
         F.lit("["), F.get(mark, i)["kind"], F.lit("]")))
     cut = F.concat(F.array_join(pieces, ""), F.substring(body, (F.element_at(mark, -1)["end"] + 1).cast("int"), F.length(body)))
-    return out.withColumn(text, F.when(F.size(mark) > 0, cut).otherwise(body)).select(*[f"`{c}`" for c in names])
+    return out.withColumn(text, F.when(F.size(mark) > 0, cut).otherwise(body)).select(*map(col, names))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark import TaskContext
 
 from ..scratch import materialize
-from .frames import named
+from .frames import col, named, row_schema
 from .words import Piece, pieces, range_hash
 
 BUCKETS = 1 << 14
@@ -103,7 +103,7 @@ def _added(parts: DataFrame) -> DataFrame:
 
 def context_vectors(documents: DataFrame, text: str = "text") -> np.ndarray:
     """Vectors of all buckets: mean context, less the mean of the corpus, drawn to zero for rare buckets."""
-    parts = _gather(documents.select(F.col(f"`{text}`").alias("t")))
+    parts = _gather(documents.select(col(text).alias("t")))
     salted = _added(parts.repartition("block", "salt"))
     whole = _added(salted.select("block", F.lit(0).alias("salt"), "sums").repartition("block"))
     table = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)
@@ -116,7 +116,7 @@ def context_vectors(documents: DataFrame, text: str = "text") -> np.ndarray:
 
 def pooled(documents: DataFrame, keep: list[str], vectors: np.ndarray, text: str = "text") -> DataFrame:
     """Columns ``keep`` as struct ``row``, and ``features``: mean and spread of the token vectors, likeness at each lag, log of the length."""
-    source = documents.select(named(keep).alias("row"), F.col(f"`{text}`").alias("t"))
+    source = documents.select(named(keep).alias("row"), col(text).alias("t"))
     shared = source.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
@@ -147,7 +147,7 @@ def pooled(documents: DataFrame, keep: list[str], vectors: np.ndarray, text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel()))],
                                                  ["row", "features"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, features array<float>")
+    return source.mapInArrow(run, row_schema(source, "features array<float>"))
 
 
 @dataclass
@@ -209,7 +209,7 @@ def fold(id: Column) -> Column:
 
 def training_rows(features: DataFrame, labels: DataFrame, id: str, label: str, most: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` labelled rows outside fold 0, those with the least hash of the id."""
-    marked = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).dropna().filter(fold(F.col("id")) != 0).distinct()
+    marked = labels.select(col(id).alias("id"), col(label).cast("double").alias("y")).dropna().filter(fold(F.col("id")) != 0).distinct()
     few = marked.orderBy(F.xxhash64("id"), "id", "y").limit(most)
     rows = features.select(F.col("row").getField(id).alias("id"), "features").join(few, "id").orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("features")).limit(2 * most)
     table = rows.select("features", "y").toArrow()
@@ -228,5 +228,5 @@ def classify(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net(x.astype(float)))], ["row", "score"])
 
-    scored = features.mapInArrow(run, f"row {features.schema['row'].dataType.simpleString()}, score double")
+    scored = features.mapInArrow(run, row_schema(features, "score double"))
     return scored.select(F.col("row").getField(id).alias(id), (fold(F.col("row").getField(id)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

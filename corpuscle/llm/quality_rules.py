@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import named
+from .frames import col, named, row_schema
 from .words import Piece, before, covered, mix, per_document, pieces, range_hash, windows, words
 
 LEAST_WORDS = 50
@@ -120,9 +120,9 @@ def _cleaned(piece: Piece, line_doc, start, end, failed) -> list[str | None]:
 
 def measure(documents: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
     """Columns ``keep``, the counts, ``base_failed``, ``kept`` and, if asked for, ``cleaned`` (null: text unchanged)."""
-    source = documents.select(named(keep).alias("row"), F.col(f"`{text}`").alias("t"))
+    source = documents.select(named(keep).alias("row"), col(text).alias("t"))
     out = [f"{c} long" for c in COUNTS] + ["cleaned string"] * with_text
-    schema = f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(out)
+    schema = row_schema(source, ", ".join(out))
 
     def run(batches):
         for batch in batches:
@@ -147,4 +147,4 @@ def clean(documents: DataFrame, text: str = "text") -> DataFrame:
     fresh = {text: F.coalesce("__cleaned", F.col(text))}
     if "n_chars" in names:
         fresh["n_chars"] = F.when(F.col("__cleaned").isNull(), F.col("n_chars")).otherwise(F.length("__cleaned").cast(documents.schema["n_chars"].dataType))
-    return out.withColumns(fresh).select(*names)
+    return out.withColumns(fresh).select(*map(col, names))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import free_name
+from .frames import col, free_name
 
 SLOTS = 4099            # prime, and well above 100 slots per shard
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
@@ -55,5 +55,5 @@ def shard(documents: DataFrame, id: str = "doc_id", text: str = "text", shards:
     names = documents.columns
     slot_name, shard_name = free_name(names, "slot"), free_name(names, "shard")
     table = documents.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], f"{slot_name} long, {shard_name} string")
-    placed = documents.withColumn(slot_name, slot(F.col(f"`{id}`"), F.col(f"`{text}`"), slots))
-    return placed.join(F.broadcast(table), slot_name).select(*[f"`{c}`" for c in names], slot_name, shard_name)
+    placed = documents.withColumn(slot_name, slot(col(id), col(text), slots))
+    return placed.join(F.broadcast(table), slot_name).select(*map(col, names), slot_name, shard_name)

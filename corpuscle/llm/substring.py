@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import materialize
 from .filters import bit_filter, maybe
-from .frames import named
-from .words import NOT_SPACE, Piece, Words, before, covered, mix, per_document, pieces, windows, words
+from .frames import col, named, row_schema
+from .words import Piece, Words, before, covered, mix, per_document, pieces, windows, words
 
 WINDOW = 50
 GRAM = 25
@@ -70,7 +70,7 @@ def digests(piece: Piece, w: Words, keep: np.ndarray) -> list[str]:
     return [hashlib.sha256(data[a:max(a, b - 1)]).hexdigest() for a, b in zip(where[:-1], where[1:])]
 
 
-def _survey(source: DataFrame, kept: str, size: int, gram: int) -> DataFrame:
+def _survey(source: DataFrame, size: int, gram: int) -> DataFrame:
     """Per document: words, hashes of the whole sequence, digest of all words, distinct anchors."""
     def run(batches):
         for batch in batches:
@@ -93,7 +93,7 @@ def _survey(source: DataFrame, kept: str, size: int, gram: int) -> DataFrame:
                      pa.array(digests(piece, w, np.ones(len(w.start), bool))), pa.array(lists, pa.list_(pa.int64()))],
                     ["row", "o", "th", "n_words", "s1", "s2", "digest", "anchors"])
 
-    return source.mapInArrow(run, f"row {kept}, o long, th long, n_words long, s1 long, s2 long, digest string, anchors array<long>")
+    return source.mapInArrow(run, row_schema(source, "o long, th long, n_words long, s1 long, s2 long, digest string, anchors array<long>"))
 
 
 def _windows(source: DataFrame, size: int, gram: int, firsts: np.ndarray, shared: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def _only(source: DataFrame, members: np.ndarray) -> DataFrame:
     return source.withColumn("rh", F.expr(ROW_HASH)).mapInArrow(run, source.withColumn("rh", F.expr(ROW_HASH)).schema).drop("rh")
 
 
-def _parsed(source: DataFrame, hits: DataFrame, kept: str, size: int, with_text: bool) -> DataFrame:
+def _parsed(source: DataFrame, hits: DataFrame, size: int, with_text: bool) -> DataFrame:
     """Factors, words removed, digest and, if asked for, text of the documents that have hits."""
     def run(batches):
         for batch in batches:
@@ -158,7 +158,7 @@ def _parsed(source: DataFrame, hits: DataFrame, kept: str, size: int, with_text:
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_removed", "kept_sha256", "factors", *["kept_text"] * with_text])
 
     return (source.join(hits, ["o", "th"]).select("row", "t", "hits")
-            .mapInArrow(run, f"row {kept}, n_words long, n_removed long, kept_sha256 string, factors {_FACTOR_TYPE}" + ", kept_text string" * with_text))
+            .mapInArrow(run, row_schema(source, f"n_words long, n_removed long, kept_sha256 string, factors {_FACTOR_TYPE}" + ", kept_text string" * with_text)))
 
 
 _FACTORS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("reference", pa.int64())]))
@@ -168,11 +168,10 @@ _FACTOR_TYPE = "array<struct<word: bigint, words: bigint, reference: bigint>>"
 def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", size: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Columns ``keep`` as struct ``row``, n_words, n_removed, kept_sha256 (of the kept words, joined by a space), factors and,
     if asked for, ``kept_text`` (null: nothing removed)."""
-    source = documents.select(named(keep).alias("row"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("o"),
-                              F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))
-    kept = source.schema["row"].dataType.simpleString()
+    source = documents.select(named(keep).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"),
+                              F.xxhash64(col(text)).alias("th"), col(text).alias("t"))
     slim = source.select("o", "th", F.expr(ROW_HASH).alias("rh"), "t")
-    survey = materialize(_survey(source, kept, size, gram), "survey")
+    survey = materialize(_survey(source, size, gram), "survey")
 
     copies = survey.filter(F.col("n_words") >= size).groupBy("s1", "s2", "n_words").agg(F.min("o").alias("first"))
     known = materialize(survey.drop("anchors").join(copies, ["s1", "s2", "n_words"], "left"), "copies")
@@ -187,7 +186,7 @@ def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str =
     hits = materialize(found.join(index, "window").filter("o > ref").groupBy("o", "th").agg(F.collect_list(F.struct("word", "ref")).alias("hits"))
                        .join(known.filter(~copied).select("o", "th").distinct(), ["o", "th"], "left_semi"), "hits")
 
-    parsed = _parsed(_only(source, bit_filter(hits, F.expr(ROW_HASH))), hits, kept, size, with_text)
+    parsed = _parsed(_only(source, bit_filter(hits, F.expr(ROW_HASH))), hits, size, with_text)
     nothing = F.array().cast(_FACTOR_TYPE)
     whole = F.when(copied, F.array(F.struct(F.lit(0).cast("long").alias("word"), F.col("n_words").alias("words"), F.col("first").alias("reference")))).otherwise(nothing)
     rest = (known.join(hits.select("o", "th"), ["o", "th"], "left_anti")
@@ -201,7 +200,7 @@ def deduplicate(documents: DataFrame, id: str = "doc_id", text: str = "text", si
     """The documents with repeated passages cut out; a text that loses words keeps the others joined by one space, ``n_chars`` follows if it is there."""
     names = documents.columns
     out = parse(documents, names, id, text, size, with_text=True).select(*[F.col("row").getField(c).alias(c) for c in names], F.col("kept_text").alias("__kept"))
-    fresh = {text: F.coalesce("__kept", F.col(f"`{text}`"))}
+    fresh = {text: F.coalesce("__kept", col(text))}
     if "n_chars" in names:
         fresh["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(documents.schema["n_chars"].dataType))
-    return out.withColumns(fresh).select(*[f"`{c}`" for c in names])
+    return out.withColumns(fresh).select(*map(col, names))
