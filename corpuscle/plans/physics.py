@@ -26,22 +26,30 @@ def _mix(spark, d):
   ln(f) - ln(1+f) + 8*f + 7*f*f + 2*f*f*f + piv*(beta + (1+f)*d1*beta) AS mu FROM e)
  SELECT p_partkey, {s6('pv')} AS pv, {s6('mu')} AS mu, {s6('f/(1+f)*mu - pv')} AS omega FROM v""")
 def mixture_pressure(spark, d):
-    rows = thermo.evaluate(_mix(spark, d), thermo.CarnahanStarling())
+    rows = thermo.evaluate(_mix(spark, d), thermo.CARNAHAN_STARLING)
     return rounded(rows.select("p_partkey", "pv", "mu", "omega"), "pv", "mu", "omega")
 
 
+def _poly(coefs, v):
+    return " + ".join(f"({c!r})*power({v}, {i})" for i, c in enumerate(coefs))
+
+
 @query(f"""WITH {MIX} SELECT p_partkey, {s6('(5*f*f*f*f+25*f*f*f+30*f*f+15*f+3)/(3*f+3)')} AS kolafa,
- {s6('ln(f) + (-8*ln(1+f) + 5 - 4/(f+1) + 25*f + 45*f*f/2 + 5*f*f*f)/3')} AS kolafa_mu, {s6(f'3/(1/f - 1/{thermo.F_CP!r})')} AS hall_pv FROM m""")
+ {s6('ln(f) + (-8*ln(1+f) + 5 - 4/(f+1) + 25*f + 45*f*f/2 + 5*f*f*f)/3')} AS kolafa_mu, {s6(f'3/(1/f - 1/{thermo.F_CP!r})')} AS hall_pv,
+ {s6(f'({_poly(thermo.LEFEVRE_P, "(f/2)")})/({_poly(thermo.LEFEVRE_Q, "(f/2)")})')} AS le_fevre_pv,
+ {s6(f'1 + h*{thermo.LIU_QZ_SCALE!r}/({_poly(thermo.LIU_QZ, "h")}) + {thermo.LIU_CS[0]!r}*h/(1-{thermo.LIU_A!r}*h) + ({thermo.LIU_CS[1]!r}+{thermo.LIU_CS[2]!r}*h*h+{thermo.LIU_CS[3]!r}*power(h,4))*power(h,40)')} AS liu
+ FROM (SELECT *, (f/2)/(1+f/2) AS h FROM m)""")
 def equations_of_state(spark, d):
     f = F.col("f")
-    return _mix(spark, d).select("p_partkey", r6(thermo.Kolafa().z(f, F)).alias("kolafa"), r6(thermo.Kolafa().mu0(f, F)).alias("kolafa_mu"),
-                                 r6(thermo.Hall().pv0(f, F)).alias("hall_pv"))
+    return _mix(spark, d).select(
+        "p_partkey", r6(thermo.KOLAFA.compressibility(f)).alias("kolafa"), r6(thermo.KOLAFA.bare_potential(f, F)).alias("kolafa_mu"),
+        r6(thermo.HALL.bare_pressure(f, F)).alias("hall_pv"), r6(thermo.LE_FEVRE.bare_pressure(f / 2, F)).alias("le_fevre_pv"), r6(thermo.LIU.compressibility(f / 2)).alias("liu"))
 
 
 @query()
 def phase_boundaries(spark, d):
     rows = table(spark, d, "part").groupBy("p_brand").agg((0.4 + F.avg("p_size") / 100).alias("q"), (F.max("p_size") * 1.0).alias("piv"))
-    out = thermo.phase_boundaries(rows.select("q", "piv"), thermo.CarnahanStarling(), thermo.Hall())
+    out = thermo.phase_boundaries(rows.select("q", "piv"), thermo.CARNAHAN_STARLING, thermo.HALL)
     return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
 
 

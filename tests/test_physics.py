@@ -12,40 +12,52 @@ from .helpers import random_points
 
 
 def test_equations_of_state_agree_at_low_density():
-    for eos in (thermo.CarnahanStarling(), thermo.Kolafa(), thermo.LeFevre(), thermo.Liu()):
-        f = thermo.from_fraction(0.1)
-        assert eos.z(f) == pytest.approx(1.5214, abs=0.01), type(eos)
-        generic = thermo.EquationOfState.mu0(eos, f)
-        assert generic == pytest.approx(thermo.CarnahanStarling().mu0(f), abs=0.02)
+    f = thermo.from_fraction(0.1)
+    for fluid in (thermo.CARNAHAN_STARLING, thermo.KOLAFA, thermo.LE_FEVRE, thermo.LIU):
+        assert fluid.compressibility(f) == pytest.approx(1.5214, abs=0.01)
+        assert fluid.bare_potential(f) == pytest.approx(math.log(0.1) + 8 * f + 7 * f * f + 2 * f ** 3, abs=0.02)
+
+
+def test_pressure_and_potential_belong_together():
+    """f dmu = (1 + f) dp for every equation, with and without polymer."""
+    for fluid in (thermo.CARNAHAN_STARLING, thermo.KOLAFA, thermo.LE_FEVRE, thermo.LIU, thermo.HALL):
+        for piv in (0.0, 2.0):
+            f, h = 0.6, 1e-5
+            dp = fluid.pressure(f + h, piv, 0.5) - fluid.pressure(f - h, piv, 0.5)
+            dmu = fluid.potential(f + h, piv, 0.5) - fluid.potential(f - h, piv, 0.5)
+            assert dmu * f == pytest.approx((1 + f) * dp, rel=1e-6)
+    for order in range(3):
+        low, high = (thermo.free_volume(0.4 + e, 0.7, order=order) for e in (-1e-6, 1e-6))
+        assert thermo.free_volume(0.4, 0.7, order=order + 1) == pytest.approx((high - low) / 2e-6, rel=1e-5)
 
 
 def test_hard_sphere_freezing():
-    fluid, solid = thermo.coexistence(thermo.CarnahanStarling(), thermo.Hall(), 0.0, 0.5)
+    fluid, solid = thermo.coexistence(thermo.CARNAHAN_STARLING, thermo.HALL, 0.0, 0.5)
     assert thermo.to_fraction(fluid) == pytest.approx(0.494, abs=0.01)
     assert thermo.to_fraction(solid) == pytest.approx(0.545, abs=0.01)
 
 
 def test_gas_liquid_binodal():
-    eos, q = thermo.CarnahanStarling(), 0.8
+    eos, q = thermo.CARNAHAN_STARLING, 0.8
     fc, pc = thermo.critical_point(eos, q)
     assert thermo.spinodal(eos, pc * 0.9, q) == pytest.approx((math.nan, math.nan), nan_ok=True)
     gas, liquid = thermo.binodal(eos, pc * 1.3, q)
     s_gas, s_liquid = thermo.spinodal(eos, pc * 1.3, q)
     assert gas < s_gas < fc < s_liquid < liquid
-    assert eos.pv(gas, pc * 1.3, q) == pytest.approx(eos.pv(liquid, pc * 1.3, q), rel=1e-6)
-    assert eos.mu(gas, pc * 1.3, q) == pytest.approx(eos.mu(liquid, pc * 1.3, q), rel=1e-6)
+    assert eos.pressure(gas, pc * 1.3, q) == pytest.approx(eos.pressure(liquid, pc * 1.3, q), rel=1e-6)
+    assert eos.potential(gas, pc * 1.3, q) == pytest.approx(eos.potential(liquid, pc * 1.3, q), rel=1e-6)
 
 
 def test_triple_point():
-    eos, solid = thermo.CarnahanStarling(), thermo.Hall()
+    eos, solid = thermo.CARNAHAN_STARLING, thermo.HALL
     piv, gas, liquid, crystal = thermo.triple_point(eos, solid, 0.6)
     assert gas < liquid < crystal
-    assert eos.pv(liquid, piv, 0.6) == pytest.approx(solid.pv(crystal, piv, 0.6), rel=1e-3)
+    assert eos.pressure(liquid, piv, 0.6) == pytest.approx(solid.pressure(crystal, piv, 0.6), rel=1e-3)
 
 
 def test_size_ratio():
-    assert 0.1 < thermo.experiment_to_theory(0.1) < 0.11
-    assert thermo.experiment_to_theory(0.5, flory=False) == pytest.approx(0.9 * 0.5 ** 0.9)
+    assert 0.1 < thermo.size_ratio(0.1) < 0.11
+    assert thermo.size_ratio(0.5, "ideal") == pytest.approx(0.9 * 0.5 ** 0.9)
 
 
 def test_blurred_sphere_limits(spark):
