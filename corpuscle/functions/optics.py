@@ -5,10 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from ..operators.graph import bonds_to_edges
 from ..scratch import materialize, materialize_with
@@ -18,87 +15,123 @@ def _c(v) -> Column:
     return v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(float(v))
 
 
-def _factor(ndim: int, n: float) -> float:
-    return math.sqrt(2 * ndim * math.log(2) / n / (2 ** (2 / n) - 1))
+class ScaleSpace:
+    """Blurs of an octave: n steps double the width, starting from k; a blob of ndim dimensions answers most where two neighbouring blurs differ most.
 
+    The difference of Gaussians of widths s and s * 2^(1/n) around a ball of radius R is extreme where R^2 = 2 ndim ln(2)/n s^2 / (1 - 2^(-2/n)),
+    s being the narrower width.  All conversions are that ratio, on a linear or a logarithmic axis.
+    """
 
-def radius_to_scale(r, k: float = 1.6, n: float = 3.0, ndim: int = 3) -> Column:
-    return F.log(_c(r) / (k * _factor(ndim, n))) * (n / math.log(2)) - 1
+    def __init__(self, k: float = 1.6, n: float = 3.0, ndim: int = 3):
+        self.k, self.n = k, n
+        step = 2 ** (1 / n)
+        self.wide = math.sqrt(2 * ndim * math.log(step) / (1 - step ** -2))     # radius / wider width, and over the narrower one:
+        self.narrow = self.wide / step
+
+    def radius(self, scale) -> Column:
+        return self.k * self.narrow * F.pow(F.lit(2.0), (_c(scale) + 1) / self.n)
+
+    def scale(self, radius) -> Column:
+        return self.n * F.log2(_c(radius) / (self.k * self.narrow)) - 1
 
 
 def scale_to_radius(s, k: float = 1.6, n: float = 3.0, ndim: int = 3) -> Column:
-    return F.pow(F.lit(2.0), (_c(s) + 1) / n) * (k * _factor(ndim, n))
+    return ScaleSpace(k, n, ndim).radius(s)
 
 
-def sigma_to_radius(sigma, n: float = 3.0, ndim: int = 3) -> Column:
-    return _c(sigma) * math.sqrt(2 * ndim * math.log(2) / n / (1 - 2 ** (-2 / n)))
+def radius_to_scale(r, k: float = 1.6, n: float = 3.0, ndim: int = 3) -> Column:
+    return ScaleSpace(k, n, ndim).scale(r)
 
 
-def radius_to_sigma(r, n: float = 3.0, ndim: int = 3) -> Column:
-    return _c(r) / math.sqrt(2 * ndim * math.log(2) / n / (1 - 2 ** (-2 / n)))
+def sigma_to_radius(sigma, n: float = 3.0, ndim: int = 3) -> Column:
+    return _c(sigma) * ScaleSpace(1.0, n, ndim).wide
 
 
-@pandas_udf(DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((math.erf(v) for v in x), float, len(x)))
+def radius_to_sigma(r, n: float = 3.0, ndim: int = 3) -> Column:
+    return _c(r) / ScaleSpace(1.0, n, ndim).wide
 
 
-def _erf_part(d: Column, r: Column, s: Column) -> Column:
-    return (F.exp(-(r + d) * (r + d) / (2 * s * s)) * math.sqrt(2 / math.pi) * s / d + erf((r + d) / (s * math.sqrt(2))))
+_NODES = tuple(zip(*(v.tolist() for v in np.polynomial.legendre.leggauss(20))))
 
 
-def blurred_sphere(r, sigma, d=None) -> Column:
-    """Gaussian blur of a sphere of radius r seen at distance d from its centre (at the centre without d)."""
-    r, s = _c(r), _c(sigma)
-    if d is None:
-        x = r / (s * math.sqrt(2))
-        return erf(x) - x * F.exp(-x * x) * (2 / math.sqrt(math.pi))
-    d = _c(d)
-    return _erf_part(d, r, s) + _erf_part(-d, r, s)
+def erf(x) -> Column:
+    """Error function: quadrature of exp(-t^2) for small arguments, the continued fraction of the rest for large ones."""
+    size = F.abs(_c(x))
+    near = F.least(size, F.lit(2.5))
+    inner = sum((w * F.exp(-(near * near) * (0.5 + 0.5 * t) ** 2) for t, w in _NODES[1:]), _NODES[0][1] * F.exp(-(near * near) * (0.5 + 0.5 * _NODES[0][0]) ** 2))
+    far = F.least(F.greatest(size, F.lit(2.5)), F.lit(27.0))
+    rest = far
+    for k in range(30, 0, -1):
+        rest = far + (k / 2) / rest
+    tail = 1 - F.exp(-far * far) / (rest * math.sqrt(math.pi))
+    return F.signum(_c(x)) * F.when(size <= 2.5, near * inner / math.sqrt(math.pi)).otherwise(tail)
 
 
-def difference_of_gaussians(r, sigma, alpha: float, d=None) -> Column:
-    return blurred_sphere(r, _c(sigma) * alpha, d) - blurred_sphere(r, sigma, d)
+class Blur:
+    """Response of a ball of radius R, blurred by sigma, at distance d from its centre (``None``: at the centre), in units of the ball's inside.
 
+    The blurred ball depends on R/sigma and d/sigma only, so its derivatives obey R I_R + sigma I_sigma + d I_d = 0, and I_R is the blurred shell of radius R.
+    With the normal density at the near and far side of the shell everything else follows.  Off the centre the answer counts both sides of the ball,
+    which is twice the blurred ball.
+    """
 
-def blurred_sphere_dsigma(r, sigma, d=None) -> Column:
-    """Derivative of the response with respect to the blur."""
-    r, s = _c(r), _c(sigma)
-    s2 = s * s
-    if d is None:
-        return -r * r * r / (s2 * s2) * math.sqrt(2 / math.pi) * F.exp(-r * r / (2 * s2))
-    def side(d):
-        return (r * r + d * r + s2) * F.exp(-(r + d) * (r + d) / (2 * s2)) / (math.sqrt(2 * math.pi) * d * s2)
-    d = _c(d)
-    return side(d) + side(-d)
+    def __init__(self, radius, sigma, d=None):
+        self.r, self.s = _c(radius), _c(sigma)
+        self.d = None if d is None else _c(d)
+        density = lambda u: F.exp(-u * u / 2) / math.sqrt(2 * math.pi)
+        if d is None:
+            self.c = self.r / self.s
+            self.near = density(self.c)
+        else:
+            self.a, self.b = (self.r - self.d) / self.s, (self.r + self.d) / self.s
+            self.near, self.far = density(self.a), density(self.b)
+
+    def value(self) -> Column:
+        if self.d is None:
+            return erf(self.c / math.sqrt(2)) - 2 * self.c * self.near
+        sides = erf(self.a / math.sqrt(2)) + erf(self.b / math.sqrt(2))
+        return sides + 2 * self.s / self.d * (self.far - self.near)
+
+    def shell(self) -> Column:
+        """Derivative in R."""
+        if self.d is None:
+            return 2 * self.c * self.c * self.near / self.s
+        return 2 * self.r / (self.s * self.d) * (self.near - self.far)
+
+    def by_sigma(self) -> Column:
+        if self.d is None:
+            return -self.c * self.shell()
+        outward = 2 * ((self.far - self.near) * (1 / self.s - self.s / (self.d * self.d)) - (self.a * self.near + self.b * self.far) / self.d)
+        return -(self.r * self.shell() + self.d * outward) / self.s
+
+    def by_sigma_and_radius(self) -> Column:
+        if self.d is None:
+            return self.shell() / self.s * (self.c * self.c - 3)
+        weigh = lambda u, density: (u * u - 1) * density
+        return 2 * self.r / (self.s * self.s * self.d) * (weigh(self.a, self.near) - weigh(self.b, self.far))
 
 
-def blurred_sphere_dsigma_dr(r, sigma, d=None) -> Column:
-    r, s = _c(r), _c(sigma)
-    s2 = s * s
-    if d is None:
-        return r * r * (r * r - 3 * s2) / (s2 * s2 * s2) * math.sqrt(2 / math.pi) * F.exp(-r * r / (2 * s2))
-    def side(d):
-        return -r * ((r + d) * (r + d) - s2) * F.exp(-(r + d) * (r + d) / (2 * s2)) / (math.sqrt(2 * math.pi) * d * s2 * s2)
-    d = _c(d)
-    return side(d) + side(-d)
+def blurred_sphere(r, sigma, d=None) -> Column:
+    return Blur(r, sigma, d).value()
 
 
-def _dog(response, alpha: float, r, sigma, d=None, outer: bool = True) -> Column:
-    wide = response(r, _c(sigma) * alpha, d)
-    return (alpha * wide if outer else wide) - response(r, sigma, d)
+def _between(part, alpha: float, r, sigma, d=None, weight: float = 1.0) -> Column:
+    """A part of the response at blur alpha * sigma, times ``weight``, less that at sigma."""
+    return weight * part(Blur(r, _c(sigma) * alpha, d)) - part(Blur(r, sigma, d))
 
 
-def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
+def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), tolerance: float = 1e-10) -> DataFrame:
     """Solve a sparse, diagonally dominant system by Jacobi sweeps: keys, p, v.
 
     ``diagonal``: keys, p, a, b (matrix diagonal and right side); ``couplings``: keys, p, q, a.  A sweep is one
-    join of the couplings with the current values and one sum per row.
+    join of the couplings with the current values and one sum per row.  Sweeps go on while they bring the values closer; a system for which they do
+    not is refused.
     """
     keys = list(keys)
     diagonal, couplings = materialize(diagonal.select(*keys, "p", "a", "b"), "diagonal"), materialize(couplings.select(*keys, "p", "q", "a"), "couplings")
     values = diagonal.select(*keys, "p", (F.col("b") / F.col("a")).alias("v"))
-    for _ in range(rounds):
+    best, since = math.inf, 0
+    while True:
         pull = (couplings.join(values.select(*keys, F.col("p").alias("q"), "v"), [*keys, "q"])
                 .groupBy(*keys, "p").agg(F.sum(F.col("a") * F.col("v")).alias("_s")))
         step = (diagonal.join(pull, [*keys, "p"], "left").join(values.withColumnRenamed("v", "_old"), [*keys, "p"])
@@ -107,7 +140,9 @@ def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), rou
         values = values.drop("_old")
         if not seen["rows"] or seen["change"] <= tolerance * max(seen["size"], 1e-300):
             return values
-    raise RuntimeError("linear system did not converge")
+        best, since = (seen["change"], 0) if seen["change"] < best else (best, since + 1)
+        if since > 20 or not math.isfinite(seen["change"]):
+            raise ValueError("sweeps do not converge: the system is not diagonally dominant")
 
 
 def _ends(points: DataFrame, bonds: DataFrame, columns, keys):
@@ -124,9 +159,9 @@ def solve_intensities(points: DataFrame, bonds: DataFrame, *, n: float = 3.0, ke
     ``points``: keys, pid, sigma, r, intensity; ``bonds``: keys, low, high, d.
     """
     keys, alpha = list(keys), 2 ** (1 / n)
-    diagonal = points.select(*keys, F.col("pid").alias("p"), difference_of_gaussians("r", "sigma", alpha).alias("a"), F.col("intensity").alias("b"))
+    diagonal = points.select(*keys, F.col("pid").alias("p"), _between(Blur.value, alpha, "r", "sigma").alias("a"), F.col("intensity").alias("b"))
     edges = _ends(points, bonds, ["sigma", "r"], keys)
-    return linear_solve(diagonal, edges.select(*keys, "p", "q", difference_of_gaussians("q_r", "p_sigma", alpha, "d").alias("a")), keys)
+    return linear_solve(diagonal, edges.select(*keys, "p", "q", _between(Blur.value, alpha, "q_r", "p_sigma", "d").alias("a")), keys)
 
 
 def global_rescale(points: DataFrame, bonds: DataFrame, *, n: float = 3.0, intensity: str | None = None, keys=("frame",)) -> DataFrame:
@@ -139,13 +174,13 @@ def global_rescale(points: DataFrame, bonds: DataFrame, *, n: float = 3.0, inten
     columns = ["sigma", "r", *([intensity] if intensity else [])]
     edges = _ends(points, bonds, columns, keys).withColumn("d", F.greatest(F.col("d"), F.col("p_r") + F.col("q_r")))
     w = weight(f"q_{intensity}")
-    pairs = materialize(edges.select(*keys, "p", "q", (w * _dog(blurred_sphere_dsigma_dr, alpha, "q_r", "p_sigma", "d")).alias("a"),
-                                     (w * _dog(blurred_sphere_dsigma, alpha, "q_r", "p_sigma", "d")).alias("v")), "pairs")
+    pairs = materialize(edges.select(*keys, "p", "q", (w * _between(Blur.by_sigma_and_radius, alpha, "q_r", "p_sigma", "d", alpha)).alias("a"),
+                                     (w * _between(Blur.by_sigma, alpha, "q_r", "p_sigma", "d", alpha)).alias("v")), "pairs")
     pull = pairs.groupBy(*keys, "p").agg(F.sum("v").alias("_v"))
     own = weight(intensity)
     diagonal = (points.withColumnRenamed("pid", "p").join(pull, [*keys, "p"], "left")
-                .select(*keys, "p", (own * _dog(blurred_sphere_dsigma_dr, alpha, "r", "sigma")).alias("a"),
-                        (-(own * _dog(blurred_sphere_dsigma, alpha, "r", "sigma") + F.coalesce("_v", F.lit(0.0)))).alias("b")))
+                .select(*keys, "p", (own * _between(Blur.by_sigma_and_radius, alpha, "r", "sigma", weight=alpha)).alias("a"),
+                        (-(own * _between(Blur.by_sigma, alpha, "r", "sigma", weight=alpha) + F.coalesce("_v", F.lit(0.0)))).alias("b")))
     step = linear_solve(diagonal, pairs, keys)
     return (points.select(*keys, F.col("pid").alias("p"), F.col("r").alias("_r")).join(step, [*keys, "p"])
             .select(*keys, "p", (F.col("_r") + F.col("v")).alias("r")))

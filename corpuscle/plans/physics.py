@@ -64,7 +64,7 @@ def scale_conversions(spark, d):
     r = F.col("p_size").cast("double")
     return table(spark, d, "part").select(
         "p_partkey", r6(optics.radius_to_scale(r)).alias("scale"), r6(optics.scale_to_radius(r / 10, ndim=2)).alias("radius"),
-        r6(optics.sigma_to_radius(r)).alias("from_sigma"), r6(optics.blurred_sphere_dsigma(r, 2.0)).alias("ds"))
+        r6(optics.sigma_to_radius(r)).alias("from_sigma"), r6(optics.Blur(r, 2.0).by_sigma()).alias("ds"))
 
 
 def _spots(spark, d):

@@ -15,7 +15,7 @@ def test_equations_of_state_agree_at_low_density():
     f = thermo.from_fraction(0.1)
     for fluid in (thermo.CARNAHAN_STARLING, thermo.KOLAFA, thermo.LE_FEVRE, thermo.LIU):
         assert fluid.compressibility(f) == pytest.approx(1.5214, abs=0.01)
-        assert fluid.bare_potential(f) == pytest.approx(math.log(0.1) + 8 * f + 7 * f * f + 2 * f ** 3, abs=0.02)
+        assert fluid.bare_potential(f) - fluid.offset == pytest.approx(math.log(0.1) + 8 * f + 7 * f * f + 2 * f ** 3, abs=0.02)
 
 
 def test_pressure_and_potential_belong_together():
@@ -168,3 +168,16 @@ def test_voronoi_cells_with_copies_and_few_neighbours(spark):
     few = voronoi.voronoi(spark.createDataFrame(pdf), 0.2, margin=0.05, nearest=4).toPandas().sort_values("p")
     assert many["volume"].sum() == pytest.approx(box) and np.allclose(many["volume"], few["volume"])
     assert many["volume"][:20].nunique() == 1
+
+
+def test_blur_derivatives_and_erf(spark):
+    xs = [0.0, 1e-3, 0.4, 1.0, 2.2, 2.5, 2.6, 4.0, 9.0, -1.3, -3.0, 60.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", optics.erf("x").alias("e")).collect()
+    assert all(r.e == pytest.approx(math.erf(r.x), abs=1e-13) for r in got)
+    h = 1e-4
+    for d in (None, F.lit(2.0), F.lit(7.0)):
+        at = lambda r, s: optics.Blur(r, s, d)  # noqa: E731, B023
+        row = spark.range(1).select(at(4.0, 1.5).by_sigma().alias("s"), ((at(4.0, 1.5 + h).value() - at(4.0, 1.5 - h).value()) / (2 * h)).alias("s2"),
+                                    at(4.0, 1.5).shell().alias("r"), ((at(4.0 + h, 1.5).value() - at(4.0 - h, 1.5).value()) / (2 * h)).alias("r2"),
+                                    at(4.0, 1.5).by_sigma_and_radius().alias("x"), ((at(4.0 + h, 1.5).by_sigma() - at(4.0 - h, 1.5).by_sigma()) / (2 * h)).alias("x2")).first()
+        assert (row.s, row.r, row.x) == pytest.approx((row.s2, row.r2, row.x2), rel=1e-6)
