@@ -61,7 +61,7 @@ def image_pairs(images: DataFrame, lags: Sequence[int], group: Sequence[str] = (
     return pairs.select(*group, "frame", "lag", "shape0", "data0", "data1")
 
 
-def ddm(images: DataFrame, lags: Sequence[int], *, group: Sequence[str] = (), most: int | None = 100) -> DataFrame:
+def ddm(images: DataFrame, lags: Sequence[int], *, group: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """Mean radial spectrum of image differences: group, lag, q_bin, n, power."""
     group = list(group)
     pairs = image_pairs(images, lags, group, most)

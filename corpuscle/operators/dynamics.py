@@ -20,10 +20,21 @@ DENSE_LAGS = 8     # more lags than this, without large gaps, go through blocks
 
 def log_spaced(longest: int, number: int) -> list[int]:
     """Distinct integer lags, about ``number`` of them, spread evenly in log scale up to ``longest``."""
+    longest = max(longest, 1)
     lags = {round(math.exp(math.log(longest) * i / max(number - 1, 1))) for i in range(number)}
     return sorted(lag for lag in lags if 1 <= lag <= longest)
 
 
+def longest_lag(tracks: DataFrame, keys: Sequence[str] = ("tr",)) -> int:
+    """Largest distance of two frames of one trajectory (of the whole series without keys): a single number comes back."""
+    spans = tracks.groupBy(*keys).agg((F.max("frame") - F.min("frame")).alias("span"))
+    return int(spans.agg(F.max("span")).first()[0] or 0)
+
+
+def all_lags(tracks: DataFrame, keys: Sequence[str] = ("tr",)) -> list[int]:
+    return list(range(1, max(longest_lag(tracks, keys), 1) + 1))
+
+
 def lag_pairs(tracks: DataFrame, lags: Sequence[int], columns: Sequence[str] = AXES, *,
               keys: Sequence[str] = ("tr",)) -> DataFrame:
     """Rows of one trajectory ``lag`` frames apart: keys, frame (the earlier), lag, and ``<c>0``, ``<c>1``.

@@ -144,18 +144,19 @@ def slice_histogram(points: DataFrame, cutoff: float, nbins: int, width: float,
                           bin=distance_bin(flat2, cutoff, nbins), **options)
 
 
-def hann_weight(periods: Sequence[float], coords: Sequence[str] = AXES) -> Column:
-    """Product over the axes of 0.5 * (1 - cos(2 pi x / L))."""
+def hann_weight(periods: Sequence[float], coords: Sequence[str] = AXES, lows: Sequence[float] | None = None) -> Column:
+    """Product over the axes of 0.5 * (1 - cos(2 pi (x - low) / L)): 1 in the middle of the box, 0 at its faces."""
     w = F.lit(1.0)
-    for c, L in zip(coords, periods):
-        w = w * (0.5 * (1 - F.cos(F.col(c) * (2 * math.pi / L))))
+    for c, L, low in zip(coords, periods, lows or [0.0] * len(coords)):
+        w = w * (0.5 * (1 - F.cos((F.col(c) - float(low)) * (2 * math.pi / L))))
     return w
 
 
-def windowed_histogram(points: DataFrame, cutoff: float, nbins: int, periods: Sequence[float], **options) -> DataFrame:
-    """Pairs of a finite sample weighted by a Hann window on both members."""
+def windowed_histogram(points: DataFrame, cutoff: float, nbins: int, periods: Sequence[float], lows: Sequence[float] | None = None,
+                       **options) -> DataFrame:
+    """Pairs of a finite sample weighted by a Hann window on both members (box from ``lows``, or 0)."""
     coords = options.get("coords", AXES)
-    return pair_histogram(points.withColumn("w", hann_weight(periods, coords)), cutoff, nbins, fields=["w"], **options)
+    return pair_histogram(points.withColumn("w", hann_weight(periods, coords, lows)), cutoff, nbins, fields=["w"], **options)
 
 
 def particle_histogram(points: DataFrame, cutoff: float, nbins: int, *, species: str | None = None,

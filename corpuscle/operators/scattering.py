@@ -13,33 +13,34 @@ from ..functions.geometry import AXES
 from ..functions.scalars import attach
 
 
-def kvector_shells(nbins: int, ndim: int = 3, per_shell: int = 30) -> list[tuple[int, tuple[int, ...]]]:
-    """Integer wave vectors of length about n for every shell n = 1..nbins-1, at most ``per_shell`` each.
+def shell_vectors(n: int, ndim: int = 3, limit: int | None = None) -> np.ndarray:
+    """Integer wave vectors with length about n: all but one component on the grid below n, one rounding the length down to the lattice.
 
-    3D: the last component completes i^2 + j^2 to the largest square not above n^2, and the cyclic
-    permutations follow.  2D: directions evenly spaced in the first quadrant, each with its mirror image.
+    Every cyclic order of the components is taken once.  ``limit`` keeps the first so many.
     """
-    shells = []
-    for n in range(1, nbins):
-        if ndim == 3:
-            seeds = ((i, j, math.isqrt(n * n - i * i - j * j))
-                     for i in range(n) for j in range(n) if i * i + j * j < n * n)
-            vectors = [k[turn:] + k[:turn] for k in seeds for turn in range(3)]
-        else:
-            firsts = dict.fromkeys(int(n * math.sin(math.pi / 2 * u / per_shell)) for u in range(per_shell // 2))
-            vectors = [k for i in firsts for k in ((i, math.isqrt(n * n - i * i)), (math.isqrt(n * n - i * i), i))]
-        shells += [(n, k) for k in vectors[:per_shell]]
-    return shells
+    grid = np.indices((n,) * (ndim - 1)).reshape(ndim - 1, -1).T
+    rest = n * n - (grid * grid).sum(axis=1)
+    grid, rest = grid[rest > 0], rest[rest > 0]
+    last = np.floor(np.sqrt(rest)).astype(int)
+    last += (last + 1) ** 2 <= rest
+    last -= last ** 2 > rest
+    seeds = np.column_stack([grid, last])
+    return np.unique(np.concatenate([np.roll(seeds, turn, axis=1) for turn in range(ndim)]), axis=0)[:limit]
+
+
+def kvector_shells(nbins: int, ndim: int = 3, limit: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """The vectors of all shells n = 1..nbins-1 as (n, vector)."""
+    return [(n, tuple(map(int, k))) for n in range(1, nbins) for k in shell_vectors(n, ndim, limit)]
 
 
 def amplitude_sums(points: DataFrame, nbins: int, periods: Sequence[float], *, keys: Sequence[str] = ("frame",),
-                   coords: Sequence[str] = AXES, per_shell: int = 30, field: Column | None = None) -> DataFrame:
+                   coords: Sequence[str] = AXES, limit: int | None = None, field: Column | None = None) -> DataFrame:
     """Density amplitudes: keys, q_bin, k_id, c, s, n (sums of cosines and sines over the particles).
 
     Wave vectors are a literal of the plan: each row is multiplied by it and summed at once in the
     map-side aggregate, nothing but one row per wave vector and partition is shuffled.
     """
-    shells = kvector_shells(nbins, len(coords), per_shell)
+    shells = kvector_shells(nbins, len(coords), limit)
     rows = ", ".join(
         f"named_struct('n', {n}, 'id', {i}, " + ", ".join(f"'k{c}', {2 * math.pi / L * k!r}D" for c, k, L in zip(coords, kv, periods)) + ")"
         for i, (n, kv) in enumerate(shells))
@@ -60,11 +61,11 @@ def structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], *,
     return sums.groupBy(*keys, "q_bin").agg(F.count("*").alias("n_k"), F.avg(power / F.col("n")).alias("s"))
 
 
-def windowed_structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], **options) -> DataFrame:
-    """The same for a finite sample: Hann window on the particles, divided by its mean square."""
+def windowed_structure_factor(points: DataFrame, nbins: int, periods: Sequence[float], lows: Sequence[float] | None = None, **options) -> DataFrame:
+    """The same for a finite sample: Hann window on the particles (box from ``lows``, or 0), divided by its mean square."""
     from .pairs import hann_weight
     keys, coords = options.get("keys", ("frame",)), options.get("coords", AXES)
-    w = hann_weight(periods, coords)
+    w = hann_weight(periods, coords, lows)
     s = structure_factor(points, nbins, periods, field=w, **options)
     norm = points.groupBy(*keys).agg(F.avg(w * w).alias("_w2"))
     return s.join(norm, list(keys)).select(*keys, "q_bin", "n_k", (F.col("s") / F.nullif(F.col("_w2"), F.lit(0.0))).alias("s"))

@@ -17,6 +17,13 @@ def _bin(value: Column, low: float, high: float, nbins: int) -> Column:
     return F.when((i >= 0) & (i < nbins), i).cast("int")
 
 
+def value_range(df: DataFrame, column: str) -> tuple[float, float]:
+    """Smallest and largest value, as the edges of a histogram that leaves nothing out."""
+    row = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    low, high = (0.0, 1.0) if row[0] is None else (row[0], row[1])
+    return (low, high) if high > low else (low, low + 1)
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, nbins: int, keys: Sequence[str] = ()) -> DataFrame:
     return (df.select(*keys, _bin(F.col(column), low, high, nbins).alias("bin")).where("bin is not null")
             .groupBy(*keys, "bin").agg(F.count("*").alias("n")))
@@ -30,7 +37,7 @@ def histogram2d(df: DataFrame, x: str, y: str, range_x, range_y, nbins: tuple[in
 
 
 def decimate_histogram(hist: DataFrame, threshold: int, nbins: int) -> DataFrame:
-    """Merge successive bins until each holds more than ``threshold``: first, last, n.
+    """Merge successive bins until each holds more than ``threshold``: first, last, n.  The last group may hold less.
 
     The histogram has ``nbins`` rows at most, whatever the data, and is folded as one array.
     """
@@ -43,7 +50,7 @@ def decimate_histogram(hist: DataFrame, threshold: int, nbins: int) -> DataFrame
              named_struct('out', concat(s.out, array(named_struct('first', coalesce(s.first, b.bin), 'last', b.bin, 'n', s.n + b.n))),
                           'first', cast(null as int), 'n', 0L),
              named_struct('out', s.out, 'first', coalesce(s.first, b.bin), 'n', s.n + b.n)),
-          s -> s.out) as o""")
+          s -> if(s.n > 0, concat(s.out, array(named_struct('first', s.first, 'last', element_at(h, -1).bin, 'n', s.n))), s.out)) as o""")
     return folded.select(F.explode("o").alias("o")).select("o.*")
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import dynamics as D, fields, select, spatial, order
 from .catalog import query, rounded, s3, s6
-from .tables import D2, DAYS, T, T_BOND, T_PAIRS, days, table, tracks
+from .tables import D2, DAYS, T, T_BOND, T_PAIRS, TRACK, days, tracks
 
-LAGS = list(range(1, 30))
 Q = math.pi / 25.0
 SHIFT = "CAST(b.frame - a.frame AS INTEGER) AS lag, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz"
 LAGGED = f"""lg AS (SELECT a.tr, a.frame, {SHIFT}, {D2} AS d2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1 FROM t a JOIN t b ON a.tr = b.tr AND b.frame > a.frame)"""
@@ -56,17 +55,17 @@ def trajectories_without_null_field(spark, d):
     return select.exclude_zero(t, "v").select("tr", "frame")
 
 
-@query(f"""WITH {T}, iv AS (SELECT CAST(i AS INTEGER) AS t0, CAST(i+4 AS INTEGER) AS t1 FROM range(0, 30, 3) r(i), (SELECT max(frame) AS last FROM t) WHERE i+4 <= last),
+@query(f"""WITH {T}, iv AS (SELECT CAST(i AS INTEGER) AS t0, CAST(i+4 AS INTEGER) AS t1 FROM (SELECT unnest(range(min(frame), max(frame) + 1, 3)) AS i, max(frame) AS last FROM t) WHERE i+4 <= last),
  s AS (SELECT tr, min(frame) AS a, max(frame) AS b FROM t GROUP BY 1)
  SELECT t0, t1, count(tr) AS n FROM iv LEFT JOIN s ON a <= t0 AND b >= t1 GROUP BY 1, 2""")
 def spanning_per_interval(spark, d):
     return select.spanning_per_interval(tracks(spark, d), 3, 5)
 
 
-@query(f"WITH {T}, o AS (SELECT uid, frame, z FROM d) SELECT t.tr, t.frame, o.uid AS pid, {s6('o.z')} AS z FROM t JOIN o ON o.uid = t.tr // 1000 AND o.frame = t.frame")
+@query(f"WITH {T}, o AS (SELECT uid, frame, z FROM d) SELECT t.tr, t.frame, o.uid AS pid, {s6('o.z')} AS z FROM t JOIN o ON o.uid = t.tr // 1000000 AND o.frame = t.frame")
 def rekey_by_trajectory(spark, d):
     field = days(spark, d).select("frame", F.col("uid").alias("pid"), "z")
-    traj = tracks(spark, d).select("tr", "frame", F.floor(F.col("tr") / 1000).alias("pid"))
+    traj = tracks(spark, d).select("tr", "frame", F.floor(F.col("tr") / TRACK).alias("pid"))
     back = select.by_position(select.by_trajectory(field, traj), traj)
     return rounded(back.join(traj, ["frame", "pid"]).select("tr", "frame", "pid", "z"), "z")
 
@@ -86,7 +85,8 @@ def births_and_deaths(spark, d):
 
 @query(f"WITH {T}, {LAGGED} SELECT lag, count(*) AS n FROM lg GROUP BY 1")
 def time_lag_pairs(spark, d):
-    return D.lag_pairs(tracks(spark, d), LAGS, ["x"]).groupBy("lag").agg(F.count("*").alias("n"))
+    t = tracks(spark, d)
+    return D.lag_pairs(t, D.all_lags(t), ["x"]).groupBy("lag").agg(F.count("*").alias("n"))
 
 
 DYN = f"""SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd, {s6('3*avg(d2*d2)/(5*avg(d2)*avg(d2)) - 1')} AS ngp,
@@ -96,7 +96,8 @@ DYN = f"""SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd, {s6('3*avg(d2*d2)/(
 
 @query(f"WITH {T}, {LAGGED} {DYN}, {s6('avg(CASE WHEN d2 < 400 THEN 1.0 ELSE 0.0 END)')} AS overlap FROM lg GROUP BY 1")
 def dynamics_all_lags(spark, d):
-    table = D.time_functions(tracks(spark, d), LAGS, q=Q, overlap=20.0)
+    t = tracks(spark, d)
+    table = D.time_functions(t, D.all_lags(t), q=Q, overlap=20.0)
     return rounded(rounded(table, "ngp", "isf_x", "isf_y", "isf_z", "isf", "overlap"), "msd", digits=3)
 
 
@@ -125,13 +126,15 @@ def msd_from_starts(spark, d):
 @query(f"""WITH {T}, {LAGGED}, i AS (SELECT lag, avg(cos(dx*{Q!r})) AS isf FROM lg GROUP BY 1)
  SELECT coalesce(min(lag) FILTER (WHERE isf < 0.3), max(lag)) AS tau FROM i""")
 def relaxation_time(spark, d):
-    isf = D.time_functions(tracks(spark, d), LAGS, q=Q)
+    t = tracks(spark, d)
+    isf = D.time_functions(t, D.all_lags(t), q=Q)
     return D.relaxation_time(isf, 0.3, "isf_x")
 
 
-@query(f"WITH {T}, {LAGGED} SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd FROM lg WHERE lag IN ({','.join(map(str, D.log_spaced(29, 10)))}) GROUP BY 1")
+@query(f"WITH {T}, {LAGGED} SELECT lag, count(*) AS n, {s3('avg(d2)')} AS msd FROM lg WHERE lag IN (SELECT CAST(round(exp(ln(m) * i / 9.0::DOUBLE)) AS INTEGER) FROM (SELECT max(lag) AS m FROM lg), range(10) r(i)) GROUP BY 1")
 def msd_log_spaced(spark, d):
-    table = D.time_functions(tracks(spark, d), D.log_spaced(29, 10), q=Q)
+    t = tracks(spark, d)
+    table = D.time_functions(t, D.log_spaced(D.longest_lag(t), 10), q=Q)
     return rounded(table.select("lag", "n", "msd"), "msd", digits=3)
 
 
@@ -199,13 +202,15 @@ def cages_and_jumps(spark, d):
 @query(f"""WITH {T}, c AS (SELECT tr, frame, x - avg(x) OVER () AS v FROM t), z AS (SELECT avg(v*v) AS c0, count(*) AS n FROM c)
  SELECT CAST(b.frame-a.frame AS INTEGER) AS lag, count(*) AS n, {s6('avg(a.v*b.v)/(SELECT c0 FROM z)')} AS c FROM c a JOIN c b ON a.tr = b.tr AND b.frame >= a.frame GROUP BY 1""")
 def time_correlation(spark, d):
-    return rounded(D.time_correlation(tracks(spark, d), "x", LAGS), "c")
+    t = tracks(spark, d)
+    return rounded(D.time_correlation(t, "x", D.all_lags(t)), "c")
 
 
 @query(f"""WITH {T}, f AS (SELECT frame, count(*) AS n, sum(cos(x*{Q!r}+z*{Q!r})) AS a, sum(sin(x*{Q!r}+z*{Q!r})) AS b FROM t GROUP BY 1)
  SELECT CAST(v.frame-u.frame AS INTEGER) AS lag, count(*) AS n, {s6('avg((u.a*v.a+u.b*v.b)/u.n)')} AS isf FROM f u JOIN f v ON v.frame > u.frame GROUP BY 1""")
 def collective_scattering(spark, d):
-    return rounded(D.collective_isf(tracks(spark, d), LAGS, [Q, 0.0, Q]), "isf")
+    t = tracks(spark, d)
+    return rounded(D.collective_isf(t, D.all_lags(t, keys=()), [Q, 0.0, Q]), "isf")
 
 
 @query(f"WITH {T}, {LAGGED} SELECT lag, CAST(floor(z0/50) AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (WHERE d2 < 900) AS n_overlap FROM lg WHERE lag <= 5 GROUP BY 1, 2")

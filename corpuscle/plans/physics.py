@@ -8,7 +8,7 @@ from ..functions import curves, optics, thermo
 from ..operators import dynamics as D, pairs, spatial, voronoi
 from . import pipelines
 from .catalog import query, r6, rounded, s6
-from .dynamics import LAGGED, LAGS, Q
+from .dynamics import LAGGED, Q
 from .spatial import BINS, CUT, RDF
 from .tables import P, T, positions, table, tracks
 
@@ -86,19 +86,22 @@ def corrected_radii(spark, d):
 
 @query(f"""WITH {T}, {LAGGED}, c AS (SELECT lag, avg(d2) AS msd FROM lg GROUP BY 1) SELECT {s6('exp(avg(ln(msd) - ln(6*lag)))')} AS d FROM c""")
 def diffusion_fit(spark, d):
-    msd = D.time_functions(tracks(spark, d), LAGS, q=Q).select("lag", "msd")
+    t = tracks(spark, d)
+    msd = D.time_functions(t, D.all_lags(t), q=Q).select("lag", "msd")
     return rounded(curves.fit(msd, "diffusion", "lag", "msd"), "d")
 
 
 @query()
 def relaxation_fit(spark, d):
-    isf = D.time_functions(tracks(spark, d), LAGS, q=Q / 4).select("lag", "isf")
+    t = tracks(spark, d)
+    isf = D.time_functions(t, D.all_lags(t), q=Q / 4).select("lag", "isf")
     return curves.fit(isf, "decay", "lag", "isf", start=[0.95, 10.0, 1.0]).select(*[F.round(c, 3).alias(c) for c in ("plateau", "tau", "beta")])
 
 
 @query()
 def moduli_from_msd(spark, d):
-    msd = D.time_functions(tracks(spark, d), D.log_spaced(29, 16), q=Q).select("lag", "msd")
+    t = tracks(spark, d)
+    msd = D.time_functions(t, D.log_spaced(D.longest_lag(t), 16), q=Q).select("lag", "msd")
     out = curves.microrheology(msd, 0.1, 0.5, 300.0)
     return out.select(r6("omega").alias("omega"), r6(F.col("storage") * 1e6).alias("storage"), r6(F.col("loss") * 1e6).alias("loss"))
 

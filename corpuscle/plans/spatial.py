@@ -252,11 +252,11 @@ def scaled_pair_histogram(spark, d):
     return pairs.scaled_pair_histogram(pos, 3.0, 30, widest)
 
 
-@query(f"""WITH {P}, w AS (SELECT *, {'*'.join(f"(0.5*(1-cos({c}*{2*math.pi!r})))" for c in 'xyz')} AS w FROM p),
+@query(f"""WITH {P}, w AS (SELECT *, {'*'.join(f"(0.5*(1-cos(({c}+0.5)*{2*math.pi!r})))" for c in 'xyz')} AS w FROM p),
  c AS (SELECT a.frame, {D2} AS d2, a.w*b.w AS ww FROM w a JOIN w b ON a.frame = b.frame AND a.pid < b.pid WHERE {D2} < {CUT}::DOUBLE*{CUT}::DOUBLE)
  SELECT frame, {BIN} AS bin, count(*) AS n, {s6('sum(ww)')} AS sum_w FROM c GROUP BY 1, 2""")
 def windowed_pair_histogram(spark, d):
-    return rounded(pairs.windowed_histogram(positions(spark, d), CUT, BINS, [1.0, 1.0, 1.0]), "sum_w")
+    return rounded(pairs.windowed_histogram(positions(spark, d), CUT, BINS, [1.0, 1.0, 1.0], [-0.5] * 3), "sum_w")
 
 
 @query(f"""WITH {P}, c AS (SELECT a.frame, {MD2} AS d2 FROM p a JOIN p b ON a.frame = b.frame AND a.pid < b.pid)

@@ -9,7 +9,7 @@ from .catalog import query, rounded, s3, s6
 from .spatial import CUT, BINS, RDF
 from .tables import P, positions, table
 
-PRICE = (0.0, 105000.0)
+PRICE = tuple(f"(SELECT {f}(l_extendedprice) FROM lineitem)" for f in ("min", "max"))
 
 
 def hist_bin(v, lo, hi, n):
@@ -19,22 +19,25 @@ def hist_bin(v, lo, hi, n):
 @query(f"""WITH h AS (SELECT l_returnflag, {hist_bin('l_extendedprice', *PRICE, 50)} AS bin FROM lineitem)
  SELECT l_returnflag, bin, count(*) AS n FROM h WHERE bin BETWEEN 0 AND 49 GROUP BY 1, 2""")
 def price_histogram(spark, d):
-    return stats.histogram(table(spark, d, "lineitem"), "l_extendedprice", *PRICE, 50, ["l_returnflag"])
+    lines = table(spark, d, "lineitem")
+    return stats.histogram(lines, "l_extendedprice", *stats.value_range(lines, "l_extendedprice"), 50, ["l_returnflag"])
 
 
 @query(f"""WITH h AS (SELECT {hist_bin('l_quantity', 1.0, 51.0, 10)} AS bin_x, {hist_bin('l_extendedprice', *PRICE, 20)} AS bin_y FROM lineitem)
  SELECT bin_x, bin_y, count(*) AS n FROM h WHERE bin_x BETWEEN 0 AND 9 AND bin_y BETWEEN 0 AND 19 GROUP BY 1, 2""")
 def quantity_price_histogram(spark, d):
-    return stats.histogram2d(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", (1.0, 51.0), PRICE, (10, 20))
+    lines = table(spark, d, "lineitem")
+    return stats.histogram2d(lines, "l_quantity", "l_extendedprice", (1.0, 51.0), stats.value_range(lines, "l_extendedprice"), (10, 20))
 
 
 @query(f"""WITH h AS (SELECT {hist_bin('l_extendedprice', *PRICE, 200)} AS bin FROM lineitem), c AS (SELECT bin, count(*) AS n FROM h WHERE bin BETWEEN 0 AND 199 GROUP BY 1),
  f AS (SELECT list_reduce(list({{'d': [{{'first': bin, 'last': bin, 'n': n, 'open': n <= 1000}}]}} ORDER BY bin),
   lambda a, b : CASE WHEN a.d[-1].open THEN {{'d': list_concat(a.d[:-2], [{{'first': a.d[-1].first, 'last': b.d[1].last, 'n': a.d[-1].n + b.d[1].n, 'open': a.d[-1].n + b.d[1].n <= 1000}}])}}
    ELSE {{'d': list_concat(a.d, b.d)}} END) AS s FROM c), u AS (SELECT unnest(s.d) AS r FROM f)
- SELECT r.first AS first, r.last AS last, r.n AS n FROM u WHERE NOT r.open""")
+ SELECT r.first AS first, r.last AS last, r.n AS n FROM u""")
 def decimated_histogram(spark, d):
-    hist = stats.histogram(table(spark, d, "lineitem"), "l_extendedprice", *PRICE, 200)
+    lines = table(spark, d, "lineitem")
+    hist = stats.histogram(lines, "l_extendedprice", *stats.value_range(lines, "l_extendedprice"), 200)
     return stats.decimate_histogram(hist, 1000, 200)
 
 
@@ -96,12 +99,11 @@ def radial_structure_factor(spark, d):
 
 # --- wave vectors ------------------------------------------------------------------------------------
 
-def kvec_sql(nbins, per_shell=30):
-    """The same truncated shells by SQL: seeds (i, j, floor(sqrt(n2 - i2 - j2))), three rotations, first ones kept."""
-    return f"""seeds AS (SELECT n, i, j, CAST(floor(sqrt(n*n-i*i-j*j)) AS BIGINT) AS k, row_number() OVER (PARTITION BY n ORDER BY i, j) AS o
+def kvec_sql(nbins):
+    """The same shells by SQL: (i, j, floor(sqrt(n2 - i2 - j2))) and its rotations, each vector once."""
+    return f"""seeds AS (SELECT n, i, j, CAST(floor(sqrt(n*n-i*i-j*j)) AS BIGINT) AS k
    FROM range(1, {nbins}) a(n), range(0, {nbins}) b(i), range(0, {nbins}) c(j) WHERE i < n AND i*i+j*j < n*n),
- kv AS (SELECT n, i AS a, j AS b, k AS c, o*3 AS id FROM seeds WHERE o <= {per_shell // 3} UNION ALL SELECT n, j, k, i, o*3+1 FROM seeds WHERE o <= {per_shell // 3}
-   UNION ALL SELECT n, k, i, j, o*3+2 FROM seeds WHERE o <= {per_shell // 3})"""
+ kv AS (SELECT *, row_number() OVER (ORDER BY n, a, b, c) AS id FROM (SELECT n, i AS a, j AS b, k AS c FROM seeds UNION SELECT n, j, k, i FROM seeds UNION SELECT n, k, i, j FROM seeds))"""
 
 
 def sq_sql(weight, box=(1.0, 1.0, 1.0), after=""):
@@ -123,13 +125,13 @@ def structure_factor_of_field(spark, d):
     return rounded(scattering.structure_factor(positions(spark, d), 10, [1.0, 0.8, 0.9], field=F.col("f")), "s")
 
 
-HANN = "*".join(f"(0.5*(1-cos({c}*{2 * math.pi!r})))" for c in "xyz")
+HANN = "*".join(f"(0.5*(1-cos(({c}+0.5)*{2 * math.pi!r})))" for c in "xyz")
 
 
 @query(sq_sql(HANN).replace("SELECT frame, CAST(n AS INTEGER)", f"SELECT sq.frame, CAST(n AS INTEGER)").replace(
     s6("s"), s6("s/w2")) + f" JOIN (SELECT frame, avg(w*w) AS w2 FROM w GROUP BY 1) z ON z.frame = sq.frame")
 def structure_factor_windowed(spark, d):
-    return rounded(scattering.windowed_structure_factor(positions(spark, d), 10, [1.0] * 3), "s")
+    return rounded(scattering.windowed_structure_factor(positions(spark, d), 10, [1.0] * 3, [-0.5] * 3), "s")
 
 
 @query(f"""WITH {P}, q AS (SELECT DISTINCT CAST(floor(sqrt(x*x+y*y)*20) AS INTEGER) AS b FROM p), c AS (SELECT (b+1)*2.0::DOUBLE AS q, 1 + avg(f)::DOUBLE AS s

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BOND = 0.12          # bond length used on the embedding positions
 T_BOND = 5.0         # and on the event tracks
+TRACK = 1_000_000    # ids of one user's tracks
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,18 +52,18 @@ DAYS = """d AS (SELECT user_id AS uid, CAST(date_diff('day', DATE '2024-01-01',
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
-    """Unbroken runs of days: tr = uid * 1000 + first day.
+    """Unbroken runs of days: tr = uid * TRACK + first day + TRACK / 2, apart for 2,700 years around the first day.
 
     Written once: the queries join the table with itself, and it is far smaller than the events.
     """
     from ..operators.select import contiguous
     from ..scratch import materialize
     runs = contiguous(materialize(days(spark, d), "days"), ["uid"])
-    return materialize(runs.select((F.col("uid") * 1000 + F.col("t_start")).alias("tr"), "frame", "x", "y", "z"), "tracks")
+    return materialize(runs.select((F.col("uid").cast("long") * TRACK + F.col("t_start") + TRACK // 2).alias("tr"), "frame", "x", "y", "z"), "tracks")
 
 
 T = DAYS + """, di AS (SELECT *, frame - row_number() OVER (PARTITION BY uid ORDER BY frame) AS isl FROM d),
-t AS (SELECT uid * 1000 + min(frame) OVER (PARTITION BY uid, isl) AS tr, frame, x, y, z FROM di)"""
+t AS (SELECT uid * 1000000 + min(frame) OVER (PARTITION BY uid, isl) + 500000 AS tr, frame, x, y, z FROM di)"""
 
 T_PAIRS = f"""tp AS (SELECT a.frame, a.tr AS low, b.tr AS high FROM t a JOIN t b ON a.frame = b.frame AND a.tr < b.tr
   WHERE {D2} < {T_BOND}*{T_BOND})"""

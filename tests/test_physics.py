@@ -108,11 +108,32 @@ def test_fits(spark):
     assert np.allclose(shared[["plateau", "tau", "beta"]], [[0.8, 5, 0.9], [0.8, 20, 0.9]], rtol=1e-2)
 
 
-def test_newtonian_fluid_has_no_storage_modulus():
+def test_newtonian_fluid_has_no_storage_modulus(spark):
     t = np.logspace(-2, 2, 40)
-    omega, storage, loss = curves.moduli(t, 6 * 0.1 * t, 0.5, 300.0)
+    got = curves.microrheology(spark.createDataFrame(pd.DataFrame({"lag": t, "msd": 6 * 0.1 * t})), 1.0, 0.5, 300.0).toPandas().sort_values("omega")
     viscosity = curves.BOLTZMANN * 300 / (6 * math.pi * 0.5e-6 * 0.1e-12)
-    assert np.allclose(loss, viscosity * omega, rtol=0.02) and np.allclose(storage, 0, atol=0.02 * loss.max())
+    assert len(got) == 40
+    assert np.allclose(got.loss, viscosity * got.omega, rtol=0.02) and np.allclose(got.storage, 0, atol=0.02 * got.loss.max())
+
+
+def test_local_parabolas(spark):
+    rng = np.random.default_rng(3)
+    x = np.sort(np.exp(rng.uniform(-3, 3, 60)))
+    y = x ** 0.7 * np.exp(0.1 * rng.normal(size=60))
+    curve = pd.concat([pd.DataFrame({"c": c, "x": x, "y": y * (c + 1)}) for c in range(2)])
+    got = curves.local_parabolas(spark.createDataFrame(curve), "x", "y", 0.7, ["c"]).toPandas().sort_values(["c", "x"])
+    for c in range(2):
+        for u, row in zip(np.log(x), got[got.c == c].itertuples()):
+            w = np.exp(-((np.log(x) - u) ** 2) / (2 * 0.7 ** 2))
+            near = w > 0.03
+            a, b, v = np.polyfit(np.log(x)[near] - u, np.log(y * (c + 1))[near], 2, w=w[near])
+            assert (row.level, row.slope, row.bend) == pytest.approx((math.exp(v), b, 2 * a), rel=1e-6, abs=1e-9)
+
+
+def test_log_gamma(spark):
+    zs = [0.01, 0.5, 1.0, 1.7, 4.2, 30.0]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", curves.log_gamma(F.col("z")).alias("g")).collect():
+        assert r.g == pytest.approx(math.lgamma(r.z), abs=1e-10)
 
 
 def test_alternating_extrema(spark):
