@@ -66,8 +66,7 @@ def read_tiffs(spark, path, t_token: str = "_t", z_token: str = "_z") -> DataFra
             yield pd.DataFrame({"path": pdf["path"], "shape": [list(p.shape) for p in planes],
                                 "data": [p.astype(p.dtype.newbyteorder("<")).tobytes() for p in planes]})
     decoded = files.select("path", "content").mapInPandas(decode, "path string, shape array<int>, data binary")
-    step = lambda token: F.coalesce(frame_of("path", token), F.lit(0))
-    return decoded.select(step(t_token).alias("frame"), step(z_token).alias("z"), "shape", "data")
+    return decoded.select(frame_of("path", t_token).alias("frame"), frame_of("path", z_token).alias("z"), "shape", "data")
 
 
 def stack_planes(planes: DataFrame, keys=("frame",)) -> DataFrame:

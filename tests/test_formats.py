@@ -128,3 +128,13 @@ def test_structured_points(spark, tmp_path):
 def test_lif_xml(spark, tmp_path):
     (tmp_path / "a.lif").write_bytes(lif_bytes({"one": np.zeros((1, 2, 3, 4), np.uint8)}))
     assert 'Name="one"' in lif.xml_headers(spark, str(tmp_path / "*.lif")).first()["xml"]
+
+
+def test_names_without_token_and_short_lines(spark, tmp_path):
+    (tmp_path / "run.blob").write_text("83.2 152.8 77 2.8 -7.4\n83.3 153.2 78\n\n83.4 x 79 3.3 -12.7\n")
+    rows = text.read_blobs(spark, str(tmp_path / "run.blob")).orderBy("pid").collect()
+    assert [(r.frame, r.pid, r.x, r.y, r.r) for r in rows] == [(0, 0, 83.2, 152.8, 2.8), (0, 1, 83.3, 153.2, None), (0, 3, 83.4, None, 3.3)]
+    (tmp_path / "run.bonds").write_text("3 1\n7\n")
+    assert [tuple(r) for r in text.read_bonds(spark, str(tmp_path / "run.bonds")).collect()] == [(0, 1, 3)]
+    (tmp_path / "plain.grv").write_text("1 2 3\n")
+    assert text.read_grv(spark, str(tmp_path / "plain.grv")).first().frame == 0
