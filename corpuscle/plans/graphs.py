@@ -162,14 +162,16 @@ def graph_path_length(spark, d):
 ALIVE = f"WITH {T}, {T_PAIRS}, te AS (SELECT frame, low AS p, high AS q FROM tp UNION ALL SELECT frame, high, low FROM tp)"
 
 
-def _alive(spark, d):
-    return tracks(spark, d).select("frame", "tr")
+def _bonds_and_tracks(spark, d):
+    """Bonds of the tracks, and (frame, tr) of the same tracks, which are read and written once."""
+    t = tracks(spark, d)
+    return track_bonds(spark, d, t), t.select("frame", "tr")
 
 
 @query(ALIVE + """ SELECT tp.frame, tp.low, tp.high FROM tp JOIN t a ON a.tr = tp.low AND a.frame = tp.frame+1 JOIN t b ON b.tr = tp.high AND b.frame = tp.frame+1
  LEFT JOIN tp n ON n.frame = tp.frame+1 AND n.low = tp.low AND n.high = tp.high WHERE n.low IS NULL""")
 def broken_bonds(spark, d):
-    return graph.broken_bonds(track_bonds(spark, d), _alive(spark, d))
+    return graph.broken_bonds(*_bonds_and_tracks(spark, d))
 
 
 def _change(x, y):
@@ -180,7 +182,8 @@ def _change(x, y):
 @query(ALIVE + f""" SELECT t.frame, t.tr AS p, CASE WHEN l.tr IS NOT NULL THEN {_change('', '+1')} ELSE -1 END AS lost,
  CASE WHEN l.tr IS NOT NULL THEN {_change('+1', '')} ELSE -1 END AS gained FROM t LEFT JOIN t l ON l.tr = t.tr AND l.frame = t.frame+1""")
 def neighbour_changes(spark, d):
-    changes = graph.neighbour_changes(graph.bonds_to_edges(track_bonds(spark, d)), _alive(spark, d))
+    bonds, alive = _bonds_and_tracks(spark, d)
+    changes = graph.neighbour_changes(graph.bonds_to_edges(bonds), alive)
     return changes.na.fill(-1, ["lost", "gained"])
 
 
@@ -188,7 +191,8 @@ def neighbour_changes(spark, d):
  (SELECT 1 FROM te n WHERE n.frame = t.frame AND n.p = te.p AND n.q = te.q)) AS lost
  FROM t WHERE frame >= 5 AND tr IN (SELECT tr FROM t WHERE frame = 5)""")
 def lost_neighbours_since_reference(spark, d):
-    return graph.lost_since(graph.bonds_to_edges(track_bonds(spark, d)), _alive(spark, d), 5)
+    bonds, alive = _bonds_and_tracks(spark, d)
+    return graph.lost_since(graph.bonds_to_edges(bonds), alive, 5)
 
 
 @query(ALIVE + """, b AS (SELECT tp.* FROM tp JOIN t a ON a.tr = tp.low AND a.frame = tp.frame JOIN t c ON c.tr = tp.high AND c.frame = tp.frame WHERE a.x < 5 AND c.x < 5)
@@ -196,8 +200,8 @@ def lost_neighbours_since_reference(spark, d):
   SELECT te.frame, te.p, te.q FROM b JOIN te ON te.frame = b.frame AND te.p = b.low AND te.q <> b.high UNION ALL
   SELECT te.frame, te.p, te.q FROM b JOIN te ON te.frame = b.frame AND te.p = b.high AND te.q <> b.low)""")
 def neighbouring_bonds(spark, d):
-    tb = track_bonds(spark, d)
-    small = tracks(spark, d).where("x < 5").select("frame", "tr")
+    t = tracks(spark, d)
+    tb, small = track_bonds(spark, d, t), t.where("x < 5").select("frame", "tr")
     chosen = tb
     for end in ("low", "high"):
         chosen = chosen.join(small.withColumnRenamed("tr", end), ["frame", end], "left_semi")
@@ -229,12 +233,12 @@ BROKEN = f"""WITH RECURSIVE {T}, {T_PAIRS}, te AS (SELECT frame, low AS p, high
 
 @query(BROKEN + " SELECT low, high, frame FROM nv")
 def never_reforming_bonds(spark, d):
-    return graph.never_reform(track_bonds(spark, d), _alive(spark, d), 3)
+    return graph.never_reform(*_bonds_and_tracks(spark, d), 3)
 
 
 @query(BROKEN + " SELECT low, high, frame FROM nv WHERE NOT EXISTS (SELECT 1 FROM h2 WHERE h2.p = nv.low AND h2.q = nv.high AND h2.frame >= nv.frame)")
 def never_closer_bonds(spark, d):
-    return graph.never_closer(track_bonds(spark, d), _alive(spark, d), 3)
+    return graph.never_closer(*_bonds_and_tracks(spark, d), 3)
 
 
 T_REACH = f"""WITH RECURSIVE {T}, {T_PAIRS}, te AS (SELECT frame, low AS p, high AS q FROM tp UNION ALL SELECT frame, high, low FROM tp),

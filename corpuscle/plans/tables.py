@@ -69,8 +69,8 @@ T_PAIRS = f"""tp AS (SELECT a.frame, a.tr AS low, b.tr AS high FROM t a JOIN t b
   WHERE {D2} < {T_BOND}*{T_BOND})"""
 
 
-def track_bonds(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of tracks closer than T_BOND in the same frame: frame, low, high."""
+def track_bonds(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Pairs of tracks closer than T_BOND in the same frame: frame, low, high.  ``of``: tracks the caller has already."""
     from ..operators.spatial import bonds
     from ..scratch import materialize
-    return materialize(bonds(tracks(spark, d), T_BOND, id_col="tr").select("frame", "low", "high"), "bonds")
+    return materialize(bonds(tracks(spark, d) if of is None else of, T_BOND, id_col="tr").select("frame", "low", "high"), "bonds")
