@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import bonds_to_edges
-from ..scratch import materialize, materialize_with
+from ..scratch import materialize, materialize_with, release
 
 
 def _c(v) -> Column:
@@ -136,8 +136,10 @@ def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), tol
                 .groupBy(*keys, "p").agg(F.sum(F.col("a") * F.col("v")).alias("_s")))
         step = (diagonal.join(pull, [*keys, "p"], "left").join(values.withColumnRenamed("v", "_old"), [*keys, "p"])
                 .select(*keys, "p", ((F.col("b") - F.coalesce("_s", F.lit(0.0))) / F.col("a")).alias("v"), "_old"))
-        values, seen = materialize_with(step, "values", change=F.max(F.abs(F.col("v") - F.col("_old"))), size=F.max(F.abs("v")))
-        values = values.drop("_old")
+        old, (values, seen) = values, materialize_with(step, "values", change=F.max(F.abs(F.col("v") - F.col("_old"))), size=F.max(F.abs("v")))
+        release(old)
+        stage, values = values, values.drop("_old")
+        values._scratch_folder = stage._scratch_folder
         if not seen["rows"] or seen["change"] <= tolerance * max(seen["size"], 1e-300):
             return values
         best, since = (seen["change"], 0) if seen["change"] < best else (best, since + 1)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import attach_by
-from ..scratch import materialize, materialize_with
+from ..scratch import materialize, materialize_with, release
 
 
 def edges_to_bonds(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -168,8 +168,7 @@ def crossed_bonds(bonds: DataFrame, field: DataFrame, value: str, threshold: flo
 
 # --- components and paths ----------------------------------------------------------------------------
 
-def connected_components(edges: DataFrame, keys: Sequence[str] = ("frame",), nodes: DataFrame | None = None,
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str] = ("frame",), nodes: DataFrame | None = None) -> DataFrame:
     """keys, p, cluster (= smallest member id); ``nodes`` (keys, p) adds single particles.
 
     Alternates two steps until nothing changes: every particle hands its smallest neighbour to its larger
@@ -179,7 +178,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ("frame",), nod
     keys = list(keys)
     arcs = edges.where("p <> q").select(*keys, F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct()
     arcs, before = materialize(arcs, "arcs"), None
-    for _ in range(max_rounds):
+    while True:
         both = arcs.union(arcs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         large = (both.join(least, [*keys, "u"]).where("v > u")
@@ -187,13 +186,12 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ("frame",), nod
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         linked = large.join(least, [*keys, "u"])
         small = linked.where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        arcs, now = materialize_with(small.union(least.select(*keys, "u", F.col("m").alias("v"))).distinct(), "arcs",
-                                     mark=F.bit_xor(F.xxhash64(*keys, "u", "v")))
+        old, (arcs, now) = arcs, materialize_with(small.union(least.select(*keys, "u", F.col("m").alias("v"))).distinct(), "arcs",
+                                                  mark=F.bit_xor(F.xxhash64(*keys, "u", "v")))
+        release(old)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not converge")
     roots = arcs.select(*keys, F.col("v").alias("p")).distinct()
     labels = arcs.select(*keys, F.col("u").alias("p"), F.col("v").alias("cluster")).union(
         roots.withColumn("cluster", F.col("p")))
