@@ -31,6 +31,19 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+ROWS_PER_BATCH = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(source: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over documents.  Batches count rows, not bytes, and 10,000 documents would be hundreds of megabytes on both sides of the pipe:
+    the session's limit is lowered to ``ROWS_PER_BATCH`` if it is above."""
+    conf = source.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= ROWS_PER_BATCH:
+        conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+    return source.mapInArrow(run, schema)
+
+
 def row_schema(source: DataFrame, rest: str) -> T.StructType:
     """Schema of column ``row`` of the source, followed by the columns in ``rest`` (DDL)."""
     return T.StructType([T.StructField("row", source.schema["row"].dataType), *T.StructType.fromDDL(rest).fields])

@@ -3,8 +3,8 @@
 A document is the set of its distinct shingles (``SIZE`` consecutive words).  Two documents link when their Jaccard similarity is at least
 ``PERCENT`` / 100.  If it is, then under any fixed order of all tokens the first n - ceil(n * PERCENT / 100) + 1 tokens of both must share one.  All orders
 used here put tokens known to be frequent last, by classes of their frequency, and differ in how they arrange the tokens of a class.  A candidate pair has
-to share a prefix token under the first order, at positions that leave room for enough common tokens, and under each further order; only then are
-the sets intersected, exactly.
+to share prefix tokens under the first order, as many as the sizes demand and at positions that leave room for enough further ones, and under each further order; only then
+are the sets intersected, exactly.
 
 Steps, each for the whole corpus:
   1. Survey: size and fingerprint of each set.  Equal sets are one class with one representative.  Tokens that repeat within a task are counted there and
@@ -12,7 +12,7 @@ Steps, each for the whole corpus:
   2. Prefix tokens under the first order are aggregated, combined before the shuffle, to find those of at least two sets.
   3. The sets' shared prefix tokens are joined in stars, never in all pairs: each token's most central set (its token stands earliest) is compared with the others, and
      of its stars each set is verified against the one it shares most tokens with.  Sets found similar become a component.
-  4. Stars are repeated between components; then the pairs of sets of still different components that share a prefix token and pass all filters are verified, so no link is lost.
+  4. The pairs of sets of still different components that share a prefix token and pass all filters are verified, so no link is lost.
 Bit filters of fixed size keep everything else out of the shuffles; they only ever let too much through.
 
 Edge cases: a null or wordless text has the empty set and is linked with nothing (its component is its own id); a text of fewer words than ``SIZE`` is one shingle;
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import connected_components
-from ..scratch import materialize, materialize_with
+from ..scratch import materialize, materialize_with, release
 from .filters import bit_filter, maybe
-from .frames import col, named, row_schema
+from .frames import col, map_texts, named, row_schema
 from .words import LOWER, Piece, before, mix, pieces, windows, words
 
 SIZE = 5
@@ -37,8 +37,8 @@ PERCENT = 75
 ORDERS = 3
 FREQUENT = 16           # summed repetitions from which a token counts as frequent
 BROADCAST_TOKENS = 2_000_000
-STAR_ROUNDS = 2
-_BATCH_TOKENS = 4_000_000
+STAR_ROUNDS = 1
+_BATCH_TOKENS = 2_000_000
 _TOKEN_BITS = 58        # the frequency class stands above them
 _MASK = np.uint64((1 << _TOKEN_BITS) - 1)
 _LAST = 2**63 - 1
@@ -88,7 +88,7 @@ def _survey(source: DataFrame, size: int) -> DataFrame:
             value, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             sets.clear()
             seen.clear()
-            return [(int(v), int(c)) for v, c in zip(value[count > 1], count[count > 1])]
+            return value[count > 1].view(np.int64), count[count > 1]
 
         for batch in batches:
             for piece in pieces(batch.column("t")):
@@ -100,25 +100,25 @@ def _survey(source: DataFrame, size: int) -> DataFrame:
                         seen.add(s)
                         sets.append(tokens[first[d]:first[d + 1]])
                         held += int(n[d])
-                frequent = [[] for _ in range(piece.n)]
-                if held > _BATCH_TOKENS:
-                    frequent[-1], held = repeated(), 0
-                yield _record(batch, piece, n, s1, s2, frequent)
+                part = slice(piece.first, piece.first + piece.n)
+                again, held = (repeated(), 0) if held > _BATCH_TOKENS else ((), held)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[part] for c in ("row", "o", "th")), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2),
+                                                  _counts(piece.n, *again)], _SURVEY)
         if held:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                                              pa.nulls(1, pa.int64()), pa.array([[{"token": t, "count": c} for t, c in repeated()]], _COUNTS)], _SURVEY)
+                                              pa.nulls(1, pa.int64()), _counts(1, *repeated())], _SURVEY)
 
-    return source.select("row", "o", "th", "t").mapInArrow(run, row_schema(source, "o long, th long, n long, s1 long, s2 long, frequent array<struct<token: bigint, count: bigint>>"))
+    return map_texts(source.select("row", "o", "th", "t"), run, row_schema(source, "o long, th long, n long, s1 long, s2 long, frequent array<struct<token: bigint, count: bigint>>"))
 
 
-_COUNTS = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))
 _SURVEY = ["row", "o", "th", "n", "s1", "s2", "frequent"]
 
 
-def _record(batch, piece: Piece, n, s1, s2, frequent) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [*(batch.column(c).slice(piece.first, piece.n) for c in ("row", "o", "th")), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2),
-         pa.array([[{"token": t, "count": c} for t, c in x] for x in frequent], _COUNTS)], _SURVEY)
+def _counts(rows: int, tokens=np.zeros(0, np.int64), counts=np.zeros(0, np.int64)) -> pa.Array:
+    """Lists of (token, count): all in the last row."""
+    offsets = np.zeros(rows + 1, np.int32)
+    offsets[-1] = len(tokens)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], ["token", "count"]))
 
 
 class Orders:
@@ -171,7 +171,7 @@ def _prefixes(source: DataFrame, firsts, orders, size: int, percent: int, only=N
                 yield pa.RecordBatch.from_arrays([pa.array((key[use] & _MASK).view(np.int64)), pa.array(sid[owner]), pa.array(n[owner].astype(np.int32)),
                                                   pa.array(place[use].astype(np.int32))], ["token", "sid", "n", "pos"])
 
-    return source.select(F.expr(_ROW_HASH).alias("rh"), "t").mapInArrow(run, "token long, sid long, n int, pos int")
+    return map_texts(source.select(F.expr(_ROW_HASH).alias("rh"), "t"), run, "token long, sid long, n int, pos int")
 
 
 def _sets(source: DataFrame, chosen, orders, size: int, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def _sets(source: DataFrame, chosen, orders, size: int, percent: int) -> DataFra
                     columns.append(pa.ListArray.from_arrays(pa.array(before(np.where(n > 0, length, 0)).astype(np.int32)), pa.array(flat.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, ["sid", "tokens", *(f"prefix{k}" for k in range(1, ORDERS))])
 
-    found = source.select(F.expr(_ROW_HASH).alias("rh"), "t").mapInArrow(run, "sid long, tokens array<long>" + "".join(f", prefix{k} array<long>" for k in range(1, ORDERS)))
+    found = map_texts(source.select(F.expr(_ROW_HASH).alias("rh"), "t"), run, "sid long, tokens array<long>" + "".join(f", prefix{k} array<long>" for k in range(1, ORDERS)))
     return found.groupBy("sid").agg(*[F.first(c).alias(c) for c in found.columns[1:]])
 
 
@@ -213,10 +213,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.when(near, 100 * common >= percent * union).otherwise(F.lit(False)).alias("similar"))
 
 
-def _room(percent: int, n_a: str = "a_n", n_b: str = "b_n", at_a: str = "a_pos", at_b: str = "b_pos") -> Column:
-    """Sizes near enough, and behind a first common token at these positions enough tokens left."""
-    left = f"least({n_a} - {at_a}, {n_b} - {at_b})"
-    return F.expr(f"100L * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b}) AND {100 + percent}L * {left} >= {percent} * ({n_a} + {n_b})")
+def _sized(percent: int) -> Column:
+    return F.expr(f"100L * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+
+
+def _room(percent: int) -> Column:
+    """Behind a first common token at these positions enough tokens are left."""
+    return F.expr(f"{100 + percent}L * least(a_n - a_pos, b_n - b_pos) >= {percent} * (a_n + b_n)")
+
+
+def _counted(percent: int) -> Column:
+    """Enough common tokens in the prefixes: all but those behind the prefix that ends first are among them."""
+    behind = " , ".join(f"{n} - ({n} - floor(({n} * {percent}L + 99) / 100) + 1)" for n in ("a_n", "b_n"))
+    return F.expr(f"{100 + percent}L * (common + greatest({behind})) >= {percent} * (a_n + b_n)")
 
 
 def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT,
@@ -244,34 +253,44 @@ def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text:
 
     label = None            # sid -> component, for sets that have a link
     edges = tested = None
+    used = [shared, members]
     for step in range(STAR_ROUNDS + 1):
         if label is None:
             own = members.withColumn("c", F.col("sid"))
         else:
             own = members.join(label, "sid", "left").withColumn("c", F.coalesce("cluster", "sid")).drop("cluster")
         parted = own.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("token")
-        own = own.join(parted, "token", "left_semi")
+        if label is not None:
+            own = materialize(own.join(parted, "token", "left_semi"), "parted")
+            used.append(own)
         if step < STAR_ROUNDS:
             head = own.groupBy("token").agg(F.min(F.struct("pos", "sid", "n", "c")).alias("head"))
+            # a pair counted too low here, because not all its tokens have the same hub, is left to the last step
             star = (own.join(head, "token").filter("c <> head.c")
                     .select(F.col("head.sid").alias("hub"), "sid", F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("head.n").alias("b_n"), F.col("head.pos").alias("b_pos"))
-                    .filter(_room(percent)).groupBy("sid", "hub").count()
-                    .groupBy("sid").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub")))
+                    .filter(_sized(percent)).groupBy("sid", "hub", "a_n", "b_n").agg(F.count("*").alias("common")).filter(_counted(percent))
+                    .groupBy("sid").agg(F.max(F.struct("common", "hub"))["hub"].alias("hub")))
             # each set is "a" of one pair, so its tokens are sent to the hub once
             pairs = star.select(F.col("sid").alias("a"), F.col("hub").alias("b"))
         else:
             x = own.select("token", *[F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "c")])
             y = own.select("token", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "c")])
-            pairs = (x.join(y, "token").filter("a_sid < b_sid AND a_c <> b_c").filter(_room(percent))
-                     .select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct())
+            met = (x.join(y, (x["token"] == y["token"]) & F.expr("a_sid < b_sid AND a_c <> b_c") & _sized(percent) & _room(percent))
+                   .select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), "a_n", "b_n").distinct())
+            prefix = own.groupBy("sid").agg(F.collect_list("token").alias("prefix"))
+            for side in "ab":
+                met = met.join(prefix.select(F.col("sid").alias(side), F.col("prefix").alias(f"{side}_prefix")), side)
+            pairs = met.withColumn("common", F.size(F.array_intersect("a_prefix", "b_prefix"))).filter(_counted(percent)).select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), F.expr("least(a, b) = ta AND greatest(a, b) = tb"), "left_anti")
         pairs, seen = materialize_with(pairs, "pairs")
+        used.append(pairs)
         if not seen["rows"]:
             continue
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         sets = _sets(source, bit_filter(representative.join(wanted, "sid", "left_semi"), F.col("rh")), orders, size, percent)
         found, seen = materialize_with(_verified(pairs, sets, percent), "verified", links=F.sum(F.col("similar").cast("long")))
+        used.append(found)
         done = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = done if tested is None else tested.unionAll(done)
         links = found.filter("similar").select(F.col("a").alias("p"), F.col("b").alias("q"))
@@ -279,6 +298,8 @@ def components(documents: DataFrame, keep: list[str], id: str = "doc_id", text:
             edges = links if edges is None else edges.unionAll(links)
             label = connected_components(edges, keys=()).select(F.col("p").alias("sid"), "cluster")
 
+    for table in used:      # what follows reads the survey, the classes and the labels only
+        release(table)
     grouped = classes.withColumn("cluster", F.col("s1"))
     if label is not None:
         grouped = classes.join(label, classes["s1"] == label["sid"], "left").withColumn("cluster", F.coalesce("cluster", "s1")).drop("sid")

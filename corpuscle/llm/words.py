@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NOT_SPACE = np.array([b not in SPACES for b in range(256)])
