@@ -8,8 +8,9 @@ longer, at a place that differs by no more than the edits allow on either side.
 probes with its substrings at those places, for each length that is close enough.  Candidates are verified by a banded bit-parallel edit
 distance: the 2 * EDITS + 1 cells of a column are bits of one number that slides along the diagonal.
 
-Equal lines are one row from the first shuffle on.  Segments that more than ``HOT`` lines share are keyed a second time, by halves of the other segments, of which at
-least one must be unchanged too, so a common beginning or end of lines does not pair all that have it.  Lines are told apart by 64-bit hashes.
+Keys are first aggregated without texts, and only lines that share one are looked at again, as one row per text.  Segments that more than ``HOT`` lines share are keyed a second time, by halves of the other segments, of which at
+least one must be unchanged too, so a common beginning or end of lines does not pair all that have it.  Lines pair only if the counts of their characters, and of
+neighbouring characters, are odd for nearly the same ones.  Lines are told apart by 64-bit hashes.
 
 Edge cases: a null text has no lines; a null id comes after all others; rows equal in id and text are judged alike, none is earlier than the other; blank lines are never
 removed; an empty table gives an empty result; other columns are carried or ignored as asked.
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scratch import materialize, materialize_with
+from ..scratch import materialize, materialize_with, release
 from .frames import col, named, unpack
 
 EDITS = 2
 LEAST = 30
 HOT = 200
+BROADCAST_ROWS = 500_000    # rows of one or two numbers
 _LAST = 2**63 - 1
 
 
@@ -73,10 +75,14 @@ def banded_distance(pattern: Column, text: Column, edits: int = EDITS) -> Column
     return _let(F.struct(F.split(pattern, "").alias("p"), F.split(text, "").alias("t")), whole)
 
 
-def lines(documents: DataFrame, id: str, text: str) -> DataFrame:
-    """o, th, no, line, h of all lines with a word."""
-    flat = documents.select(F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"),
-                            F.posexplode(F.split(col(text), "\n")).alias("no", "line"))
+def keyed(documents: DataFrame, id: str, text: str) -> DataFrame:
+    """o (id, null last), th (hash of the text) and t of every document."""
+    return documents.select(F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"), col(text).alias("t"))
+
+
+def lines(documents: DataFrame) -> DataFrame:
+    """o, th, no, line, h of all lines with a word, of documents with keys."""
+    flat = documents.select("o", "th", F.posexplode(F.split("t", "\n")).alias("no", "line"))
     return flat.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
@@ -86,8 +92,13 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), rest - (edits + 1 - i)), base + (rest >= edits + 1 - i).cast("int")
 
 
-def _cut(line: Column, start: Column, size: Column) -> Column:
-    return F.substring(line, start + 1, size)
+def _measured(all_lines: DataFrame, least: int) -> DataFrame:
+    """Lines that are long enough, with their length and as 4 bytes per character, from which parts are cut without counting characters."""
+    return all_lines.withColumn("n", F.length("line")).filter(F.col("n") >= least).withColumn("wide", F.encode("line", "UTF-32"))
+
+
+def _cut(start: Column, size: Column) -> Column:
+    return F.substring(F.col("wide"), 4 * start + 1, 4 * size)
 
 
 def _places(i: int, shorter_by: int, edits: int) -> range:
@@ -95,62 +106,93 @@ def _places(i: int, shorter_by: int, edits: int) -> range:
     return range(max(-i, shorter_by - (edits - i)), min(i, shorter_by + (edits - i)) + 1)
 
 
-def _index_keys(line: Column, edits: int) -> Column:
-    n = F.length(line)
-    parts = [_segment(n, i, edits) for i in range(edits + 1)]
-    return F.array(*[F.struct(F.xxhash64(n, F.lit(i), _cut(line, a, w)).alias("key"), F.lit(i).alias("i"), a.alias("at"), n.alias("n")) for i, (a, w) in enumerate(parts)])
-
-
-def _probe_keys(line: Column, edits: int) -> Column:
+def _keys(edits: int) -> list[tuple[Column, bool, int, Column, Column]]:
+    """Keys of a measured line: (key, whether it probes, segment, its start, length of the indexed line)."""
     out = []
+    for i in range(edits + 1):
+        start, size = _segment(F.col("n"), i, edits)
+        out.append((F.xxhash64(F.col("n"), F.lit(i), _cut(start, size)), False, i, start, F.col("n")))
     for less in range(edits + 1):
-        n = F.length(line) - less
+        n = F.col("n") - less
         for i in range(edits + 1):
-            a, w = _segment(n, i, edits)
-            out += [F.struct(F.xxhash64(n, F.lit(i), _cut(line, a + s, w)).alias("key"), F.lit(i).alias("i"), (a + s).alias("at"), n.alias("n")) for s in _places(i, less, edits)]
-    return F.array(*out)
+            start, size = _segment(n, i, edits)
+            out += [(F.xxhash64(n, F.lit(i), _cut(start + s, size)), True, i, start + s, n) for s in _places(i, less, edits)]
+    return out
 
 
 def _second_keys(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
     """Key once more by halves of the segments other than i: of these 2 * edits halves no more than ``edits`` are touched."""
     out = []
     for i in range(edits + 1):
-        a, w = _segment(F.col("n"), i, edits)
+        a, w = _segment(F.col("indexed"), i, edits)
         for half in (0, 1):
             size = F.floor(w / 2).cast("int") if half == 0 else w - F.floor(w / 2).cast("int")
             at = a if half == 0 else a + F.floor(w / 2).cast("int")
             for shift in range(-edits, edits + 1) if probing else (0,):
-                out.append(F.when(F.col("i") != i, F.xxhash64(F.col("key"), F.lit(2 * i + half), _cut(F.col("line"), at + shift, size))))
-    return rows.select(F.explode(F.array_compact(F.array(*out))).alias("key"), "h")
+                out.append(F.when(F.col("i") != i, F.xxhash64(F.col("key"), F.lit(2 * i + half), _cut(at + shift, size))))
+    return rows.withColumn("wide", F.encode("line", "UTF-32")).select(F.explode(F.array_compact(F.array(*out))).alias("key"), "h", "odd1", "odd2")
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a table whose rows have been counted, if there are few."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def near_lines(all_lines: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """Pairs of different lines within ``edits`` edits: a, b (hashes) and where each comes first (first_a, first_b)."""
-    distinct = all_lines.groupBy("h").agg(F.first("line").alias("line"), F.min(F.struct("o", "th", "no")).alias("first"))
-    long_lines = distinct.filter(F.length("line") >= least)
-    index = long_lines.select("h", F.inline(_index_keys(F.col("line"), edits)))
-    probe = long_lines.select("h", F.inline(_probe_keys(F.col("line"), edits)))
+def near_lines(documents: DataFrame, places: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """Pairs of different lines within ``edits`` edits: a, b (hashes) and where each comes first (first_a, first_b).
+
+    ``documents`` have keys, ``places`` are h, o, th and no of all their lines.  The keys of all lines are aggregated once, combined before the shuffle and without their
+    texts, to find those that different lines share.  The lines that have such keys come next, and only their first places are opened for the text.
+    """
+    long_lines, keys = _measured(lines(documents), least), _keys(edits)
+    bare = long_lines.select("h", F.explode(F.array(*[k for k, *_ in keys])).alias("key"))
+    shared, seen = materialize_with(bare.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key"), "shared")
+    # which key of a line it is (the place in ``keys``) tells the rest
+    hits = materialize(long_lines.select("h", F.posexplode(F.array(*[k for k, *_ in keys])).alias("which", "key")).join(_small(shared, seen["rows"]), "key").distinct(), "hits")
+
+    wanted, seen = materialize_with(hits.select("h").distinct(), "wanted")
+    firsts, seen = materialize_with(places.join(_small(wanted, seen["rows"]), "h", "left_semi").groupBy("h").agg(F.min(F.struct("o", "th", "no")).alias("first")), "firsts")
+    spot = firsts.select("h", "first.*")
+    opened = documents.join(_small(spot.select("o", "th").distinct(), seen["rows"]), ["o", "th"], "left_semi")
+    # an edit changes the parity of at most two counts of characters, and of at most four counts of neighbours
+    odd = lambda items, seed: F.expr(f"aggregate({items}, 0L, (odd, c) -> odd ^ shiftleft(1L, pmod(hash(c, {seed}), 64)))")
+    single, double = odd("split(line, '')", 1), odd("zip_with(split(line, ''), slice(split(line, ''), 2, n), (a, b) -> concat(a, b))", 2)
+    texts = materialize(lines(opened).drop("h").join(_small(spot, seen["rows"]), ["o", "th", "no"]).groupBy("h").agg(F.first("line").alias("line"))
+                        .withColumn("n", F.length("line")).withColumns({"odd1": single, "odd2": double}), "texts")
+
+    pick = lambda values: F.get(F.array(*values), F.col("which"))
+    found = hits.join(texts, "h").withColumns({"probe": pick([F.lit(p) for _, p, *_ in keys]), "i": pick([F.lit(i) for _, _, i, *_ in keys]),
+                                               "at": pick([at for *_, at, _ in keys]), "indexed": pick([n for *_, n in keys])})
+    index, probe = found.filter("NOT probe"), found.filter("probe")
     crowded, seen = materialize_with(index.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
-    pair = lambda x, y: (x.alias("x").join(y.alias("y"), "key").filter("x.h <> y.h")
+    slim = lambda side: side.select("key", "h", "odd1", "odd2").distinct()
+    pair = lambda x, y: (slim(x).alias("x").join(slim(y).alias("y"), "key")
+                         .filter(F.expr(f"x.h <> y.h AND bit_count(x.odd1 ^ y.odd1) <= {2 * edits} AND bit_count(x.odd2 ^ y.odd2) <= {4 * edits}"))
                          .select(F.expr("least(x.h, y.h)").alias("a"), F.expr("greatest(x.h, y.h)").alias("b")))
     if seen["rows"]:
-        with_text = lambda rows: rows.join(crowded, "key", "left_semi").join(long_lines.select("h", "line"), "h")
-        pairs = pair(index.join(crowded, "key", "left_anti").select("key", "h"), probe.select("key", "h")).unionAll(
-            pair(_second_keys(with_text(index), edits, False), _second_keys(with_text(probe), edits, True)))
+        apart, close = (lambda side, how=how: side.join(_small(crowded, seen["rows"]), "key", how) for how in ("left_anti", "left_semi"))
+        pairs = pair(apart(index), apart(probe)).unionAll(pair(_second_keys(close(index), edits, False), _second_keys(close(probe), edits, True)))
     else:
-        pairs = pair(index.select("key", "h"), probe.select("key", "h"))
-    side = lambda s: long_lines.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        pairs = pair(index, probe)
+    pairs = materialize(pairs.distinct(), "pairs")
+    side = lambda s: texts.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     near = F.abs(F.length("line_a") - F.length("line_b")) <= edits
-    return both.filter(F.when(near, banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits).otherwise(F.lit(False))).select("a", "b", "first_a", "first_b")
+    links = both.filter(F.when(near, banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits).otherwise(F.lit(False))).select("a", "b")
+    for s in "ab":
+        links = links.join(firsts.select(F.col("h").alias(s), F.col("first").alias(f"first_{s}")), s)
+    links = materialize(links.select("a", "b", "first_a", "first_b"), "near-lines")
+    for table in (shared, hits, wanted, firsts, texts, crowded, pairs):
+        release(table)
+    return links
 
 
 def decide(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """Columns ``keep`` as struct ``row``, n_lines, n_exact, n_near (lines removed) and removed (their numbers, from 0, in order)."""
-    all_lines = lines(documents, id, text)
-    pairs = materialize(near_lines(all_lines, edits, least, hot), "near-lines")
+    rows = keyed(documents, id, text)
+    places = materialize(lines(rows).select("h", "o", "th", "no"), "places")
+    pairs = near_lines(rows, places, edits, least, hot)
     nearest = pairs.select(F.col("a").alias("h"), F.col("first_b").alias("near")).unionAll(pairs.select(F.col("b").alias("h"), F.col("first_a").alias("near")))
-    places = all_lines.select("h", "o", "th", "no")
     repeated = places.groupBy("h").agg(F.min(F.struct("o", "th", "no")).alias("first"), F.count("*").alias("c")).filter("c > 1")
     marks = (repeated.select("h", "first", F.lit(None).cast(nearest.schema["near"].dataType).alias("near"))
              .unionAll(nearest.select("h", F.lit(None).cast(nearest.schema["near"].dataType).alias("first"), "near"))
@@ -159,11 +201,11 @@ def decide(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str
     exact = F.coalesce(here > F.col("first"), F.lit(False))
     gone = (places.join(marks, "h").withColumn("exact", exact).filter(F.col("exact") | F.coalesce(here > F.col("near"), F.lit(False)))
             .groupBy("o", "th").agg(F.array_sort(F.collect_set(F.struct("no", "exact"))).alias("gone")))
-    source = documents.select(named(keep).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"),
-                              F.size(F.filter(F.split(F.coalesce(col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
+    sizes = places.groupBy("o", "th").agg(F.count_distinct("no").alias("n_lines"))
+    source = documents.select(named(keep).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(col(text)).alias("th"))
     count = lambda flag: F.coalesce(F.size(F.filter("gone", lambda g: g.exact == flag)), F.lit(0)).cast("long")
-    return source.join(gone, ["o", "th"], "left").select(
-        "row", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(count(True)).cast("long").alias("n_exact"),
+    return source.join(sizes.join(gone, ["o", "th"], "left"), ["o", "th"], "left").select(
+        "row", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(count(True)).cast("long").alias("n_exact"),
         F.when(F.col("gone").isNull(), 0).otherwise(count(False)).cast("long").alias("n_near"), F.coalesce(F.transform("gone", lambda g: g.no), F.array().cast("array<int>")).alias("removed"))
 
 
