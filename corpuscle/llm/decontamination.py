@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import materialize
-from .frames import col, free_name, named, row_schema, unpack
+from .frames import col, free_name, map_texts, named, row_schema, unpack
 from .words import LETTERS_AND_DIGITS, LOWER, Piece, Words, covered, per_document, pieces, windows, words
 
 SIZE = 10
@@ -56,7 +56,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE, item: str = "item_
                 yield pa.RecordBatch.from_pylist([dict(zip(("item", "length", "hash", "phrase"), r)) for r in rows],
                                                  pa.schema([("item", pa.string()), ("length", pa.int32()), ("hash", pa.int64()), ("phrase", pa.binary())]))
 
-    found = source.mapInArrow(run, "item string, length int, hash long, phrase binary")
+    found = map_texts(source, run, "item string, length int, hash long, phrase binary")
     return found.groupBy("length", "hash", "phrase").agg(F.collect_set("item").alias("items"))
 
 
@@ -129,7 +129,7 @@ def _scan_broadcast(source: DataFrame, rows: list) -> DataFrame:
             for piece in map(_lowered, pieces(batch.column(1))):
                 yield _report(batch.column(0), piece, *known.scan(piece))
 
-    return source.mapInArrow(run, row_schema(source, _FOUND))
+    return map_texts(source, run, row_schema(source, _FOUND))
 
 
 def _scan_join(source: DataFrame, known: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _scan_join(source: DataFrame, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("text_id", pa.string()), ("word", pa.int64()), ("length", pa.int32()), ("phrase", pa.binary())]))
 
     named_texts = source.withColumn("text_id", F.sha2("t", 256))
-    hits = (named_texts.select("text_id", "t").mapInArrow(candidates, "text_id string, word long, length int, phrase binary").distinct()
+    hits = (map_texts(named_texts.select("text_id", "t"), candidates, "text_id string, word long, length int, phrase binary").distinct()
             .join(known.select("length", "phrase", "items"), ["length", "phrase"])
             .groupBy("text_id").agg(F.collect_list(F.struct("word", "length", "items")).alias("hits")))
 
@@ -171,7 +171,7 @@ def _scan_join(source: DataFrame, known: DataFrame) -> DataFrame:
                 yield _report(batch.column(0), piece, w, [(d, w.first[d] + h["word"], h["length"], h["items"])
                                                           for d in range(piece.n) for h in hits[piece.first + d] or []])
 
-    return named_texts.join(hits, "text_id", "left").select("row", "t", "hits").mapInArrow(run, row_schema(source, _FOUND))
+    return map_texts(named_texts.join(hits, "text_id", "left").select("row", "t", "hits"), run, row_schema(source, _FOUND))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", size: int = SIZE, set_bytes: int = SET_BYTES) -> DataFrame:

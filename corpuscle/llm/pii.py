@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import col, free_name, named, row_schema
+from .frames import col, free_name, map_texts, named, row_schema
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account", "ssn", "secret", "street")
@@ -231,7 +231,7 @@ def detect(documents: DataFrame, keep: list[str], text: str = "text") -> DataFra
                 found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, anchors)] if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _SPANS)], ["row", "spans"])
 
-    return source.mapInArrow(run, row_schema(source, f"spans {_SPAN_TYPE}"))
+    return map_texts(source, run, row_schema(source, f"spans {_SPAN_TYPE}"))
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:

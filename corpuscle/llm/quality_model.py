@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark import TaskContext
 
 from ..scratch import materialize
-from .frames import col, named, row_schema
+from .frames import col, map_texts, named, row_schema
 from .words import Piece, pieces, range_hash
 
 BUCKETS = 1 << 14
@@ -84,7 +84,7 @@ def _gather(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([salt] * len(blocks), pa.int32()),
                                           pa.array([table[b * _BLOCK:(b + 1) * _BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "salt", "sums"])
 
-    return texts.mapInArrow(run, "block int, salt int, sums binary")
+    return map_texts(texts, run, "block int, salt int, sums binary")
 
 
 def _added(parts: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def _added(parts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()),
                                           pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "salt", "sums"])
 
-    return parts.mapInArrow(run, "block int, salt int, sums binary")
+    return map_texts(parts, run, "block int, salt int, sums binary")
 
 
 def context_vectors(documents: DataFrame, text: str = "text") -> np.ndarray:
@@ -107,7 +107,7 @@ def context_vectors(documents: DataFrame, text: str = "text") -> np.ndarray:
     salted = _added(parts.repartition("block", "salt"))
     whole = _added(salted.select("block", F.lit(0).alias("salt"), "sums").repartition("block"))
     table = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)
-    for r in whole.toLocalIterator():
+    for r in whole.collect():
         table[r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK] += np.frombuffer(r["sums"], np.int64).reshape(_BLOCK, DIMENSIONS + 1)
     counts = table[:, -1:].astype(float)
     mean = table[:, :-1].sum(axis=0) / max(counts.sum(), 1)
@@ -147,7 +147,7 @@ def pooled(documents: DataFrame, keep: list[str], vectors: np.ndarray, text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel()))],
                                                  ["row", "features"])
 
-    return source.mapInArrow(run, row_schema(source, "features array<float>"))
+    return map_texts(source, run, row_schema(source, "features array<float>"))
 
 
 @dataclass

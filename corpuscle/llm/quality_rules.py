@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import col, named, row_schema
+from .frames import col, map_texts, named, row_schema
 from .words import Piece, before, covered, mix, per_document, pieces, range_hash, windows, words
 
 LEAST_WORDS = 50
@@ -134,7 +134,7 @@ def measure(documents: DataFrame, keep: list[str], text: str = "text", with_text
                 yield pa.RecordBatch.from_arrays(columns, ["row", *COUNTS, *["cleaned"] * with_text])
 
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return (source.mapInArrow(run, schema)
+    return (map_texts(source, run, schema)
             .withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("word_chars"))))
 

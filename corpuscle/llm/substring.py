@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..scratch import materialize
+from ..scratch import materialize, release
 from .filters import bit_filter, maybe
-from .frames import col, named, row_schema
+from .frames import col, map_texts, named, row_schema
 from .words import Piece, Words, before, covered, mix, per_document, pieces, windows, words
 
 WINDOW = 50
@@ -93,7 +93,7 @@ def _survey(source: DataFrame, size: int, gram: int) -> DataFrame:
                      pa.array(digests(piece, w, np.ones(len(w.start), bool))), pa.array(lists, pa.list_(pa.int64()))],
                     ["row", "o", "th", "n_words", "s1", "s2", "digest", "anchors"])
 
-    return source.mapInArrow(run, row_schema(source, "o long, th long, n_words long, s1 long, s2 long, digest string, anchors array<long>"))
+    return map_texts(source, run, row_schema(source, "o long, th long, n_words long, s1 long, s2 long, digest string, anchors array<long>"))
 
 
 def _windows(source: DataFrame, size: int, gram: int, firsts: np.ndarray, shared: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def _windows(source: DataFrame, size: int, gram: int, firsts: np.ndarray, shared
                     [pa.array(value.view(np.int64)), pa.array(o[piece.first + owner]), pa.array(th[piece.first + owner]), pa.array((at - w.first[owner]).astype(np.int32))],
                     ["window", "o", "th", "word"])
 
-    return source.mapInArrow(run, "window long, o long, th long, word int")
+    return map_texts(source, run, "window long, o long, th long, word int")
 
 
 def _only(source: DataFrame, members: np.ndarray) -> DataFrame:
@@ -128,7 +128,8 @@ def _only(source: DataFrame, members: np.ndarray) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(maybe(shared.value, batch.column("rh").to_numpy().view(np.uint64))))
 
-    return source.withColumn("rh", F.expr(ROW_HASH)).mapInArrow(run, source.withColumn("rh", F.expr(ROW_HASH)).schema).drop("rh")
+    hashed = source.withColumn("rh", F.expr(ROW_HASH))
+    return map_texts(hashed, run, hashed.schema).drop("rh")
 
 
 def _parsed(source: DataFrame, hits: DataFrame, size: int, with_text: bool) -> DataFrame:
@@ -157,8 +158,8 @@ def _parsed(source: DataFrame, hits: DataFrame, size: int, with_text: bool) -> D
                     columns.append(pa.array([data[a:max(a, b - 1)].decode() for a, b in zip(where[:-1], where[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_removed", "kept_sha256", "factors", *["kept_text"] * with_text])
 
-    return (source.join(hits, ["o", "th"]).select("row", "t", "hits")
-            .mapInArrow(run, row_schema(source, f"n_words long, n_removed long, kept_sha256 string, factors {_FACTOR_TYPE}" + ", kept_text string" * with_text)))
+    return map_texts(source.join(hits, ["o", "th"]).select("row", "t", "hits"), run,
+                     row_schema(source, f"n_words long, n_removed long, kept_sha256 string, factors {_FACTOR_TYPE}" + ", kept_text string" * with_text))
 
 
 _FACTORS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("reference", pa.int64())]))
@@ -186,6 +187,8 @@ def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str =
     hits = materialize(found.join(index, "window").filter("o > ref").groupBy("o", "th").agg(F.collect_list(F.struct("word", "ref")).alias("hits"))
                        .join(known.filter(~copied).select("o", "th").distinct(), ["o", "th"], "left_semi"), "hits")
 
+    for table in (survey, index):
+        release(table)
     parsed = _parsed(_only(source, bit_filter(hits, F.expr(ROW_HASH))), hits, size, with_text)
     nothing = F.array().cast(_FACTOR_TYPE)
     whole = F.when(copied, F.array(F.struct(F.lit(0).cast("long").alias("word"), F.col("n_words").alias("words"), F.col("first").alias("reference")))).otherwise(nothing)
