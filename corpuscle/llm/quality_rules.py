@@ -1,7 +1,7 @@
 """Line-first cleaning: judge lines, remove those that fail, then reject documents that lost too much.
 
 A line with a word fails when
-  * boilerplate: it contains one of ``BOILERPLATE`` (ASCII case ignored),
+  * boilerplate: of its words at least one in ``PHRASE_SHARE`` belongs to phrases of ``BOILERPLATE`` (ASCII case ignored, neither within a longer word),
   * navigation: it is a row of links or cells, with a separator ``|``, ``>`` or ``<`` for at least every third word,
   * symbols: it holds at least one of ``[#*$%&|<>]`` for every second word,
   * punctuation: it has at least 12 words and not one of ``. ! ? : ; ,`` and no byte beyond ASCII punctuation,
@@ -29,6 +29,7 @@ MOST_LOST = 50          # percent of word characters
 # fixed values: phrases of page furniture and licences, lower case
 BOILERPLATE = ("all rights reserved", "licensed under the", "released under the", "copyright (c)", "cookie policy", "privacy policy",
                "terms of use", "terms of service", "enable javascript", "click here", "sign up", "log in", "subscribe to our", "lorem ipsum")
+PHRASE_SHARE = 5        # a paragraph may mention a privacy policy, a line of page furniture is little else
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SEPARATOR = np.isin(np.arange(256), list(b"|<>"))
@@ -51,17 +52,22 @@ def _lines(piece: Piece):
     return document, start, end
 
 
-def _with_phrase(piece: Piece, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which lines hold a phrase of BOILERPLATE; phrases hold no line break, and none may reach into the next document."""
+def _phrase_words(piece: Piece, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words of each line in phrases of BOILERPLATE; phrases hold no line break, none may reach into the next document or begin or end inside a word."""
     lower = piece.data.tobytes().lower()
-    hit = np.zeros(len(start), bool)
+    inside = np.zeros(len(start), np.int64)
     for phrase in _PHRASES:
         at = lower.find(phrase)
         while at >= 0:
-            line = np.searchsorted(start, at, "right") - 1
-            hit[line] |= at + len(phrase) <= end[line]
+            line, to = np.searchsorted(start, at, "right") - 1, at + len(phrase)
+            if to <= end[line]:
+                # the code points beside it; four bytes hold at least one
+                left = lower[max(start[line], at - 4):at].decode(errors="ignore")[-1:]
+                right = lower[to:min(end[line], to + 4)].decode(errors="ignore")[:1]
+                if not left.isalnum() and not (phrase[-1:].isalnum() and right.isalnum()):
+                    inside[line] += len(phrase.split())
             at = lower.find(phrase, at + 1)
-    return hit
+    return inside
 
 
 def judge(piece: Piece) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +104,8 @@ def judge(piece: Piece) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray,
         return total[end] - total[start]
 
     stops, shouts = inside(_STOP[data]), inside(data == 33)
-    failed = used & (_with_phrase(piece, start, end) | (3 * inside(_SEPARATOR[data]) >= n_words) | (2 * (symbols[end] - symbols[start]) >= n_words)
+    in_phrases = _phrase_words(piece, start, end)
+    failed = used & (((in_phrases > 0) & (PHRASE_SHARE * in_phrases >= n_words)) | (3 * inside(_SEPARATOR[data]) >= n_words) | (2 * (symbols[end] - symbols[start]) >= n_words)
                      | ((n_words >= 12) & (stops == 0)) | ((2 * shouts >= n_words) & (n_words >= 4)))
     lost = (long_before[word_to] - long_before[word_from]) * failed
     counts = {

@@ -345,6 +345,19 @@ def test_rules_clean(spark):
     assert quality_rules.measure(odd, ["doc_id", "row", "a.b"]).count() == 10 and quality_rules.clean(h.empty(spark)).count() == 0
 
 
+def test_rules_phrases(spark):
+    r = random.Random(1)
+    clean, more = (h.prose(r, 80).replace("\n", " ") for _ in range(2))
+    long = f"{clean} The catalog in question has a privacy policy. {more}"
+    alone = ["The catalog in question.", "A design up to date.", "The blog in é.", "log inné.", "élog in."]
+    said = f"{clean} {more}\nHe said \u201clog in\u201d.\nCopyright (c)2024 Somebody.\nBy clicking sign up you agree to the terms of service and the privacy policy."
+    rows = [(1, long), (2, "cata"), (3, "log in. Then more."), (4, said), *((10 + i, f"{clean}\n{t}") for i, t in enumerate(alone))]
+    got = {x.row.doc_id: x for x in quality_rules.measure(h.documents(spark, rows), ["doc_id"]).collect()}
+    assert {i: x.n_failed_lines for i, x in got.items()} == {1: 0, 2: 0, 3: 1, 4: 3} | {10 + i: 0 for i in range(len(alone))}
+    assert got[1].kept and got[4].kept and got[4].lost_chars == sum(len(w) for t in said.split("\n")[1:] for w in t.split())
+    assert quality_rules.clean(h.documents(spark, [(1, long)])).first().text == long
+
+
 # --- op 9
 
 def test_banded_distance(spark):
