@@ -10,7 +10,7 @@ Base kinds, leftmost and non-overlapping within their kind, matches that fail a
   phone  ``+``, a digit, then digits, spaces, dots, hyphens and parentheses, a digit last; 9 to 15 digits
 Added kinds, each behind an announcing word or scheme:
   url      an address with a user name or password before the host
-  iban     after "iban": country, check digits and account with a valid remainder modulo 97
+  iban     after "iban": country, check digits and account with a valid remainder modulo 97; it has the length of its country, else it ends at the last group that makes it valid
   account  after "account", "acct", "konto", "compte", "cuenta": 6 to 18 digits, single hyphens or spaces between
   ssn      after "ssn" or "social security": ddd-dd-dddd, with no part of zeros
   secret   after "token", "secret", "password", "passwd", "api_key", "apikey": ``=`` or ``:``, then a word of 16 characters or more that holds both a letter and a digit
@@ -40,6 +40,12 @@ KINDS = BASE + ADDED
 CUES = {"iban": ("iban",), "account": ("account", "acct", "konto", "compte", "cuenta"), "ssn": ("ssn", "social security"),
         "secret": ("token", "secret", "password", "passwd", "api_key", "apikey"), "street": ("street", "avenue", "road", "lane")}
 
+# lengths of the IBAN registry
+IBAN_LENGTHS = {country: int(length) for length, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
@@ -84,6 +90,14 @@ def iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def iban_end(value: str) -> int:
+    """Where the IBAN at the beginning of ``value`` ends, 0 without one.  Groups behind it may belong to the next word or number."""
+    ends = [i for i in range(len(value), 0, -1) if i == len(value) or value[i] == " "]
+    own = IBAN_LENGTHS.get(value[:2])
+    ends.sort(key=lambda i: i - value.count(" ", 0, i) != own)       # that of the country first, then from the longest
+    return next((i for i in ends if iban(value[:i])), 0)
+
+
 def _emails(text: str, signs: list[int]):
     done = 0
     for at in signs:
@@ -180,11 +194,15 @@ def _announced(text: str, kind: str, begin: int, end: int):
     m = _PARSERS[kind].match(text, end)
     if not m:
         return
-    value = m[1]
-    ok = {"iban": lambda: iban(value), "account": lambda: True, "ssn": lambda: "000" != value[:3] and "00" != value[4:6] and "0000" != value[7:],
-          "secret": lambda: any(c.isdigit() for c in value) and any(c.isalpha() for c in value)}[kind]()
+    value, end = m[1], m.end(1)
+    if kind == "iban":
+        end = m.start(1) + iban_end(value)
+        ok = end > m.start(1)
+    else:
+        ok = {"account": lambda: True, "ssn": lambda: "000" != value[:3] and "00" != value[4:6] and "0000" != value[7:],
+              "secret": lambda: any(c.isdigit() for c in value) and any(c.isalpha() for c in value)}[kind]()
     if ok:
-        yield kind, m.start(1), m.end(1)
+        yield kind, m.start(1), end
 
 
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:

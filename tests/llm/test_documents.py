@@ -66,6 +66,14 @@ def test_pii_added_spans(text, kind, value):
     assert [(k, text[a:b]) for k, a, b in pii.find(text, pii.automaton()) if k in pii.ADDED] == [(kind, value)]
 
 
+@pytest.mark.parametrize("text,value", [
+    ("IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFF", "DE89 3704 0044 0532 0130 00"), ("IBAN DE89370400440532013000 2024-01-01", "DE89370400440532013000"),
+    ("IBAN GB29 NWBK 6016 1331 9268 19 A holder", "GB29 NWBK 6016 1331 9268 19"), ("iban NO93 8601 1117 947 BIC DNBANOKK AND OTHER NAMES", "NO93 8601 1117 947"),
+    ("IBAN DE89 3704 0044 0532 0130 00 EUR 100 2024 BIC COBADEFF", "DE89 3704 0044 0532 0130 00"), ("IBAN XX46 3704 0044 0532 0130 00 BIC", "XX46 3704 0044 0532 0130 00")])
+def test_pii_iban_before_other_words(text, value):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text, pii.automaton()) if k in pii.ADDED] == [("iban", value)]
+
+
 @pytest.mark.parametrize("text", ["https://host.example/x", "iban DE00 3704 0044 0532 0130 00", "the account of 1999", "ssn 000-12-1234", "a token of thanks", "the street"])
 def test_pii_leaves_clean_text(text):
     assert pii.find(text, pii.automaton()) == []
