@@ -11,10 +11,11 @@ Base kinds, leftmost and non-overlapping within their kind, matches that fail a
 Added kinds, each behind an announcing word or scheme:
   url      an address with a user name or password before the host
   iban     after "iban": country, check digits and account with a valid remainder modulo 97; it has the length of its country, else it ends at the last group that makes it valid
-  account  after "account", "acct", "konto", "compte", "cuenta": 6 to 18 digits, single hyphens or spaces between
+  account  after "account", "acct", "konto", "compte", "cuenta", their plurals and compounds listed in ``CUES``: 6 to 18 digits, single hyphens or spaces between
   ssn      after "ssn" or "social security": ddd-dd-dddd, with no part of zeros
   secret   after "token", "secret", "password", "passwd", "api_key", "apikey": ``=`` or ``:``, then a word of 16 characters or more that holds both a letter and a digit
-  street   a house number of up to five digits and up to three capitalised words before "street", "avenue", "road", "lane" as whole words
+  street   a house number of up to five digits, capitalised words or ordinals, then "street", "avenue", "road", "lane" or a capitalised word of ``STREETS`` as a whole word; the latter
+           need a name in between, which for an abbreviation is more than a month ("12 May Dr. Who")
 
 Positions count code points, ends exclusive.
 
@@ -37,9 +38,15 @@ ADDED = ("url", "iban", "account", "ssn", "secret", "street")
 KINDS = BASE + ADDED
 
 # fixed values: the words that announce an identifier
-CUES = {"iban": ("iban",), "account": ("account", "acct", "konto", "compte", "cuenta"), "ssn": ("ssn", "social security"),
+_KONTO = tuple(f"{a}konto{b}" for a in ("", "bank", "giro", "spar", "spenden") for b in ("", "s", "nr", "nummer", "nummern"))
+CUES = {"iban": ("iban", "ibans"), "account": ("account", "accounts", "acct", "accts", *_KONTO, "konten", "compte", "comptes", "cuenta", "cuentas"),
+        "ssn": ("ssn", "ssns", "social security"),
         "secret": ("token", "secret", "password", "passwd", "api_key", "apikey"), "street": ("street", "avenue", "road", "lane")}
 
+STREETS = ("drive", "boulevard", "court", "place", "square", "terrace", "highway", "parkway", "way", "circle", "crescent", "close", "alley", "trail")
+STREETS_SHORT = ("st", "ave", "rd", "ln", "dr", "blvd", "ct", "pl", "sq", "ter", "hwy", "pkwy", "cir", "cres", "trl")
+_MONTHS = frozenset("january february march april may june july august september october november december".split())
+
 # lengths of the IBAN registry
 IBAN_LENGTHS = {country: int(length) for length, countries in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
@@ -53,7 +60,7 @@ _DIGITS = frozenset("0123456789")
 _PHONE = _DIGITS | frozenset(" ().-")
 _SLICE = 200
 
-_AFTER_CUE = r"[\s\"']{0,2}(?:number|no|nr|num)?[\s\"'.:#=-]{0,4}"
+_AFTER_CUE = r"[\s\"'-]{0,2}(?i:numbers?|nummern?|n[uú]m[eé]ros?|nos?|nr|num)?[\s\"'.:#=-]{0,4}"
 _PARSERS = {
     "iban": re.compile(_AFTER_CUE + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
     "account": re.compile(_AFTER_CUE + r"([0-9](?:[ -]?[0-9]){5,17})(?![0-9])"),
@@ -61,7 +68,8 @@ _PARSERS = {
     "secret": re.compile(r"[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.=-]{16,})"),
 }
 _URL = re.compile(r"://([^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?(?:/[^\s\"'<>]*)?)")
-_STREET = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?(?: [A-Z][A-Za-z.'-]{0,30}){0,3} $")
+_HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?$")
+_ORDINAL = re.compile(r"[0-9]{1,5}(?:st|nd|rd|th)", re.IGNORECASE)
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -71,8 +79,11 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("://", ("url", 3))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+            for form in {cue, cue.upper(), cue.capitalize(), cue.title(), *[cue[:-1].upper() + "s"] * cue.endswith("s")}:
                 found.add_word(form, (kind, len(cue)))
+    for cue in STREETS + STREETS_SHORT:
+        for form in (cue.upper(), cue.capitalize()):
+            found.add_word(form, ("street", len(cue)))
     found.make_automaton()
     return found
 
@@ -174,6 +185,38 @@ def _phones(text: str, plus: list[int]):
             yield "phone", at, last + 1
 
 
+def _streets(text: str, cues: list[tuple[int, int]]):
+    """House numbers in front of street words, with nothing but capitalised words in between."""
+    done = 0
+    house: dict[int, int] = {}          # of the street words seen so far, by their beginning; a later one need not go further back
+    for begin, end in cues:
+        if begin > 0 and text[begin - 1].isalnum() or end < len(text) and text[end].isalnum():
+            continue
+        at, number = begin, -1
+        while at > 0 and text[at - 1] == " ":
+            start = at - 1
+            while start > 0 and (text[start - 1].isalnum() or text[start - 1] in ".'\u2019-"):
+                start -= 1
+            word = text[start:at - 1]
+            if m := _HOUSE.search(word):
+                number = start + m.start()
+                break
+            if not (word[:1].isupper() and not any(map(str.isdigit, word)) or _ORDINAL.fullmatch(word)):
+                break
+            at = start
+            if at in house:
+                number = house[at]
+                break
+        house[begin] = number
+        if number < done:
+            continue
+        cue, names = text[begin:end].lower(), text[number:begin].split()[1:]
+        plain = cue not in STREETS and cue not in STREETS_SHORT
+        if plain or names and not (cue in STREETS_SHORT and len(names) == 1 and names[0].lower() in _MONTHS):
+            done = end
+            yield "street", number, end
+
+
 def _announced(text: str, kind: str, begin: int, end: int):
     """What a cue at text[begin:end] announces."""
     if kind == "url":
@@ -186,11 +229,6 @@ def _announced(text: str, kind: str, begin: int, end: int):
         return
     if kind != "secret" and (begin > 0 and text[begin - 1].isalnum() or end < len(text) and text[end].isalnum()):
         return
-    if kind == "street":
-        m = _STREET.search(text, max(0, begin - 110), begin)
-        if m:
-            yield "street", m.start(), end
-        return
     m = _PARSERS[kind].match(text, end)
     if not m:
         return
@@ -225,11 +263,12 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
         spans += _numbers(text, _runs(digits))
     if plus:
         spans += _phones(text, plus)
-    for cue in cues:
-        for kind, a, b in _announced(text, *cue):
-            if a >= done[kind]:
-                spans.append((kind, a, b))
-                done[kind] = b
+    found = [span for cue in cues if cue[0] != "street" for span in _announced(text, *cue)]
+    found += _streets(text, [cue[1:] for cue in cues if cue[0] == "street"])
+    for kind, a, b in found:
+        if a >= done[kind]:
+            spans.append((kind, a, b))
+            done[kind] = b
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

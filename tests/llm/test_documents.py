@@ -74,6 +74,21 @@ def test_pii_iban_before_other_words(text, value):
     assert [(k, text[a:b]) for k, a, b in pii.find(text, pii.automaton()) if k in pii.ADDED] == [("iban", value)]
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("at 12 Martin Luther King Junior Street now", "street", "12 Martin Luther King Junior Street"), ("1600 Pennsylvania Ave, Washington", "street", "1600 Pennsylvania Ave"),
+    ("to 7b Évry Hill Drive.", "street", "7b Évry Hill Drive"), ("9 Sunset Boulevard", "street", "9 Sunset Boulevard"), ("(221 Baker St.)", "street", "221 Baker St"),
+    ("350 W 42nd Street", "street", "350 W 42nd Street"), ("Kontonummer 12345678", "account", "12345678"), ("Girokonto-Nr. 12345678", "account", "12345678"),
+    ("Account Number: 12345678", "account", "12345678"), ("IBANs: DE89 3704 0044 0532 0130 00 and others", "iban", "DE89 3704 0044 0532 0130 00")])
+def test_pii_more_cues(text, kind, value):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text, pii.automaton()) if k in pii.ADDED] == [(kind, value)]
+
+
+def test_pii_streets_in_linear_time():
+    text = "Main Street " * 100_000
+    assert pii.find(text, pii.automaton()) == [] and pii.find("on 12 May Dr. Who, in 1453 St. Peter, 3 of us drive", pii.automaton()) == []
+    assert pii.find("4 " + text, pii.automaton()) == [("street", 0, 13)]
+
+
 @pytest.mark.parametrize("text", ["https://host.example/x", "iban DE00 3704 0044 0532 0130 00", "the account of 1999", "ssn 000-12-1234", "a token of thanks", "the street"])
 def test_pii_leaves_clean_text(text):
     assert pii.find(text, pii.automaton()) == []
