@@ -2,9 +2,9 @@
 
     conversation := turn*          turn := "<|im_start|>" role LF text "<|im_end|>" LF
 
-Neither role nor text may hold a control string, and a role no line break.  Every turn is rendered as it is, parsed again and compared with its source; where that
-fails the content is escaped and tried again.  Escaping puts ``\\:`` behind the first character of each control string, doubles backslashes, and writes a line break
-in a role as ``\\n``; it can be undone, so the second rendering always parses to the source, and ``identical`` says so for whole conversations.
+Neither role nor text may hold a control string, and a role no line break; ``parse`` gives null for a turn that breaks this.  Role and text of every turn are each rendered as
+they are in a turn of their own, parsed again and compared with their source; where that fails they are escaped.  The finished conversation is parsed once more.  Escaping puts ``\\:`` behind the first character of each control string, doubles backslashes, and writes a line break
+in a role as ``\\n``; it can be undone, so the second rendering parses to the source, and ``identical`` says whether it did for whole conversations.
 
 The loss mask covers the texts of the assistant.  A conversation is one row of the output, so its turns meet in one task; conversations are spread freely.
 
@@ -39,20 +39,26 @@ def unescape(text: Column) -> Column:
     return F.when(~F.contains(text, F.lit("\\")), text).otherwise(F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\"))
 
 
-def _first_identical(source: Column, escaped: Column, forbidden: str) -> Column:
-    """The source if the grammar reads it back unchanged, else the escaped form."""
-    return F.when(~source.rlike(forbidden) & (unescape(source) == source), source).otherwise(escaped)
+def render(role: Column, text: Column) -> Column:
+    """One turn, its contents as they are."""
+    return F.concat(F.lit(BEGIN), role, F.lit("\n"), text, F.lit(END + "\n"))
+
+
+def _reads_back(role: Column, text: Column) -> Column:
+    """Whether the turn, rendered without escapes, is parsed to one turn equal to its source."""
+    return parse(render(role, text)) == F.array(F.struct(role.alias("role"), text.alias("text")))
 
 
 def parse(formatted: Column) -> Column:
-    """Array of (role, text) that the grammar finds in a formatted conversation."""
+    """Array of (role, text) that the grammar finds in a formatted conversation, null for what is no turn."""
     turns = F.split(formatted, re.escape(END) + "\n")
     turns = F.slice(turns, F.lit(1), F.size(turns) - 1)
 
     def turn(t):
         body = F.substring(t, F.lit(len(BEGIN) + 1), F.length(t))
         cut = F.instr(body, F.lit("\n"))
-        return F.struct(unescape(F.substring(body, F.lit(1), cut - 1)).alias("role"), unescape(F.substring(body, cut + 1, F.length(body))).alias("text"))
+        valid = F.startswith(t, F.lit(BEGIN)) & (cut > 0) & ~body.rlike(_ANY)
+        return F.when(valid, F.struct(unescape(F.substring(body, F.lit(1), cut - 1)).alias("role"), unescape(F.substring(body, cut + 1, F.length(body))).alias("text")))
 
     return F.transform(turns, turn)
 
@@ -61,8 +67,8 @@ def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "tu
     """Per conversation: formatted, loss_spans (code points of formatted, ends exclusive), turns as read back, escaped_turns, identical."""
     flat = rows.select(col(conversation).alias("id"), col(turn).alias("turn"), F.coalesce(col(role).cast("string"), F.lit("")).alias("role"),
                        F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    shown = (flat.withColumn("head", F.concat(F.lit(BEGIN), _first_identical(F.col("role"), escape(F.col("role"), True), f"{_ANY}|\n"), F.lit("\n")))
-             .withColumn("body", _first_identical(F.col("text"), escape(F.col("text")), _ANY))
+    shown = (flat.withColumn("head", F.concat(F.lit(BEGIN), F.when(_reads_back(F.col("role"), F.lit("")), F.col("role")).otherwise(escape(F.col("role"), True)), F.lit("\n")))
+             .withColumn("body", F.when(_reads_back(F.lit(""), F.col("text")), F.col("text")).otherwise(escape(F.col("text"))))
              .withColumn("size", F.length("head") + F.length("body") + len(END) + 1))
     order = Window.partitionBy("id").orderBy("turn", "role", "text")
     placed = (shown.withColumn("place", F.row_number().over(order))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpuscle.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -31,6 +33,16 @@ def test_plain_text_stays(spark):
     assert [got.formatted[s.start:s.end] for s in got.loss_spans] == ["hi"]
 
 
+def test_grammar_decides(spark, monkeypatch):
+    raw = ["<|im_start|>a\nb", "no turn", "<|im_start|>a", "<|im_start|>a\nb<s>", "<|im_start|>a\n<|im_start|>b"]
+    turns = chat.parse(F.lit("".join(x + "<|im_end|>\n" for x in raw)))
+    assert [t and (t.role, t.text) for t in spark.range(1).select(turns).first()[0]] == [("a", "b"), None, None, None, None]
+    # a grammar that reads nothing back has everything escaped
+    monkeypatch.setattr(chat, "parse", lambda formatted: F.array(F.struct(F.lit("-").alias("role"), F.lit("-").alias("text"))))
+    got = chat.format_chats(spark.createDataFrame([(1, 0, "user", "a \\ b")], SCHEMA)).first()
+    assert got.formatted == "<|im_start|>user\na \\\\ b<|im_end|>\n" and got.escaped_turns == 1 and not got.identical
+
+
 def test_edges(spark):
     rows = [(None, None, None, None), (None, 1, "assistant", None), (2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, 1, "user", "a"), (2, None, "user", "first")]
     got = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
