@@ -1,8 +1,8 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication: an index join of windows in place of a relative Lempel-Ziv parse.
 
-A window is ``WINDOW`` consecutive words of a document.  Documents are parsed against all documents with a smaller id: a factor is a maximal
-run of words whose windows all occur in the same earlier document, the smallest that has them.  Where a factor ends, the windows across its
-boundary are looked up on their own, so together the factors cover exactly the words of windows that also start in an earlier document.
+A window is ``WINDOW`` consecutive words of a document.  The words of all windows that also occur in a document with a
+smaller id are removed; a join with an index of windows decides that, in place of the greedy parse.  A factor, listed beside, is a maximal run of
+words whose windows have the same smallest earlier document; it does not say where in it, and its windows need not be consecutive there.
 
 The reference index is distributed by window hash and built in steps, each of which decides less data exactly:
   1. Documents whose whole word sequence occurs earlier are one factor.  Only the first of such copies is parsed.
