@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, sharding, substring
+from . import chat, decontamination, language, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, repair, sharding, substring, whitening
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,68 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, and which of them repeat an earlier line, exactly or within the edits allowed."""
     found = line_dedup.decide(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_exact", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+def _repair_fold() -> str:
+    """SQL that folds rows (c initial or null, cut, four best edits so far as cost in nine digits and letters) into the best edits for each state of the grammar."""
+    best = [f"a.k{s}" for s in range(4)]
+
+    def plus(key: str, cost: str, letters: str) -> str:
+        return f"lpad((substr({key}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({key}, 10) || '{letters}'"
+
+    options: dict[int, list[str]] = {s: [plus(best[s], str(repair.DELETE), "D")] for s in range(4)}
+    for state in range(4):
+        for letters, cost, before in (("", 0, state), ("I", repair.INSERT, repair.NEXT[state][repair.WANTED[state]])):
+            for c, after in repair.NEXT[before].items():
+                options[after].append(f"CASE WHEN b.c = '{c}' THEN {plus(best[state], f'{cost} + b.cut', letters + 'K')} END")
+            c = repair.WANTED[before]
+            options[repair.NEXT[before][c]].append(f"CASE WHEN b.c IS NOT NULL AND b.c <> '{c}' THEN {plus(best[state], f'{cost + repair.REROLE} + b.cut', letters + 'R')} END")
+    fields = ", ".join(f"'k{s}': least({', '.join(options[s])})" for s in range(4))
+    return f"{{'c': NULL::VARCHAR, 'cut': 0, {fields}}}"
+
+
+_CRC = """list_reduce(list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT), lambda h, b:
+  xor(h >> 8, crc[(xor(h, b) & 255) + 1]), 4294967295::BIGINT)"""
+_SOLID = r"regexp_extract_all(text, '[^\x20\x09-\x0D]')"
+
+
+@query(rf"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda h, k: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END, i) ORDER BY i) AS crc FROM range(256) r(i)),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor({_CRC}, 4294967295) % 20 AS kind FROM c, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, CASE WHEN len({_SOLID}) = 0 THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN {_SOLID}[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'c': CASE WHEN fault NOT IN ('b', 'd') THEN c END, 'cut': (fault = 't')::INTEGER, 'k0': '', 'k1': '', 'k2': '', 'k3': ''}} ORDER BY i) AS rs, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts
+  FROM f GROUP BY conv_id),
+g AS (SELECT *, list_reduce(rs, lambda a, b: {_repair_fold()}, {{'c': NULL::VARCHAR, 'cut': 0, 'k0': '000000000', 'k1': '900000000', 'k2': '900000000', 'k3': '900000000'}}) AS k FROM st),
+b AS (SELECT *, least(k.k0, k.k3, lpad((substr(k.k1, 1, 9)::INTEGER + 4)::VARCHAR, 9, '0') || substr(k.k1, 10) || 'II', lpad((substr(k.k2, 1, 9)::INTEGER + 2)::VARCHAR, 9, '0') || substr(k.k2, 10) || 'I') AS won FROM g),
+e AS (SELECT *, substr(won, 1, 9)::BIGINT AS cost, substr(won, 10) AS audit FROM b),
+w(conv_id, audit, roles, texts, n, r, last, outs) AS (SELECT conv_id, audit, roles, texts, 0, 0, '', []::VARCHAR[] FROM e UNION ALL
+  SELECT conv_id, audit, roles, texts, n + 1, CASE WHEN x = 'I' THEN r ELSE r + 1 END, CASE WHEN x = 'D' THEN last WHEN x = 'K' THEN substr(roles[r + 1], 1, 1) WHEN last = 'u' THEN 'a' ELSE 'u' END,
+    CASE WHEN x = 'D' THEN outs ELSE list_append(outs, CASE WHEN x = 'K' THEN roles[r + 1] WHEN last = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN x = 'I' THEN '' ELSE texts[r + 1] END) END
+  FROM (SELECT *, substr(audit, n + 1, 1) AS x FROM w WHERE n < length(audit))),
+z AS (SELECT conv_id, array_to_string(outs, chr(10)) AS whole FROM w WHERE n = length(audit))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    found = repair.report(repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query()
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and in how many spans of one language it falls."""
+    return language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

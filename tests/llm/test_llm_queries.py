@@ -27,7 +27,10 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+ON_DOCUMENTS = sorted(set(QUERIES) - set(ORACLES) - {"op13_embedding_whitening"})
+
+
+@pytest.mark.parametrize("name", ON_DOCUMENTS)
 def test_others_return_every_document(spark, name):
     assert QUERIES[name](spark, FOLDER).count() == 200
 
