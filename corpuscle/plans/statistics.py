@@ -155,18 +155,18 @@ def pixel_density(spark, d):
     return rounded(scattering.pixel_counts(positions(spark, d), GRID, [-0.5] * 3, [0.5] * 3), "v")
 
 
-def spectrum_sql(axes):
+def spectrum_sql(axes, weight="1.0", flat=None):
     """Spectrum of the Hamming-windowed grid minus its mean.  By linearity only lit pixels are transformed; what the
-    mean adds is a product of one-dimensional sums over the window."""
+    mean adds is a product of one-dimensional sums over the window.  ``flat``: an axis of which only k = 0 is kept."""
     n = 16
     hams = "ham AS (SELECT i, 0.54 - 0.46*cos(2*pi()*i/15) AS w FROM range(16) r(i))"
     w1 = "w1 AS (SELECT k, sum(w*cos(2*pi()*k*i/16)) AS c, sum(w*sin(2*pi()*k*i/16)) AS s FROM ham, range(16) r(k) GROUP BY 1)"
     ix = {a: f"floor(({a}+0.5)*16)" for a in axes}
-    px = "px AS (SELECT frame, " + ", ".join(f"{e}::BIGINT AS i{a}" for a, e in ix.items()) + ", count(*)::DOUBLE AS v FROM p WHERE " \
+    px = "px AS (SELECT frame, " + ", ".join(f"{e}::BIGINT AS i{a}" for a, e in ix.items()) + f", sum({weight})::DOUBLE AS v FROM p WHERE " \
         + " AND ".join(f"{e} BETWEEN 0 AND 15" for e in ix.values()) + f" GROUP BY ALL), tot AS (SELECT frame, sum(v) AS total, sum(v)/{n ** len(axes)} AS mean FROM px GROUP BY 1)"
     wp = "wp AS (SELECT px.*, v*" + "*".join(f"h{a}.w" for a in axes) + " AS u FROM px " + " ".join(f"JOIN ham h{a} ON h{a}.i = i{a}" for a in axes) + ")"
     kv = "kv AS (SELECT " + ", ".join(f"k{a}.k AS k{a}" for a in axes) + ", " + ", ".join(f"k{a}.c AS c{a}, k{a}.s AS s{a}" for a in axes) \
-        + ", sqrt(" + "+".join(f"least(k{a}.k, 16-k{a}.k)*least(k{a}.k, 16-k{a}.k)" for a in axes) + ") AS q FROM " + ", ".join(f"w1 k{a}" for a in axes) + ")"
+        + ", sqrt(" + "+".join(f"least(k{a}.k, 16-k{a}.k)*least(k{a}.k, 16-k{a}.k)" for a in axes) + ") AS q FROM " + ", ".join(f"w1 k{a}" for a in axes) + (f" WHERE k{flat}.k = 0)" if flat else ")")
     ph = "2*pi()/16*(" + "+".join(f"k{a}*i{a}" for a in axes) + ")"
     am = f"am AS (SELECT frame, {', '.join(f'k{a}' for a in axes)}, any_value(q) AS q, sum(u*cos({ph})) AS re, sum(u*sin({ph})) AS im, " \
         + ", ".join(f"any_value(c{a}) AS c{a}, any_value(s{a}) AS s{a}" for a in axes) + f" FROM wp, kv WHERE q < 8 GROUP BY frame, {', '.join(f'k{a}' for a in axes)})"
@@ -189,7 +189,10 @@ def grid_spectrum_2d(spark, d):
     return rounded(scattering.average_spectra(scattering.grid_spectrum(pixels, GRID[:2], [1.0] * 2, 8)), "power")
 
 
-@query()
+BINARY = "CASE WHEN f > (SELECT quantile_disc(f, 0.75) FROM p) THEN 1.0 ELSE 0.0 END"
+
+
+@query(spectrum_sql("xyz", BINARY, "z") + f" SELECT frame, q_bin, n_k, {s6('power')} AS power FROM g")
 def grid_spectrum_binary_field(spark, d):
     marked = scattering.binary_weight(positions(spark, d), "f", 0.25)
     pixels = scattering.pixel_counts(marked, GRID, [-0.5] * 3, [0.5] * 3, weight=F.col("w"))

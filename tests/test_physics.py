@@ -176,6 +176,65 @@ def test_grid_spectrum_is_parseval(spark):
     assert got.loc[got.q_bin == 0, "power"].iloc[0] == pytest.approx(200)
 
 
+@pytest.mark.parametrize("nbins,ndim", [(2, 3), (7, 3), (19, 3), (2, 2), (40, 2)])
+def test_shells_are_the_same_relation_on_both_sides(spark, nbins, ndim):
+    def shell(n):
+        grid = [g for g in np.ndindex(*(n,) * (ndim - 1)) if sum(x * x for x in g) < n * n]
+        seeds = [(*g, math.isqrt(n * n - sum(x * x for x in g))) for g in grid]
+        return {v[t:] + v[:t] for v in seeds for t in range(ndim)}
+    want = {(n, int(sum(x * nbins ** (ndim - 1 - i) for i, x in enumerate(v)))) for n in range(1, nbins) for v in shell(n)}
+    assert {tuple(r) for r in scattering.shell_table(spark, nbins, ndim).collect()} == want
+    assert set(scattering._used(nbins, ndim).tolist()) == {code for _, code in want}
+
+
+def test_amplitudes_of_many_shells(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(f), float(x), float(y), float(w)) for f, x, y, w in zip(rng.integers(0, 3, 400), *rng.random((3, 400)))]
+    df = spark.createDataFrame([*rows, (0, None, 0.5, 1.0)], "frame int, x double, y double, w double").repartition(5)
+    got = scattering.amplitude_sums(df, 25, [1.0, 0.7], coords=["x", "y"], field=F.col("w")).toPandas()
+    for r in got.sample(60, random_state=1).itertuples():
+        k = divmod(r.k_id, 25)
+        phase = [(w, 2 * np.pi * (k[0] * x + k[1] * y / 0.7)) for f, x, y, w in rows if f == r.frame]
+        assert (r.c, r.s) == (pytest.approx(sum(w * math.cos(a) for w, a in phase), abs=1e-9), pytest.approx(sum(w * math.sin(a) for w, a in phase), abs=1e-9))
+    assert got.groupby("frame").n.max().sum() == 401
+
+
+def test_plan_does_not_grow_with_the_bins(spark):
+    df, _ = random_points(spark, 20, 1, seed=1)
+    size = lambda bins: len(scattering.structure_factor(df, bins, [1.0] * 3)._jdf.queryExecution().toString())
+    assert size(60) < size(6) + 200
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_pencils_against_a_whole_transform(spark, flat):
+    shape, lengths, nbins = (7, 6, 9), [1.4, 1.0, 1.8], 5
+    rng = np.random.default_rng(4)
+    grid = rng.poisson(0.1, (2, *shape)).astype(float)
+    rows = [(f, int(i), float(v)) for f in range(2) for i, v in enumerate(grid[f].ravel()) if v]
+    pixels = spark.createDataFrame(rows, "frame int, pixel int, v double")
+    got = {(r.frame, r.q_bin): (r.n_k, r.power) for r in scattering.grid_spectrum(pixels, shape, lengths, nbins, flat_last=flat).collect()}
+    width = 2 * math.pi / max(lengths)
+    q = np.sqrt(sum((2 * math.pi * np.fft.fftfreq(n, L / n)).reshape([-1 if i == a else 1 for i in range(3)]) ** 2 for a, (n, L) in enumerate(zip(shape, lengths))))
+    for f in range(2):
+        image = grid[f] - grid[f].mean()
+        for a, n in enumerate(shape):
+            image = image * np.hamming(n).reshape([-1 if i == a else 1 for i in range(3)])
+        power, where = np.abs(np.fft.fftn(image)) ** 2 / grid[f].sum(), np.floor(q / width + 1e-9).astype(int)
+        power, where = (power[..., 0], where[..., 0]) if flat else (power, where)
+        for b in range(nbins):
+            assert got[f, b] == (int((where == b).sum()), pytest.approx(power[where == b].mean() if (where == b).any() else 0.0, rel=1e-9))
+
+
+def test_a_frame_is_transformed_by_many_tasks(spark):
+    cells = spark.range(4096).selectExpr("struct(0 AS frame) AS g", "id AS before", "0L AS after", "1D AS re", "0D AS im")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")       # it would join lines as small as these
+    try:
+        spread = scattering._lines(cells, 16).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 128
+
+
 def test_minimum_image(spark):
     row = spark.range(1).select(geometry.minimg(F.lit(101.5), 203.0).alias("a"), geometry.minimg(F.lit(-3.0), 4.0).alias("b")).first()
     assert (row["a"], row["b"]) == (-101.5, 1.0)
