@@ -22,10 +22,66 @@ def test_greedy_match_with_ties(spark, seed):
     rows = {(f, int(a), int(b)): float(rng.integers(0, 6)) for f in range(3) for a, b in rng.integers(0, 12, (40, 2))}
     df = spark.createDataFrame([(*k, c) for k, c in rows.items()], "frame int, `from` bigint, `to` bigint, cost double")
     got = {(r.frame, r["from"], r["to"]) for r in matching.greedy_match(df).collect()}
+    assert got == {(r.frame, r["from"], r["to"]) for r in matching.greedy_match(df, limit=0).collect()}
     want = {(f, *m) for f in range(3) for m in greedy([(c, a, b) for (g, a, b), c in rows.items() if g == f])}
     assert got == want
 
 
+def test_matching_of_mixed_group_sizes(spark):
+    rng = np.random.default_rng(5)
+    rows = {(f, int(a), int(b)): float(rng.random()) for f, n in ((0, 10), (1, 60), (None, 60)) for a, b in rng.integers(0, 12, (n, 2))}
+    df = spark.createDataFrame([(*k, c) for k, c in rows.items()], "frame int, `from` bigint, `to` bigint, cost double")
+    got = {(r.frame, r["from"], r["to"]) for r in matching.greedy_match(df.where("frame is not null"), limit=20).collect()}
+    assert got == {(f, *m) for f in (0, 1) for m in greedy([(c, a, b) for (g, a, b), c in rows.items() if g == f])}
+
+
+def test_a_falling_chain_takes_logarithmic_rounds(spark):
+    n = 2000
+    links = spark.range(n).selectExpr("0 AS frame", "(id + 1) div 2 AS `from`", "id div 2 AS `to`", "cast(id as double) AS cost")
+    trace = []
+    got = sorted((r["from"], r["to"]) for r in matching.greedy_match(links, limit=0, trace=trace).collect())
+    assert got == [(i, i) for i in range(n // 2)] and trace.count("round") == 1 and len(trace) <= 14
+
+
+def test_a_line_of_conflicts_takes_logarithmic_rounds(spark):
+    n = 2000
+    points = spark.range(n).selectExpr("0 AS frame", "id AS pid")
+    pairs = spark.range(n - 1).selectExpr("0 AS frame", "id AS p", "id + 1 AS q")
+    trace = []
+    got = sorted(r.pid for r in matching.thin_by_conflicts(points, pairs.unionAll(pairs.selectExpr("frame", "q", "p")), [], limit=0, trace=trace).collect())
+    assert got == list(range(0, n, 2)) and trace.count("round") == 1 and len(trace) <= 14
+
+
+def test_a_line_of_points_takes_a_pass_per_border(spark):
+    points = spark.range(2000).selectExpr("0 AS frame", "id AS pid", "id * 0.9D AS x", "0D AS y", "0D AS z")
+    for limit, most in ((10_000, 1), (600, 5)):
+        trace = []
+        assert sorted(r.pid for r in matching.thin(points, 1.0, [], limit=limit, trace=trace).collect()) == list(range(0, 2000, 2)) and len(trace) <= most
+
+
+@pytest.mark.parametrize("limit", [10, 60])
+def test_thinning_in_blocks(spark, limit):
+    df, pdf = random_points(spark, 400, 2, seed=21)
+    pdf.loc[pdf.pid % 4 == 0, ["x", "y"]] = 0.25
+    trace = []
+    got = {(r.frame, r.pid) for r in matching.thin(spark.createDataFrame(pdf), 0.06, [], limit=limit, trace=trace).collect()}
+    assert got == {(f, p) for f in (0, 1) for p in brute_thin(pdf[pdf.frame == f], 0.06)} and "blocks" in trace
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_conflicts_at_random(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = {(f, *sorted(map(int, p))) for f in range(3) for p in rng.integers(0, 40, (50, 2)) if p[0] != p[1]}
+    points = spark.createDataFrame([(f, i, float(rng.integers(0, 9))) for f in range(3) for i in range(40)], "frame int, pid bigint, v double")
+    conflicts = spark.createDataFrame([(f, *o) for f, p, q in pairs for o in ((p, q), (q, p))], "frame int, p bigint, q bigint")
+    want = set()
+    for r in sorted(points.collect(), key=lambda r: (r.v, r.pid)):
+        if not any((r.frame, *sorted((r.pid, k))) in pairs for f, k in want if f == r.frame):
+            want.add((r.frame, r.pid))
+    for limit in (100_000, 0):
+        assert {(r.frame, r.pid) for r in matching.thin_by_conflicts(points, conflicts, ["v"], limit=limit).collect()} == want
+
+
 def brute_thin(pdf, separation):
     kept = []
     for r in pdf.sort_values("pid").itertuples():
