@@ -24,7 +24,8 @@ def shell_table(spark: SparkSession, nbins: int, ndim: int = 3) -> DataFrame:
     cyclic order of the components is taken once.
     """
     digit = lambda i: F.floor(F.col("id") / nbins ** i) % nbins
-    grid = spark.range(nbins ** ndim).select(digit(ndim - 1).alias("n"), *[digit(i).alias(f"g{i}") for i in range(ndim - 1)])
+    size = nbins ** ndim
+    grid = spark.range(0, size, 1, -(-size // (1 << 20))).select(digit(ndim - 1).alias("n"), *[digit(i).alias(f"g{i}") for i in range(ndim - 1)])
     rest = sum((-F.col(f"g{i}") * F.col(f"g{i}") for i in range(ndim - 1)), F.col("n") * F.col("n"))
     seeds = grid.where((F.greatest(F.lit(-1), *[F.col(f"g{i}") for i in range(ndim - 1)]) < F.col("n")) & (rest > 0)).withColumn("last", F.floor(F.sqrt(rest)))
     parts = [*[F.col(f"g{i}") for i in range(ndim - 1)], F.col("last")]
