@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import materialize, materialize_with, release
-from .frames import col, named, unpack
+from .frames import col, free_name, named, unpack
 
 EDITS = 2
 LEAST = 30
@@ -212,11 +212,12 @@ def decide(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str
 def deduplicate(documents: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents without removed lines, with all their columns; ``n_chars`` follows the text if it is there."""
     names = documents.columns
+    new = free_name(names, "rest")
     decided = decide(documents, names, id, text, **settings)
     body = F.col("row").getField(text)
     rest = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains("removed", i))
-    out = decided.select(*unpack("row", names), F.when(F.size("removed") > 0, F.array_join(rest, "\n")).alias("__rest"))
-    fresh = {text: F.coalesce("__rest", col(text))}
+    out = decided.select(*unpack("row", names), F.when(F.size("removed") > 0, F.array_join(rest, "\n")).alias(new))
+    fresh = {text: F.coalesce(col(new), col(text))}
     if "n_chars" in names:
-        fresh["n_chars"] = F.when(F.col("__rest").isNull(), F.col("n_chars")).otherwise(F.length("__rest").cast(documents.schema["n_chars"].dataType))
+        fresh["n_chars"] = F.when(col(new).isNull(), F.col("n_chars")).otherwise(F.length(col(new)).cast(documents.schema["n_chars"].dataType))
     return out.withColumns(fresh).select(*map(col, names))

@@ -65,8 +65,10 @@ _PARSERS = {
     "iban": re.compile(_AFTER_CUE + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
     "account": re.compile(_AFTER_CUE + r"([0-9](?:[ -]?[0-9]){5,17})(?![0-9])"),
     "ssn": re.compile(_AFTER_CUE + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
-    "secret": re.compile(r"[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.=-]{16,})"),
 }
+_SECRET_HEAD = re.compile(r"[\"']?\s{0,2}[=:]\s{0,2}[\"']?")
+_SECRET_RUN = re.compile(r"[A-Za-z0-9_+/.=-]*")
+_SECRET_LEAST = 16
 _URL = re.compile(r"://([^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?(?:/[^\s\"'<>]*)?)")
 _HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?$")
 _ORDINAL = re.compile(r"[0-9]{1,5}(?:st|nd|rd|th)", re.IGNORECASE)
@@ -217,30 +219,48 @@ def _streets(text: str, cues: list[tuple[int, int]]):
             yield "street", number, end
 
 
-def _announced(text: str, kind: str, begin: int, end: int):
-    """What a cue at text[begin:end] announces."""
+class _Secrets:
+    """Values behind cues of secrets.  Many cues may lie in one run of characters; it is read once, and remembered by its end, its last digit and its last letter."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.digit, self.letter = text, -1, -1, -1
+
+    def at(self, cue_end: int) -> tuple[int, int] | None:
+        head = _SECRET_HEAD.match(self.text, cue_end)
+        if not head:
+            return None
+        start = head.end()
+        if start >= self.end:
+            self.end = _SECRET_RUN.match(self.text, start).end()
+            self.digit = next((i for i in range(self.end - 1, start - 1, -1) if self.text[i].isdigit()), -1)
+            self.letter = next((i for i in range(self.end - 1, start - 1, -1) if self.text[i].isalpha()), -1)
+        return (start, self.end) if self.end - start >= _SECRET_LEAST and min(self.digit, self.letter) >= start else None
+
+
+def _announced(text: str, kind: str, begin: int, end: int, done: int, secrets: _Secrets) -> tuple[int, int] | None:
+    """What a cue at text[begin:end] announces, if it begins at ``done`` or later."""
     if kind == "url":
         start = begin
-        while start > 0 and text[start - 1] in _ALNUM:
+        while start > done and text[start - 1] in _ALNUM:
             start -= 1
+        if begin < done or start > 0 and start == done and text[start - 1] in _ALNUM:
+            return None                             # begins inside the URL before it
         m = _URL.match(text, begin)
-        if m and start < begin:
-            yield "url", start, m.end()
-        return
-    if kind != "secret" and (begin > 0 and text[begin - 1].isalnum() or end < len(text) and text[end].isalnum()):
-        return
+        return (start, m.end()) if m and start < begin else None
+    if kind == "secret":
+        return secrets.at(end)
+    if begin > 0 and text[begin - 1].isalnum() or end < len(text) and text[end].isalnum():
+        return None
     m = _PARSERS[kind].match(text, end)
     if not m:
-        return
+        return None
     value, end = m[1], m.end(1)
     if kind == "iban":
         end = m.start(1) + iban_end(value)
         ok = end > m.start(1)
     else:
-        ok = {"account": lambda: True, "ssn": lambda: "000" != value[:3] and "00" != value[4:6] and "0000" != value[7:],
-              "secret": lambda: any(c.isdigit() for c in value) and any(c.isalpha() for c in value)}[kind]()
-    if ok:
-        yield kind, m.start(1), end
+        ok = kind == "account" or "000" != value[:3] and "00" != value[4:6] and "0000" != value[7:]
+    return (m.start(1), end) if ok else None
 
 
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
@@ -263,9 +283,12 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
         spans += _numbers(text, _runs(digits))
     if plus:
         spans += _phones(text, plus)
-    found = [span for cue in cues if cue[0] != "street" for span in _announced(text, *cue)]
-    found += _streets(text, [cue[1:] for cue in cues if cue[0] == "street"])
-    for kind, a, b in found:
+    secrets = _Secrets(text)
+    for kind, begin, end in cues:
+        if kind != "street" and (found := _announced(text, kind, begin, end, done[kind], secrets)) and found[0] >= done[kind]:
+            spans.append((kind, *found))
+            done[kind] = found[1]
+    for kind, a, b in _streets(text, [cue[1:] for cue in cues if cue[0] == "street"]):
         if a >= done[kind]:
             spans.append((kind, a, b))
             done[kind] = b

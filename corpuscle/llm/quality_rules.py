@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import col, map_texts, named, row_schema
+from .frames import col, free_name, map_texts, named, row_schema
 from .words import Piece, before, covered, mix, per_document, pieces, range_hash, windows, words
 
 LEAST_WORDS = 50
@@ -149,9 +149,10 @@ def measure(documents: DataFrame, keep: list[str], text: str = "text", with_text
 def clean(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; failed lines are gone from the text, and ``n_chars`` follows if it is there."""
     names = documents.columns
+    new = free_name(names, "cleaned")
     kept = measure(documents, names, text, with_text=True).filter("kept")
-    out = kept.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("cleaned").alias("__cleaned"))
-    fresh = {text: F.coalesce("__cleaned", F.col(text))}
+    out = kept.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("cleaned").alias(new))
+    fresh = {text: F.coalesce(col(new), col(text))}
     if "n_chars" in names:
-        fresh["n_chars"] = F.when(F.col("__cleaned").isNull(), F.col("n_chars")).otherwise(F.length("__cleaned").cast(documents.schema["n_chars"].dataType))
+        fresh["n_chars"] = F.when(col(new).isNull(), F.col("n_chars")).otherwise(F.length(col(new)).cast(documents.schema["n_chars"].dataType))
     return out.withColumns(fresh).select(*map(col, names))

@@ -28,7 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-_BOILER = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in quality_rules.BOILERPLATE)
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PHRASES = ", ".join(f"('{p}', {len(p.split())}, {str(p[-1].isalnum()).lower()})" for p in quality_rules.BOILERPLATE)
 
 
 @query(rf"""
@@ -38,8 +39,11 @@ l AS (SELECT r, i, string_split(t, chr(10))[i] AS line FROM (SELECT r, t, unnest
 m AS (SELECT r, i, line, len(regexp_extract_all(line, '{WORD}')) AS n, length(array_to_string(regexp_extract_all(line, '{WORD}'), '')) AS chars,
   length(regexp_replace(line, '[^|<>]', '', 'g')) AS seps, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS syms,
   length(regexp_replace(line, '[^!]', '', 'g')) AS shouts, regexp_matches(line, '[.!?:;,]|[^\x00-\x7F]') AS stops FROM l),
-j AS (SELECT *, n > 0 AND (regexp_matches(lower(line), '{_BOILER}') OR 3 * seps >= n OR 2 * syms >= n OR (n >= 12 AND NOT stops)
-  OR (2 * shouts >= n AND n >= 4)) AS failed FROM m),
+ph AS (SELECT r, i, p, k, bare, string_split(low, p) AS s FROM (SELECT r, i, translate(line, '{_UPPER}', '{_SMALL}') AS low FROM m) JOIN (VALUES {_PHRASES}) x(p, k, bare) ON contains(low, p)),
+pw AS (SELECT r, i, sum(k * len(list_filter(range(1, len(s)), lambda a: NOT regexp_matches(CASE WHEN s[a] = '' AND a > 1 THEN p ELSE s[a] END, '[\p{{L}}\p{{N}}]$')
+  AND NOT (bare AND regexp_matches(CASE WHEN s[a + 1] = '' AND a + 1 < len(s) THEN p ELSE s[a + 1] END, '^[\p{{L}}\p{{N}}]')))))::BIGINT AS inside FROM ph GROUP BY r, i),
+j AS (SELECT m.*, n > 0 AND ((coalesce(inside, 0) > 0 AND {quality_rules.PHRASE_SHARE} * inside >= n) OR 3 * seps >= n OR 2 * syms >= n OR (n >= 12 AND NOT stops)
+  OR (2 * shouts >= n AND n >= 4)) AS failed FROM m LEFT JOIN pw USING (r, i)),
 ll AS (SELECT r, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (n > 0) AS n_lines,
   count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS lost_chars FROM j GROUP BY r),
 tri AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
@@ -89,7 +93,7 @@ word AS (SELECT r, i, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1
 k AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What relative Lempel-Ziv parsing leaves of every document."""
+    """What is left of every document without the windows that begin in an earlier one."""
     return substring.parse(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import materialize, release
 from .filters import bit_filter, maybe
-from .frames import col, map_texts, named, row_schema
+from .frames import col, free_name, map_texts, named, row_schema
 from .words import Piece, Words, before, covered, mix, per_document, pieces, windows, words
 
 WINDOW = 50
@@ -202,8 +202,9 @@ def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str =
 def deduplicate(documents: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents with repeated passages cut out; a text that loses words keeps the others joined by one space, ``n_chars`` follows if it is there."""
     names = documents.columns
-    out = parse(documents, names, id, text, size, with_text=True).select(*[F.col("row").getField(c).alias(c) for c in names], F.col("kept_text").alias("__kept"))
-    fresh = {text: F.coalesce("__kept", col(text))}
+    new = free_name(names, "kept_text")
+    out = parse(documents, names, id, text, size, with_text=True).select(*[F.col("row").getField(c).alias(c) for c in names], F.col("kept_text").alias(new))
+    fresh = {text: F.coalesce(col(new), col(text))}
     if "n_chars" in names:
-        fresh["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(documents.schema["n_chars"].dataType))
+        fresh["n_chars"] = F.when(col(new).isNull(), F.col("n_chars")).otherwise(F.length(col(new)).cast(documents.schema["n_chars"].dataType))
     return out.withColumns(fresh).select(*map(col, names))

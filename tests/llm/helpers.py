@@ -28,8 +28,8 @@ def awkward(spark):
     long_text = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000))
     rows = [(1, None, "a", "x"), (2, "", None, None), (3, " \n\t ", "a", "x"), (4, "Some words here.", "a", None), (4, "Some words here.", "a", None),
             (4, "Other words, the same id.", "b", "y"), (None, "No id at all but words.", "b", "y"), (None, None, None, None), (5, long_text, "b", None), (6, long_text, "b", None)]
-    full = [(i, t, "en", s, None if t is None else len(t), e, 7, "k", e) for i, t, s, e in rows]
-    return spark.createDataFrame(full, SCHEMA + ", row string, n_words int, k1 string, `a.b` string")
+    full = [(i, t, "en", s, None if t is None else len(t), e, 7, "k", e, "x", "y", "z", "w") for i, t, s, e in rows]
+    return spark.createDataFrame(full, SCHEMA + ", row string, n_words int, k1 string, `a.b` string, __cleaned string, __kept string, __rest string, cleaned string")
 
 
 def empty(spark):
