@@ -121,11 +121,10 @@ def _between(part, alpha: float, r, sigma, d=None, weight: float = 1.0) -> Colum
 
 
 def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), tolerance: float = 1e-10) -> DataFrame:
-    """Solve a sparse, diagonally dominant system by Jacobi sweeps: keys, p, v.
+    """Solve a sparse system: keys, p, v.
 
-    ``diagonal``: keys, p, a, b (matrix diagonal and right side); ``couplings``: keys, p, q, a.  A sweep is one
-    join of the couplings with the current values and one sum per row.  Sweeps go on while they bring the values closer; a system for which they do
-    not is refused.
+    ``diagonal``: keys, p, a, b (matrix diagonal and right side); ``couplings``: keys, p, q, a.  Jacobi sweeps come first, each one
+    join of the couplings with the current values and one sum per row; they go on while they bring the values closer.  A system for which they do not is given to ``conjugate_gradients``.
     """
     keys = list(keys)
     diagonal, couplings = materialize(diagonal.select(*keys, "p", "a", "b"), "diagonal"), materialize(couplings.select(*keys, "p", "q", "a"), "couplings")
@@ -143,8 +142,57 @@ def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), tol
         if not seen["rows"] or seen["change"] <= tolerance * max(seen["size"], 1e-300):
             return values
         best, since = (seen["change"], 0) if seen["change"] < best else (best, since + 1)
-        if since > 20 or not math.isfinite(seen["change"]):
-            raise ValueError("sweeps do not converge: the system is not diagonally dominant")
+        if since > 20 or seen["change"] is None or not math.isfinite(seen["change"]):
+            release(values)
+            return conjugate_gradients(diagonal, couplings, keys, tolerance)
+
+
+def conjugate_gradients(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), tolerance: float = 1e-10, most: int = 10_000) -> DataFrame:
+    """Solve any regular sparse system by conjugate gradients on its normal equations: keys, p, v.  Arguments as for ``linear_solve``.
+
+    All groups are one system of independent blocks.  A round is two products with the matrix, as it is and transposed, each a join of the couplings with a vector and a sum
+    per row; the scalars of the method are gathered while the vectors are written.  Rows are divided by their largest entry first.
+    """
+    keys = list(keys)
+    scale = couplings.groupBy(*keys, "p").agg(F.max(F.abs("a")).alias("_s"))
+    scaled = diagonal.join(scale, [*keys, "p"], "left").withColumn("_s", F.coalesce(F.nullif(F.greatest(F.abs("a"), F.coalesce("_s", F.lit(0.0))), F.lit(0.0)), F.lit(1.0)))
+    rows = materialize(scaled.select(*keys, "p", (F.col("a") / F.col("_s")).alias("a"), (F.col("b") / F.col("_s")).alias("b"), "_s"), "rows")
+    links = materialize(couplings.join(rows.select(*keys, "p", "_s"), [*keys, "p"]).select(*keys, "p", "q", (F.col("a") / F.col("_s")).alias("a")), "links")
+
+    def product(state: DataFrame, vector: str, transposed: bool = False) -> DataFrame:
+        """``state`` with the product of the matrix and one of its columns as ``_m``."""
+        near, far = ("q", "p") if transposed else ("p", "q")
+        pull = (links.join(state.select(*keys, F.col("p").alias(far), F.col(vector).alias("_x")), [*keys, far]).groupBy(*keys, F.col(near).alias("p"))
+                .agg(F.sum(F.col("a") * F.col("_x")).alias("_pull")))
+        return state.join(pull, [*keys, "p"], "left").withColumn("_m", F.col("a") * F.col(vector) + F.coalesce("_pull", F.lit(0.0))).drop("_pull")
+
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    start = rows.select(*keys, "p", "a", F.lit(0.0).alias("v"), F.col("b").alias("r"))
+    state, seen = materialize_with(product(start, "r", True).select("*", F.col("_m").alias("d")).drop("_m"), "state", dd=square("d"), rr=square("r"))
+    size, force = seen["rr"] or 0.0, seen["dd"] or 0.0
+    for _ in range(most):
+        if not seen["rr"] or seen["rr"] <= tolerance ** 2 * size:
+            return state.select(*keys, "p", "v")
+        pushed, length = materialize_with(product(state, "d").withColumnRenamed("_m", "w"), "state", ww=square("w"))
+        release(state)
+        if not length["ww"] or not math.isfinite(length["ww"]):
+            break
+        step = force / length["ww"]
+        moved = pushed.select(*keys, "p", "a", "d", (F.col("v") + step * F.col("d")).alias("v"), (F.col("r") - step * F.col("w")).alias("r"))
+        turned, seen = materialize_with(product(moved, "r", True), "state", zz=square("_m"), rr=square("r"))
+        release(pushed)
+        before, force = force, seen["zz"]
+        state = turned.select(*keys, "p", "a", "v", "r", (F.col("_m") + (force / before) * F.col("d")).alias("d"))
+        state._scratch_folder = turned._scratch_folder
+    raise ValueError("no solution: the system is singular")
+
+
+def residual(values: DataFrame, diagonal: DataFrame, couplings: DataFrame, keys=("frame",)) -> DataFrame:
+    """What a solution leaves of the right side: keys, p, left, size (of the largest term of the row)."""
+    keys = list(keys)
+    terms = couplings.join(values.select(*keys, F.col("p").alias("q"), "v"), [*keys, "q"]).select(*keys, "p", (F.col("a") * F.col("v")).alias("t"))
+    own = diagonal.join(values, [*keys, "p"]).select(*keys, "p", F.explode(F.array(F.col("a") * F.col("v"), -F.col("b"))).alias("t"))
+    return terms.unionByName(own).groupBy(*keys, "p").agg(F.sum("t").alias("left"), F.max(F.abs("t")).alias("size"))
 
 
 def _ends(points: DataFrame, bonds: DataFrame, columns, keys):

@@ -28,12 +28,34 @@ def neighbour_lists(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataF
     return edges.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("q")).alias("ngbs"))
 
 
-def second_shell(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """Pairs joined by a path of two bonds (first-shell pairs included if they share a neighbour)."""
+HUB = 1_000          # bonds of one particle that meet each other in one task
+
+
+def wedges(edges: DataFrame, keys: Sequence[str] = ("frame",), carry: Sequence[str] = (), hub: int = HUB) -> DataFrame:
+    """Pairs of bonds with a common end, each once: keys, c (that end), q1, q2 (the others, in no order) and a_/b_ copies of ``carry``.
+
+    The bonds of a particle with more than ``hub`` of them are cut into parts of about that many, and every two parts (and each with itself) meet under a
+    join key of their own, so a hub is spread over tasks however many bonds it has.
+    """
     keys = list(keys)
-    a = edges.select(*keys, F.col("q").alias("c"), F.col("p").alias("low"))
-    b = edges.select(*keys, F.col("p").alias("c"), F.col("q").alias("high"))
-    return a.join(b, [*keys, "c"]).where("low < high").select(*keys, "low", "high").distinct()
+    hubs = (edges.groupBy(*keys, "p").agg(F.count("*").alias("_n")).where(F.col("_n") > hub)
+            .select(*keys, "p", F.ceil(F.col("_n") / hub).cast("int").alias("_parts")))
+    dealt = edges.join(hubs, [*keys, "p"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_part", F.pmod(F.xxhash64("q"), F.col("_parts")).cast("int"))
+    one = dealt.select(*keys, F.col("p").alias("c"), F.col("q").alias("q1"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"),
+                       *[F.col(c).alias(f"a_{c}") for c in carry])
+    two = dealt.select(*keys, F.col("p").alias("c"), F.col("q").alias("q2"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"), F.col("_part").alias("_j"),
+                       *[F.col(c).alias(f"b_{c}") for c in carry])
+    met = one.join(two, [*keys, "c", "_i", "_j"]).where("_i < _j OR q1 < q2")
+    return met.select(*keys, "c", "q1", "q2", *[f"{side}_{c}" for c in carry for side in "ab"])
+
+
+def _ends(pairs: DataFrame, keys: Sequence[str], *rest: str) -> DataFrame:
+    return pairs.select(*keys, F.least("q1", "q2").alias("low"), F.greatest("q1", "q2").alias("high"), *rest)
+
+
+def second_shell(edges: DataFrame, keys: Sequence[str] = ("frame",), hub: int = HUB) -> DataFrame:
+    """Pairs joined by a path of two bonds (first-shell pairs included if they share a neighbour)."""
+    return _ends(wedges(edges.select(*keys, "p", "q"), keys, hub=hub), keys).distinct()
 
 
 def triangles(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -67,14 +89,11 @@ def common_of_bonds(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataF
             .select(*keys, "r.*"))
 
 
-def common_of_second_shell(edges: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+def common_of_second_shell(edges: DataFrame, keys: Sequence[str] = ("frame",), hub: int = HUB) -> DataFrame:
     """Common neighbours of pairs that are two bonds apart but not bonded: keys, low, high, c."""
     keys = list(keys)
-    a = edges.select(*keys, F.col("q").alias("c"), F.col("p").alias("low"))
-    b = edges.select(*keys, F.col("p").alias("c"), F.col("q").alias("high"))
     bonded = edges.select(*keys, F.col("p").alias("low"), F.col("q").alias("high"))
-    return (a.join(b, [*keys, "c"]).where("low < high").select(*keys, "low", "high", "c")
-            .join(bonded, [*keys, "low", "high"], "left_anti"))
+    return _ends(wedges(edges, keys, hub=hub), keys, "c").join(bonded, [*keys, "low", "high"], "left_anti")
 
 
 def ring_pairs(common: DataFrame, edges: DataFrame, size: int, *, ring: bool = True,
@@ -444,13 +463,12 @@ def struct_components(arcs: DataFrame, nodes: DataFrame, keys: Sequence[str] = (
             .select(*keys, F.col("_node").alias("p"), "root"))
 
 
-def bond_angles(edges: DataFrame, keys: Sequence[str] = ("frame",), nbins: int = 180) -> DataFrame:
+def bond_angles(edges: DataFrame, keys: Sequence[str] = ("frame",), nbins: int = 180, hub: int = HUB) -> DataFrame:
     """Angles between the bonds of each particle, in equal bins of [0, 180] degrees: keys, bin, n."""
     keys = list(keys)
-    a = edges.select(*keys, "p", F.col("q").alias("q1"), *[F.col(c).alias(f"a{c}") for c in ("dx", "dy", "dz", "d2")])
-    b = edges.select(*keys, "p", F.col("q").alias("q2"), *[F.col(c).alias(f"b{c}") for c in ("dx", "dy", "dz", "d2")])
-    dot = F.col("adx") * F.col("bdx") + F.col("ady") * F.col("bdy") + F.col("adz") * F.col("bdz")
-    cosine = dot / F.nullif(F.sqrt(F.col("ad2") * F.col("bd2")), F.lit(0.0))
+    pairs = wedges(edges.where("d2 > 0"), keys, ["dx", "dy", "dz", "d2"], hub)
+    dot = F.col("a_dx") * F.col("b_dx") + F.col("a_dy") * F.col("b_dy") + F.col("a_dz") * F.col("b_dz")
+    cosine = dot / F.nullif(F.sqrt(F.col("a_d2") * F.col("b_d2")), F.lit(0.0))
     degrees = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
     bin = F.least(F.floor(degrees * (nbins / 180)).cast("int"), F.lit(nbins - 1)).alias("bin")
-    return a.join(b, [*keys, "p"]).where("q1 < q2 AND ad2 > 0 AND bd2 > 0").groupBy(*keys, bin).agg(F.count("*").alias("n"))
+    return pairs.groupBy(*keys, bin).agg(F.count("*").alias("n"))

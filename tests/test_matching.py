@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.operators import graph, linking, matching, spatial
 
@@ -137,6 +138,26 @@ def test_triangles_of_a_hub(spark):
     assert graph.triangles(edges).count() == 28
 
 
+@pytest.mark.parametrize("hub", [2, 5, 1000])
+def test_wedges_at_hubs(spark, hub):
+    rng = np.random.default_rng(6)
+    bonds = {(f, *sorted(map(int, p))) for f in range(2) for p in rng.integers(0, 15, (30, 2)) if p[0] != p[1]} | {(0, 0, i) for i in range(1, 40)}
+    edges = graph.bonds_to_edges(spark.createDataFrame(list(bonds), "frame int, low bigint, high bigint"))
+    near = {}
+    for f, a, b in bonds:
+        near.setdefault((f, a), set()).add(b)
+        near.setdefault((f, b), set()).add(a)
+    want = sorted((f, c, a, b) for (f, c), n in near.items() for a in n for b in n if a < b)
+    assert sorted((r.frame, r.c, min(r.q1, r.q2), max(r.q1, r.q2)) for r in graph.wedges(edges, hub=hub).collect()) == want
+    assert {tuple(r) for r in graph.second_shell(edges, hub=hub).collect()} == {(f, a, b) for f, _, a, b in want}
+
+
+def test_a_hub_is_spread(spark):
+    edges = spark.range(1, 5001).selectExpr("0 AS frame", "0L AS p", "id AS q")
+    parts = graph.wedges(edges, hub=500).groupBy(F.pmod(F.xxhash64("q1"), F.lit(10)).alias("i"), F.pmod(F.xxhash64("q2"), F.lit(10)).alias("j")).count().collect()
+    assert sum(r["count"] for r in parts) == 5000 * 4999 // 2 and len(parts) == 55 and max(r["count"] for r in parts) < 400_000
+
+
 def test_components_of_random_points_match_bonds(spark):
     df, pdf = random_points(spark, 80, 1, seed=11)
     labels = {r.p: r.cluster for r in graph.connected_components(spatial.neighbour_edges(df, 0.15)).collect()}

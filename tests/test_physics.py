@@ -261,3 +261,20 @@ def test_blur_derivatives_and_erf(spark):
                                     at(4.0, 1.5).shell().alias("r"), ((at(4.0 + h, 1.5).value() - at(4.0 - h, 1.5).value()) / (2 * h)).alias("r2"),
                                     at(4.0, 1.5).by_sigma_and_radius().alias("x"), ((at(4.0 + h, 1.5).by_sigma() - at(4.0 - h, 1.5).by_sigma()) / (2 * h)).alias("x2")).first()
         assert (row.s, row.r, row.x) == pytest.approx((row.s2, row.r2, row.x2), rel=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_systems_that_sweeps_cannot_solve(spark, seed):
+    rng = np.random.default_rng(seed)
+    systems = {f: rng.normal(0, 1, (n, n)) + 0.5 * np.eye(n) for f, n in ((0, 7), (1, 2), (2, 1))}
+    systems[1] = np.array([[0.0, 2.0], [3.0, 1.0]])
+    right = {f: rng.normal(0, 5, len(a)) for f, a in systems.items()}
+    diagonal = spark.createDataFrame([(f, i, float(a[i, i]), float(right[f][i])) for f, a in systems.items() for i in range(len(a))], "frame int, p bigint, a double, b double")
+    couplings = spark.createDataFrame([(f, i, j, float(a[i, j])) for f, a in systems.items() for i in range(len(a)) for j in range(len(a)) if i != j], "frame int, p bigint, q bigint, a double")
+    found = optics.linear_solve(diagonal, couplings) if seed else optics.conjugate_gradients(diagonal, couplings)
+    got = {(r.frame, r.p): r.v for r in found.collect()}
+    for f, a in systems.items():
+        assert [got[f, i] for i in range(len(a))] == pytest.approx(np.linalg.solve(a, right[f]).tolist(), rel=1e-6)
+    assert optics.residual(found, diagonal, couplings).where("abs(left) > 1e-7 * size").count() == 0
+    with pytest.raises(ValueError):
+        optics.conjugate_gradients(spark.createDataFrame([(0, 0, 0.0, 1.0)], diagonal.schema), couplings.where("frame > 99"))
