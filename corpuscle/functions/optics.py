@@ -128,6 +128,8 @@ def linear_solve(diagonal: DataFrame, couplings: DataFrame, keys=("frame",), tol
     """
     keys = list(keys)
     diagonal, couplings = materialize(diagonal.select(*keys, "p", "a", "b"), "diagonal"), materialize(couplings.select(*keys, "p", "q", "a"), "couplings")
+    if diagonal.where("a = 0").count():
+        return conjugate_gradients(diagonal, couplings, keys, tolerance)
     values = diagonal.select(*keys, "p", (F.col("b") / F.col("a")).alias("v"))
     best, since = math.inf, 0
     while True:
