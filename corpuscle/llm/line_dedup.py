@@ -1,9 +1,10 @@
 """Line deduplication across documents: exact repeats, and lines within a few edits of an earlier line.  DataFrame functions only.
 
-A line is what stands between line breaks and holds a word.  Lines are ordered by document id, text hash and line number.  A line is removed if an equal line comes earlier, or,
-for lines of ``LEAST`` characters or more, a line within ``EDITS`` edits (insertions, deletions, substitutions of code points).
+A line is what stands between line breaks and holds a word.  Lines are ordered by document id, text hash and line number.  A line is removed if an equal line comes earlier, or
+one within the edits (insertions, deletions, substitutions of code points) that ``ALLOWED`` grants to the shorter of both: they grow with the length, one from 12 characters, two from 30.
+Of shorter lines only equal ones are repeats: an edit would make one word of two.
 
-Segment-partition join: a line is split into EDITS + 1 segments.  Of two lines within EDITS edits at least one segment of the shorter is found unchanged in the
+Segment-partition join: a line is split into one segment more than its edits.  Of two lines that near at least one segment of the shorter is found unchanged in the
 longer, at a place that differs by no more than the edits allow on either side.  The shorter line is indexed under (its length, segment number, segment), the longer
 probes with its substrings at those places, for each length that is close enough.  Candidates are verified by a banded bit-parallel edit
 distance: the 2 * EDITS + 1 cells of a column are bits of one number that slides along the diagonal.
@@ -23,8 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..scratch import materialize, materialize_with, release
 from .frames import col, free_name, named, unpack
 
+ALLOWED = ((12, 1), (30, 2))     # from so many characters so many edits
 EDITS = 2
-LEAST = 30
 HOT = 200
 BROADCAST_ROWS = 500_000    # rows of one or two numbers
 _LAST = 2**63 - 1
@@ -92,9 +93,14 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), rest - (edits + 1 - i)), base + (rest >= edits + 1 - i).cast("int")
 
 
-def _measured(all_lines: DataFrame, least: int) -> DataFrame:
-    """Lines that are long enough, with their length and as 4 bytes per character, from which parts are cut without counting characters."""
-    return all_lines.withColumn("n", F.length("line")).filter(F.col("n") >= least).withColumn("wide", F.encode("line", "UTF-32"))
+def _allowed(length: Column, allowed) -> Column:
+    """Edits granted to a line of that length."""
+    return F.coalesce(*[F.when(length >= n, e) for n, e in reversed(allowed)], F.lit(0))
+
+
+def _measured(all_lines: DataFrame, allowed) -> DataFrame:
+    """Lines that are long enough for an edit, with their length and as 4 bytes per character, from which parts are cut without counting characters."""
+    return all_lines.withColumn("n", F.length("line")).filter(F.col("n") >= allowed[0][0]).withColumn("wide", F.encode("line", "UTF-32"))
 
 
 def _cut(start: Column, size: Column) -> Column:
@@ -106,30 +112,53 @@ def _places(i: int, shorter_by: int, edits: int) -> range:
     return range(max(-i, shorter_by - (edits - i)), min(i, shorter_by + (edits - i)) + 1)
 
 
-def _keys(edits: int) -> list[tuple[Column, bool, int, Column, Column]]:
-    """Keys of a measured line: (key, whether it probes, segment, its start, length of the indexed line)."""
+def _keys(edits: int) -> list[tuple[Column, bool, int, Column, Column, int]]:
+    """Keys of a measured line among lines with that many edits: (key, whether it probes, segment, its start, length of the indexed line, edits)."""
     out = []
     for i in range(edits + 1):
         start, size = _segment(F.col("n"), i, edits)
-        out.append((F.xxhash64(F.col("n"), F.lit(i), _cut(start, size)), False, i, start, F.col("n")))
+        out.append((F.xxhash64(F.col("n"), F.lit(i), _cut(start, size)), False, i, start, F.col("n"), edits))
     for less in range(edits + 1):
         n = F.col("n") - less
         for i in range(edits + 1):
             start, size = _segment(n, i, edits)
-            out += [(F.xxhash64(n, F.lit(i), _cut(start + s, size)), True, i, start + s, n) for s in _places(i, less, edits)]
+            out += [(F.xxhash64(n, F.lit(i), _cut(start + s, size)), True, i, start + s, n, edits) for s in _places(i, less, edits)]
     return out
 
 
-def _second_keys(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
+def _all_keys(allowed) -> tuple[list[tuple], Column, Column]:
+    """The keys of all levels one after the other; those of a line as an array; and the place in the list of the first of that array.
+
+    Most lines are far from a border between two levels and have the keys of one level only; the others have all, null where the indexed line is of another level.
+    """
+    levels = [_keys(e) for _, e in allowed]
+    first = [sum(map(len, levels[:k])) for k in range(len(levels))]
+    borders = [n for n, _ in allowed[1:]]
+    edge = F.lit(False)
+    for n in borders:
+        edge = edge | ((F.col("n") >= n) & (F.col("n") <= n + max(e for _, e in allowed)))
+    mixed = F.array(*[F.when(_allowed(key[4], allowed) == key[5], key[0]) for level in levels for key in level])
+    array, begin = F.when(edge, mixed), F.when(edge, 0)
+    for k in range(len(levels) - 1, -1, -1):
+        here = F.col("n") >= allowed[k][0]
+        lowest = allowed[0][0]
+        # at the lower end of the first level an indexed line may be too short to have keys
+        keys = F.array(*[key[0] if k else F.when(key[4] >= lowest, key[0]) for key in levels[k]])
+        array, begin = array.when(here, keys), begin.when(here, first[k])
+    return [key for level in levels for key in level], array, begin
+
+
+def _second_keys(rows: DataFrame, allowed, probing: bool) -> DataFrame:
     """Key once more by halves of the segments other than i: of these 2 * edits halves no more than ``edits`` are touched."""
     out = []
-    for i in range(edits + 1):
-        a, w = _segment(F.col("indexed"), i, edits)
-        for half in (0, 1):
-            size = F.floor(w / 2).cast("int") if half == 0 else w - F.floor(w / 2).cast("int")
-            at = a if half == 0 else a + F.floor(w / 2).cast("int")
-            for shift in range(-edits, edits + 1) if probing else (0,):
-                out.append(F.when(F.col("i") != i, F.xxhash64(F.col("key"), F.lit(2 * i + half), _cut(at + shift, size))))
+    for edits in sorted({e for _, e in allowed}):
+        for i in range(edits + 1):
+            a, w = _segment(F.col("indexed"), i, edits)
+            for half in (0, 1):
+                size = F.floor(w / 2).cast("int") if half == 0 else w - F.floor(w / 2).cast("int")
+                at = a if half == 0 else a + F.floor(w / 2).cast("int")
+                for shift in range(-edits, edits + 1) if probing else (0,):
+                    out.append(F.when((F.col("edits") == edits) & (F.col("i") != i), F.xxhash64(F.col("key"), F.lit(2 * i + half), _cut(at + shift, size))))
     return rows.withColumn("wide", F.encode("line", "UTF-32")).select(F.explode(F.array_compact(F.array(*out))).alias("key"), "h", "odd1", "odd2")
 
 
@@ -138,17 +167,19 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def near_lines(documents: DataFrame, places: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """Pairs of different lines within ``edits`` edits: a, b (hashes) and where each comes first (first_a, first_b).
+def near_lines(documents: DataFrame, places: DataFrame, allowed=ALLOWED, hot: int = HOT) -> DataFrame:
+    """Pairs of different lines within the edits allowed: a, b (hashes) and where each comes first (first_a, first_b).
 
     ``documents`` have keys, ``places`` are h, o, th and no of all their lines.  The keys of all lines are aggregated once, combined before the shuffle and without their
     texts, to find those that different lines share.  The lines that have such keys come next, and only their first places are opened for the text.
     """
-    long_lines, keys = _measured(lines(documents), least), _keys(edits)
-    bare = long_lines.select("h", F.explode(F.array(*[k for k, *_ in keys])).alias("key"))
+    allowed = tuple(sorted(allowed))
+    edits = max(e for _, e in allowed)
+    long_lines, (keys, array, begin) = _measured(lines(documents), allowed), _all_keys(allowed)
+    bare = long_lines.select("h", F.explode(array).alias("key")).filter("key IS NOT NULL")
     shared, seen = materialize_with(bare.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key"), "shared")
     # which key of a line it is (the place in ``keys``) tells the rest
-    hits = materialize(long_lines.select("h", F.posexplode(F.array(*[k for k, *_ in keys])).alias("which", "key")).join(_small(shared, seen["rows"]), "key").distinct(), "hits")
+    hits = materialize(long_lines.select("h", begin.alias("begin"), F.posexplode(array).alias("which", "key")).select("h", (F.col("begin") + F.col("which")).alias("which"), "key").join(_small(shared, seen["rows"]), "key").distinct(), "hits")
 
     wanted, seen = materialize_with(hits.select("h").distinct(), "wanted")
     firsts, seen = materialize_with(places.join(_small(wanted, seen["rows"]), "h", "left_semi").groupBy("h").agg(F.min(F.struct("o", "th", "no")).alias("first")), "firsts")
@@ -161,8 +192,8 @@ def near_lines(documents: DataFrame, places: DataFrame, edits: int = EDITS, leas
                         .withColumn("n", F.length("line")).withColumns({"odd1": single, "odd2": double}), "texts")
 
     pick = lambda values: F.get(F.array(*values), F.col("which"))
-    found = hits.join(texts, "h").withColumns({"probe": pick([F.lit(p) for _, p, *_ in keys]), "i": pick([F.lit(i) for _, _, i, *_ in keys]),
-                                               "at": pick([at for *_, at, _ in keys]), "indexed": pick([n for *_, n in keys])})
+    found = hits.join(texts, "h").withColumns({"probe": pick([F.lit(k[1]) for k in keys]), "i": pick([F.lit(k[2]) for k in keys]),
+                                               "at": pick([k[3] for k in keys]), "indexed": pick([k[4] for k in keys]), "edits": pick([F.lit(k[5]) for k in keys])})
     index, probe = found.filter("NOT probe"), found.filter("probe")
     crowded, seen = materialize_with(index.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
     slim = lambda side: side.select("key", "h", "odd1", "odd2").distinct()
@@ -171,14 +202,15 @@ def near_lines(documents: DataFrame, places: DataFrame, edits: int = EDITS, leas
                          .select(F.expr("least(x.h, y.h)").alias("a"), F.expr("greatest(x.h, y.h)").alias("b")))
     if seen["rows"]:
         apart, close = (lambda side, how=how: side.join(_small(crowded, seen["rows"]), "key", how) for how in ("left_anti", "left_semi"))
-        pairs = pair(apart(index), apart(probe)).unionAll(pair(_second_keys(close(index), edits, False), _second_keys(close(probe), edits, True)))
+        pairs = pair(apart(index), apart(probe)).unionAll(pair(_second_keys(close(index), allowed, False), _second_keys(close(probe), allowed, True)))
     else:
         pairs = pair(index, probe)
     pairs = materialize(pairs.distinct(), "pairs")
     side = lambda s: texts.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = F.abs(F.length("line_a") - F.length("line_b")) <= edits
-    links = both.filter(F.when(near, banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits).otherwise(F.lit(False))).select("a", "b")
+    granted = _allowed(F.least(F.length("line_a"), F.length("line_b")), allowed)
+    near = F.abs(F.length("line_a") - F.length("line_b")) <= granted
+    links = both.filter(F.when(near, banded_distance(F.col("line_a"), F.col("line_b"), edits) <= granted).otherwise(F.lit(False))).select("a", "b")
     for s in "ab":
         links = links.join(firsts.select(F.col("h").alias(s), F.col("first").alias(f"first_{s}")), s)
     links = materialize(links.select("a", "b", "first_a", "first_b"), "near-lines")
@@ -187,11 +219,11 @@ def near_lines(documents: DataFrame, places: DataFrame, edits: int = EDITS, leas
     return links
 
 
-def decide(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
+def decide(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", allowed=ALLOWED, hot: int = HOT) -> DataFrame:
     """Columns ``keep`` as struct ``row``, n_lines, n_exact, n_near (lines removed) and removed (their numbers, from 0, in order)."""
     rows = keyed(documents, id, text)
     places = materialize(lines(rows).select("h", "o", "th", "no"), "places")
-    pairs = near_lines(rows, places, edits, least, hot)
+    pairs = near_lines(rows, places, allowed, hot)
     nearest = pairs.select(F.col("a").alias("h"), F.col("first_b").alias("near")).unionAll(pairs.select(F.col("b").alias("h"), F.col("first_a").alias("near")))
     repeated = places.groupBy("h").agg(F.min(F.struct("o", "th", "no")).alias("first"), F.count("*").alias("c")).filter("c > 1")
     marks = (repeated.select("h", "first", F.lit(None).cast(nearest.schema["near"].dataType).alias("near"))

@@ -421,10 +421,10 @@ def test_banded_distance(spark):
         assert all(min(x.d, k + 1) == min(h.edits(x.a, x.b), k + 1) for x in got)
 
 
-@pytest.mark.parametrize("k,hot", [(2, 200), (2, 1), (1, 1), (3, 2)])
-def test_line_dedup(spark, k, hot):
+@pytest.mark.parametrize("allowed,hot", [(((12, 2),), 200), (((12, 3),), 2), (line_dedup.ALLOWED, 200), (line_dedup.ALLOWED, 1)])
+def test_line_dedup(spark, allowed, hot):
     r = random.Random(9)
-    base = ["".join(r.choice("abcde fghé") for _ in range(r.randint(12, 40))) for _ in range(12)] + ["same beginning of them all " + "".join(r.choice("xyz") for _ in range(12)) for _ in range(12)]
+    base = ["".join(r.choice("abcde fghé") for _ in range(r.choice((r.randint(5, 40), 11, 12, 13, 28, 29, 30, 31, 32)))) for _ in range(20)] + ["same beginning of them all " + "".join(r.choice("xyz") for _ in range(12)) for _ in range(12)]
     rows = []
     for i in range(25):
         lines = []
@@ -435,7 +435,7 @@ def test_line_dedup(spark, k, hot):
                 r.choice((lambda: line.insert(at, "q"), lambda: line.__setitem__(at, "z"), lambda: line.pop(at)))()
             lines.append("".join(line))
         rows.append((i, "\n".join(lines + [""] * (i % 2))))
-    least = 12
+    grant = lambda n: max((e for at, e in allowed if n >= at), default=0)
     seen, want = [], {}
     for i, t in rows:
         gone = []
@@ -444,18 +444,24 @@ def test_line_dedup(spark, k, hot):
                 continue
             if line in {x for x, _ in seen}:
                 gone.append((no, True))
-            elif len(line) >= least and any(len(x) >= least and abs(len(x) - len(line)) <= k and h.edits(x, line) <= k for x, _ in seen):
+            elif any((k := grant(min(len(x), len(line)))) and abs(len(x) - len(line)) <= k and h.edits(x, line) <= k for x, _ in seen):
                 gone.append((no, False))
             seen.append((line, i))
         want[i] = (sum(map(lambda x: bool(h.WORD.search(x)), t.split("\n"))), sum(e for _, e in gone), sum(not e for _, e in gone), [no for no, _ in gone])
-    got = {x.row.doc_id: (x.n_lines, x.n_exact, x.n_near, x.removed) for x in line_dedup.decide(h.documents(spark, rows), ["doc_id"], edits=k, least=least, hot=hot).collect()}
+    got = {x.row.doc_id: (x.n_lines, x.n_exact, x.n_near, x.removed) for x in line_dedup.decide(h.documents(spark, rows), ["doc_id"], allowed=allowed, hot=hot).collect()}
     assert got == want
     if hot == 200:
-        texts = {x.doc_id: x.text for x in line_dedup.deduplicate(h.documents(spark, rows), edits=k, least=least).collect()}
+        texts = {x.doc_id: x.text for x in line_dedup.deduplicate(h.documents(spark, rows), allowed=allowed).collect()}
         for i, t in rows:
             assert texts[i] == "\n".join(x for no, x in enumerate(t.split("\n")) if no not in want[i][3])
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Share on Facebook\nHome\nlog in"), (2, "Share on Facebok\nHomes\nlog on\nShare on Facebook")]
+    got = {x.row.doc_id: x.removed for x in line_dedup.decide(h.documents(spark, rows), ["doc_id"]).collect()}
+    assert got == {1: [], 2: [0, 3]}
+
+
 def test_line_dedup_edges(spark):
     odd = h.awkward(spark)
     got = line_dedup.decide(odd, ["doc_id", "row", "a.b"]).collect()
