@@ -280,14 +280,12 @@ def two_point_displacements(tracks: DataFrame, t0: int, lags: Sequence[int], rmi
             .join(shifts.select(F.col(id_col).alias("q"), "lag", *[F.col(f"u{c}").alias(f"q{c}") for c in AXES]),
                   ["q", "lag"]))
     r = F.sqrt("d2")
-    rho2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    rho = F.when(rho2 > 0, F.sqrt(rho2))
-    n = [F.col("dx") / r, F.col("dy") / r, F.col("dz") / r]
-    p = [F.col("dy") / rho, -F.col("dx") / rho, F.lit(0.0)]
-    q = [n[1] * p[2] - n[2] * p[1], n[2] * p[0] - n[0] * p[2], n[0] * p[1] - n[1] * p[0]]
-    def along(side, axis):
-        return sum((F.col(f"{side}{c}") * a for c, a in zip(AXES[1:], axis[1:])), F.col(f"{side}x") * axis[0])
-    parts = {name: along("p", axis) * along("q", axis) for name, axis in (("n", n), ("q", q), ("p", p))}
+    flat = F.nullif(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.lit(0.0))      # a pair along z has no plane with z
+    dot = lambda a, b: sum((F.col(f"{a}{c}") * F.col(f"{b}{c}") for c in AXES[1:]), F.col(f"{a}x") * F.col(f"{b}x"))
+    turn = lambda side: F.col(f"{side}x") * F.col("dy") - F.col(f"{side}y") * F.col("dx")
+    # of the product of both displacements, what lies along the pair and across it in xy; the plane of the pair and z has the rest
+    lengthwise, crosswise = dot("p", "d") * dot("q", "d") / F.col("d2"), turn("p") * turn("q") / flat
+    parts = {"n": lengthwise, "q": dot("p", "q") - lengthwise - crosswise, "p": crosswise}
     width = math.log(rmax / rmin) / nbins
     rows = both.select("lag", F.floor((F.log(r) - math.log(rmin)) / width).cast("int").alias("bin"),
                        *[v.alias(f"_{k}") for k, v in parts.items()])

@@ -81,21 +81,6 @@ def test_layout_keeps_every_pixel(spark):
     assert image[0, 3] == 7 and image[2, 3] == 9 and image.sum() == 16
 
 
-def test_deconvolution_restores_isotropy(spark):
-    from corpuscle.imaging import filters
-    rng = np.random.default_rng(3)
-    grid = filters.blur(rng.random((24, 24, 24)), 2.0)
-    smeared = np.fft.irfft(np.fft.rfft(grid, axis=0) * np.exp(-np.arange(13) / 6)[:, None, None], axis=0, n=24).astype(np.float32)
-    images = spark.createDataFrame([(0, [24, 24, 24], smeared.tobytes())], "frame int, shape array<int>, data binary")
-    kernel = tracking.deconvolution_kernel(images)
-    row = tracking.deconvolve(images, kernel).first()
-    out = as_array(row["shape"], row["data"]).astype(float)
-    def anisotropy(a):
-        z, x = ((np.abs(np.fft.rfft(a, axis=k)) ** 2).mean(axis=tuple(b for b in range(3) if b != k))[1:5] for k in (0, 2))
-        return np.abs(np.log(z / x)).max()
-    assert anisotropy(out) < 0.5 * anisotropy(smeared.astype(float))
-
-
 def test_painted_rods(spark):
     df = spark.createDataFrame([(0, 0, 4.0, 4.0, 4.0, 2.0)], "frame int, pid bigint, x double, y double, z double, r double")
     row = tracking.paint_spheres(df, (9, 9, 9), rods=True).first()
