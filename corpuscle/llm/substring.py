@@ -1,17 +1,22 @@
-"""Substring deduplication: an index join of windows in place of a relative Lempel-Ziv parse.
+"""Substring deduplication by a relative Lempel-Ziv parse against blocks of earlier documents.
 
-A window is ``WINDOW`` consecutive words of a document.  The words of all windows that also occur in a document with a
-smaller id are removed; a join with an index of windows decides that, in place of the greedy parse.  A factor, listed beside, is a maximal run of
-words whose windows have the same smallest earlier document; it does not say where in it, and its windows need not be consecutive there.
+A window is ``WINDOW`` consecutive words of a document.  The words of all windows that also occur in a document with a smaller id are removed.
+
+The reference is what the corpus says for the first time: every window at its first place (smallest id, then text hash, then word).  Windows that follow one another
+both in a document and among those first places make up a block, so the blocks hold each repeated window once, and a place in a document matches in one block only.
+A document is parsed greedily from its first word: where the window that begins there has an earlier place, the longest match from that place is a factor (its
+first word, its length, the document and the word in it that it repeats), and the parse goes on behind it; elsewhere one word is passed over.  A match goes on as long as
+the next window stands next in the same block.  Windows that cross the end of a factor are in no factor; they are checked one by one.  Factors and the windows found at
+their ends, merged, are the duplicate spans.  A parse meets every repeated window: one that begins at a word passed over would have begun a factor.
 
 The reference index is distributed by window hash and built in steps, each of which decides less data exactly:
-  1. Documents whose whole word sequence occurs earlier are one factor.  Only the first of such copies is parsed.
+  1. Documents whose whole word sequence occurs earlier are one factor without a parse.  Only the first of such copies is parsed.
   2. Every window is represented by its anchor, the least hash of the shorter runs of ``GRAM`` words in it.  Equal windows have equal anchors, and
      neighbouring windows mostly share one, so the corpus is indexed with about one anchor per 15 words.  Anchors of a single document are dropped.
-  3. Windows with a remaining anchor (a bit filter of fixed size tells; letting through too many costs time only) are aggregated to the smallest
-     document per window, combined before the shuffle.  That index is written and joined with the windows that may be in it; both sides of the join
+  3. Windows with a remaining anchor (a bit filter of fixed size tells; letting through too many costs time only) are aggregated to their
+     first place, combined before the shuffle.  That index is written and joined with the windows that may be in it; both sides of the join
      are plain shuffles, so AQE splits the few windows that a large part of the documents has.
-  4. The positions found go to their documents, where the factors are formed and the words removed.
+  4. The places found go to their documents, which are parsed one by one, and the words removed.
 Windows are compared by 64-bit hashes.
 
 Edge cases: a null text has no words; a null id is later than all others, so such rows are parsed against all with an id but never against each
@@ -70,6 +75,25 @@ def digests(piece: Piece, w: Words, keep: np.ndarray) -> list[str]:
     return [hashlib.sha256(data[a:max(a, b - 1)]).hexdigest() for a, b in zip(where[:-1], where[1:])]
 
 
+def greedy(at: np.ndarray, block: tuple[np.ndarray, ...], place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of one document: (index of the window that begins each, words in it), and the windows that cross the end of a factor.
+
+    ``at`` are the words, in order, where windows with an earlier place begin; ``block`` tells their documents apart, ``place`` is the word there.
+    """
+    follows = (np.diff(at) == 1) & (np.diff(place) == 1)
+    for part in block:
+        follows &= part[1:] == part[:-1]
+    stops = np.append(np.flatnonzero(~follows), len(at) - 1)
+    end = at[stops[np.searchsorted(stops, np.arange(len(at)))]] + size      # behind the longest match from each window
+    begins, k = [], 0
+    while k < len(at):
+        begins.append(k)
+        k = int(np.searchsorted(at, end[k]))
+    begins = np.array(begins, np.int64)
+    inside = np.searchsorted(begins, np.arange(len(at)), "right") - 1
+    return begins, end[begins] - at[begins], np.flatnonzero(at + size > end[begins[inside]])
+
+
 def _survey(source: DataFrame, size: int, gram: int) -> DataFrame:
     """Per document: words, hashes of the whole sequence, digest of all words, distinct anchors."""
     def run(batches):
@@ -133,42 +157,48 @@ def _only(source: DataFrame, members: np.ndarray) -> DataFrame:
 
 
 def _parsed(source: DataFrame, hits: DataFrame, size: int, with_text: bool) -> DataFrame:
-    """Factors, words removed, digest and, if asked for, text of the documents that have hits."""
+    """Factors, spans, words removed, digest and, if asked for, text of the documents that have hits."""
     def run(batches):
         for batch in batches:
             hit = batch.column(2)
             first_hit = hit.offsets.to_numpy() - hit.offsets[0].as_py() if len(hit) else np.zeros(1, np.int64)
             flat = hit.flatten()
-            word, ref = flat.field("word").to_numpy(), flat.field("ref").to_numpy()
+            word, ref, text, place = (flat.field(name).to_numpy() for name in ("word", "o", "th", "place"))
             for piece in pieces(batch.column(1)):
                 w = words(piece)
-                remove, factors = np.zeros(len(w.start), bool), []
+                remove, factors, spans = np.zeros(len(w.start), bool), [], []
                 for d in range(piece.n):
                     mine = slice(first_hit[piece.first + d], first_hit[piece.first + d + 1])
-                    order = np.argsort(word[mine], kind="stable")
-                    at, of = word[mine][order], ref[mine][order]
-                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(of) != 0)) + 1
-                    begin, end = at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + size
-                    factors.append([{"word": int(a), "words": int(b - a), "reference": int(r)} for a, b, r in zip(begin, end, of[np.append(0, cut)])])
-                    remove[w.first[d]:w.first[d + 1]] = covered(int(w.counts[d]), at.astype(np.int64), size)
+                    order = np.unique(word[mine], return_index=True)[1]         # equal rows bring each place once more
+                    at, of, there = word[mine][order].astype(np.int64), ref[mine][order], place[mine][order]
+                    begins, length, across = greedy(at, (of, text[mine][order]), there, size)
+                    factors.append([{"word": a, "words": n, "reference": r, "place": p} for a, n, r, p in
+                                    zip(at[begins].tolist(), length.tolist(), of[begins].tolist(), there[begins].tolist())])
+                    n = int(w.counts[d])
+                    gone = covered(n, at[begins], length) | covered(n, at[across], size)
+                    edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+                    spans.append([{"word": a, "words": b - a} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())])
+                    remove[w.first[d]:w.first[d + 1]] = gone
                 columns = [batch.column(0).slice(piece.first, piece.n), pa.array(w.counts, pa.int64()), pa.array(per_document(w, remove), pa.int64()),
-                           pa.array(digests(piece, w, ~remove)), pa.array(factors, _FACTORS)]
+                           pa.array(digests(piece, w, ~remove)), pa.array(factors, _FACTORS), pa.array(spans, _SPANS)]
                 if with_text:
                     data, where = joined(piece, w, ~remove)
                     columns.append(pa.array([data[a:max(a, b - 1)].decode() for a, b in zip(where[:-1], where[1:])], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_removed", "kept_sha256", "factors", *["kept_text"] * with_text])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_removed", "kept_sha256", "factors", "spans", *["kept_text"] * with_text])
 
     return map_texts(source.join(hits, ["o", "th"]).select("row", "t", "hits"), run,
-                     row_schema(source, f"n_words long, n_removed long, kept_sha256 string, factors {_FACTOR_TYPE}" + ", kept_text string" * with_text))
+                     row_schema(source, f"n_words long, n_removed long, kept_sha256 string, factors {_FACTOR_TYPE}, spans {_SPAN_TYPE}" + ", kept_text string" * with_text))
 
 
-_FACTORS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("reference", pa.int64())]))
-_FACTOR_TYPE = "array<struct<word: bigint, words: bigint, reference: bigint>>"
+_FACTORS = pa.list_(pa.struct([(name, pa.int64()) for name in ("word", "words", "reference", "place")]))
+_SPANS = pa.list_(pa.struct([(name, pa.int64()) for name in ("word", "words")]))
+_FACTOR_TYPE = "array<struct<word: bigint, words: bigint, reference: bigint, place: bigint>>"
+_SPAN_TYPE = "array<struct<word: bigint, words: bigint>>"
 
 
 def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", size: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Columns ``keep`` as struct ``row``, n_words, n_removed, kept_sha256 (of the kept words, joined by a space), factors and,
-    if asked for, ``kept_text`` (null: nothing removed)."""
+    """Columns ``keep`` as struct ``row``, n_words, n_removed, kept_sha256 (of the kept words, joined by a space), factors (word, words, and the reference
+    document and place they repeat), spans (word, words: what is removed) and, if asked for, ``kept_text`` (null: nothing removed).  Words are numbered from 0."""
     source = documents.select(named(keep).alias("row"), F.coalesce(col(id).cast("long"), F.lit(_LAST)).alias("o"),
                               F.xxhash64(col(text)).alias("th"), col(text).alias("t"))
     slim = source.select("o", "th", F.expr(ROW_HASH).alias("rh"), "t")
@@ -182,19 +212,22 @@ def parse(documents: DataFrame, keep: list[str], id: str = "doc_id", text: str =
     shared = bit_filter(indexed.groupBy("anchor").agg(F.min("o").alias("a"), F.max("o").alias("b")).filter("a < b"), F.col("anchor"))
 
     found = _windows(slim, size, gram, firsts, shared)
-    index = materialize(found.groupBy("window").agg(F.min("o").alias("ref"), F.max("o").alias("last")).filter("ref < last").drop("last"), "index")
+    index = materialize(found.groupBy("window").agg(F.min(F.struct("o", "th", "word")).alias("at"), F.max("o").alias("last")).filter("at.o < last").drop("last"), "index")
     found = _windows(slim, size, gram, firsts, shared, bit_filter(index, F.col("window")))
-    hits = materialize(found.join(index, "window").filter("o > ref").groupBy("o", "th").agg(F.collect_list(F.struct("word", "ref")).alias("hits"))
+    hit = F.struct("word", "at.o", "at.th", F.col("at.word").alias("place"))
+    hits = materialize(found.join(index, "window").filter("o > at.o").groupBy("o", "th").agg(F.collect_list(hit).alias("hits"))
                        .join(known.filter(~copied).select("o", "th").distinct(), ["o", "th"], "left_semi"), "hits")
 
     for table in (survey, index):
         release(table)
     parsed = _parsed(_only(source, bit_filter(hits, F.expr(ROW_HASH))), hits, size, with_text)
-    nothing = F.array().cast(_FACTOR_TYPE)
-    whole = F.when(copied, F.array(F.struct(F.lit(0).cast("long").alias("word"), F.col("n_words").alias("words"), F.col("first").alias("reference")))).otherwise(nothing)
+    none = F.lit(0).cast("long")
+    whole = F.when(copied, F.array(F.struct(none.alias("word"), F.col("n_words").alias("words"), F.col("first").alias("reference"), none.alias("place"))))
+    span = F.when(copied, F.array(F.struct(none.alias("word"), F.col("n_words").alias("words"))))
     rest = (known.join(hits.select("o", "th"), ["o", "th"], "left_anti")
             .select("row", "n_words", F.when(copied, F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-                    F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("digest")).alias("kept_sha256"), whole.alias("factors"),
+                    F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("digest")).alias("kept_sha256"),
+                    whole.otherwise(F.array().cast(_FACTOR_TYPE)).alias("factors"), span.otherwise(F.array().cast(_SPAN_TYPE)).alias("spans"),
                     *([F.when(copied, F.lit("")).alias("kept_text")] if with_text else [])))
     return parsed.unionAll(rest)
 

@@ -55,6 +55,30 @@ def windows_removed(docs, size):
     return out
 
 
+def relative_parse(docs, size):
+    """doc index -> factors (word, words, reference, place), word by word, for op 6; ids differ and are not null."""
+    words = {i: WORD.findall(t or "") for i, t in docs}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - size + 1):
+            first.setdefault(tuple(words[i][k:k + size]), (i, k))
+    out = []
+    for i, _ in docs:
+        w, k, factors = words[i], 0, []
+        while k <= len(w) - size:
+            ref, place = first[tuple(w[k:k + size])]
+            if ref == i:
+                k += 1
+                continue
+            n = size
+            while k + n < len(w) and first[tuple(w[k + n - size + 1:k + n + 1])] == (ref, place + n - size + 1):
+                n += 1
+            factors.append((k, n, ref, place))
+            k += n
+        out.append(factors)
+    return out
+
+
 def shingles(text, size=5):
     w = WORD.findall(re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:

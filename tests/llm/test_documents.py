@@ -305,15 +305,31 @@ def test_substring(spark, corpus, size, gram):
     want = sorted((str(i), str(t), len(h.WORD.findall(t or "")), len(h.WORD.findall(t or "")) - len(k), h.sha(" ".join(k))) for (i, t, _), k in zip(rows, kept))
     assert sorted((str(x.row.doc_id), str(x.row.text), x.n_words, x.n_removed, x.kept_sha256) for x in got) == want
     for x in got:
-        covered = set()
+        covered, mine = set(), h.WORD.findall(x.row.text or "")
         for f in x.factors:
             assert f.words >= size and f.reference < (x.row.doc_id if x.row.doc_id is not None else 2**63 - 1)
+            assert any(mine[f.word:f.word + f.words] == h.WORD.findall(t or "")[f.place:f.place + f.words] for i, t, _ in rows if i == f.reference)
             covered.update(range(f.word, f.word + f.words))
-        assert len(covered) == x.n_removed
+        spans = {k for s in x.spans for k in range(s.word, s.word + s.words)}
+        assert covered <= spans and len(spans) == x.n_removed == sum(s.words for s in x.spans)
         if x.kept_text is not None:
             assert h.sha(x.kept_text) == x.kept_sha256
 
 
+def test_substring_greedy(spark):
+    """Factors against a parse in plain Python: passages of several earlier documents one after another, overlapping, repeated inside a document, and cut by an older one."""
+    r = random.Random(11)
+    a, b, c = (h.WORD.findall(h.prose(r, 60)) for _ in range(3))
+    own = lambda n: h.WORD.findall(h.prose(r, n))
+    docs = [(1, a + own(5) + b), (2, own(9) + c + a[20:] + own(3)), (3, b + c), (4, a[:40] + b[10:50] + b[10:50] + own(2) + c[5:]), (5, own(4) + c + a[20:45] + a + a),
+            (6, a + own(1) + a[:30] + a[10:55]), (7, b[30:] + c[:30] + own(20)), (9, ["x"] * 40), (10, ["x"] * 55 + own(3)), (11, a[:7] + own(30) + a[:6]), (12, b + c + own(1))]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    got = {x.row.doc_id: x for x in substring.parse(h.documents(spark, docs), ["doc_id"], size=7, gram=4).collect()}
+    want = dict(zip([i for i, _ in docs], h.relative_parse(docs, 7)))
+    assert {i: [tuple(f) for f in x.factors] for i, x in got.items()} == want and sum(map(len, want.values())) > 20
+    assert any(x.n_removed > sum(f.words for f in x.factors) for x in got.values())      # windows across the end of a factor
+
+
 def test_substring_edges(spark):
     odd = h.awkward(spark)
     got = sorted((str(x.row.doc_id), x.n_words, x.n_removed) for x in substring.parse(odd, ["doc_id", "row", "a.b"]).collect())
