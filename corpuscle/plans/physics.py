@@ -91,11 +91,21 @@ def diffusion_fit(spark, d):
     return rounded(curves.fit(msd, "diffusion", "lag", "msd"), "d")
 
 
+@query(f"""WITH {T}, {LAGGED}, c AS (SELECT tr, lag, ln(avg(d2)) - ln(6*lag) AS v FROM lg GROUP BY 1, 2 HAVING avg(d2) > 0)
+ SELECT tr, {s6('exp(avg(v))')} AS d, {s6('sum(v*v) - avg(v)*sum(v)')} AS squares, count(*) AS n, true AS converged FROM c GROUP BY 1""")
+def diffusion_by_trajectory(spark, d):
+    """One curve per trajectory, all fitted at once."""
+    t = tracks(spark, d)
+    msd = D.lag_pairs(t, D.all_lags(t), ["x", "y", "z"]).groupBy("tr", "lag").agg(F.avg(sum((F.col(f"{c}1") - F.col(f"{c}0")) ** 2 for c in "xyz")).alias("msd"))
+    return rounded(curves.fit_curves(msd, "diffusion", "lag", "msd", by=["tr"]), "d", "squares")
+
+
 @query()
 def relaxation_fit(spark, d):
     t = tracks(spark, d)
     isf = D.time_functions(t, D.all_lags(t), q=Q / 4).select("lag", "isf")
-    return curves.fit(isf, "decay", "lag", "isf", start=[0.95, 10.0, 1.0]).select(*[F.round(c, 3).alias(c) for c in ("plateau", "tau", "beta")])
+    fitted = curves.fit_curves(isf, "decay", "lag", "isf", start=[0.95, 10.0, 1.0])
+    return fitted.select(*[F.round(c, 3).alias(c) for c in ("plateau", "tau", "beta")], "converged")
 
 
 @query()

@@ -108,6 +108,27 @@ def test_fits(spark):
     assert np.allclose(shared[["plateau", "tau", "beta"]], [[0.8, 5, 0.9], [0.8, 20, 0.9]], rtol=1e-2)
 
 
+def test_fits_of_many_curves(spark):
+    """Noisy curves side by side, one of them without a name, against the solver for a single one; a curve that has no best fit says so."""
+    rng, t, rows, want = np.random.default_rng(8), np.arange(1.0, 50.0), [], {}
+    for name, p in (("a", (0.9, 12.0, 0.7)), ("b", (0.7, 5.0, 1.1)), (None, (0.95, 30.0, 0.9))):
+        y = curves.stretched(p, t) + rng.normal(0, 0.01, len(t))
+        rows += [(name, float(u), float(v)) for u, v in zip(t, y)] + [(name, None, 1.0), (name, 3.0, None)]
+        want[name] = curves.levenberg_marquardt(lambda p: curves.stretched(p, t) - y, [0.95, 10.0, 1.0])
+    rows += [("flat", float(u), 1.0 + 0.2 * (-1) ** i) for i, u in enumerate(t[:12])] + [("none", 1.0, None)]
+    df = spark.createDataFrame(rows, "name string, t double, y double")
+    got = {r["name"]: r for r in curves.fit_curves(df, "decay", "t", "y", by=["name"], start=[0.95, 10.0, 1.0]).collect()}
+    assert set(got) == {"a", "b", None, "flat"} and got["a"]["n"] == 49
+    for name, p in want.items():
+        assert got[name]["converged"] and tuple(got[name])[1:4] == pytest.approx(tuple(p), rel=1e-4)
+    line = curves.fit_curves(df.where("name = 'a'"), "line", "t", "y").first()
+    slope, intercept = np.polyfit(t, [r[2] for r in rows[:49]], 1)
+    assert (line["intercept"], line["slope"], line["converged"]) == (pytest.approx(intercept), pytest.approx(slope), True)
+    bad = curves.fit_curves(df.where("name = 'a'"), "decay", "t", "y", start=[0.95, 10.0, 1.0], most=1).first()
+    assert not bad["converged"]
+    assert curves.fit_curves(df.where("name = 'x'"), "line", "t", "y").count() == 0
+
+
 def test_newtonian_fluid_has_no_storage_modulus(spark):
     t = np.logspace(-2, 2, 40)
     got = curves.microrheology(spark.createDataFrame(pd.DataFrame({"lag": t, "msd": 6 * 0.1 * t})), 1.0, 0.5, 300.0).toPandas().sort_values("omega")
