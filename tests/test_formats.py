@@ -43,7 +43,7 @@ def test_dat_file(spark, tmp_path):
 
 
 def test_voronoi_listing(spark, tmp_path):
-    (tmp_path / "c_t0.vol").write_text("0 1.5 3 1 2 -1\n1 1.0 2 0 2\n2 1.0 2 0 1\n")
+    (tmp_path / "c_t0.vol").write_text("0 1.5 3 1 2 -1\n1 1.0 2 0 2\n2 1.0 2 0 1\n3 1.0 1 wall\nid volume n neighbours\n4 1.0 0\n")
     bonds, outside = text.read_voronoi_neighbours(spark, str(tmp_path / "*.vol"))
     assert {(r.low, r.high) for r in bonds.collect()} == {(0, 1), (0, 2), (1, 2)}
     assert [r.p for r in outside.collect()] == [0]
