@@ -1,91 +1,81 @@
 """Voronoi cells: volumes, faces, neighbours, and their coarse graining.
 
-Neighbours come from a distance join; a cell is cut out of the box of its frame by the planes half way to
-them.  A cell whose farthest corner is at rho is complete once all particles within 2 rho are known, so
-unfinished ones go on with a wider range.
+Neighbours come from a distance join.  A cell is the set of points on the inner side of all planes half way to a
+neighbour and of the walls of its frame; an edge of it is what all other planes leave of the line in which two of them
+meet.  Faces and volumes are sums over edges, so all of it is joins and grouped sums under the key of the particle.
+A cell whose farthest corner is at rho is complete once all particles within 2 rho are known, so unfinished ones go on
+with a wider range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.geometry import AXES
 from ..scratch import materialize, materialize_with
 from .select import extent
 from .spatial import knn
+from ..functions.geometry import AXES
+
+FIRST = 12          # neighbours of the trial cell, whose size says which planes can matter at all
+PARALLEL = 1e-12    # cosine below which a line is parallel to a plane
+NEAR = 1e-9         # relative distance at which a line lies in a plane
+
 
-# faces of a box as corner numbers (bit 0: x, bit 1: y, bit 2: z), outward order
-BOX_FACES = ((0, 4, 6, 2), (1, 3, 7, 5), (0, 1, 5, 4), (2, 6, 7, 3), (0, 2, 3, 1), (4, 5, 7, 6))
-
-
-def _box(low: np.ndarray, high: np.ndarray) -> list:
-    corners = [np.array([(high if (i >> a) & 1 else low)[a] for a in range(3)]) for i in range(8)]
-    return [(-1 - n, np.array([corners[i] for i in face])) for n, face in enumerate(BOX_FACES)]
-
-
-def _clip(faces: list, normal: np.ndarray, offset: float, label: int) -> list:
-    """Part of a convex polyhedron with normal . x <= offset; the new face gets ``label``."""
-    kept, rim, touched = [], [], False
-    for name, loop in faces:
-        side = loop @ normal - offset
-        if (side <= 0).all():
-            kept.append((name, loop))
-            continue
-        touched = True
-        nxt, nside = np.roll(loop, -1, axis=0), np.roll(side, -1)
-        points = []
-        for a, b, sa, sb in zip(loop, nxt, side, nside):
-            if sa <= 0:
-                points.append(a)
-            if (sa < 0 < sb) or (sb < 0 < sa):
-                cross = a + (b - a) * (sa / (sa - sb))
-                points.append(cross)
-                rim.append(cross)
-            elif sa == 0:
-                rim.append(a)
-        if len(points) >= 3:
-            kept.append((name, np.array(points)))
-    if touched and len(rim) >= 3:
-        rim = np.array(rim)
-        centre = rim.mean(axis=0)
-        u = rim[np.argmax(((rim - centre) ** 2).sum(axis=1))] - centre
-        v = np.cross(normal, u)
-        angle = np.arctan2((rim - centre) @ v / np.linalg.norm(normal), (rim - centre) @ u)
-        kept.append((label, rim[np.argsort(angle)]))
-    return kept
-
-
-def cell(low, high, neighbours: np.ndarray, labels: Sequence[int]):
-    """Voronoi cell of the origin in a box: (volume, farthest corner, [(label, area)]).
-
-    ``neighbours``: relative positions, nearest first; walls have negative labels -1 .. -6.
+def _edges(planes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges of the cells around the origin: keys, p, reach2 (of the farther end), faces of [q, h, area].
+
+    ``planes``: keys, p, q, unit normal nx, ny, nz and distance h >= 0.  Where several planes pass through one edge
+    (lattices), the edge counts for each face once: for those planes that bound the face from the same side, under the
+    lowest q.
     """
-    faces = _box(np.asarray(low, float), np.asarray(high, float))
-    corners = np.concatenate([loop for _, loop in faces])
-    reach2 = float((corners ** 2).sum(axis=1).max())
-    for vector, label in zip(neighbours, labels):
-        d2 = float(vector @ vector)
-        if d2 == 0:
-            continue
-        if d2 > 4 * reach2:         # nearest first: nothing further can cut
-            break
-        if (corners @ vector).max() <= d2 / 2:
-            continue
-        faces = _clip(faces, vector, d2 / 2, label)
-        corners = np.concatenate([loop for _, loop in faces])
-        reach2 = float((corners ** 2).sum(axis=1).max())
-    volume, areas = 0.0, []
-    for label, loop in faces:
-        cross = np.cross(loop[1:-1] - loop[0], loop[2:] - loop[0])
-        area = np.linalg.norm(cross.sum(axis=0)) / 2
-        if area > 0:
-            volume += abs(float(loop[0] @ cross.sum(axis=0))) / 6
-            areas.append((int(label), float(area)))
-    return volume, reach2 ** 0.5, areas
+    own = [*keys, "p"]
+    name = lambda side: planes.select(*own, *[F.col(c).alias(f"{c}{side}") for c in ("q", "nx", "ny", "nz", "h")])
+    dot = lambda a, b: F.expr(" + ".join(f"{x} * {y}" for x, y in zip(a, b)))
+    normal = lambda side: [f"nx{side}", f"ny{side}", f"nz{side}"]
+    point, line = ["ax", "ay", "az"], ["ux", "uy", "uz"]
+    lines = name("a").join(name("b"), own).where("qa < qb").withColumn("g", dot(normal("a"), normal("b")))
+    lines = lines.withColumn("s2", F.expr("1 - g * g")).where(f"s2 > {PARALLEL}").withColumns(
+        {"s": F.expr("sqrt(s2)"), "ka": F.expr("(ha - g * hb) / s2"), "kb": F.expr("(hb - g * ha) / s2")})
+    lines = lines.withColumns({**{f"a{c}": F.expr(f"ka * n{c}a + kb * n{c}b") for c in "xyz"},
+                               **{f"u{c}": F.expr(f"(n{d}a * n{e}b - n{e}a * n{d}b) / s") for c, d, e in ("xyz", "yzx", "zxy")}})
+    cut = lines.join(name("c"), own).where("qc <> qa AND qc <> qb").withColumns(
+        {"slope": dot(normal("c"), line), "gap": F.expr("hc - (nxc * ax + nyc * ay + nzc * az)")})
+    same = f"abs(slope) <= {PARALLEL} AND abs(gap) <= {NEAR} * (ha + hb + hc)"
+    # a third plane through the line bounds face a from the side of b if its normal has a part along that of b within a
+    along = {"a": "nxc * nxb + nyc * nyb + nzc * nzb - g * (nxc * nxa + nyc * nya + nzc * nza)",
+             "b": "nxc * nxa + nyc * nya + nzc * nza - g * (nxc * nxb + nyc * nyb + nzc * nzb)"}
+    left = cut.groupBy(*own, "qa", "qb").agg(
+        F.expr(f"max(CASE WHEN slope < -{PARALLEL} THEN gap / slope END)").alias("low"), F.expr(f"min(CASE WHEN slope > {PARALLEL} THEN gap / slope END)").alias("high"),
+        F.expr(f"bool_or(abs(slope) <= {PARALLEL} AND gap < -{NEAR} * (ha + hb + hc))").alias("outside"),
+        F.expr(f"bool_or({same} AND qc < qb AND {along['a']} > 0)").alias("again_a"), F.expr(f"bool_or({same} AND qc < qa AND {along['b']} > 0)").alias("again_b"),
+        *[F.first(c).alias(c) for c in ("ha", "hb", "g", "s", *point)]).where("NOT outside AND high >= low")
+    area = lambda one, other, again: F.expr(f"CASE WHEN {again} THEN 0D ELSE 0.5 * (high - low) * (h{other} - g * h{one}) / s END")
+    side = lambda one, other: F.struct(F.col(f"q{one}").alias("q"), F.col(f"h{one}").alias("h"), area(one, other, f"again_{one}").alias("area"))
+    return left.select(*own, F.expr("ax * ax + ay * ay + az * az + greatest(low * low, high * high)").alias("reach2"),
+                       F.array(side("a", "b"), side("b", "a")).alias("faces"))
+
+
+def cells_of(planes: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Cells around the origin bounded by planes: keys, p, volume, reach, faces ARRAY<STRUCT<q, area>>.
+
+    ``planes``: keys, p, q, nx, ny, nz (unit), h; the lowest FIRST by distance and those with negative q must enclose the cell.
+    """
+    own = [*keys, "p"]
+    spark = planes.sparkSession
+    # few and small rows, long computation: one partition per core at least, which coalescing would undo
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    planes = planes.repartition(parts, *own)
+    rank = F.row_number().over(Window.partitionBy(*own, F.col("q") < 0).orderBy("h", "q"))
+    trial = _edges(planes.withColumn("_rank", rank).where((F.col("q") < 0) | (F.col("_rank") <= FIRST)).drop("_rank"), keys)
+    reach = trial.groupBy(*own).agg((F.sqrt(F.max("reach2")) * (1 + NEAR)).alias("_reach"))
+    edges = _edges(planes.join(reach, own).where("h <= _reach").drop("_reach"), keys)
+    sides = edges.select(*own, "reach2", F.explode("faces").alias("f")).select(*own, "reach2", "f.*")
+    faces = sides.groupBy(*own, "q").agg(F.first("h").alias("h"), F.sum("area").alias("area"), F.max("reach2").alias("reach2"))
+    seen = F.col("area") > NEAR * F.col("reach2")
+    return faces.groupBy(*own).agg((F.sum(F.col("h") * F.col("area")) / 3).alias("volume"), F.sqrt(F.max("reach2")).alias("reach"),
+                                   F.sort_array(F.collect_list(F.when(seen, F.struct("q", "area")))).alias("faces"))
 
 
 def voronoi(points: DataFrame, radius: float, *, keys: Sequence[str] = ("frame",), id_col: str = "pid", margin: float = 0.0,
@@ -99,33 +89,21 @@ def voronoi(points: DataFrame, radius: float, *, keys: Sequence[str] = ("frame",
     keys = list(keys)
     sites = materialize(points.groupBy(*keys, *AXES).agg(F.min(id_col).alias("p"), F.count("*").alias("_w")), "sites")
     box = extent(points, keys).drop("n")
-    face = T.StructType([T.StructField("q", T.LongType()), T.StructField("area", T.DoubleType())])
-    schema = T.StructType([points.schema[k] for k in keys] + [
-        T.StructField("p", points.schema[id_col].dataType), T.StructField("volume", T.DoubleType()),
-        T.StructField("reach", T.DoubleType()), T.StructField("known", T.DoubleType()), T.StructField("faces", T.ArrayType(face))])
-
-    def cut(batches, k, radius):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                near = r.ngbs if r.ngbs is not None else []
-                at = np.array([r.x, r.y, r.z])
-                vectors = np.array([[n["dx"], n["dy"], n["dz"]] for n in near]).reshape(-1, 3)
-                volume, reach, areas = cell(np.array([r.x0, r.y0, r.z0]) - at - margin, np.array([r.x1, r.y1, r.z1]) - at + margin,
-                                            vectors, [n["q"] for n in near])
-                known = near[-1]["d2"] ** 0.5 if len(near) >= k else radius      # everything closer has been seen
-                rows.append((*[getattr(r, key) for key in keys], r.p, volume, reach, known, [{"q": q, "area": a} for q, a in areas]))
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    def wall(number: int, axis: str, top: bool):
+        signs = [(1.0 if top else -1.0) if c == axis else 0.0 for c in AXES]
+        h = F.col(f"{axis}1") - F.col(axis) if top else F.col(axis) - F.col(f"{axis}0")
+        return F.struct(F.lit(-1 - number).cast("long").alias("q"), *[F.lit(v).alias(f"n{c}") for c, v in zip(AXES, signs)], (h + margin).alias("h"))
+    walls = F.array(*[wall(2 * i + top, c, bool(top)) for i, c in enumerate(AXES) for top in (0, 1)])
 
     done, todo = [], sites
     for _ in range(rounds):
-        found = knn(todo, nearest + 1, radius, right=sites, keys=keys, id_col="p").where("p <> q")
-        listed = found.groupBy(*keys, "p").agg(F.sort_array(F.collect_list(F.struct("d2", "q", "dx", "dy", "dz"))).alias("ngbs"))
-        rows = (todo.join(listed, [*keys, "p"], "left").join(box, keys)
-                .select(*keys, "p", *AXES, *[f"{c}{i}" for c in AXES for i in (0, 1)], "ngbs"))
-        # small rows, long computation: one partition per core at least, which coalescing would undo
-        spread = rows.repartition(points.sparkSession.sparkContext.defaultParallelism, *keys, "p")
-        cells = spread.mapInPandas(lambda batches, k=nearest, r=radius: cut(batches, k, r), schema)
+        found = materialize(knn(todo, nearest + 1, radius, right=sites, keys=keys, id_col="p").where("p <> q"), "near")
+        planes = (found.select(*keys, "p", F.col("q").cast("long").alias("q"), *[(F.col(f"d{c}") / F.sqrt("d2")).alias(f"n{c}") for c in AXES], (F.sqrt("d2") / 2).alias("h"))
+                  .unionByName(todo.join(box, keys).select(*keys, "p", F.explode(walls).alias("w")).select(*keys, "p", "w.*")))
+        # everything closer than this has been seen
+        known = found.groupBy(*keys, "p").agg(F.when(F.count("*") >= nearest, F.sqrt(F.max("d2"))).otherwise(F.lit(float(radius))).alias("known"))
+        cells = cells_of(planes, keys).join(known, [*keys, "p"], "left").withColumn("known", F.coalesce("known", F.lit(float(radius))))
         finished = F.col("reach") * 2 <= F.col("known")
         cells, seen = materialize_with(cells, "cells", open=F.count_if(~finished), reach=F.max("reach"))
         done.append(cells if not seen["open"] else cells.where(finished))

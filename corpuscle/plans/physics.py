@@ -10,7 +10,7 @@ from . import pipelines
 from .catalog import query, r6, rounded, s6
 from .dynamics import LAGGED, Q
 from .spatial import BINS, CUT, RDF
-from .tables import P, T, positions, table, tracks
+from .tables import D2, P, T, positions, table, tracks
 
 MIX = "m AS (SELECT p_partkey, p_size/60.0::DOUBLE AS f, p_retailprice/4000.0::DOUBLE AS q, 1 + p_size/10.0::DOUBLE AS piv FROM part)"
 
@@ -137,14 +137,43 @@ def voronoi_volume_sum(spark, d):
     return cells.groupBy("frame").agg(F.count("*").alias("n"), r6(F.sum("volume")).alias("volume"))
 
 
-@query()
+# cells by what all planes leave of the line in which two of them meet; every particle of the frame gives a plane
+VORONOI = f"""WITH RECURSIVE {P}, bx AS (SELECT frame, min(x)-0.01::DOUBLE AS x0, max(x)+0.01::DOUBLE AS x1, min(y)-0.01::DOUBLE AS y0, max(y)+0.01::DOUBLE AS y1, min(z)-0.01::DOUBLE AS z0, max(z)+0.01::DOUBLE AS z1 FROM p GROUP BY 1),
+pl AS (SELECT frame, p, q, dx/d AS nx, dy/d AS ny, dz/d AS nz, d/2 AS h FROM (SELECT a.frame, a.pid AS p, b.pid AS q, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz, sqrt({D2}) AS d
+  FROM p a JOIN p b ON a.frame = b.frame AND a.pid <> b.pid)
+ UNION ALL SELECT p.frame, p.pid, w.q, w.nx, w.ny, w.nz, [x-x0, x1-x, y-y0, y1-y, z-z0, z1-z][-w.q] FROM p JOIN bx USING (frame),
+  (VALUES (-1, -1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (-2, 1.0, 0.0, 0.0), (-3, 0.0, -1.0, 0.0), (-4, 0.0, 1.0, 0.0), (-5, 0.0, 0.0, -1.0), (-6, 0.0, 0.0, 1.0)) w(q, nx, ny, nz)),
+ln AS (SELECT *, ka*nxa+kb*nxb AS ax, ka*nya+kb*nyb AS ay, ka*nza+kb*nzb AS az, (nya*nzb-nza*nyb)/sqrt(s2) AS ux, (nza*nxb-nxa*nzb)/sqrt(s2) AS uy, (nxa*nyb-nya*nxb)/sqrt(s2) AS uz
+ FROM (SELECT *, (ha-g*hb)/s2 AS ka, (hb-g*ha)/s2 AS kb FROM (SELECT *, 1-g*g AS s2 FROM (SELECT a.frame, a.p, a.q AS qa, b.q AS qb, a.h AS ha, b.h AS hb, a.nx AS nxa, a.ny AS nya, a.nz AS nza, b.nx AS nxb, b.ny AS nyb, b.nz AS nzb,
+  a.nx*b.nx+a.ny*b.ny+a.nz*b.nz AS g FROM pl a JOIN pl b ON a.frame = b.frame AND a.p = b.p AND a.q < b.q)) WHERE s2 > 1e-12)),
+ed AS (SELECT frame, p, qa, qb, max(gap/slope) FILTER (slope < -1e-12) AS low, min(gap/slope) FILTER (slope > 1e-12) AS high, any_value(ha) AS ha, any_value(hb) AS hb, any_value(g) AS g, any_value(s2) AS s2
+ FROM (SELECT ln.*, h, nx*ux+ny*uy+nz*uz AS slope, h-(nx*ax+ny*ay+nz*az) AS gap FROM ln JOIN pl ON ln.frame = pl.frame AND ln.p = pl.p AND pl.q <> qa AND pl.q <> qb)
+ GROUP BY 1, 2, 3, 4 HAVING high > low AND NOT bool_or(abs(slope) <= 1e-12 AND gap < -1e-9*(ha+hb+h))),
+fc AS (SELECT frame, p, q, any_value(h) AS h, sum(a) AS area FROM (SELECT frame, p, qa AS q, ha AS h, 0.5*(high-low)*(hb-g*ha)/sqrt(s2) AS a FROM ed
+  UNION ALL SELECT frame, p, qb, hb, 0.5*(high-low)*(ha-g*hb)/sqrt(s2) FROM ed) GROUP BY 1, 2, 3),
+cell AS (SELECT frame, p, sum(h*area)/3 AS volume, bool_or(q < 0 AND area > 1e-12) AS walled FROM fc GROUP BY 1, 2),
+nb AS (SELECT frame, p, q, area FROM fc WHERE q >= 0 AND area > 1e-12)"""
+
+
+@query(VORONOI + f""", lv AS (SELECT frame, p, 0 AS ring FROM cell WHERE NOT walled UNION SELECT nb.frame, nb.p, greatest(ring, 0) + 1 FROM lv JOIN nb ON lv.frame = nb.frame AND lv.p = nb.q WHERE ring < 12),
+r AS (SELECT frame, p, greatest(min(ring), 1) AS ring FROM lv GROUP BY 1, 2),
+v AS (SELECT frame, p, 1 AS ring, avg(volume) AS volume FROM (SELECT nb.frame, nb.p, volume FROM nb JOIN cell c ON c.frame = nb.frame AND c.p = nb.q WHERE NOT walled UNION ALL SELECT frame, p, volume FROM cell WHERE NOT walled) GROUP BY 1, 2
+ UNION ALL SELECT nb.frame, nb.p, any_value(v.ring) + 1, avg(v.volume) FROM v JOIN nb ON v.frame = nb.frame AND v.p = nb.q JOIN r ON r.frame = nb.frame AND r.p = nb.p AND r.ring = v.ring + 1 GROUP BY 1, 2)
+SELECT v.frame, v.p, {s6('v.volume')} AS volume, {s6('4.0/3*pi()*p.r*p.r*p.r/cell.volume')} AS phi FROM v JOIN cell ON v.frame = cell.frame AND v.p = cell.p JOIN p ON p.frame = v.frame AND p.pid = v.p""")
 def voronoi_coarse_grained(spark, d):
     cells = voronoi.voronoi(positions(spark, d), 0.2, margin=0.01)
     phi = pipelines.volume_fraction(cells, positions(spark, d))
     return rounded(voronoi.coarse_grained_volume(cells).join(phi, ["frame", "p"]), "volume", "phi")
 
 
-@query()
+@query(VORONOI + f" SELECT frame, p, q, {s6('area')} AS area FROM nb")
 def voronoi_neighbours(spark, d):
     cells = voronoi.voronoi(positions(spark, d), 0.2, margin=0.01)
     return rounded(voronoi.voronoi_edges(cells), "area")
+
+
+@query(VORONOI + f" SELECT frame, p, {s6('volume')} AS volume, (SELECT count(*) FROM fc WHERE fc.frame = cell.frame AND fc.p = cell.p AND area > 1e-12) AS faces, walled FROM cell")
+def voronoi_volumes(spark, d):
+    """Volume of every cell, its faces, and whether it touches a wall."""
+    cells = voronoi.voronoi(positions(spark, d), 0.2, margin=0.01)
+    return cells.select("frame", "p", r6("volume").alias("volume"), F.size("faces").cast("long").alias("faces"), F.exists("faces", lambda f: f["q"] < 0).alias("walled"))
