@@ -151,12 +151,8 @@ def crystal_bonds(edges: DataFrame, q: DataFrame, l: int, threshold: float, *,
                                         F.count_if(H.normed_product(l) > threshold).alias("n_x"))
 
 
-def flip_coarse_grain(q: DataFrame, edges: DataFrame, l: int, *, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """Mean of the particle's coefficients and those of its neighbours turned by pi about the bond.
-
-    Neighbours without any coefficient are left out of the mean.
-    """
-    keys = list(keys)
+def _turned(q: DataFrame, edges: DataFrame, l: int, keys: Sequence[str]) -> DataFrame:
+    """Coefficients of every neighbour turned by pi about the bond: keys, p, q and the coefficients."""
     cols = H.coefficient_columns(l)
     shared = q.select(*keys, F.col("p").alias("q"), *cols)
     joined = edges.select(*keys, "p", "q", "dx", "dy", "dz").join(shared, [*keys, "q"])
@@ -166,17 +162,39 @@ def flip_coarse_grain(q: DataFrame, edges: DataFrame, l: int, *, keys: Sequence[
             re = pdf[[f"re_{m}" for m in range(l + 1)]].to_numpy()
             im = np.concatenate([np.zeros((len(pdf), 1)), pdf[[f"im_{m}" for m in range(1, l + 1)]].to_numpy()], axis=1)
             out = H.rotate_by_pi(re + 1j * im, pdf[["dx", "dy", "dz"]].to_numpy(), l)
-            table = pdf[[*keys, "p"]].reset_index(drop=True)
+            table = pdf[[*keys, "p", "q"]].reset_index(drop=True)
             table = pd.concat([table, pd.DataFrame(out.real, columns=[f"re_{m}" for m in range(l + 1)]),
                                pd.DataFrame(out.imag[:, 1:], columns=[f"im_{m}" for m in range(1, l + 1)])], axis=1)
             yield table
 
-    turned = joined.mapInPandas(turn, joined.select(*keys, "p", *cols).schema)
+    return joined.mapInPandas(turn, joined.select(*keys, "p", "q", *cols).schema)
+
+
+def flip_coarse_grain(q: DataFrame, edges: DataFrame, l: int, *, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Mean of the particle's coefficients and those of its neighbours turned by pi about the bond.
+
+    Neighbours without any coefficient are left out of the mean.
+    """
+    keys = list(keys)
+    cols = H.coefficient_columns(l)
     nonzero = sum((F.abs(c) for c in cols[1:]), F.abs(cols[0])) > 0
-    return (turned.where(nonzero).unionByName(q.select(*keys, "p", *cols))
+    return (_turned(q, edges, l, keys).drop("q").where(nonzero).unionByName(q.select(*keys, "p", *cols))
             .groupBy(*keys, "p").agg((F.count("*") - 1).alias("n"), *[F.avg(c).alias(c) for c in cols]))
 
 
+def flip_similarity(q: DataFrame, edges: DataFrame, l: int, threshold: float = 0.5, *, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Neighbours whose normalised product with the particle exceeds ``threshold``, as they are and turned by pi about
+    the bond: keys, p, n, n_alike, n_flipped.  ``n`` counts the bonds with coefficients at both ends."""
+    keys = list(keys)
+    cols = H.coefficient_columns(l)
+    side = lambda df, prefix: df.select(*keys, "p", *(["q"] if "q" in df.columns else []), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    both = (side(_turned(q, edges, l, keys), "t_").join(side(q, "p_"), [*keys, "p"])
+            .join(side(q, "q_").withColumnRenamed("p", "q"), [*keys, "q"]))
+    alike, flipped = H.normed_product(l), H.normed_product(l, "p_", "t_")
+    return both.where(alike.isNotNull()).groupBy(*keys, "p").agg(
+        F.count("*").alias("n"), F.count_if(alike > threshold).alias("n_alike"), F.count_if(flipped > threshold).alias("n_flipped"))
+
+
 def long_form(q: DataFrame, l: int, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """keys, p, l, m, re, im."""
     rows = [F.struct(F.lit(l).alias("l"), F.lit(m).alias("m"), F.col(f"re_{m}").alias("re"),

@@ -147,6 +147,26 @@ def flip_coarse_grained_q6(spark, d):
     return rounded(order.invariants(order.flip_coarse_grain(order.qlm(e, 6), e, 6), 6), "q6", "w6")
 
 
+# a vector w turned by pi about n is 2 (w.n) n - w
+FLIP = f"""{WITH_EDGES}, {q_sql(6)}, n AS (SELECT p, count(*) AS n FROM e GROUP BY 1), un AS (SELECT frame, p, q, dx/sqrt(d2) AS x, dy/sqrt(d2) AS y, dz/sqrt(d2) AS z FROM e),
+bb AS (SELECT b.frame, b.p, b.q, u.x*w.x+u.y*w.y+u.z*w.z AS uw, (w.x*b.x+w.y*b.y+w.z*b.z)*(u.x*b.x+u.y*b.y+u.z*b.z) AS wu FROM un b JOIN un u ON u.p = b.p JOIN un w ON w.p = b.q),
+sm AS (SELECT frame, p, q, avg({legendre(6, 'uw')}) AS alike, avg({legendre(6, '(2*wu-uw)')}) AS flipped FROM bb GROUP BY 1, 2, 3),
+sc AS (SELECT sm.frame, sm.p, count(*) AS n, count(*) FILTER (alike/(a.q6*b.q6) > 0.5) AS n_alike, count(*) FILTER (flipped/(a.q6*b.q6) > 0.5) AS n_flipped
+ FROM sm JOIN q6 a ON a.p = sm.p JOIN q6 b ON b.p = sm.q WHERE a.q6 > 0 AND b.q6 > 0 GROUP BY 1, 2),
+vs AS (SELECT un.p, x, y, z, 1.0::DOUBLE/n AS w FROM un JOIN n USING (p) UNION ALL
+ SELECT p, 2*c*nx-x, 2*c*ny-y, 2*c*nz-z, 1.0::DOUBLE/n FROM (SELECT b.p, w.x, w.y, w.z, b.x AS nx, b.y AS ny, b.z AS nz, w.x*b.x+w.y*b.y+w.z*b.z AS c, n.n FROM un b JOIN un w ON w.p = b.q JOIN n ON n.p = b.q)),
+fl AS (SELECT p, sqrt(greatest(0, sum(u.w*v.w*{legendre(6, '(u.x*v.x+u.y*v.y+u.z*v.z)')}))) AS q6 FROM vs u JOIN vs v USING (p) GROUP BY 1)"""
+
+
+@query(f"{FLIP} SELECT sc.frame, sc.p, sc.n, n_alike, n_flipped, {s6('fl.q6/(1+n.n)')} AS q6 FROM sc JOIN fl USING (p) JOIN n USING (p)")
+def flip_similarity(spark, d):
+    """Bonds between like ends, as they are and turned about the bond, and q6 of the turned mean."""
+    e = edges(spark, d)
+    q = order.qlm(e, 6)
+    mean = order.invariants(order.flip_coarse_grain(q, e, 6), 6, with_w=False).select("frame", "p", "q6")
+    return rounded(order.flip_similarity(q, e, 6).join(mean, ["frame", "p"]), "q6")
+
+
 @query(f"""{W4.split(' ms AS')[0].rstrip().rstrip(',')} SELECT frame, p, 4 AS l, m, {s6('re')} AS re, {s6('im')} AS im FROM half""")
 def bond_order_coefficients(spark, d):
     return rounded(order.long_form(order.qlm(edges(spark, d), 4), 4), "re", "im")
