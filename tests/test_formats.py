@@ -138,3 +138,16 @@ def test_names_without_token_and_short_lines(spark, tmp_path):
     assert [tuple(r) for r in text.read_bonds(spark, str(tmp_path / "run.bonds")).collect()] == [(0, 1, 3)]
     (tmp_path / "plain.grv").write_text("1 2 3\n")
     assert text.read_grv(spark, str(tmp_path / "plain.grv")).first().frame == 0
+
+
+def test_files_without_step_are_frames_of_their_own(spark, tmp_path):
+    for name, x in (("one.grv", 1.0), ("two.grv", 2.0), ("run_t4.grv", 4.0), ("odd name.grv", 3.0)):
+        (tmp_path / name).write_text(f"{x}\t0\t0\n{x}\t1\t0\n")
+    got = text.read_grv(spark, str(tmp_path / "*.grv")).orderBy("frame", "pid").collect()
+    assert [(r.frame, r.pid, r.x) for r in got] == [(f, i, x) for f, x in ((4, 4.0), (5, 3.0), (6, 1.0), (7, 2.0)) for i in range(2)]
+    alone = text.read_grv(spark, str(tmp_path / "one.grv"))
+    assert {r.frame for r in alone.collect()} == {0}
+    for name in ("a.dat", "b.dat"):
+        (tmp_path / name).write_text("1\t2\t1\n5\t6\t7\n0\t0\t0\n1\t1\t1\n")
+    assert [(r.frame, r.n) for r in text.read_dat_boxes(spark, str(tmp_path / "*.dat")).orderBy("frame").collect()] == [(0, 2), (1, 2)]
+    assert text.read_dat(spark, str(tmp_path / "*.dat")).groupBy("frame").count().count() == 2
