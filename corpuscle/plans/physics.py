@@ -108,7 +108,20 @@ def relaxation_fit(spark, d):
     return fitted.select(*[F.round(c, 3).alias(c) for c in ("plateau", "tau", "beta")], "converged")
 
 
-@query()
+def _parabola(source: str, width: float) -> str:
+    """Level, slope and bend at every (x, y) of a table: weighted parabolas in ln x, ln y by Cramer's rule."""
+    return f"""(SELECT x, y, exp((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2))/det) AS level, (s0*(t1*s4-t2*s3) - t0*(s1*s4-s2*s3) + s2*(s1*t2-s2*t1))/det AS slope,
+  2*(s0*(s2*t2-s3*t1) - s1*(s1*t2-s2*t1) + t0*(s1*s3-s2*s2))/det AS bend FROM (SELECT *, s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS det FROM (
+  SELECT x, y, sum(w) AS s0, sum(w*t) AS s1, sum(w*t*t) AS s2, sum(w*t*t*t) AS s3, sum(w*t*t*t*t) AS s4, sum(w*v) AS t0, sum(w*t*v) AS t1, sum(w*t*t*v) AS t2
+  FROM (SELECT x, y, t, v, exp(-t*t/{width * width!r}) AS w FROM (SELECT a.x, a.y, ln(b.x) - ln(a.x) AS t, ln(b.y) AS v FROM {source} a, {source} b)
+   WHERE abs(t) < {width * math.sqrt(-2 * math.log(curves.WEIGHT_FLOOR))!r}) GROUP BY 1, 2)))"""
+
+
+@query(f"""WITH {T}, {LAGGED}, c AS (SELECT lag*0.1::DOUBLE AS x, avg(d2)*1e-12 AS y FROM lg
+  WHERE lag IN (SELECT CAST(round(exp(ln(m) * i / 15.0::DOUBLE)) AS INTEGER) FROM (SELECT max(lag) AS m FROM lg), range(16) r(i)) GROUP BY lag HAVING avg(d2) > 0),
+g AS (SELECT 1/x AS x, {3 * curves.BOLTZMANN * 300.0 / (3 * math.pi * 0.5e-6)!r}/(level*gamma(1+slope)*(1+bend/2)) AS y FROM {_parabola('c', 0.7)} WHERE slope > -1 AND bend > -2),
+m AS (SELECT x, y, level/(1+bend)*(cos(slope*pi()/2) - bend*(pi()/2-1)*slope) AS s, level/(1+bend)*(sin(slope*pi()/2) - bend*(pi()/2-1)*(1-slope)) AS l FROM {_parabola('g', 0.7)})
+SELECT {s6('x')} AS omega, {s6('CASE WHEN s < 0.03*y THEN 0 ELSE s END*1e6')} AS storage, {s6('CASE WHEN l < 0.03*y THEN 0 ELSE l END*1e6')} AS loss FROM m""")
 def moduli_from_msd(spark, d):
     t = tracks(spark, d)
     msd = D.time_functions(t, D.log_spaced(D.longest_lag(t), 16), q=Q).select("lag", "msd")
