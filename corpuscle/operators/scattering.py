@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.geometry import AXES
-from ..functions.scalars import attach
+from .stats import exact_quantile
 
 
 ROWS = 1 << 18            # particles whose phases a task sums before it hands the sums on
@@ -259,8 +259,9 @@ def grid_spectrum(pixels: DataFrame, shape: Sequence[int], lengths: Sequence[flo
 
 def binary_weight(points: DataFrame, field: str, ratio: float, *, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """Adds ``w`` = 1 for the particles in the upper ``ratio`` quantile of the field, else 0 (over all frames)."""
-    cut = points.agg(F.percentile_approx(field, 1 - ratio, 10000).alias("_cut"))
-    return attach(points, cut).withColumn("w", (F.col(field) > F.col("_cut")).cast("double")).drop("_cut")
+    cut = exact_quantile(points, field, 1 - ratio)
+    above = F.lit(None) if cut is None else F.col(field) > F.lit(cut)
+    return points.withColumn("w", above.cast("double"))
 
 
 def average_spectra(spectra: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -299,3 +299,17 @@ def test_systems_that_sweeps_cannot_solve(spark, seed):
     assert optics.residual(found, diagonal, couplings).where("abs(left) > 1e-7 * size").count() == 0
     with pytest.raises(ValueError):
         optics.conjugate_gradients(spark.createDataFrame([(0, 0, 0.0, 1.0)], diagonal.schema), couplings.where("frame > 99"))
+
+
+def test_exact_quantile_of_many_values(spark):
+    from corpuscle.operators import scattering
+    from corpuscle.operators.stats import exact_quantile
+    values = np.random.default_rng(3).normal(size=60_000)
+    values[:9_000] = 0.5
+    df = spark.createDataFrame(pd.DataFrame({"frame": 0, "f": values}))
+    ordered = np.sort(values)
+    for share in (0.0, 0.1, 0.3337, 0.6, 0.7, 0.75, 0.99991, 1.0):
+        assert exact_quantile(df, "f", share) == ordered[max(int(np.ceil(share * len(values))), 1) - 1]
+        assert exact_quantile(df, "f", share, few=3) == ordered[max(int(np.ceil(share * len(values))), 1) - 1]
+    assert exact_quantile(df.where("f is null"), "f", 0.5) is None
+    assert scattering.binary_weight(df, "f", 0.25).agg({"w": "sum"}).first()[0] == (values > ordered[44_999]).sum()
