@@ -86,3 +86,12 @@ def test_painted_rods(spark):
     row = tracking.paint_spheres(df, (9, 9, 9), rods=True).first()
     image = as_array(row["shape"], row["data"]) > 0
     assert image.any(axis=(1, 2)).sum() == 5 and (image[2] == image[4]).all()
+
+
+def test_discs_outside_the_image_light_nothing_in_it(spark):
+    truth = [(0, 0, 103.0, 20.0, 0.0, 4.0), (0, 1, -7.0, 30.0, 0.0, 3.0), (0, 2, 40.0, 104.0, 0.0, 3.0), (0, 3, 94.0, 50.0, 0.0, 4.0)]
+    df = spark.createDataFrame(pd.DataFrame(truth, columns=["frame", "pid", "x", "y", "z", "r"]))
+    row = tracking.paint_spheres(df, (96, 96)).first()
+    y, x = np.nonzero(as_array(row["shape"], row["data"]))
+    grid = np.ogrid[:96, :96]
+    assert set(zip(y, x)) == set(zip(*np.nonzero((grid[0] - 50.0) ** 2 + (grid[1] - 94.0) ** 2 <= 16)))
