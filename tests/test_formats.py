@@ -151,3 +151,12 @@ def test_files_without_step_are_frames_of_their_own(spark, tmp_path):
         (tmp_path / name).write_text("1\t2\t1\n5\t6\t7\n0\t0\t0\n1\t1\t1\n")
     assert [(r.frame, r.n) for r in text.read_dat_boxes(spark, str(tmp_path / "*.dat")).orderBy("frame").collect()] == [(0, 2), (1, 2)]
     assert text.read_dat(spark, str(tmp_path / "*.dat")).groupBy("frame").count().count() == 2
+
+
+def test_particles_beyond_32_bits_are_numbered_anew(spark):
+    tr = [7, 3_000_000_000, 3_000_000_000, -5]
+    rows = spark.createDataFrame([(f, t, float(f), 0.0, 0.0) for f, t in enumerate(tr)], "frame int, pid long, x double, y double, z double")
+    table = sinks.trackpy_table(rows, rows.select("frame", "pid", F.col("pid").alias("tr")))
+    assert table.schema["particle"].dataType.simpleString() == "int"
+    assert sorted((r.frame, r.particle) for r in table.collect()) == [(0, 1), (1, 2), (2, 2), (3, 0)]
+    assert sorted(r.particle for r in sinks.trackpy_table(rows.where("pid < 10"), rows.where("pid < 10").select("frame", "pid", F.col("pid").alias("tr"))).collect()) == [-5, 7]
