@@ -87,8 +87,8 @@ def lines(documents: DataFrame) -> DataFrame:
     return flat.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment ``i`` of a line of that length; the longer segments come last."""
+def _segment(length: Column, i, edits) -> tuple[Column, Column]:
+    """Start (from 0) and size of segment ``i`` of a line of that length; the longer segments come last.  Numbers or columns."""
     base, rest = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
     return base * i + F.greatest(F.lit(0), rest - (edits + 1 - i)), base + (rest >= edits + 1 - i).cast("int")
 
@@ -112,40 +112,42 @@ def _places(i: int, shorter_by: int, edits: int) -> range:
     return range(max(-i, shorter_by - (edits - i)), min(i, shorter_by + (edits - i)) + 1)
 
 
-def _keys(edits: int) -> list[tuple[Column, bool, int, Column, Column, int]]:
-    """Keys of a measured line among lines with that many edits: (key, whether it probes, segment, its start, length of the indexed line, edits)."""
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(F.col("n"), i, edits)
-        out.append((F.xxhash64(F.col("n"), F.lit(i), _cut(start, size)), False, i, start, F.col("n"), edits))
-    for less in range(edits + 1):
-        n = F.col("n") - less
-        for i in range(edits + 1):
-            start, size = _segment(n, i, edits)
-            out += [(F.xxhash64(n, F.lit(i), _cut(start + s, size)), True, i, start + s, n, edits) for s in _places(i, less, edits)]
-    return out
+def _keys(edits: int) -> list[tuple[bool, int, int, int, int]]:
+    """Keys of a measured line among lines with that many edits: (whether it probes, how much shorter the indexed line is, segment, its shift, edits)."""
+    return [(False, 0, i, 0, edits) for i in range(edits + 1)] + [
+        (True, less, i, shift, edits) for less in range(edits + 1) for i in range(edits + 1) for shift in _places(i, less, edits)]
+
+
+def _listed(keys: list[tuple], first: int = 0) -> Column:
+    """A constant list of keys, numbered from ``first``."""
+    return F.array(*[F.struct(F.lit(first + at).alias("which"), *[F.lit(v).alias(name) for name, v in zip(("probe", "less", "i", "shift", "edits"), key)]) for at, key in enumerate(keys)])
 
 
-def _all_keys(allowed) -> tuple[list[tuple], Column, Column]:
-    """The keys of all levels one after the other; those of a line as an array; and the place in the list of the first of that array.
+def _all_keys(allowed) -> tuple[Column, Column]:
+    """The keys of all levels as one list, and those that a line of ``n`` characters may have.
 
-    Most lines are far from a border between two levels and have the keys of one level only; the others have all, null where the indexed line is of another level.
+    Most lines are far from a border between two levels and have the keys of one level only.
     """
     levels = [_keys(e) for _, e in allowed]
-    first = [sum(map(len, levels[:k])) for k in range(len(levels))]
-    borders = [n for n, _ in allowed[1:]]
-    edge = F.lit(False)
-    for n in borders:
-        edge = edge | ((F.col("n") >= n) & (F.col("n") <= n + max(e for _, e in allowed)))
-    mixed = F.array(*[F.when(_allowed(key[4], allowed) == key[5], key[0]) for level in levels for key in level])
-    array, begin = F.when(edge, mixed), F.when(edge, 0)
+    everything, widest = [key for level in levels for key in level], max(e for _, e in allowed)
+    near = F.lit(False)
+    for border, _ in allowed[1:]:
+        near = near | F.col("n").between(border, border + widest)
+    own = F.when(near, _listed(everything))
     for k in range(len(levels) - 1, -1, -1):
-        here = F.col("n") >= allowed[k][0]
-        lowest = allowed[0][0]
-        # at the lower end of the first level an indexed line may be too short to have keys
-        keys = F.array(*[key[0] if k else F.when(key[4] >= lowest, key[0]) for key in levels[k]])
-        array, begin = array.when(here, keys), begin.when(here, first[k])
-    return [key for level in levels for key in level], array, begin
+        own = own.when(F.col("n") >= allowed[k][0], _listed(levels[k], sum(map(len, levels[:k]))))
+    return _listed(everything), own
+
+
+def _dealt(long_lines: DataFrame, allowed) -> DataFrame:
+    """h, which, key of all keys of measured lines, but those for which the indexed line would be of another level.
+
+    The list of keys is a constant and one expression makes them all, row by row: an expression for each key is more than gets compiled.
+    """
+    rows = long_lines.select("h", "n", "wide", F.explode(_all_keys(allowed)[1]).alias("k")).select("h", "n", "wide", "k.*").withColumn("indexed", F.col("n") - F.col("less"))
+    start, size = _segment(F.col("indexed"), F.col("i"), F.col("edits"))
+    return (rows.filter(_allowed(F.col("indexed"), allowed) == F.col("edits"))
+            .select("h", "which", F.xxhash64("indexed", "i", _cut(start + F.col("shift"), size)).alias("key")))
 
 
 def _second_keys(rows: DataFrame, allowed, probing: bool) -> DataFrame:
@@ -175,11 +177,10 @@ def near_lines(documents: DataFrame, places: DataFrame, allowed=ALLOWED, hot: in
     """
     allowed = tuple(sorted(allowed))
     edits = max(e for _, e in allowed)
-    long_lines, (keys, array, begin) = _measured(lines(documents), allowed), _all_keys(allowed)
-    bare = long_lines.select("h", F.explode(array).alias("key")).filter("key IS NOT NULL")
-    shared, seen = materialize_with(bare.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key"), "shared")
-    # which key of a line it is (the place in ``keys``) tells the rest
-    hits = materialize(long_lines.select("h", begin.alias("begin"), F.posexplode(array).alias("which", "key")).select("h", (F.col("begin") + F.col("which")).alias("which"), "key").join(_small(shared, seen["rows"]), "key").distinct(), "hits")
+    dealt = _dealt(_measured(lines(documents), allowed), allowed)
+    shared, seen = materialize_with(dealt.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key"), "shared")
+    # which key of a line it is (the place in the list of keys) tells the rest
+    hits = materialize(dealt.join(_small(shared, seen["rows"]), "key").select("h", "which", "key").distinct(), "hits")
 
     wanted, seen = materialize_with(hits.select("h").distinct(), "wanted")
     firsts, seen = materialize_with(places.join(_small(wanted, seen["rows"]), "h", "left_semi").groupBy("h").agg(F.min(F.struct("o", "th", "no")).alias("first")), "firsts")
@@ -191,9 +192,7 @@ def near_lines(documents: DataFrame, places: DataFrame, allowed=ALLOWED, hot: in
     texts = materialize(lines(opened).drop("h").join(_small(spot, seen["rows"]), ["o", "th", "no"]).groupBy("h").agg(F.first("line").alias("line"))
                         .withColumn("n", F.length("line")).withColumns({"odd1": single, "odd2": double}), "texts")
 
-    pick = lambda values: F.get(F.array(*values), F.col("which"))
-    found = hits.join(texts, "h").withColumns({"probe": pick([F.lit(k[1]) for k in keys]), "i": pick([F.lit(k[2]) for k in keys]),
-                                               "at": pick([k[3] for k in keys]), "indexed": pick([k[4] for k in keys]), "edits": pick([F.lit(k[5]) for k in keys])})
+    found = (hits.join(texts, "h").withColumn("k", F.get(_all_keys(allowed)[0], F.col("which"))).select(*hits.columns, "line", "n", "odd1", "odd2", "k.probe", "k.i", "k.edits", (F.col("n") - F.col("k.less")).alias("indexed")))
     index, probe = found.filter("NOT probe"), found.filter("probe")
     crowded, seen = materialize_with(index.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
     slim = lambda side: side.select("key", "h", "odd1", "odd2").distinct()

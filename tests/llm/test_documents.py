@@ -483,3 +483,27 @@ def test_line_dedup_edges(spark):
     got = line_dedup.decide(odd, ["doc_id", "row", "a.b"]).collect()
     assert len(got) == 10 and {x.row.doc_id: x.n_exact for x in got}[6] == 1 and sum(x.n_exact + x.n_near for x in got) == 1
     assert line_dedup.deduplicate(odd).columns == odd.columns and line_dedup.decide(h.empty(spark), ["doc_id"]).count() == 0
+
+
+def test_near_lines_share_a_key_made_by_one_expression(spark):
+    import random
+    from corpuscle.llm import line_dedup
+    rng, rows, near = random.Random(5), [], []
+    for n in [*range(10, 36), 90] * 3:
+        line = "".join(rng.choice("abcdeé𝄞") for _ in range(n))
+        other = list(line)
+        for _ in range(dict.fromkeys(range(12), 0).get(n, 1 if n < 31 else 2)):
+            at = rng.randrange(len(other))
+            other[at:at + 1] = rng.choice(["", "xy", "z"])
+        rows += [line, "".join(other)]
+        near.append((line, "".join(other)))
+    lines = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "h long, line string")
+    allowed = line_dedup.ALLOWED
+    dealt = line_dedup._dealt(line_dedup._measured(lines, allowed), allowed)
+    specs = dealt.select(F.get(line_dedup._all_keys(allowed)[0], F.col("which")).alias("k"), "h", "key").select("h", "key", "k.probe").distinct().collect()
+    index, probe = ({h: {r.key for r in specs if r.h == h and r.probe == side} for h in range(len(rows))} for side in (False, True))
+    for i, (a, b) in enumerate(near):
+        short, long = sorted((2 * i, 2 * i + 1), key=lambda h: len(rows[h]))
+        granted = 2 if len(rows[short]) >= 30 else 1 if len(rows[short]) >= 12 else 0
+        if granted and a != b and len(rows[long]) - len(rows[short]) <= granted and (granted == 2 or len(a) < 31):
+            assert index[short] & probe[long], (a, b)
