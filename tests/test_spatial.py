@@ -128,3 +128,20 @@ def test_bond_order_of_crowded_points(spark):
     def rows(limit):
         return {(r.p, r.n, round(r.q6, 8)) for r in order.invariants(order.qlm_of_points(df, 0.2, 6, crowd_limit=limit), 6).collect()}
     assert rows(20_000) == rows(8)
+
+
+def test_nearest_neighbours_in_a_dense_middle_look_at_few_pairs(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame(rng.normal(size=(1500, 3)) * 0.12, columns=list("xyz")).assign(frame=0, pid=range(1500))
+    df, looked = spark.createDataFrame(pdf), []
+    ranked = spatial.neighbours_ranked
+    monkeypatch.setattr(spatial, "neighbours_ranked", lambda edges, *rest: looked.append(edges.count()) or ranked(edges, *rest))
+    got = {(r.p, r["rank"]): r.q for r in spatial.knn(df, 1, 0.5).collect()}
+    xyz = pdf[["x", "y", "z"]].to_numpy()
+    d2 = ((xyz[None] - xyz[:, None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, 9)
+    want = {(p, k + 1): q for p in range(1500) for k, q in enumerate(np.argsort(d2[p])[:1]) if d2[p, q] < 0.25}
+    assert got == want
+    assert sum(looked) < 1500 * 1400 / 4, looked          # all pairs in range are about 1,500 * 1,400
