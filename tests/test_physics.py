@@ -301,6 +301,23 @@ def test_systems_that_sweeps_cannot_solve(spark, seed):
         optics.conjugate_gradients(spark.createDataFrame([(0, 0, 0.0, 1.0)], diagonal.schema), couplings.where("frame > 99"))
 
 
+def test_small_systems_are_eliminated(spark, monkeypatch):
+    """Systems that sweeps do not solve take no rounds where they fit into a task; larger ones beside them go on in rounds."""
+    rng = np.random.default_rng(3)
+    matrices = {g: rng.normal(size=(n, n)) + (3 * n if g == 2 else 0.1) * np.eye(n) for g, n in ((0, 30), (1, 1), (2, 50))}
+    right = {g: rng.normal(size=len(m)) for g, m in matrices.items()}
+    diagonal = spark.createDataFrame([(g, i + 100, float(m[i, i]), float(right[g][i])) for g, m in matrices.items() for i in range(len(m))], "frame int, p long, a double, b double")
+    couplings = spark.createDataFrame([(g, i + 100, j + 100, float(m[i, j]) / 2) for g, m in matrices.items() for i in range(len(m)) for j in range(len(m)) if i != j for _ in range(2)],
+                                      "frame int, p long, q long, a double")
+    monkeypatch.setattr(optics, "conjugate_gradients", None)
+    for limit in (100, 40):
+        got = optics.linear_solve(diagonal, couplings, limit=limit).toPandas().sort_values(["frame", "p"])
+        for g, m in matrices.items():
+            assert np.allclose(got[got["frame"] == g]["v"], np.linalg.solve(m, right[g]), atol=1e-8)
+    one = optics.linear_solve(diagonal.where("frame = 0").drop("frame"), couplings.where("frame = 0").drop("frame"), keys=[]).toPandas().sort_values("p")
+    assert np.allclose(one["v"], np.linalg.solve(matrices[0], right[0]))
+
+
 def test_exact_quantile_of_many_values(spark):
     from corpuscle.operators import scattering
     from corpuscle.operators.stats import exact_quantile
