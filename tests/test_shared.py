@@ -26,3 +26,14 @@ def test_rings_do_not_list_triangles(spark):
     ring = [(0, 1000 + i, x, y, z) for i, (x, y, z) in enumerate([(0.0, 0.0, -0.5), (0.0, 0.0, 0.4), (0.8, 0.0, 0.0), (0.25, 0.76, 0.0), (-0.65, 0.47, 0.0), (-0.65, -0.47, 0.0), (0.25, -0.76, 0.0)])]
     df = crowd.union(spark.createDataFrame(ring, crowd.schema))
     assert rows(shared.pairs_1551(df, 1.0)) == [(0, 1000, 1001)]
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4, 5])
+def test_path_lengths_block_by_block(spark, monkeypatch, longest):
+    monkeypatch.setattr(shared, "CORE", 20)
+    df, _ = random_points(spark, 70, 2, seed=8)
+    edges = spatial.neighbour_edges(df, 0.2).select("frame", "p", "q").localCheckpoint()
+    far = spatial.bonds(df, 0.45).where("d2 >= 0.2D * 0.2D").select("frame", "low", "high")
+    got = rows(shared.path_lengths(df, 0.2, 0.45, longest).na.fill(-1))
+    assert got == rows(graph.pair_path_length(far, edges, longest).select("frame", "low", "high", F.col("length").cast("int")).na.fill(-1))
+    assert {r[3] for r in got} >= {-1, 2}
