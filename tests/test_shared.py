@@ -28,6 +28,17 @@ def test_rings_do_not_list_triangles(spark):
     assert rows(shared.pairs_1551(df, 1.0)) == [(0, 1000, 1001)]
 
 
+def test_topology_counts_ends_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shared, "CORE", 20)
+    df, _ = random_points(spark, 80, 2, seed=6)
+    df = df.withColumn("x", F.when(F.col("pid") == 3, F.lit(None)).otherwise(F.col("x")))
+    edges = spatial.neighbour_edges(df, 0.35).select("frame", "p", "q").localCheckpoint()
+    want = graph.count_by(edges, df)
+    for name in ("sp5c", "pairs_1551", "pairs_2331"):
+        want = want.join(graph.spindles(getattr(graph, name)(edges)).withColumnRenamed("n", name), ["frame", "p"], "left").na.fill(0, [name])
+    assert rows(shared.topology(df, 0.35)) == rows(want)
+
+
 @pytest.mark.parametrize("longest", [2, 3, 4, 5])
 def test_path_lengths_block_by_block(spark, monkeypatch, longest):
     monkeypatch.setattr(shared, "CORE", 20)
