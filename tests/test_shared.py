@@ -39,6 +39,14 @@ def test_topology_counts_ends_of_pairs(spark, monkeypatch):
     assert rows(shared.topology(df, 0.35)) == rows(want)
 
 
+def test_common_neighbours_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(shared, "CORE", 20)
+    monkeypatch.setattr(shared, "CELLS", 50)
+    df, _ = random_points(spark, 70, 2, seed=7)
+    edges = spatial.neighbour_edges(df, 0.35).select("frame", "p", "q")
+    assert rows(shared.common_of_bonds(df, 0.35)) == rows(graph.common_of_bonds(edges))
+
+
 @pytest.mark.parametrize("longest", [2, 3, 4, 5])
 def test_path_lengths_block_by_block(spark, monkeypatch, longest):
     monkeypatch.setattr(shared, "CORE", 20)
