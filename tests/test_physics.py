@@ -271,6 +271,18 @@ def test_voronoi_cells_with_copies_and_few_neighbours(spark):
     assert many["volume"][:20].nunique() == 1
 
 
+def test_voronoi_cell_takes_in_what_cuts_it():
+    """However few planes a cell starts with, it ends as the cell between all of them; cells fill the box."""
+    xyz, total = np.random.default_rng(3).random((150, 3)), 0.0
+    for i in range(len(xyz)):
+        others = np.flatnonzero(np.arange(len(xyz)) != i)
+        walls = np.stack([xyz[i], 1 - xyz[i]], 1).ravel()
+        few, many = (voronoi.cell(walls, others, xyz[others] - xyz[i], first) for first in (1, 30))
+        assert few[0] == pytest.approx(many[0]) and few[1] == pytest.approx(many[1]) and list(few[2]) == list(many[2]) and np.allclose(few[3], many[3])
+        total += few[0]
+    assert total == pytest.approx(1.0)
+
+
 def test_blur_derivatives_and_erf(spark):
     xs = [0.0, 1e-3, 0.4, 1.0, 2.2, 2.5, 2.6, 4.0, 9.0, -1.3, -3.0, 60.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", optics.erf("x").alias("e")).collect()
