@@ -56,3 +56,18 @@ def test_path_lengths_block_by_block(spark, monkeypatch, longest):
     got = rows(shared.path_lengths(df, 0.2, 0.45, longest).na.fill(-1))
     assert got == rows(graph.pair_path_length(far, edges, longest).select("frame", "low", "high", F.col("length").cast("int")).na.fill(-1))
     assert {r[3] for r in got} >= {-1, 2}
+
+
+@pytest.mark.parametrize("radius", [0.12, 0.3])
+def test_components_block_by_block(spark, monkeypatch, radius):
+    monkeypatch.setattr(shared, "CORE", 20)
+    df, _ = random_points(spark, 90, 2, seed=9)
+    edges = spatial.neighbour_edges(df, radius).select("frame", "p", "q").localCheckpoint()
+    arcs = shared.component_arcs(df, radius).localCheckpoint()
+    nodes = df.select("frame", F.col("pid").alias("p"))
+    assert rows(graph.connected_components(arcs, nodes=nodes)) == rows(graph.connected_components(edges, nodes=nodes))
+    if radius == 0.3:
+        assert arcs.count() < edges.count() / 2       # rows for particles, not for bonds
+        by_level = [rows(graph.percolation(df, e, "v", [-0.5, 0.3]).select("threshold", "frame", "cluster", "size"))
+                    for e in (edges, shared.component_arcs(df, radius, fields=["v"], levels=[-0.5, 0.3]))]
+        assert by_level[0] == by_level[1]
