@@ -71,3 +71,15 @@ def test_components_block_by_block(spark, monkeypatch, radius):
         by_level = [rows(graph.percolation(df, e, "v", [-0.5, 0.3]).select("threshold", "frame", "cluster", "size"))
                     for e in (edges, shared.component_arcs(df, radius, fields=["v"], levels=[-0.5, 0.3]))]
         assert by_level[0] == by_level[1]
+
+
+def test_dilation_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(shared, "CORE", 20)
+    df, _ = random_points(spark, 70, 2, seed=10)
+    df = df.withColumns({"v": F.when(F.col("pid") < 5, F.lit(None)).otherwise(F.round("v", 1)), "x": F.when(F.col("pid") == 9, F.lit(None)).otherwise(F.col("x"))})
+    edges = spatial.neighbour_edges(df, 0.2).select("frame", "p", "q")
+    assert [tuple(map(str, r)) for r in rows_of(shared.dilate(df, 0.2, "v"))] == [tuple(map(str, r)) for r in rows_of(graph.dilate(df.withColumnRenamed("pid", "p"), edges, "v"))]
+
+
+def rows_of(df):
+    return df.orderBy("frame", "p").collect()
