@@ -8,6 +8,28 @@ from corpuscle.operators import graph, linking, matching, spatial
 from .helpers import brute_pairs, greedy, random_points
 
 
+def test_matching_of_the_nearest_lists_few_links(spark, monkeypatch):
+    df, _ = random_points(spark, 300, 3, seed=13)
+    ids = spark.createDataFrame([(0, 1000, 0.5, 0.5, 0.5, 0.0), (1, 1000, 0.5, 0.5, 0.5, 0.0), (1, 1001, 0.5, 0.5, 0.5, 0.0), (2, 1002, None, 0.5, 0.5, 0.0)], df.schema)
+    df = df.unionByName(ids)
+    want = matching.greedy_match(spatial.frame_links(df, 0.6))
+    listed, write = [], matching.materialize
+
+    def counted(frame, name="stage"):
+        out = write(frame, name)
+        if name == "links":
+            listed.append(out.count())
+        return out
+    monkeypatch.setattr(matching, "materialize", counted)
+    columns = ["frame", "from", "to", "cost"]
+    trace = []
+    got = linking.match_frames(df, 0.6, trace=trace)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert trace.count("range") > 2 and 0 < sum(listed) < spatial.frame_links(df, 0.6).count() / 10
+    sized = df.withColumn("r", F.lit(0.5))
+    assert linking.match_frames(sized, 0.6, r="r", radius_max=0.5).count() == want.count()
+
+
 def test_accepted_links_of_the_worked_example(spark):
     links = [(0, 0, 1.1), (0, 1, 1.2), (0, 2, 0.9), (1, 0, 0.1), (1, 1, 1.1), (1, 2, 1.0)]
     df = spark.createDataFrame([(0, *l) for l in links], "frame int, `from` bigint, `to` bigint, cost double")
