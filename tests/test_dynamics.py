@@ -104,3 +104,10 @@ def test_velocity_is_clipped_to_the_trajectory(spark):
     df = tracks_of(spark, [(0, t, 2.0 * t, 0.0, 0.0) for t in range(6)] + [(1, 3, 1.0, 0.0, 0.0)])
     v = {(r.tr, r.frame): r.vx for r in fields.velocity(df, 2).collect()}
     assert all(v[(0, t)] == pytest.approx(2.0) for t in range(6)) and v[(1, 3)] is None
+
+
+def test_two_point_displacements_of_copies(spark):
+    """2,000 copies of each of two tracks are four million pairs, but one pair of places."""
+    tracks = spark.range(4000).selectExpr("id AS tr", "explode(array(0, 1)) AS frame").selectExpr("tr", "frame", "IF(tr % 2 = 0, 0D, 3D) + frame AS x", "0D AS y", "2D * frame AS z")
+    (row,) = dynamics.two_point_displacements(tracks, 0, [1], 2.0, 20.0, 8).collect()
+    assert (row.lag, row.n, row.sum_n, row.sum_p, row.sum_q) == (1, 4_000_000, 4e6, 0.0, 16e6)
