@@ -22,7 +22,7 @@ from .spatial import neighbourhoods
 
 ROWS = 131_072      # rows of trajectories in one group
 LEAST = 4_096       # rows of a group that is made only to have something to do for every core
-CELLS = 1 << 20     # pairs of rows looked at at a time
+CELLS = 1 << 16     # pairs of rows looked at at a time, few enough to stay in a cache
 DENSE = 1 << 23     # entries of a table of (trajectory, frame)
 EDGE = 1 + 1e-9     # what is this much further than a range is out of it, whatever the rounding
 DTYPES = {"int": np.int32, "bigint": np.int64, "long": np.int64}
@@ -65,8 +65,8 @@ class Rows:
 class Meeting:
     """Two groups of trajectories, or one group with itself."""
 
-    def __init__(self, one: Rows, two: Rows, radius: float):
-        self.one, self.two, self.radius, self.same = one, two, radius, one is two
+    def __init__(self, one: Rows, two: Rows, radius: float, groups: tuple[int, int] = (0, 0)):
+        self.one, self.two, self.radius, self.same, self.groups = one, two, radius, one is two, groups
 
     def squares(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Squared distances between rows of the one and rows of the other; NaN where a row is missing (-1)."""
@@ -203,7 +203,7 @@ def meet(packed: Packed, radius: float, work: Callable, columns: Sequence[str],
                 more.append([told[f"_{c}"].to_numpy(zero_copy_only=False) for c in ("frame", "low", "high")])
         if key is None or not (key[0] in groups and key[1] in groups):
             return
-        meeting = Meeting(groups[key[0]], groups[key[1]], radius)
+        meeting = Meeting(groups[key[0]], groups[key[1]], radius, key)
         told = [[np.concatenate(part).astype(np.int64) for part in zip(*more)]] if extra is not None else []
         for table in work(meeting, *told):
             yield pa.RecordBatch.from_arrays([pa.array(table[c] if kind not in DTYPES else np.asarray(table[c], DTYPES[kind]), pa.binary() if kind == "binary" else None)
@@ -227,3 +227,138 @@ def bond_life(packed: Packed, radius: float) -> DataFrame:
             yield {**met.ends(i[first], j[first]), "first": met.one.frames[i[first]], "last": met.one.frames[i[last]], "n": last - first + 1}
 
     return meet(packed, radius, work, _listed(packed, f"first {packed.frame_kind}", f"last {packed.frame_kind}", "n bigint"))
+
+
+def expired_bonds(packed: Packed, radius: float, persistence: int) -> DataFrame:
+    """Episodes of a bond: it expires once unseen for more than ``persistence`` frames. low, high, first, last."""
+    def work(met: Meeting):
+        for i, j, new in met.courses():
+            frame = met.one.frames[i]
+            first = np.flatnonzero(new | (np.diff(frame, prepend=frame[0]) > max(persistence, 1)))
+            last = np.append(first[1:], len(new)) - 1
+            yield {**met.ends(i[first], j[first]), "first": frame[first], "last": frame[last]}
+
+    return meet(packed, radius, work, _listed(packed, f"first {packed.frame_kind}", f"last {packed.frame_kind}"))
+
+
+def broken_bonds(packed: Packed, radius: float, lag: int = 1) -> DataFrame:
+    """Bonds of frame t gone at t + lag although both trajectories still exist: frame (= t), low, high."""
+    def work(met: Meeting):
+        a, b = met.one.shifted(lag), met.two.shifted(lag)
+        for i, j in met.bonds():
+            gone = np.flatnonzero((a[i] >= 0) & (b[j] >= 0) & ~met.bonded(a[i], b[j]))
+            if len(gone):
+                yield {"frame": met.one.frames[i[gone]], **met.ends(i[gone], j[gone])}
+
+    return meet(packed, radius, work, [f"frame {packed.frame_kind}", *_listed(packed)])
+
+
+def tally(packed: Packed, radius: float, work: Callable, finish: Callable, columns: Sequence[str]) -> DataFrame:
+    """Numbers counted for each row over all pairs: ``work`` makes of a ``Meeting`` the counts for the rows of the one and of the other (as many arrays each), which are
+    summed and given to ``finish`` with the rows; it returns which rows are wanted and the arrays of ``columns``.  Result: frame, p, columns.
+    """
+    def counts(met: Meeting):
+        sides = work(met)
+        if met.same:
+            sides = [[a + b for a, b in zip(*sides)]]
+        yield {"_g": list(met.groups)[:len(sides)], "_n": [np.concatenate(side).astype(np.int32).tobytes() for side in sides]}
+
+    schema, width = [f"frame {packed.frame_kind}", f"p {packed.id_kind}", *columns], packed.coords
+    types = dict(c.split() for c in schema)
+    parts = meet(packed, radius, counts, ["_g int", "_n binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = None, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["_n"] is None:
+                    rows = _unpack(row, width)
+                else:
+                    total = total + np.frombuffer(row["_n"], np.int32).astype(np.int64)
+        wanted, found = finish(rows, np.split(total, len(total) // len(rows.ids)))
+        made = {"frame": rows.frames, "p": rows.ids, **found}
+        for start in range(0, len(wanted), CELLS):
+            some = wanted[start:start + CELLS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ma.getdata(v)[some].astype(DTYPES[types[c]]), mask=np.ma.getmaskarray(v)[some]) for c, v in made.items()], names=list(made))
+
+    both = packed.groups.unionByName(parts, allowMissingColumns=True)
+    return both.repartition(max(packed.n, packed.groups.sparkSession.sparkContext.defaultParallelism), "_g").groupBy("_g").applyInArrow(run, ", ".join(schema))
+
+
+def _add(total: np.ndarray, rows: np.ndarray) -> None:
+    np.add.at(total, rows, 1)
+
+
+def neighbour_changes(packed: Packed, radius: float, lag: int = 1) -> DataFrame:
+    """Neighbours lost and gained by each trajectory between t and t + lag: frame, p, lost, gained; NULL where it ends before."""
+    def work(met: Meeting):
+        later, before = [[side.shifted(k) for side in (met.one, met.two)] for k in (lag, -lag)]
+        sides = [[np.zeros(len(side.ids), np.int64) for _ in range(2)] for side in (met.one, met.two)]
+        for i, j in met.bonds():
+            for kind, (a, b) in enumerate((later, before)):
+                a, b = a[i], b[j]
+                apart = ~met.bonded(a, b)
+                for (total, there, at) in ((sides[0][kind], a, i), (sides[1][kind], b, j)):
+                    _add(total, (there if kind else at)[apart & (there >= 0)])
+        return sides
+
+    def finish(rows: Rows, totals):
+        ends = rows.shifted(lag) < 0
+        return np.arange(len(rows.ids)), {name: np.ma.array(n, mask=ends) for name, n in zip(("lost", "gained"), totals)}
+
+    return tally(packed, radius, work, finish, ["lost bigint", "gained bigint"])
+
+
+def lost_since(tracks: DataFrame, radius: float, reference: int) -> DataFrame:
+    """For every later frame: how many of the neighbours at the reference frame are no longer neighbours: frame, p, lost."""
+    there = tracks.where(F.col("frame") == reference).select("tr").distinct()
+    packed = pack(tracks.where(F.col("frame") >= reference).join(there, "tr", "left_semi"))       # nothing else can be a neighbour then
+
+    def start(rows: Rows):
+        return np.where(rows.frames >= reference, rows.at(rows.track, np.full(len(rows.ids), reference)), -1)
+
+    def work(met: Meeting):
+        a, b = start(met.one), start(met.two)
+        kept = [np.zeros(len(side.ids), np.int64) for side in (met.one, met.two)]
+        for i, j in met.bonds():
+            still = met.bonded(a[i], b[j])
+            _add(kept[0], i[still])
+            _add(kept[1], j[still])
+        return [[kept[0]], [kept[1]]]
+
+    def finish(rows: Rows, totals):
+        at = start(rows)
+        return np.flatnonzero(at >= 0), {"lost": totals[0][at] - totals[0]}
+
+    return tally(packed, radius, work, finish, ["lost bigint"])
+
+
+def degrees(packed: Packed, radius: float) -> DataFrame:
+    """Bonds of every row: frame, p, n."""
+    def work(met: Meeting):
+        n = [np.zeros(len(side.ids), np.int64) for side in (met.one, met.two)]
+        for i, j in met.bonds():
+            _add(n[0], i)
+            _add(n[1], j)
+        return [[n[0]], [n[1]]]
+
+    return tally(packed, radius, work, lambda rows, totals: (np.arange(len(rows.ids)), {"n": totals[0]}), ["n bigint"])
+
+
+def neighbouring_bonds(tracks: DataFrame, radius: float, chosen: str) -> DataFrame:
+    """Bonds that share exactly one end with another bond both of whose ends are ``chosen`` (a condition): frame, low, high.
+
+    The chosen bonds are counted by their ends first; a bond is one if an end has a chosen bond besides it.
+    """
+    held = degrees(pack(tracks.where(chosen)), radius).withColumnRenamed("p", "tr")
+    marked = tracks.join(held, ["frame", "tr"], "left").withColumn("_held", F.coalesce("n", F.lit(0)) * 2 + F.coalesce(F.expr(chosen), F.lit(False)).cast("int"))
+    packed = pack(marked, mark="_held")
+
+    def work(met: Meeting):
+        for i, j in met.bonds():
+            a, b = met.one.marks[i], met.two.marks[j]
+            near = np.flatnonzero(np.maximum(a >> 1, b >> 1) > (a & b & 1))
+            if len(near):
+                yield {"frame": met.one.frames[i[near]], **met.ends(i[near], j[near])}
+
+    return meet(packed, radius, work, [f"frame {packed.frame_kind}", *_listed(packed)])
