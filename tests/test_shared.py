@@ -47,6 +47,14 @@ def test_common_neighbours_block_by_block(spark, monkeypatch):
     assert rows(shared.common_of_bonds(df, 0.35)) == rows(graph.common_of_bonds(edges))
 
 
+@pytest.mark.parametrize("core", [1024, 20])
+def test_second_shell_block_by_block(spark, monkeypatch, core):
+    monkeypatch.setattr(shared, "CORE", core)
+    df, _ = random_points(spark, 90, 2, seed=9)
+    twice = df.unionByName(df.where("pid < 10"))
+    assert rows(shared.second_shell(twice, 0.35)) == rows(graph.second_shell(spatial.neighbour_edges(df, 0.35).select("frame", "p", "q")))
+
+
 @pytest.mark.parametrize("longest", [2, 3, 4, 5])
 def test_path_lengths_block_by_block(spark, monkeypatch, longest):
     monkeypatch.setattr(shared, "CORE", 20)
