@@ -80,7 +80,13 @@ def test_neighbouring(tracks):
     same(H.neighbouring_bonds(tracks, RADIUS, "x < 0.3"), graph.neighbouring_bonds(bonds(tracks), chosen))
 
 
-@pytest.mark.parametrize("name", ["bond_life", "expired_bonds", "broken_bonds", "neighbour_changes", "lost_neighbours_since_reference", "neighbouring_bonds", "cluster_tracking", "space_time_clusters"])
+@pytest.mark.parametrize("name", ["never_reform", "never_closer"])
+def test_never_again(tracks, name):
+    placed = tracks.na.drop()
+    same(getattr(H, name)(tracks, 0.3), getattr(graph, name)(spatial.bonds(placed, 0.3, id_col="tr").select("frame", "low", "high").localCheckpoint(), tracks))
+
+
+@pytest.mark.parametrize("name", ["bond_life", "expired_bonds", "broken_bonds", "neighbour_changes", "lost_neighbours_since_reference", "neighbouring_bonds", "cluster_tracking", "space_time_clusters", "never_reforming_bonds", "never_closer_bonds"])
 def test_queries_do_not_list_bonds(spark, monkeypatch, name):
     def listed(*args, **kwargs):
         raise AssertionError("bonds are listed")
