@@ -55,6 +55,17 @@ def test_second_shell_block_by_block(spark, monkeypatch, core):
     assert rows(shared.second_shell(twice, 0.35)) == rows(graph.second_shell(spatial.neighbour_edges(df, 0.35).select("frame", "p", "q")))
 
 
+@pytest.mark.parametrize("core", [1024, 20])
+def test_bond_angles_block_by_block(spark, monkeypatch, core):
+    """Right and straight angles lie on the borders of bins; bonds without a length have none."""
+    monkeypatch.setattr(shared, "CORE", core)
+    df, _ = random_points(spark, 90, 2, seed=10)
+    grid = [(7, 100 + i, float(i % 3), float(i // 3), 0.0, 0.0) for i in range(9)] + [(7, 200, 0.0, 0.0, 0.0, 0.0)]
+    points = df.unionByName(spark.createDataFrame(grid, df.schema))
+    want = graph.bond_angles(spatial.neighbour_edges(points, 1.1), nbins=36)
+    assert rows(shared.bond_angles(points, 1.1, 36)) == rows(want)
+
+
 @pytest.mark.parametrize("longest", [2, 3, 4, 5])
 def test_path_lengths_block_by_block(spark, monkeypatch, longest):
     monkeypatch.setattr(shared, "CORE", 20)
