@@ -51,7 +51,7 @@ def test_common_neighbours_block_by_block(spark, monkeypatch):
 def test_second_shell_block_by_block(spark, monkeypatch, core):
     monkeypatch.setattr(shared, "CORE", core)
     df, _ = random_points(spark, 90, 2, seed=9)
-    twice = df.unionByName(df.where("pid < 10"))
+    twice = df.unionByName(df.where("pid < 10")).unionByName(df.where("pid < 20").withColumn("frame", F.lit(None).cast("bigint")))
     assert rows(shared.second_shell(twice, 0.35)) == rows(graph.second_shell(spatial.neighbour_edges(df, 0.35).select("frame", "p", "q")))
 
 
@@ -61,7 +61,7 @@ def test_bond_angles_block_by_block(spark, monkeypatch, core):
     monkeypatch.setattr(shared, "CORE", core)
     df, _ = random_points(spark, 90, 2, seed=10)
     grid = [(7, 100 + i, float(i % 3), float(i // 3), 0.0, 0.0) for i in range(9)] + [(7, 200, 0.0, 0.0, 0.0, 0.0)]
-    points = df.unionByName(spark.createDataFrame(grid, df.schema))
+    points = df.unionByName(spark.createDataFrame(grid, df.schema)).unionByName(df.where("frame = 1 AND pid < 9").withColumn("x", F.col("x") + F.when(F.col("pid") > 4, 0.1).otherwise(0.0)))
     want = graph.bond_angles(spatial.neighbour_edges(points, 1.1), nbins=36)
     assert rows(shared.bond_angles(points, 1.1, 36)) == rows(want)
 
